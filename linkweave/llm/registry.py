@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from linkweave.llm import bpe
+from linkweave.llm import bpe, langid, quality, records
 
 QUERIES = {
     "op1_bpe": bpe.query,
+    "op5_quality": quality.query,
+    "op6_records": records.query,
+    "op8_langid": langid.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
