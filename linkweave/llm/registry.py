@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from linkweave.llm import bpe, langid, quality, records
+from linkweave.llm import bpe, html, langid, quality, records
 
 QUERIES = {
     "op1_bpe": bpe.query,
+    "op2_html": html.query,
     "op5_quality": quality.query,
     "op6_records": records.query,
     "op8_langid": langid.query,
