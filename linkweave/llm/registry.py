@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkweave.llm import bpe, html, langid, quality, records
+from linkweave.llm import bpe, html, langid, quality, records, rules
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_quality": quality.query,
     "op6_records": records.query,
     "op8_langid": langid.query,
+    "op10_rules": rules.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
