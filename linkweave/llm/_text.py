@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Text bytes that are worked on at once, so that temporary arrays stay small however large a batch is.
 SLICE_BYTES = 2 << 20
@@ -39,6 +43,20 @@ def by_bytes(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> It
         start = stop
 
 
+def by_length(batch: pa.RecordBatch, column: str, limit: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows with about ``limit`` list elements of ``column`` each (one row at least)."""
+    n = batch.num_rows
+    if not n:
+        return
+    ends = np.cumsum(pc.list_value_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < n:
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash, filled on demand; forgotten when it has grown to ``most`` words."""
 
@@ -72,3 +90,61 @@ def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
     for k in range(size):
         out = mix64(out * _C1 + words[k : n - size + 1 + k])
     return out
+
+
+_TERM = re.compile(r"[^\W_]+")
+
+
+class TermHashes(dict):
+    """Hashes of normalised words: runs of letters and digits in lower case."""
+
+    def __init__(self, most: int = 400_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, term: str) -> int:
+        h = xxhash.xxh3_64_intdigest(term.encode("utf-8", "surrogatepass"))
+        self[term] = h
+        return h
+
+    def of(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.empty(0, np.uint64)
+        terms = _TERM.findall(text.lower())
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, terms), np.uint64, len(terms))
+
+
+def found_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Place of each value in a sorted array, -1 where it isn't there."""
+    if not len(ordered):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+    return np.where(ordered[at] == values, at, -1)
+
+
+def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two multisets of hashes: sum of the smaller counts over the sum of the larger ones; 0 for two empty ones."""
+    x, n = np.unique(a, return_counts=True)
+    y, m = np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    common = int(np.minimum(n[i], m[j]).sum())
+    total = len(a) + len(b) - common
+    return common / total if total else 0.0
+
+
+def add_column(df: DataFrame, text: str, out: str, kind: str, prepare: Callable[[], Callable[[str | None], object]]) -> DataFrame:
+    """Adds (or replaces) ``out``, of the SQL type ``kind``: a function of the whole text, made once for each task by ``prepare``."""
+    kept = [f for f in df.schema.fields if f.name != out]
+    schema = T.StructType([*kept, T.StructField(out, T._parse_datatype_string(kind))])
+    arrow = to_arrow_type(schema[out].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = prepare()
+        for whole in batches:
+            for batch in by_bytes(whole, text):
+                values = [of(x) for x in batch.column(text).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(values, arrow)], names=schema.fieldNames())
+
+    return df.mapInArrow(run, schema)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from linkweave.llm import bpe, html, langid, quality, records, rules
+from linkweave.llm import bpe, decontaminate, html, langid, licenses, quality, records, rules
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_html": html.query,
+    "op4_decontaminate": decontaminate.query,
     "op5_quality": quality.query,
     "op6_records": records.query,
     "op8_langid": langid.query,
+    "op9_licenses": licenses.query,
     "op10_rules": rules.query,
 }
 
