@@ -8,10 +8,13 @@ in local mode, when the setting is absent (tests).
 from __future__ import annotations
 
 import atexit
+import functools
 import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +67,39 @@ def materialize(df: DataFrame, label: str = "table", codec: str = "zstd") -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors' Python workers, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="linkweave-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "linkweave.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for at, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(at, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
+def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The query, with the package on the workers before it runs."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args: object) -> DataFrame:
+        ship(spark)
+        return query(spark, *args)
+
+    return run
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through Hadoop's file system, so that it works in any store."""
     jvm = spark.sparkContext._jvm
