@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from linkweave.llm import bpe, decontaminate, html, langid, licenses, quality, records, rules
+from linkweave.llm import bpe, decontaminate, html, langid, licenses, minhash, quality, records, rules
+from linkweave.session import shipped
 
-QUERIES = {
+_QUERIES = {
     "op1_bpe": bpe.query,
     "op2_html": html.query,
+    "op3_minhash": minhash.query,
     "op4_decontaminate": decontaminate.query,
     "op5_quality": quality.query,
     "op6_records": records.query,
@@ -15,4 +17,7 @@ QUERIES = {
     "op10_rules": rules.query,
 }
 
+#: Python workers of any cluster get the package before a query runs.
+QUERIES = {name: shipped(query) for name, query in _QUERIES.items()}
+
 ORACLE_SQL: dict[str, str] = {}
