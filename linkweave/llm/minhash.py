@@ -43,6 +43,7 @@ DEVIATIONS = 4.5
 _TICKS = float(1 << 40)
 _NEVER = np.int64(1) << np.int64(62)
 _G = np.uint64(0x9E3779B97F4A7C15)
+_SIDE = np.uint64(0x6A09E667F3BCC909)
 
 
 def _waits(seed: np.ndarray, count: np.ndarray, rate: np.ndarray | int) -> np.ndarray:
@@ -87,7 +88,7 @@ def signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, texts
         wide = np.flatnonzero(high - low > 1)
         if len(wide):
             middle = (low[wide] + high[wide]) // 2
-            right = (mix64(seed[wide] + np.uint64(7) * _G) >> np.uint64(63)).astype(bool)
+            right = (mix64(seed[wide] + _SIDE) >> np.uint64(63)).astype(bool)
             halves = [(low[wide], middle, ~right), (middle, high[wide], right)]
             unit = np.flatnonzero(high - low == 1)
             parts = [(o[unit], e[unit], w[unit], low[unit], high[unit], seed[unit], count[unit], x[unit])]

@@ -13,8 +13,9 @@ other columns are never read.
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm._text import WordHashes, by_bytes, shingles
+from linkweave.llm._text import WordHashes, add_column, by_bytes, shingles
 from linkweave.session import materialize, table
 
 #: Random features, width of the kernel in standardised units, ridge penalty for each labelled row.
@@ -127,10 +128,14 @@ class Model:
         return np.clip(np.where((level >= 0.5) == (mixed >= 0.5), mixed, level), 0.0, 1.0)
 
 
-def _fourier(x: np.ndarray) -> np.ndarray:
+@functools.cache
+def _draws(size: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    directions = rng.normal(0, 1 / WIDTH, (x.shape[1], FEATURES))
-    phases = rng.uniform(0, 2 * np.pi, FEATURES)
+    return rng.normal(0, 1 / WIDTH, (size, FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES)
+
+
+def _fourier(x: np.ndarray) -> np.ndarray:
+    directions, phases = _draws(x.shape[1])
     x = np.clip(x, -8, 8)
     # Beside the random features: a constant and the statistics themselves, so that far points have a trend.
     return np.hstack([np.sqrt(2 / FEATURES) * np.cos(x @ directions + phases), np.ones((len(x), 1)), x / 8])
@@ -204,6 +209,16 @@ def predict(rows: DataFrame, model: Model, stats: str = "stats", score: str = "s
     return rows.mapInArrow(run, rows.select(*(f.name for f in kept)).withColumn(score, F.lit(0.0)).schema)
 
 
+def score_texts(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """Adds the score of each text in one pass, with all columns kept."""
+
+    def prepare() -> Callable[[str | None], float]:
+        hashes = WordHashes()
+        return lambda value: float(model.score(np.array([statistics_of(value, hashes)]))[0])
+
+    return add_column(docs, text, out, "double", prepare)
+
+
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkweave.llm import bpe, decontaminate, html, langid, licenses, minhash, quality, records, rules
+from linkweave.llm import bpe, decontaminate, html, langid, licenses, lm, minhash, quality, records, rules
 from linkweave.session import shipped
 
 _QUERIES = {
@@ -12,6 +12,7 @@ _QUERIES = {
     "op4_decontaminate": decontaminate.query,
     "op5_quality": quality.query,
     "op6_records": records.query,
+    "op7_lm": lm.query,
     "op8_langid": langid.query,
     "op9_licenses": licenses.query,
     "op10_rules": rules.query,
