@@ -1,13 +1,12 @@
 """Operator 1: BPE encoding and decoding through a distinct-word table.
 
-Spark splits every text into words with the tokenizer's own pre-tokenisation pattern.  Each task
-keeps a distinct-word table: an Arrow dictionary of the words it meets.  The tokenizer encodes a word
-the first time the task meets it; the ids of all words of a text are then joined back by position
-(numpy gathers over the dictionary indices).  Decoding joins ids with the id-to-piece table, whose
+Spark splits every text into words with the tokenizer's own pre-tokenisation pattern.  Each Python
+worker keeps a distinct-word table.  The tokenizer's model encodes a word when the table doesn't hold it; the ids
+of all words of a text are then joined back by position (gathers over an Arrow dictionary's indices).  Decoding joins ids with the id-to-piece table, whose
 size is the vocabulary's, and puts the pieces' bytes together.
 
-The table belongs to a task, not to the cluster.  A table of the whole corpus would have to be joined
-with every word occurrence, which moves more bytes than the documents have; the per-task table
+The table belongs to a worker, not to the cluster.  A table of the whole corpus would have to be joined
+with every word occurrence, which moves more bytes than the documents have; the worker's table
 gives the same ids, needs no shuffle, has a bounded size and is rebuilt when an executor is lost.
 
 Defined results: null text counts as empty (no ids, empty decoded text); repeated rows and ids are
@@ -19,7 +18,8 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +28,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkweave.llm._text import by_bytes
+from linkweave.llm._text import by_bytes, by_length
 from linkweave.session import table
 
-#: Words in a task's table; at this many it starts anew.
+#: Words in a worker's table; beyond it, the half that was met most often stays.
 TABLE_WORDS = 300_000
 
 #: Pre-tokenisation pattern of the byte-level vocabulary (fixed value), for Java's regex with Unicode classes.
@@ -44,9 +44,9 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def special_tokens(path: str) -> list[str]:
+def special_ids(path: str) -> dict[str, int]:
     with open(path, encoding="utf-8") as f:
-        return [t["content"] for t in json.load(f).get("added_tokens", [])]
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
 
 
 def split_words(text: Column, specials: list[str]) -> Column:
@@ -66,46 +66,73 @@ def split_words(text: Column, specials: list[str]) -> Column:
     return F.when(F.size(parts) == 1, words(text)).otherwise(with_specials)
 
 
-class _WordTable:
-    """The distinct words that a task has met: their ids, one after the other, and where each word's begin."""
+class WordTable:
+    """Distinct words: their ids, one after the other, and where each word's begin.
+
+    Lives as long as the Python worker.  When it is full, the half of the words that was met most often stays."""
 
     def __init__(self, path: str, most: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.model = Tokenizer.from_file(path).model
+        self.alphabet = str.maketrans({b: c for c, b in byte_alphabet().items()})
+        self.special = special_ids(path)
         self.most = most
-        self.clear()
-
-    def clear(self) -> None:
         self.slots: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.offsets = np.zeros(1 << 14, np.int64)
+        self.met = np.zeros(1 << 14, np.int64)
+
+    def encode_word(self, word: str) -> list[int]:
+        """The merges of one pre-tokenised word by the tokenizer's own model."""
+        if word in self.special:
+            return [self.special[word]]
+        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
+
+    def _shrink(self) -> None:
+        stay = np.sort(np.argsort(-self.met[: len(self.slots)], kind="stable")[: self.most // 2])
+        words = list(self.slots)
+        lengths = self.offsets[stay + 1] - self.offsets[stay]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        self.ids = self.ids[np.repeat(self.offsets[stay] - (ends - lengths), lengths) + np.arange(total)]
+        self.offsets[1 : len(stay) + 1] = ends
+        self.met[: len(stay)] = self.met[stay]
+        self.met[len(stay) :] = 0
+        self.slots = {words[k]: i for i, k in enumerate(stay.tolist())}
 
     def slots_of(self, words: list[str]) -> np.ndarray:
         if len(self.slots) > self.most:
-            self.clear()
-        new = [w for w in words if w not in self.slots]
-        if new:
+            self._shrink()
+        get = self.slots.get
+        out = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
             first = len(self.slots)
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            new = [words[k] for k in missing.tolist()]
+            encoded = [self.encode_word(w) for w in new]
             lengths = np.fromiter(map(len, encoded), np.int64, len(new))
             begin, end = self.offsets[first], self.offsets[first] + lengths.sum()
             if end > len(self.ids):
                 self.ids = np.concatenate([self.ids[:begin], np.empty(max(end, 2 * len(self.ids)) - begin, np.uint32)])
             if first + len(new) >= len(self.offsets):
-                self.offsets = np.concatenate([self.offsets[: first + 1], np.zeros(max(2 * len(self.offsets), first + len(new) + 1) - first - 1, np.int64)])
-            self.ids[begin:end] = np.fromiter((i for e in encoded for i in e), np.uint32, end - begin)
+                more = max(2 * len(self.offsets), first + len(new) + 1)
+                self.offsets = np.concatenate([self.offsets[: first + 1], np.zeros(more - first - 1, np.int64)])
+                self.met = np.concatenate([self.met, np.zeros(more - len(self.met), np.int64)])
+            self.ids[begin:end] = np.fromiter(chain.from_iterable(encoded), np.uint32, end - begin)
             self.offsets[first + 1 : first + 1 + len(new)] = begin + np.cumsum(lengths)
+            out[missing] = np.arange(first, first + len(new))
             self.slots.update(zip(new, range(first, first + len(new)), strict=True))
-        return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+        return out
 
     def join(self, words: pa.ListArray) -> list[np.ndarray]:
         """Ids of each row's words, joined back by position."""
         encoded = words.flatten().dictionary_encode()
-        slots = self.slots_of(encoded.dictionary.to_pylist())[encoded.indices.to_numpy(zero_copy_only=False)] if len(encoded) else np.empty(0, np.int64)
+        indices = encoded.indices.to_numpy(zero_copy_only=False)
+        known = self.slots_of(encoded.dictionary.to_pylist())
+        self.met[known] += np.bincount(indices, minlength=len(known))
+        slots = known[indices]
         lengths = self.offsets[slots + 1] - self.offsets[slots]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
@@ -115,6 +142,23 @@ class _WordTable:
         return np.split(ids, token_ends[:-1]) if len(token_ends) else []
 
 
+_tables: dict[tuple[str, int], WordTable] = {}
+
+
+def word_table(path: str, most: int) -> WordTable:
+    """The worker's table."""
+    if (path, most) not in _tables:
+        _tables[path, most] = WordTable(path, most)
+    return _tables[path, most]
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on, in order."""
+    printable = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 def _with_columns(batch: pa.RecordBatch, drop: set[str], new: dict[str, pa.Array]) -> pa.RecordBatch:
     kept = [c for c in batch.schema.names if c not in drop and c not in new]
     return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new.values()], names=[*kept, *new])
@@ -125,28 +169,36 @@ def _schema(df: DataFrame, drop: set[str], new: list[T.StructField]) -> T.Struct
     return T.StructType([f for f in df.schema.fields if f.name not in drop and f.name not in names] + new)
 
 
-def encode(df: DataFrame, text: str = "text", out: str = "ids_le", tokenizer: str | None = None, end_id: int | None = None, keep_text: bool = True, table_words: int = TABLE_WORDS) -> DataFrame:
-    """Adds ``out``: the ids as little-endian unsigned 32-bit integers, in one binary value.
-
-    ``ids_array`` turns that column into array<int>.  ``end_id`` is appended to every text when given.
-    """
+def encode_into(df: DataFrame, fields: list[T.StructField], finish: Callable[[pa.RecordBatch, list[np.ndarray]], dict[str, pa.Array]], text: str = "text", tokenizer: str | None = None, keep_text: bool = True, table_words: int = TABLE_WORDS) -> DataFrame:
+    """Adds ``fields``, which ``finish`` makes from rows and their ids."""
     path = tokenizer or default_tokenizer()
     words = "__words"
-    source = df.withColumn(words, split_words(F.col(text), special_tokens(path)))
-    drop = {words} | (set() if keep_text else {text})
+    source = df.withColumn(words, split_words(F.col(text), list(special_ids(path))))
+    drop = {words}
     if not keep_text:
         source = source.drop(text)
-    end = np.array([] if end_id is None else [end_id], "<u4").tobytes()
+        drop.add(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordTable(path, table_words)
+        known = word_table(path, table_words)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                ids = [x.astype("<u4").tobytes() + end for x in known.join(batch.column(words))]
-                yield _with_columns(batch, drop, {out: pa.array(ids, pa.binary())})
+            for batch in by_length(whole, words):
+                yield _with_columns(batch, drop, finish(batch, known.join(batch.column(words))))
+
+    return source.mapInArrow(run, _schema(df, drop, fields))
 
-    return source.mapInArrow(run, _schema(df, drop, [T.StructField(out, T.BinaryType())]))
+
+def encode(df: DataFrame, text: str = "text", out: str = "ids_le", tokenizer: str | None = None, end_id: int | None = None, keep_text: bool = True, table_words: int = TABLE_WORDS) -> DataFrame:
+    """Adds ``out``: the ids as little-endian unsigned 32-bit integers, in one binary value.
+
+    ``ids_array`` turns that column into array<int>.  ``end_id`` is appended to every text when given.
+    """
+    end = np.array([] if end_id is None else [end_id], "<u4").tobytes()
+
+    def finish(_: pa.RecordBatch, ids: list[np.ndarray]) -> dict[str, pa.Array]:
+        return {out: pa.array([x.astype("<u4").tobytes() + end for x in ids], pa.binary())}
+
+    return encode_into(df, [T.StructField(out, T.BinaryType())], finish, text, tokenizer, keep_text, table_words)
 
 
 def ids_array(ids: Column) -> Column:
@@ -158,11 +210,8 @@ def ids_array(ids: Column) -> Column:
 
 
 def piece_table(path: str) -> list[bytes]:
-    """Bytes of every id: the inverse of the byte-level alphabet, which maps printable bytes to themselves
-    and the others to the code points from 256 on, in order."""
-    printable = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    others = [b for b in range(256) if b not in set(printable)]
-    back = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+    """Bytes of every id."""
+    back = byte_alphabet()
     with open(path, encoding="utf-8") as f:
         saved = json.load(f)
     pieces = [b""] * (1 + max([*saved["model"]["vocab"].values(), *(t["id"] for t in saved.get("added_tokens", []))]))

@@ -223,7 +223,10 @@ class Trainer:
 
 
 def unigram(v: Vocabulary) -> np.ndarray:
-    return (v.class_tokens + 1) / (v.class_tokens + 1).sum()
+    """Share of each class; next to nothing for own classes that no word has taken."""
+    n = v.class_tokens + 1.0
+    n[len(v.words) : OWN] = 1e-6
+    return n / n.sum()
 
 
 def train(texts: DataFrame, v: Vocabulary, part: Column, rounds: int = ROUNDS) -> Parameters:

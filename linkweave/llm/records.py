@@ -28,9 +28,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkweave.llm import bpe
 from linkweave.session import scratch_path, table
@@ -81,6 +81,19 @@ def unpack(payload: memoryview) -> tuple[int | None, np.ndarray]:
     return (None if flags & 1 else doc_id), np.frombuffer(payload, "<u4" if flags & 2 else "<u2", offset=_FIXED.size)
 
 
+def header_of(number: Column) -> Column:
+    """The framed header, with its last byte, of the file whose number is given as eight hexadecimal digits.
+
+    Its checksum is worked out in SQL, bit by bit as in ``masked``."""
+    little = F.unhex(F.concat(*(F.substring(number, k, 2) for k in (7, 5, 3, 1))))
+    payload = F.concat(F.lit(MAGIC), little)
+    crc = F.crc32(payload)
+    mask = F.shiftright(crc, 15).bitwiseOR(F.shiftleft(crc, 17)).bitwiseAND(0xFFFFFFFF) + F.lit(MASK_DELTA)
+    crc_hex = F.lpad(F.hex(mask.bitwiseAND(0xFFFFFFFF)), 8, "0")
+    length = struct.pack("<Q", len(MAGIC) + 4)
+    return F.concat(F.lit(length + struct.pack("<I", masked(length))), payload, F.unhex(F.concat(*(F.substring(crc_hex, k, 2) for k in (7, 5, 3, 1)))), F.lit(b"\n"))
+
+
 def file_count(df: DataFrame, bytes_per_file: int) -> int:
     """Grows with the input: its size by the plan's statistics, and Spark's shuffle partitions at least."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -93,21 +106,16 @@ def write_records(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = docs.repartitionByRange(file_count(docs, bytes_per_file), "doc_id").sortWithinPartitions("doc_id", "text")
-    encoded = bpe.encode(ordered, tokenizer=tokenizer, end_id=end_id, keep_text=False)
+    end = np.array([] if end_id is None else [end_id], np.uint32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = True
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = (np.frombuffer(x, "<u4") for x in part.column("ids_le").to_pylist())
-                framed = [frame(pack(k, x)) for k, x in zip(part.column("doc_id").to_pylist(), ids, strict=True)]
-                if first and framed:
-                    framed.insert(0, frame(MAGIC + struct.pack("<I", TaskContext.get().partitionId())))
-                    first = False
-                yield pa.RecordBatch.from_arrays([pa.array(framed, pa.binary())], names=["record"])
-
-    records = encoded.mapInArrow(run, "record binary")
+    def finish(batch: pa.RecordBatch, ids: list[np.ndarray]) -> dict[str, pa.Array]:
+        return {"record": pa.array([frame(pack(k, np.concatenate([x, end]))) for k, x in zip(batch.column("doc_id").to_pylist(), ids, strict=True)], pa.binary())}
+
+    records = bpe.encode_into(ordered, [T.StructField("record", T.BinaryType())], finish, tokenizer=tokenizer, keep_text=False)
+    # Only the first record of a partition follows a header; the partition's number is the file's.
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    number = F.lpad(F.hex(F.spark_partition_id()), 8, "0")
+    records = records.select(F.when(first, F.concat(header_of(number), F.col("record"))).otherwise(F.col("record")).alias("record"))
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(f"{path}/data")
     scan(spark, path, "index").drop("ids_crc32", "local_start").write.parquet(f"{path}/index")
 

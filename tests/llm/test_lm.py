@@ -29,7 +29,11 @@ def test_base_score_equals_brute_force_and_model_is_better(spark, tmp_path):
         assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(mine), sum(w in train for w in mine), n)
         assert math.isclose(r.base_score, sum(math.log10((train[w] + 1) / (n + v + 1)) for w in mine), rel_tol=1e-9)
-    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
+def test_model_is_better_than_counts_on_held_out_documents(spark):
+    got = [r for r in lm.query(spark, "/root/testdata/sf0.001").collect() if r.held_out]
+    assert got and sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
 def test_small_head_gives_the_same_counts(spark, tmp_path):
