@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-from linkweave.session import table
+from linkweave.operators import contracts, graph, linking, reports
+from linkweave.session import shipped
+from linkweave.sources import python_source, spec
+
+MODULES = (contracts, graph, linking, reports, spec, python_source)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {name: shipped(query) for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "region")
+    """Severity of every contract."""
+    return QUERIES["contract_severity_rollup"](spark, sf_dir)
