@@ -44,9 +44,15 @@ def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(edge(table(spark, sf_dir, "supplier"), "s_suppkey", "Method", "s_nationkey", "Class", F.col("s_suppkey"), "Call"))
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """(src, out): neighbours, newest edge first.  A node's own edges are one row, as the walk needs them together."""
-    return edges.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("edge_id")).alias("o"), "dst"))), lambda x: x["dst"]).alias("out"))
+def adjacency(edges: DataFrame, most: int) -> DataFrame:
+    """(src, out): the ``most`` newest different neighbours, newest first.
+
+    A walk of fewer nodes can't have been at all of them, so it never needs more; a node with many edges stays small, and
+    Spark limits the ranks before the shuffle."""
+    newest = edges.groupBy("src", "dst").agg(F.max("edge_id").alias("edge_id"))
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("edge_id"), "dst"))
+    few = newest.withColumn("rank", rank).filter(F.col("rank") <= most)
+    return few.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "dst"))), lambda x: x["dst"]).alias("out"))
 
 
 def greedy_walk(starts: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
@@ -54,7 +60,7 @@ def greedy_walk(starts: DataFrame, edges: DataFrame, most: int = 64) -> DataFram
 
     All walks take a step together: one join of the walks' ends with the adjacency for each level, and walks that have
     ended leave the loop.  ``most`` levels are a guard against endless data, far above any chain's length; walks reaching it raise an error."""
-    near = materialize(adjacency(edges), "adjacency")
+    near = materialize(adjacency(edges, most + 1), "adjacency")
     going = materialize(starts.select(F.col("node_id").alias("start"), F.array("node_id").alias("path"), F.col("node_id").alias("at")), "walks")
     done = None
     for _ in range(most):

@@ -165,9 +165,9 @@ def usage_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_usage_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The as-of join at scale: each view with the user's next purchase."""
-    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("file"), F.unix_micros(F.col("ts").cast("timestamp")).alias("line"), "event_type")
+    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("file"), F.col("ts").alias("line"), "event_type")
     views = events.filter("event_type = 'view'").select(F.col("event_id").alias("usage_id"), "file", "line")
-    return usage_to_call(views, events.filter("event_type = 'purchase'").select(F.col("event_id").alias("call_id"), "file", "line"))
+    return usage_to_call(views, events.filter("event_type = 'purchase'").select(F.col("event_id").alias("call_id"), "file", "line")).select("usage_id", "call_id")
 
 
 def compare_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +243,7 @@ ORACLE_SQL = {
     + _SHARED
     + " DESC, node_id) AS r FROM k) WHERE r = 1",
     "zod_usage_asof_call": ctes("usages", "api_calls") + " SELECT usage_id, call_id, call_line FROM (SELECT usage_id, call_id, c.line AS call_line, row_number() OVER (PARTITION BY usage_id ORDER BY c.line, call_id) AS r FROM usages u JOIN api_calls c ON u.file = c.file AND c.line >= u.line) WHERE r = 1",
-    "event_asof_next": "SELECT usage_id, call_id, call_line FROM (SELECT v.event_id AS usage_id, p.event_id AS call_id, epoch_us(p.ts) AS call_line, row_number() OVER (PARTITION BY v.event_id ORDER BY p.ts, p.event_id) AS r FROM events v JOIN events p ON v.user_id = p.user_id AND p.ts >= v.ts AND p.event_type = 'purchase' WHERE v.event_type = 'view') WHERE r = 1",
+    "event_asof_next": "SELECT usage_id, call_id FROM (SELECT v.event_id AS usage_id, p.event_id AS call_id, row_number() OVER (PARTITION BY v.event_id ORDER BY p.ts, p.event_id) AS r FROM events v JOIN events p ON v.user_id = p.user_id AND p.ts >= v.ts AND p.event_type = 'purchase' WHERE v.event_type = 'view') WHERE r = 1",
     "zod_pydantic_compare": ctes("zod_fields", "pydantic_fields")
     + ", j AS (SELECT coalesce(z.field, p.field) AS field, z.field_type AS zod_type, p.field_type AS pydantic_type, z.optional AS a, p.optional AS b FROM zod_fields z FULL OUTER JOIN pydantic_fields p ON z.field = p.field) SELECT field, zod_type, pydantic_type, 'Field missing in Pydantic' AS reason FROM j WHERE pydantic_type IS NULL UNION ALL SELECT field, zod_type, pydantic_type, 'Field missing in Zod' FROM j WHERE zod_type IS NULL"
     + " UNION ALL SELECT field, zod_type, pydantic_type, 'Type mismatch' FROM j WHERE NOT (zod_type = pydantic_type OR (zod_type, pydantic_type) IN (('string','str'),('number','int'),('number','float'),('boolean','bool')) OR (zod_type = 'array' AND starts_with(pydantic_type, 'list[')) OR (zod_type = 'object' AND starts_with(pydantic_type, 'dict['))) UNION ALL SELECT field, zod_type, pydantic_type, 'Optionality mismatch' FROM j WHERE a <> b",
