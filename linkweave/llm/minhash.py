@@ -14,7 +14,8 @@ Equal texts are one node.  Nodes that share a band form a bucket; a bucket is ne
 1. Each bucket's hub (the node with the most company over all buckets) is compared with the bucket's other nodes.  Pairs are verified by
    the exact overlap of their multisets, and verified links give components.  This settles groups of copies in as many pairs as they have members.
 2. Buckets that still hold several components are cut into blocks; inside a task, pairs of blocks are compared by an 8-bit
-   sketch of the signature, and only pairs of different components whose estimate comes within 4.5 deviations of the threshold go on to be verified.
+   sketch of the signature, pairs of different components whose estimate comes within 4.5 deviations of the threshold are verified there, and
+   only verified links leave the task.
 Classes are the components of all verified links: no link between different texts is lost, but for the stated probabilities.
 
 Defined results: null text equals the empty text; texts without words are like their equals only; repeated rows are all returned, with one class; a class has the
@@ -37,7 +38,7 @@ BANDS, ROWS = 36, 6
 PLACES = BANDS * ROWS
 THRESHOLD = 0.8
 #: Nodes in a block of a bucket.
-BLOCK = 512
+BLOCK = 256
 #: Deviations below the threshold at which a sketch still counts.
 DEVIATIONS = 4.5
 _TICKS = float(1 << 40)
@@ -179,48 +180,67 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(key, component) for every key in ``links`` (a, b): the least key that it is connected with.
 
-    Labels spread to neighbours and then jump to their label's label until none changes."""
-    edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(edges.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    A key takes the least label around it and then that label's own label, until none changes."""
+    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = materialize(ends.unionByName(ends.select("a", F.col("a").alias("b"))).distinct(), "edges")
+    labels = materialize(edges.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("component")), "labels")
     while True:
-        near = edges.join(labels.select(F.col("key").alias("b"), "component"), "b").groupBy(F.col("a").alias("key")).agg(F.min("component").alias("near"))
-        spread = labels.join(near, "key").select("key", F.least("component", "near").alias("next"), F.col("component").alias("was"))
+        near = edges.join(labels.select(F.col("key").alias("b"), "component"), "b").groupBy(F.col("a").alias("key")).agg(F.min("component").alias("next"), F.min(F.when(F.col("a") == F.col("b"), F.col("component"))).alias("was"))
         jump = labels.select(F.col("key").alias("next"), F.col("component").alias("further"))
-        after = materialize(spread.join(jump, "next", "left").select("key", F.least("next", F.coalesce("further", "next")).alias("component"), "was"), "labels")
-        changed = not after.filter(F.col("component") != F.col("was")).isEmpty()
-        labels = after.drop("was")
-        if not changed:
+        after = materialize(near.join(jump, "next").select("key", F.col("further").alias("component"), (F.col("further") != F.col("was")).alias("changed")), "labels")
+        labels = after.drop("changed")
+        if after.filter("changed").isEmpty():
             return labels
 
 
-def _close_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components within a bucket whose sketches come near the threshold.
+def _block_links(members: DataFrame, threshold: float) -> DataFrame:
+    """Verified links (a, b) between different components within a bucket.
 
-    ``members``: bucket, key, component, sketch, n (members of the bucket)."""
+    ``members``: bucket, band, key, component, sketch, bands, text, n (members of the bucket).  A pair is looked at in the first band
+    that it shares, and only if its sketches come near the threshold; nodes that a task has linked aren't compared again."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK).cast("int"))
     mine = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     # Each member goes to every pair of blocks that its own block is in.
     dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "component", "sketch"
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "key", "component", "sketch", "bands", "text"
     )
     least = threshold - DEVIATIONS * (threshold * (1 - threshold) / PLACES) ** 0.5
     agree = int(np.floor((least + (1 - least) / 256) * PLACES))
 
     def compare(group: pa.Table) -> pa.Table:
-        own, i, j = (group.column(c).to_numpy() for c in ("own", "i", "j"))
-        keys, parts = group.column("key").to_pylist(), np.array(group.column("component").to_pylist(), object)
+        own, i, j, band = (group.column(c).to_numpy() for c in ("own", "i", "j", "band"))
+        keys, parts, texts = group.column("key").to_pylist(), group.column("component").to_pylist(), group.column("text")
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, PLACES)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        bands = group.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+        hashes, bags = WordHashes(), {}
+        joined: dict[bytes, bytes] = {}
+
+        def part(k: int) -> bytes:
+            p = parts[k]
+            while p in joined:
+                p = joined[p]
+            return p
+
+        def bag(k: int) -> np.ndarray:
+            if k not in bags:
+                bags[k] = shingles(hashes.of(texts[k].as_py()))
+            return bags[k]
+
         a, b = [], []
-        for x in left:
-            near = right[(sketch[right] == sketch[x]).sum(1) >= agree]
+        right = np.flatnonzero(own == j)
+        for x in np.flatnonzero(own == i):
+            alike = (sketch[right] == sketch[x]).sum(1)
+            near = right[alike >= agree]
+            near = near[np.argsort(-alike[alike >= agree], kind="stable")]
+            near = near[(bands[near] == bands[x]).argmax(1) == band[x]]
             for y in near:
-                if parts[x] != parts[y] and (keys[x] < keys[y] or i[0] != j[0]):
-                    a.append(min(keys[x], keys[y]))
-                    b.append(max(keys[x], keys[y]))
+                if (i[0] != j[0] or keys[x] < keys[y]) and part(x) != part(y) and weighted_jaccard(bag(x), bag(y)) >= threshold:
+                    a.append(keys[x])
+                    b.append(keys[y])
+                    joined[part(x)] = part(y)
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
 def classify(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -228,23 +248,27 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(sign(docs), "signatures")
     nodes = signed.filter(F.size("bands") > 0).dropDuplicates(["key"])
-    placed = nodes.select("key", F.explode("bands").alias("bucket")).repartition("bucket")
+    placed = nodes.select("key", F.posexplode("bands").alias("band", "bucket")).repartition("bucket")
     shared = materialize(placed.join(placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket"), "buckets")
     degree = shared.groupBy("key").agg(F.sum("n").alias("degree"))
-    company = materialize(shared.join(degree, "key"), "company")
+    company = shared.join(degree, "key")
     hubs = company.groupBy("bucket").agg(F.max(F.struct("degree", "key")).alias("hub")).select("bucket", F.col("hub.key").alias("a"))
-    first = company.join(hubs, "bucket").filter(F.col("a") != F.col("key")).select("a", F.col("key").alias("b")).distinct()
+    first = shared.join(hubs, "bucket").filter(F.col("a") != F.col("key")).select("a", F.col("key").alias("b")).distinct()
     keyed = docs.select(text_key(F.col("text")).alias("key"), "text")
     texts = materialize(keyed.join(degree.select("key"), "key", "left_semi").dropDuplicates(["key"]), "texts")
-    links = materialize(verify(first, texts, threshold), "links")
-    found = components(links)
+    found = materialize(components(verify(first, texts, threshold)), "components")
     with_part = shared.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
     mixed = with_part.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("bucket")
-    left = with_part.join(mixed, "bucket").join(nodes.select("key", "sketch"), "key")
-    more = _close_pairs(left, threshold).join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links2 = materialize(verify(more, texts, threshold), "links")
-    if not links2.isEmpty():
-        found = components(links.unionByName(links2))
+    # Components that meet in a mixed bucket, with what is needed to compare their nodes
+    left = with_part.join(mixed, "bucket").join(nodes.select("key", "sketch", "bands"), "key").join(texts, "key")
+    links = materialize(_block_links(left, threshold).distinct(), "links")
+    if not links.isEmpty():
+        # The components found so far are the nodes now.
+        of = lambda side: found.select(F.col("key").alias(side), F.col("component").alias(f"{side}_part"))
+        between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b")).distinct()
+        merged = components(between).withColumnRenamed("component", "whole")
+        known = found.unionByName(merged.select("key", F.col("key").alias("component"))).dropDuplicates(["key"])
+        found = known.join(merged.withColumnRenamed("key", "component"), "component", "left").select("key", F.coalesce("whole", "component").alias("component"))
     rows = signed.select("doc_id", "key").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
     classes = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.min_by("key", "doc_id").alias("class_key"))
     return rows.join(classes, "component").select("doc_id", "key", "class_id", F.coalesce("class_key", "component").alias("class_key"))
