@@ -3,7 +3,7 @@
 Tokens are words (runs without the characters 0x20 and 0x09-0x0D, A-Z in lower case) and an end after each text.
 
 Counts.  Tasks count words in bounded tables, Spark sums them: a table of all training words in the shared folder.  The
-most frequent words (HEAD of them at most, of 64 bytes at most, so their size is bounded) go to all tasks; a text's other words are joined with the
+most frequent words (as many as fit in HEAD by whole steps of their counts, of 64 bytes at most, so their size is bounded) go to all tasks; a text's other words are joined with the
 count table, summed for each text.  Frequent words thus never meet in a join, and every count is exact.
 
 Model.  The most frequent words are classes of their own; all others fall into classes by their last two bytes.  The class of
@@ -93,7 +93,11 @@ class Vocabulary:
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     """What tasks need of the table of counts: sums, the head and totals of the classes."""
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    top = counts.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(head).toArrow()
+    # A histogram of counts, in steps of 1/64 of a doubling, tells from where on all words fit in the head; only those are gathered.
+    short = counts.filter(F.octet_length("word") <= HEAD_BYTES).withColumn("step", F.floor(F.log2("n") * 64))
+    steps = sorted(((r["step"], r["count"]) for r in short.groupBy("step").count().collect()), reverse=True)
+    fits = [step for (step, _), sum_ in zip(steps, np.cumsum([c for _, c in steps]), strict=True) if sum_ <= head]
+    top = short.filter(F.col("step") >= F.lit(min(fits) if fits else 1 << 40)).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     words = top.column("word").to_pylist()
     own = set(words[:OWN])
 
