@@ -6,12 +6,14 @@ import subprocess
 import sys
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from linkweave.operators import contracts, graph, reports
 from linkweave.plans.fixtures import literal
 from linkweave.session import materialize, scratch_dir
-from linkweave.sources import python_source, spec
+from linkweave.sources import python_source, spec, typescript_source
 
 PATH = "/root/testdata/sf0.001"
 
@@ -97,3 +99,33 @@ def test_entry_works_without_the_llm_folders(tmp_path):
     subprocess.run(["rm", "-rf", f"{tmp_path}/linkweave/llm"], check=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": ""})
+
+
+def _ts(text):
+    return {r[2:6] for r in typescript_source.facts_of("a.ts", text)}
+
+
+def test_typescript_tokens():
+    assert _ts("const r = /a[/]`{/g; f(`x${y({a:`}`})}z`); if (a < b && c > (d)) { g(a<b, c>d) }") == {("call", "f", "", "1"), ("call", "g", "", "1")}
+    assert _ts("this.q?.(a)?.b.c<T[], U<V>>('x')") == {("call", "this.q", "", "1"), ("call", "this.q.b.c", "", "1")}
+    assert typescript_source.facts_of("a.ts", "f(") == [("a.ts", 0, "error", "Unmatched", "", "", [], "", 1)]
+    assert _ts("") == _ts("// f()\n/* g() */ 'h()'") == set() and typescript_source.facts_of("a.ts", None) == []
+
+
+def test_typescript_classes_and_types():
+    found = _ts("class A<T> extends B<T> { x = 1\n  y: Map<string, number> = new Map()\n  z?: { a: number }\n  m<U>(a?: T, ...b: U[]): T { return h(a)\n}\n get v() { return 1 } }")
+    assert {("class", "A", "", "B"), ("field", "y", "A", "Map<string, number>"), ("field", "z", "A", "{ a: number }"), ("method", "m", "A", "T"), ("method", "v", "A", ""), ("call", "h", "A.m", "1")} <= found
+    found = _ts("type C = { a: T } & B\ninterface D extends E<F> { readonly g: string, 'h-i'?: (x: number) => void; [k: string]: any; m(): void }")
+    assert found == {("schema", "C", "", "{ a: T } & B"), ("schema", "D", "", "interface"), ("schema_field", "g", "D", "string"), ("schema_field", "h-i", "D", "(x: number) => void")}
+
+
+def test_zod_schemas_that_count():
+    assert not [r for r in _ts("export const A = z.object({a: z.string()}); const B = z.string().min(1); function f() { const C = z.object({c: z.string()}) }") if r[0].startswith("zod")]
+    assert {r for r in _ts("const A = z.object({a: other.optional(), 'b': z.coerce.number(), c: z.array(z.string()).nullable().optional()})") if r[0] == "zod_field"} == {("zod_field", "a", "A", "unknown"), ("zod_field", "b", "A", "unknown"), ("zod_field", "c", "A", "array")}
+
+
+@given(st.lists(st.sampled_from([*"@<>(){}[],.:;?=|&`'/\\ \n", "=>", "?.", "${", "class", "interface", "type", "const", "import", "from", "function", "async", "z", "object", "x", "extends", "'s'"]), max_size=40))
+@settings(max_examples=400, deadline=None)
+def test_typescript_never_fails(words):
+    typescript_source.facts_of("a.ts", " ".join(words))
+    typescript_source.facts_of("a.ts", "".join(words))
