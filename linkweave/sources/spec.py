@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tomllib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.functions import names
 
+try:
+    import yaml
+except ImportError:  # an optional library; only YAML specifications need it
+    yaml = None
+
+#: Where a specification is looked for (fixed values, in order of preference).
+SPEC_FOLDERS = ("", "backend", "fastapi_backend", "api", "app")
+SPEC_NAMES = ("openapi.json", "openapi.yaml", "openapi.yml", "swagger.json")
+SPEC_MARKS = ('"openapi"', "openapi:", '"swagger"', "swagger:")
+
 OPERATION = "struct<operationId: string, requestBody: struct<content: map<string, struct<schema: map<string, string>>>>, responses: map<string, struct<content: map<string, struct<schema: map<string, string>>>>>>"
 
 #: A small specification to try the reader on.
@@ -41,9 +54,42 @@ def components(specs: DataFrame) -> DataFrame:
     return found.select("name", F.col("s.required").alias("r"), F.explode("s.properties").alias("field", "p")).select("name", "field", F.col("p.type").alias("type_name"), F.coalesce(F.array_contains("r", F.col("field")), F.lit(False)).alias("required"))
 
 
+def as_json(path: str, text: str | None) -> str | None:
+    """A specification as JSON: its kind by the extension, else by the first characters; null if it can't be read.
+
+    YAML mappings may have keys of any kind; they become text, such as the status code 200."""
+    head = (text or "").lstrip()
+    by_name = os.path.splitext(path)[1].lower()
+    if by_name == ".json" or by_name not in (".yaml", ".yml") and head.startswith("{"):
+        return text
+    if yaml is None:
+        raise RuntimeError("YAML specifications need the library yaml")
+    try:
+        return json.dumps(yaml.safe_load(head), default=str)
+    except (yaml.YAMLError, ValueError, TypeError, RecursionError):
+        return None
+
+
 def read_specs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, spec) of JSON files, each read whole."""
-    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("spec"))
+    """(path, spec) of JSON and YAML files, each read whole; ``spec`` is JSON."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            path, text = batch.column("path").to_pylist(), batch.column("spec").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(map(as_json, path, text), pa.string())], names=["path", "spec"])
+
+    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("spec")).mapInArrow(run, "path string, spec string")
+
+
+def find_spec(folder: str) -> str | None:
+    """The first file of the usual folders and names that looks like a specification."""
+    for path in (os.path.join(folder, sub, name) for sub in SPEC_FOLDERS for name in SPEC_NAMES):
+        if os.path.isfile(path):
+            with open(path, encoding="utf-8", errors="replace") as f:
+                text = f.read()
+            if any(mark in text for mark in SPEC_MARKS):
+                return path
+    return None
 
 
 def read_sources(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -74,7 +120,9 @@ class ConfigError(ValueError):
 
 
 def load_config(path: str) -> Config:
-    """Read and check a project's TOML file; paths become absolute against its folder."""
+    """Read and check a project's TOML file; paths become absolute against its folder.
+
+    A specification found beside the file fills the paths that aren't given, an adapter's also where a global one is."""
     with open(path, "rb") as f:
         raw = tomllib.load(f)
     base = os.path.dirname(os.path.abspath(path))
@@ -101,6 +149,10 @@ def load_config(path: str) -> Config:
     config.openapi_path = fix(config.openapi_path)
     if config.openapi_path and not os.path.isfile(config.openapi_path):
         raise ConfigError(f"no such specification: {config.openapi_path}")
+    found = find_spec(base)
+    config.openapi_path = config.openapi_path or found
+    for adapter in config.adapters:
+        adapter["openapi_path"] = fix(adapter.get("openapi_path")) or found
     return config
 
 

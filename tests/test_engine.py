@@ -73,6 +73,46 @@ def test_source_files_and_changes(spark, tmp_path):
     assert spec.changed(files, known.filter(F.col("path").endswith("a.ts"))).count() == 1
 
 
+YAML_SPEC = """---
+openapi: 3.0.0
+paths:
+  /items/:
+    post:
+      operationId: create_item
+      requestBody: {content: {application/json: {schema: {$ref: '#/components/schemas/ItemCreate'}}}}
+      responses:
+        200: {}
+        201: {content: {application/json: {schema: {$ref: '#/components/schemas/ItemRead'}}}}
+components:
+  schemas:
+    ItemRead: {required: [id], properties: {id: {type: integer}, born: {type: string, example: 2024-01-01}}}
+"""
+
+
+def test_specs_of_both_kinds(spark, tmp_path):
+    pytest.importorskip("yaml")
+    for name, text in {"a.yaml": YAML_SPEC, "b.json": spec.EXAMPLE, "c.yml": "a: [", "d.txt": YAML_SPEC, "e.json": ""}.items():
+        (tmp_path / name).write_text(text)
+    specs = spec.read_specs(spark, [str(tmp_path)])
+    found = spec.endpoints(specs.filter("path like '%/a.yaml'")).collect()
+    assert [tuple(r) for r in found] == [("/items/", "POST", "create_item", "ItemCreate", None, "200")]
+    assert {tuple(r) for r in spec.components(specs.filter("path like '%/d.txt'")).collect()} == {("ItemRead", "id", "integer", True), ("ItemRead", "born", "string", False)}
+    assert spec.endpoints(specs).count() == 1 + 1 + 3
+    assert specs.filter("path like '%/c.yml'").first().spec is None
+
+
+def test_specification_is_found(tmp_path):
+    assert spec.find_spec(str(tmp_path)) is None
+    (tmp_path / "api").mkdir()
+    (tmp_path / "api/swagger.json").write_text('{"swagger": "2.0"}')
+    (tmp_path / "openapi.json").write_text("{}")
+    assert spec.find_spec(str(tmp_path)) == str(tmp_path / "api/swagger.json")
+    (tmp_path / "app.py").write_text("")
+    (tmp_path / "c.toml").write_text('project_name = "p"\n[[adapters]]\ntype = "fastapi"\napp_path = "app.py"\n')
+    config = spec.load_config(str(tmp_path / "c.toml"))
+    assert config.openapi_path == config.adapters[0]["openapi_path"] == str(tmp_path / "api/swagger.json")
+
+
 def test_config(tmp_path):
     (tmp_path / "app.py").write_text("")
     good = 'project_name = "p"\n[[adapters]]\ntype = "fastapi"\napp_path = "app.py"\n[output]\nformat = "json"\npath = "out.json"\n'
