@@ -117,30 +117,34 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 def predict(docs: DataFrame, model: Model, text: str = "text", label: str = "lang_pred", score: str = "score", fit: str | None = None) -> DataFrame:
     """Adds the predicted language and its posterior probability; columns of these names are replaced.
 
-    With ``fit``, also how much likelier the text's n-grams are on average (as a logarithm) in that language than if all buckets were
-    equally likely; texts of a language that wasn't learnt are below 0."""
+    With ``fit``, also how much likelier the text's n-grams are on average (as a logarithm, at most 1 either way for each n-gram, so that
+    a bucket shared by chance decides nothing) in that language than if all buckets were equally likely; texts of a language that wasn't
+    learnt are below 0."""
     kept = [f for f in docs.schema.fields if f.name not in (label, score, fit)]
     schema = T.StructType([*kept, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType()), *([T.StructField(fit, T.DoubleType())] if fit else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, UNDETERMINED], object)
+        bounded = np.clip(model.log_probability + np.float32(np.log(BUCKETS)), -1, 1) if fit else None
         for whole in batches:
             for batch in by_bytes(whole, text):
                 texts, n = batch.column(text).to_pylist(), batch.num_rows
                 known = np.fromiter((bool(x) and any(map(str.isalpha, x)) for x in texts), bool, n)
                 best, sure, fits, grams_of = np.full(n, len(model.languages)), np.zeros(n), np.zeros(n), np.zeros(n)
                 if model.languages:
-                    total = np.tile(model.log_prior, (n, 1))
+                    total, over = np.tile(model.log_prior, (n, 1)), np.zeros((n, len(model.languages)))
                     for hashed, owner in grams(texts):
                         if len(owner):
                             begins = np.flatnonzero(np.diff(owner, prepend=-1))
                             total[owner[begins]] += np.add.reduceat(model.log_probability[hashed], begins, axis=0, dtype=np.float64)
+                            if fit:
+                                over[owner[begins]] += np.add.reduceat(bounded[hashed], begins, axis=0, dtype=np.float64)
                             grams_of[owner[begins]] += np.diff(begins, append=len(owner))
                     top = total.max(1, keepdims=True)
                     posterior = np.exp(total - top) / np.exp(total - top).sum(1, keepdims=True)
                     best[known] = posterior.argmax(1)[known]
                     sure[known] = posterior.max(1)[known]
-                    fits = np.where(known, (top[:, 0] - model.log_prior[posterior.argmax(1)]) / np.maximum(1, grams_of) + np.log(BUCKETS), 0.0)
+                    fits = np.where(known, over[np.arange(n), posterior.argmax(1)] / np.maximum(1, grams_of), 0.0)
                 more = [pa.array(fits, pa.float64())] if fit else []
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(names[best], pa.string()), pa.array(sure, pa.float64()), *more], names=schema.fieldNames())
 
