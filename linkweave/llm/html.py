@@ -6,9 +6,10 @@ into lines, one for each block element; a line carries the length of its text, w
 blocks are sums over a sliding window of lines.  A surge point is where the block sum rises over a threshold with text in
 the following windows, a dive point is where it falls to nothing; the lines between a surge and its dive are kept.
 
-Where the page itself marks its article (article, main, role=main, itemprop=articleBody), only lines inside count, and
-the surge begins at the first line there: the distribution then only separates the marked article from unmarked remains.
-The threshold looks at sums over windows, so short paragraphs between long ones stay; nothing is cut by length.
+Where the page itself marks an article (article, main, role=main, itemprop=articleBody), the mark is a prior: the surges of
+the unmarked lines are sought with the same threshold, and if none of them holds more text than the largest marked element,
+the text of all marked elements is returned, however short. Otherwise (such as marked teasers beside a main text in plain
+blocks) the marks do not tell where the main text is, and surges of marked and of unmarked lines are kept alike.
 
 The whole page is one value in one row, so pages are worked on where they lie: no shuffle, and memory for one page at a time.
 
@@ -76,14 +77,14 @@ def is_article(name: str, attributes: dict[str, str]) -> bool:
     return name in ("article", "main") or attributes.get("role", "").lower() == "main" or attributes.get("itemprop", "").lower() == "articlebody"
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """The page's lines: text, length of the text outside links, whether it stands in a marked article."""
-    lines: list[tuple[str, int, bool]] = []
+def lines_of(html: str) -> list[tuple[str, int, int]]:
+    """The page's lines: text, length of the text outside links, number of the outermost marked element around it (0: none)."""
+    lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, skipped, in an article
-    skipped = inside = False
-    links = pre = 0
+    stack: list[tuple[str, bool, int]] = []  # open elements: name, and from outside: skipped, marked element
+    skipped = False
+    links = pre = inside = marked = 0
     at, n = 0, len(html)
 
     def flush() -> None:
@@ -149,7 +150,9 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         links += name == "a"
         if not skipped:
             skipped = is_boilerplate(name, attributes)
-            inside = inside or (not skipped and is_article(name, attributes))
+            if not inside and not skipped and is_article(name, attributes):
+                marked += 1
+                inside = marked
     if not skipped:
         flush()
     return lines
@@ -181,18 +184,24 @@ def between(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> np
     return keep
 
 
+def largest_run(lengths: np.ndarray, keep: np.ndarray) -> int:
+    """Most text in one run of kept lines."""
+    runs = np.cumsum(np.diff(keep.astype(np.int8), prepend=0) == 1)
+    return int(np.bincount(runs, np.where(keep, lengths, 0)).max(initial=0))
+
+
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article's blocks, joined by an empty line; empty if there is none."""
     lines = lines_of(html or "")
     if not lines:
         return ""
-    lengths = np.array([x[1] for x in lines], np.int64)
-    if any(x[2] for x in lines):
-        # The page says itself where its article is: other lines have no length, and any text there is a surge.
-        lengths = np.array([len(x[0]) if x[2] else 0 for x in lines], np.int64)
-        keep = between(lengths, window, 1) & (lengths > 0)
+    lengths, marks = np.array([x[1] for x in lines], np.int64), np.array([x[2] for x in lines])
+    free = np.where(marks == 0, lengths, 0)
+    keep = between(free, window, surge)
+    if marks.any() and largest_run(free, keep) <= np.bincount(marks, lengths)[1:].max():
+        keep = marks > 0
     else:
-        keep = between(lengths, window, surge)
+        keep |= between(lengths - free, window, surge)  # by itself, as a window over both would join a teaser to the main text
     return "\n\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
 
 

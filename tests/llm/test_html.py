@@ -65,3 +65,13 @@ def test_nulls_repeated_rows_empty_table_clashing_names(spark):
     assert html.extract(df.limit(0)).collect() == []
     assert main_text("<p>" + "x " * 500_000).count("x") == 500_000
     assert main_text("<" * 20_000) in ("", "<" * 20_000)
+
+
+def test_marked_teasers_do_not_hide_an_unmarked_main_text():
+    teasers = "".join(f"<article><h2><a href=/{i}>Teaser {i}</a></h2><p>More soon.</p></article>" for i in range(12))
+    body = "\n\n".join([LONG, "Short.", LONG])
+    assert main_text(f"{teasers}<div><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>") == body
+    assert main_text(f"<div><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>{teasers}").startswith(body)
+    # a marked article with more text than any unmarked surge is the main text, its short lines and links with it
+    article = f"<article><h1>T</h1><p>{LONG}<p>x<p>{LONG}<p>{LONG}<p><a href=y>y</a></article>"
+    assert main_text(f"<div><p>{LONG}</p></div>{article}<div><p>{LONG}</p></div>") == "\n\n".join(["T", LONG, "x", LONG, LONG, "y"])
