@@ -11,6 +11,10 @@ the unmarked lines are sought with the same threshold, and if none of them holds
 the text of all marked elements is returned, however short. Otherwise (such as marked teasers beside a main text in plain
 blocks) the marks do not tell where the main text is, and surges of marked and of unmarked lines are kept alike.
 
+A short line is no end of the text: lines with text outside links stay if they stand between two surges, or in the container
+(div, section, article, main; the page itself for lines in no other) of a surge. Where no window reaches the threshold, the
+densest block takes the place of the surges. Lines that are links only are kept inside a surge's windows and in marked articles.
+
 The whole page is one value in one row, so pages are worked on where they lie: no shuffle, and memory for one page at a time.
 
 Defined results: null and empty html give empty text and 0; markup that never ends counts up to the end of the page;
@@ -20,6 +24,7 @@ repeated rows are all returned; columns besides those named are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -42,6 +47,8 @@ SKIPPED = RAW | frozenset("head nav header footer aside form button select optio
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img".split()
 )
+#: What holds the lines of one text together (fixed value).
+CONTAINERS = frozenset("div section article main".split())
 #: Roles and words of class or id that mark what is no article (fixed values).
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert toolbar".split())
 WORDS = frozenset(
@@ -77,31 +84,38 @@ def is_article(name: str, attributes: dict[str, str]) -> bool:
     return name in ("article", "main") or attributes.get("role", "").lower() == "main" or attributes.get("itemprop", "").lower() == "articlebody"
 
 
-def lines_of(html: str) -> list[tuple[str, int, int]]:
-    """The page's lines: text, length of the text outside links, number of the outermost marked element around it (0: none)."""
-    lines: list[tuple[str, int, int]] = []
+def lines_of(html: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
+    """The page's lines: text, length of the text outside links, number of the outermost marked element around it (0: none),
+    number of its container (0: the page); and the container around each container, by number.
+
+    A div that is a line itself, with no other line and no block in it, is not the line's container."""
+    lines: list[tuple[str, int, int, int]] = []
+    around = [0]
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, and from outside: skipped, marked element
+    stack: list[tuple[str, bool, int, int]] = []  # open elements: name, and from outside: skipped, marked element, container
     skipped = False
-    links = pre = inside = marked = 0
+    links = pre = inside = marked = box = 0
+    own: set[int] = set()  # lines whose innermost block is their container
     at, n = 0, len(html)
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            lines.append((text, max(0, len(text) - linked), inside))
+            if next((x[0] for x in reversed(stack) if x[0] not in INLINE), "") in CONTAINERS:
+                own.add(len(lines))
+            lines.append((text, max(0, len(text) - linked), inside, box))
         parts.clear()
         linked = 0
 
     def leave(k: int) -> None:
         """Close the elements from place k of the stack on."""
-        nonlocal skipped, inside, links
+        nonlocal skipped, inside, links, box
         links -= sum(x[0] == "a" for x in stack[k:])
         if any(x[0] not in INLINE for x in stack[k:]) and not skipped:
             flush()
-        skipped, inside = stack[k][1], stack[k][2]
+        skipped, inside, box = stack[k][1:]
         del stack[k:]
 
     while at < n:
@@ -146,16 +160,21 @@ def lines_of(html: str) -> list[tuple[str, int, int]]:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             at = close.end() if close else n
             continue
-        stack.append((name, skipped, inside))
+        stack.append((name, skipped, inside, box))
         links += name == "a"
         if not skipped:
             skipped = is_boilerplate(name, attributes)
             if not inside and not skipped and is_article(name, attributes):
                 marked += 1
                 inside = marked
+        if name in CONTAINERS and not skipped:
+            around.append(box)
+            box = len(around) - 1
     if not skipped:
         flush()
-    return lines
+    held = Counter(x[3] for x in lines)
+    held.update(around[1:])
+    return [(*x[:3], around[x[3]] if k in own and held[x[3]] == 1 else x[3]) for k, x in enumerate(lines)], around
 
 
 def between(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> np.ndarray:
@@ -184,6 +203,28 @@ def between(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> np
     return keep
 
 
+def joined(lengths: np.ndarray, keep: np.ndarray, boxes: np.ndarray, around: list[int], window: int = WINDOW) -> np.ndarray:
+    """The kept lines and the lines with text that belong to them: between two surges, or in the container of a surge."""
+    if not keep.any():
+        if not lengths.any():
+            return keep
+        # no surge anywhere: the densest block, the first of several
+        sums = np.concatenate([[0], np.cumsum(lengths)])
+        at = int(np.argmax(sums[np.minimum(np.arange(len(lengths)) + window, len(lengths))] - sums[:-1]))
+        keep = np.zeros(len(lengths), bool)
+        keep[at : at + window] = lengths[at : at + window] > 0
+    places = np.flatnonzero(keep)
+    near = np.zeros(len(lengths), bool)
+    near[places[0] : places[-1]] = True
+    held = np.zeros(len(around), bool)
+    held[boxes[keep & (lengths > 0)]] = True
+    page, held[0] = held[0], False
+    for box in range(1, len(around)):
+        held[box] |= held[around[box]]
+    held[0] = page  # the page holds the lines in no other container only
+    return keep | ((lengths > 0) & (near | held[boxes]))
+
+
 def largest_run(lengths: np.ndarray, keep: np.ndarray) -> int:
     """Most text in one run of kept lines."""
     runs = np.cumsum(np.diff(keep.astype(np.int8), prepend=0) == 1)
@@ -192,7 +233,7 @@ def largest_run(lengths: np.ndarray, keep: np.ndarray) -> int:
 
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article's blocks, joined by an empty line; empty if there is none."""
-    lines = lines_of(html or "")
+    lines, around = lines_of(html or "")
     if not lines:
         return ""
     lengths, marks = np.array([x[1] for x in lines], np.int64), np.array([x[2] for x in lines])
@@ -202,6 +243,7 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         keep = marks > 0
     else:
         keep |= between(lengths - free, window, surge)  # by itself, as a window over both would join a teaser to the main text
+        keep = joined(lengths, keep, np.array([x[3] for x in lines]), around, window)
     return "\n\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
 
 

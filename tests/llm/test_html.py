@@ -75,3 +75,27 @@ def test_marked_teasers_do_not_hide_an_unmarked_main_text():
     # a marked article with more text than any unmarked surge is the main text, its short lines and links with it
     article = f"<article><h1>T</h1><p>{LONG}<p>x<p>{LONG}<p>{LONG}<p><a href=y>y</a></article>"
     assert main_text(f"<div><p>{LONG}</p></div>{article}<div><p>{LONG}</p></div>") == "\n\n".join(["T", LONG, "x", LONG, LONG, "y"])
+
+
+ITEMS = [f"item no {k:02d}" for k in range(12)]
+CELLS = "".join(f"<tr><td>{k}<td>{k * k}" for k in range(9))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # a list between two paragraphs, in the body and with a container for each part
+        (f"<p>{LONG}<ul>{''.join(f'<li>{x}' for x in ITEMS)}</ul><p>{LONG}", [LONG, *ITEMS, LONG]),
+        (f"<div><p>{LONG}</div><div>{'<br>'.join(ITEMS)}</div><div><p>{LONG}</div>", [LONG, *ITEMS, LONG]),
+        # at the text's ends, in the container of a surge
+        (f"<p>other</p><div><h1>T</h1><ul>{''.join(f'<li>{x}' for x in ITEMS)}</ul><p>{LONG}<table>{CELLS}</table></div><p>other</p>", ["T", *ITEMS, LONG, *(str(x) for k in range(9) for x in (k, k * k))]),
+        # no window reaches the threshold: the densest block with its container
+        ("<p>A note.</p>", ["A note."]),
+        (f"<p>x</p><div>{'<br>'.join(ITEMS)}</div><p>y</p>", ITEMS),
+        (f"<div>{''.join(f'<div>{x}</div>' for x in ITEMS)}</div><p>y</p>", ITEMS),
+        ("<ul><li><a href=x>only a link</a></ul>", []),
+        (f"<ul>{''.join(f'<li><a href=x>{x}</a>' for x in ITEMS)}</ul><div>Short.</div>", ["Short."]),
+    ],
+)
+def test_short_lines_of_unmarked_pages(page, text):
+    assert main_text(page) == "\n\n".join(text)
