@@ -1,7 +1,8 @@
 """Operator 4: benchmark decontamination with SimHash windows and multi-index Hamming blocks.
 
 Words are runs of letters and digits in lower case; shingles are five words.  Against an item of n words stand the
-windows of n words of a text.  Both get a 64-bit SimHash of their shingles, weighted by their counts.  Fingerprints are
+windows of n words of a text; a text of fewer words stands as a whole, as one window, if it has enough shingles for the
+threshold.  Both get a 64-bit SimHash of their shingles, weighted by their counts.  Fingerprints are
 cut into four blocks: two fingerprints within 20 bits differ in at most 20 // 4 = 5 bits in one block at least, so looking for
 item blocks within 5 bits of a window's block finds every pair within the radius.  Candidates within the radius are verified
 by the exact weighted Jaccard similarity of the shingles, 0.8 or more.  (At a similarity of 0.8 a bit differs with
@@ -93,9 +94,10 @@ class Index:
 
     def _windows(self, text: np.ndarray, shared: np.ndarray, size: int, width: int, threshold: float, best: dict[int, dict]) -> None:
         span = size - width + 1  # shingles in a window
+        if len(text) / span < threshold:
+            return  # even if all its shingles were the item's, the similarity would be less
+        span = min(span, len(text))  # a shorter text is one window
         last = len(text) - span
-        if last < 0:
-            return
         ids, items, prints, _ = self.sizes[size]
         # starts of all windows that hold a shared shingle, in runs
         near = np.zeros(last + 2, np.int32)
@@ -115,7 +117,7 @@ class Index:
                     for w in np.flatnonzero(candidates & (apart.sum(1, dtype=np.int32) <= RADIUS)):
                         similarity = weighted_jaccard(text[part[w] : part[w] + span], item)
                         if similarity >= threshold and (ids[k] not in best or similarity > best[ids[k]]["similarity"]):
-                            best[ids[k]] = {"item_id": ids[k], "similarity": similarity, "start_word": int(part[w]), "n_words": size}
+                            best[ids[k]] = {"item_id": ids[k], "similarity": similarity, "start_word": int(part[w]), "n_words": span + width - 1}
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "matches", threshold: float = THRESHOLD, item_bytes: int = ITEM_BYTES) -> DataFrame:

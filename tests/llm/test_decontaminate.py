@@ -79,3 +79,17 @@ def test_query_on_generated_documents(spark):
     want = {(d.doc_id, i.item_id) for d in spark.read.parquet(f"{path}/documents.parquet").collect() for i in items if i.text in (d.text or "")}
     got = {(r.doc_id, r.item_id) for r in decontaminate.query(spark, path).collect()}
     assert want and got >= want and len(got) <= len(want) + 5
+
+
+def test_texts_shorter_than_an_item():
+    words = [f"s{i}" for i in range(30)]
+    index, hashes = decontaminate.Index([(1, " ".join(words))]), TermHashes()
+    [found] = index.scan(hashes.of(" ".join(words[:-2])))
+    assert found == {"item_id": 1, "similarity": 24 / 26, "start_word": 0, "n_words": 28}
+    for a in range(8):
+        for b in range(23, 31):
+            text = hashes.of(" ".join(words[a:b]))
+            similarity = weighted_jaccard(shingles(text), shingles(hashes.of(" ".join(words))))
+            want = [(1, similarity)] if similarity >= decontaminate.THRESHOLD else []
+            assert [(m["item_id"], m["similarity"]) for m in index.scan(text)] == want
+    assert index.scan(hashes.of("s0 s1 s2")) == [] == index.scan(hashes.of(""))
