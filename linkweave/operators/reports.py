@@ -65,6 +65,11 @@ def dot_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dot_lines(graph.star_nodes(spark, sf_dir).filter("kind in ('Class', 'Method')"), graph.star_edges(spark, sf_dir).filter(F.col("src") % 8 == graph.KINDS.index("Method"))).select("part", "k", "line")
 
 
+def dot_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawing of the whole graph: every node and every edge; ``dot_lines`` has classes, methods and the methods' edges only."""
+    return dot_lines(graph.star_nodes(spark, sf_dir), graph.star_edges(spark, sf_dir)).select("part", "k", "line")
+
+
 def write_markdown(spark: SparkSession, sf_dir: str, path: str) -> None:
     """The readable report as one text file: statistics, schemas, then a line for each chain by id."""
     stats = contracts.coverage_query(spark, sf_dir).select(F.array(F.lit("# Report"), F.format_string("Chains: %d", "chains"), F.format_string("Critical: %d", "critical"), F.format_string("Warnings: %d", "warning"), F.format_string("Coverage: %.1f%%", "coverage")).alias("t")).select(F.posexplode("t").alias("k", "line")).withColumn("part", F.lit(0))
@@ -101,6 +106,7 @@ QUERIES = {
     "verdict_cube": verdict_counts,
     "endpoint_index": endpoint_index,
     "dot_lines": dot_query,
+    "dot_graph": dot_graph,
 }
 ORACLE_SQL = {
     "schemas_distinct_by_type": f"{contracts._BASE} SELECT schema_type, count(DISTINCT name) AS schemas, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM (SELECT from_no AS schema_no FROM c UNION SELECT to_no FROM c) JOIN schemas USING (schema_no) GROUP BY 1",
