@@ -5,9 +5,11 @@ windows of n words of a text; a text of fewer words stands as a whole, as one wi
 threshold.  Both get a 64-bit SimHash of their shingles, weighted by their counts.  Fingerprints are
 cut into four blocks: two fingerprints within 20 bits differ in at most 20 // 4 = 5 bits in one block at least, so looking for
 item blocks within 5 bits of a window's block finds every pair within the radius.  Candidates within the radius are verified
-by the exact weighted Jaccard similarity of the shingles, 0.8 or more.  (At a similarity of 0.8 a bit differs with
-probability 0.15: the mean distance is 9.7 with a deviation of 2.9, so the radius misses one such pair in some thousands, and
-fewer with growing similarity.)
+by the exact weighted Jaccard similarity of the shingles, 0.8 or more.
+
+The radius alone would miss pairs near the threshold, the more the more often shingles repeat (counts weigh squared in the cosine that
+the distance follows).  So windows beyond it are verified as well if they hold enough shingles of the item: with m and n shingles
+and a similarity of t, t (m + n) / (1 + t) at least are common.  This bound is exact, so no pair is missed.
 
 A window that shares no shingle with an item of its size has similarity 0; such windows get no fingerprint.
 
@@ -54,7 +56,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         hashes = TermHashes()
-        self.sizes: dict[int, tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray]] = {}
+        self.sizes: dict[int, tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray, list[np.ndarray]]] = {}
         grouped: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item_id, text in items:
             words = hashes.of(text)
@@ -62,12 +64,12 @@ class Index:
                 grouped.setdefault(len(words), []).append((item_id, shingles(words)))
         for size, members in grouped.items():
             prints = _fingerprints(np.stack([_signs(s).sum(0) for _, s in members]))
-            self.sizes[size] = ([k for k, _ in members], [s for _, s in members], prints, np.unique(np.concatenate([s for _, s in members])))
+            self.sizes[size] = ([k for k, _ in members], [s for _, s in members], prints, np.unique(np.concatenate([s for _, s in members])), [np.unique(s) for _, s in members])
         #: for each width of shingles, all of them, and for each the sizes of items that have it
         self.known: dict[int, tuple[np.ndarray, list[tuple[int, ...]]]] = {}
         for width in {min(5, size) for size in self.sizes}:
             of: dict[int, set[int]] = {}
-            for size, (_, _, _, distinct) in self.sizes.items():
+            for size, (_, _, _, distinct, _) in self.sizes.items():
                 if min(5, size) == width:
                     for s in distinct.tolist():
                         of.setdefault(s, set()).add(size)
@@ -98,7 +100,7 @@ class Index:
             return  # even if all its shingles were the item's, the similarity would be less
         span = min(span, len(text))  # a shorter text is one window
         last = len(text) - span
-        ids, items, prints, _ = self.sizes[size]
+        ids, items, prints, _, distinct = self.sizes[size]
         # starts of all windows that hold a shared shingle, in runs
         near = np.zeros(last + 2, np.int32)
         np.add.at(near, np.clip(shared - span + 1, 0, last + 1), 1)
@@ -114,7 +116,10 @@ class Index:
                 for k, item in enumerate(items):
                     apart = _POPCOUNT[windows ^ prints[k]]
                     candidates = (apart <= RADIUS // BLOCKS).any(1)
-                    for w in np.flatnonzero(candidates & (apart.sum(1, dtype=np.int32) <= RADIUS)):
+                    near_print = candidates & (apart.sum(1, dtype=np.int32) <= RADIUS)
+                    held = np.concatenate([[0], np.cumsum(found_in(text[part[0] : part[-1] + span], distinct[k]) >= 0)])
+                    enough = held[span:] - held[:-span] >= threshold * (span + len(item)) / (1 + threshold) - 1e-6
+                    for w in np.flatnonzero(near_print | enough):
                         similarity = weighted_jaccard(text[part[w] : part[w] + span], item)
                         if similarity >= threshold and (ids[k] not in best or similarity > best[ids[k]]["similarity"]):
                             best[ids[k]] = {"item_id": ids[k], "similarity": similarity, "start_word": int(part[w]), "n_words": span + width - 1}

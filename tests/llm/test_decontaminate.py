@@ -93,3 +93,17 @@ def test_texts_shorter_than_an_item():
             want = [(1, similarity)] if similarity >= decontaminate.THRESHOLD else []
             assert [(m["item_id"], m["similarity"]) for m in index.scan(text)] == want
     assert index.scan(hashes.of("s0 s1 s2")) == [] == index.scan(hashes.of(""))
+
+
+def test_repeated_shingles_beyond_the_radius():
+    """One shingle of count 5 replaced by another: similarity 0.8, but often more than 20 bits apart."""
+    hashes, far = TermHashes(), 0
+    for k in range(60):
+        common = [f"r{k}x{i}" for i in range(76)]
+        item, text = ([*common, *[f"{word}{k}"] * 9] for word in ("left", "right"))
+        a, b = shingles(hashes.of(" ".join(item))), shingles(hashes.of(" ".join(text)))
+        assert weighted_jaccard(a, b) == 0.8
+        prints = decontaminate._fingerprints(np.stack([decontaminate._signs(x).sum(0) for x in (a, b)]))
+        far += int(decontaminate._POPCOUNT[prints[0] ^ prints[1]].sum()) > decontaminate.RADIUS
+        assert [m["similarity"] for m in decontaminate.Index([(k, " ".join(item))]).scan(hashes.of(" ".join(text)))] == [0.8]
+    assert far
