@@ -1,10 +1,10 @@
-"""Operator 4: benchmark decontamination with SimHash windows and multi-index Hamming blocks.
+"""Operator 4: benchmark decontamination with SimHash windows.
 
 Words are runs of letters and digits in lower case; shingles are five words.  Against an item of n words stand the
 windows of n words of a text; a text of fewer words stands as a whole, as one window, if it has enough shingles for the
-threshold.  Both get a 64-bit SimHash of their shingles, weighted by their counts.  Fingerprints are
-cut into four blocks: two fingerprints within 20 bits differ in at most 20 // 4 = 5 bits in one block at least, so looking for
-item blocks within 5 bits of a window's block finds every pair within the radius.  Candidates within the radius are verified
+threshold.  Both get a 64-bit SimHash of their shingles, weighted by their counts.  Windows are found by a table of the items'
+shingles, then compared with every item of the size: there is no table of fingerprint blocks.  The test of four blocks (5 bits in
+one at least) holds for every pair within 20 bits, so it filters nothing.  Candidates within the radius are verified
 by the exact weighted Jaccard similarity of the shingles, 0.8 or more.
 
 The radius alone would miss pairs near the threshold, the more the more often shingles repeat (counts weigh squared in the cosine that
