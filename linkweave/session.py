@@ -59,20 +59,38 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "table", codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, label: str = "table", codec: str = "zstd", instead_of: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``instead_of``: an earlier result of this function that nothing else reads; its files are deleted."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    if instead_of is not None:
+        discard(instead_of)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of results of ``materialize`` that are read no more."""
+    for df in tables:
+        drop_path(df.sparkSession, df.scratch_path)
 
 
 _shipped: set[str] = set()
 
+#: Rows in an Arrow batch, where the session says nothing else: rows hold whole texts, and a Python worker holds a batch at a time.
+BATCH_ROWS = 1024
+_BATCH_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def ship(spark: SparkSession) -> None:
     """Hand this package to the executors' Python workers, once for each application."""
     context = spark.sparkContext
+    if context.getConf().get(_BATCH_ROWS_KEY) is None and spark.conf.get(_BATCH_ROWS_KEY) == "10000":  # Spark's own default
+        spark.conf.set(_BATCH_ROWS_KEY, str(BATCH_ROWS))
     if context.applicationId in _shipped:
         return
     package = os.path.dirname(os.path.abspath(__file__))
@@ -105,7 +123,3 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-
-
-def local_cores() -> int:
-    return os.cpu_count() or 1
