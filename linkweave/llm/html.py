@@ -1,19 +1,23 @@
 """Operator 2: main text of HTML pages by line-block distribution.
 
-A page is read as a stream of tags and text.  Elements that never hold article text (scripts, styles, forms, menus, headers,
-footers, sidebars, adverts, notices, comment sections, by element name, role, or words of class and id) are left out.  What is left falls
+A page is read as a stream of tags and text.  What never is text (scripts, styles, controls, hidden elements) is left out.  What is left falls
 into lines, one for each block element; a line carries the length of its text, without the text of its links.  Line
 blocks are sums over a sliding window of lines.  A surge point is where the block sum rises over a threshold with text in
 the following windows, a dive point is where it falls to nothing; the lines between a surge and its dive are kept.
 
-Where the page itself marks an article (article, main, role=main, itemprop=articleBody), the mark is a prior: the surges of
-the unmarked lines are sought with the same threshold, and if none of them holds more text than the largest marked element,
-the text of all marked elements is returned, however short. Otherwise (such as marked teasers beside a main text in plain
-blocks) the marks do not tell where the main text is, and surges of marked and of unmarked lines are kept alike.
-
-A short line is no end of the text: lines with text outside links stay if they stand between two surges, or in the container
-(div, section, article, main; the page itself for lines in no other) of a surge. Where no window reaches the threshold, the
-densest block takes the place of the surges. Lines that are links only are kept inside a surge's windows and in marked articles.
+Names and marks are evidence, the distribution decides.
+* Elements that as a rule hold no article (menus, headers, footers, sidebars, forms, notices, adverts, comments; by element name, role, or words of class and
+  id) are left out as long as there is a surge without them.  If there is none, the one among them that holds the most text loses its bad name:
+  sidebars, headers, forms and the like if a surge lies inside, menus and footers (such as a menu that is never closed) if they hold
+  a marked article; comments, adverts and notices never, but for an article that bears such a name itself on a page without other text. A loosely
+  named element also loses its name if a marked article inside outweighs all surges outside.
+* Marks (article, main, role=main, itemprop=articleBody) double the weight of text.  Surges are sought among the unmarked lines and among those of each mark,
+  so that no window spans both; the heaviest surge (the densest block if no window reaches the threshold) says where the main text is.  In a mark, that
+  is all of the mark's text, however short its lines are.  Articles beside it stay if they have half of its text and no linked title (parts of
+  the text); teasers, and articles inside an article (readers' comments) that are smaller, go.
+* Outside marks, lines with text outside links stay if they stand between two surges, or in the container (div, section, article, main; the page itself
+  for lines in no other) of a surge: a short line is no end of the text. Lines that are links only are kept inside a surge's windows and in marks.
+Headings in a header of a marked article belong to the article.
 
 The whole page is one value in one row, so pages are worked on where they lie: no shuffle, and memory for one page at a time.
 
@@ -26,6 +30,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html import unescape
 
 import numpy as np
@@ -40,21 +45,28 @@ from linkweave.session import table
 #: Lines in a window, and characters that a window needs for a surge.
 WINDOW, SURGE = 3, 40
 
-#: Element names (fixed values).
+#: Weight of text in a marked element.
+PRIOR = 2
+
+#: Element names (fixed values): without content; with raw content; never text; seldom an article; inside a line; what holds the lines of one text together.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes template xmp".split())
-SKIPPED = RAW | frozenset("head nav header footer aside form button select option menu dialog svg math canvas audio video object map datalist fieldset label legend output".split())
+NEVER = RAW | frozenset("head button select option svg math canvas audio video object map datalist label legend output".split())
+LOOSE_ELEMENTS, FIRM_ELEMENTS = frozenset("header form fieldset".split()), frozenset("nav footer aside menu dialog".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img".split()
 )
-#: What holds the lines of one text together (fixed value).
 CONTAINERS = frozenset("div section article main".split())
-#: Roles and words of class or id that mark what is no article (fixed values).
-ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert toolbar".split())
-WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs "
-    "header masthead footer sidebar sidebars aside widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
-    "comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations pager pagination toolbar copyright disclaimer skip toc".split()
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: How sure a name tells that an element holds no article.
+LOOSE, FIRM, SURE = 0, 1, 2
+#: Roles and words of class or id that tell so (fixed values).
+ROLES = {r: FIRM for r in "navigation contentinfo complementary search menu menubar dialog alertdialog alert toolbar".split()} | {"banner": LOOSE, "form": LOOSE}
+WORDS = (
+    {w: LOOSE for w in "banner header masthead sidebar sidebars aside widget widgets promo promotion popup modal overlay related recommended recommendations toolbar skip toc menu".split()}
+    | {w: FIRM for w in "nav navbar navigation menubar breadcrumb breadcrumbs footer pager pagination share sharing social copyright disclaimer signup login".split()}
+    | {w: SURE for w in "ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors cookie cookies consent gdpr notice notices alert newsletter subscribe subscription".split()}
+    | {w: SURE for w in "comment comments commentlist disqus respond reply replies".split()}
 )
 #: Closing tags that may be missing: a start tag of the second kind ends an open element of the first (fixed values).
 _BLOCK = "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul"
@@ -67,35 +79,66 @@ _NAMED = re.compile(r"class|id\b|role|hidden|style|itemprop", re.I)
 _ABOUT = re.compile(r"\b(?:has|with|no|without|hide|show)[-_]+\w+", re.I)
 
 
-def is_boilerplate(name: str, attributes: dict[str, str]) -> bool:
-    """Whether an element and all that it holds is no part of an article."""
-    if name in SKIPPED:
-        return True
-    if name in ("html", "body", "main") or not attributes:
-        return False
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", attributes.get("style", "")):
-        return True
-    named = _ABOUT.sub(" ", f"{attributes.get('class', '')} {attributes.get('id', '')}")
-    words = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower())
-    return not WORDS.isdisjoint(words)
+def never_text(name: str, attributes: dict[str, str]) -> bool:
+    """Whether an element is no text at all, or not shown."""
+    return name in NEVER or "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
+
+
+def bad_name(name: str, attributes: dict[str, str]) -> int | None:
+    """How sure it is by its name, role, class and id that an element is no part of an article; None: they don't tell so."""
+    found = [FIRM] if name in FIRM_ELEMENTS else [LOOSE] if name in LOOSE_ELEMENTS else []
+    if name not in ("html", "body", "main") and attributes:
+        named = _ABOUT.sub(" ", f"{attributes.get('class', '')} {attributes.get('id', '')}")
+        words = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower())
+        found += [WORDS[w] for w in words if w in WORDS]
+        if (role := attributes.get("role", "").lower()) in ROLES:
+            found.append(ROLES[role])
+    if is_article(name, attributes):  # its mark outweighs loose words
+        found = [x for x in found if x == SURE]
+    return max(found, default=None)
 
 
 def is_article(name: str, attributes: dict[str, str]) -> bool:
     return name in ("article", "main") or attributes.get("role", "").lower() == "main" or attributes.get("itemprop", "").lower() == "articlebody"
 
 
-def lines_of(html: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
-    """The page's lines: text, length of the text outside links, number of the outermost marked element around it (0: none),
-    number of its container (0: the page); and the container around each container, by number.
+@dataclass
+class Line:
+    text: str
+    #: length of the text outside links
+    length: int
+    #: innermost element with a bad name, outermost marked element, innermost article element, container; 0: none
+    bad: int
+    mark: int
+    article: int
+    box: int
+
+
+@dataclass
+class Page:
+    lines: list[Line] = field(default_factory=list)
+    #: the container around each container
+    around: list[int] = field(default_factory=lambda: [0])
+    #: of elements with a bad name: the next one around, how sure the name is, whether marked elements are inside, whether it is marked itself
+    bad_around: list[int] = field(default_factory=lambda: [0])
+    sure: list[int] = field(default_factory=lambda: [SURE])
+    holds_mark: list[bool] = field(default_factory=lambda: [False])
+    is_mark: list[bool] = field(default_factory=lambda: [False])
+    #: the article element around each article element
+    article_around: list[int] = field(default_factory=lambda: [0])
+
+
+def read(html: str) -> Page:
+    """The lines of a page with what stands around them.
 
     A div that is a line itself, with no other line and no block in it, is not the line's container."""
-    lines: list[tuple[str, int, int, int]] = []
-    around = [0]
+    page = Page()
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, int, int]] = []  # open elements: name, and from outside: skipped, marked element, container
-    skipped = False
-    links = pre = inside = marked = box = 0
+    stack: list[tuple[str, tuple[bool, int, int, int, int]]] = []  # open elements with the state around them
+    skipped, bad, mark, article, box = False, 0, 0, 0, 0
+    links = marks = 0
+    headers: dict[int, int] = {}  # header elements in marked ones, by their number: what is around them
     own: set[int] = set()  # lines whose innermost block is their container
     at, n = 0, len(html)
 
@@ -103,19 +146,20 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            if next((x[0] for x in reversed(stack) if x[0] not in INLINE), "") in CONTAINERS:
-                own.add(len(lines))
-            lines.append((text, max(0, len(text) - linked), inside, box))
+            block = next((x[0] for x in reversed(stack) if x[0] not in INLINE), "")
+            if block in CONTAINERS:
+                own.add(len(page.lines))
+            page.lines.append(Line(text, max(0, len(text) - linked), headers.get(bad, bad) if block in HEADINGS else bad, mark, article, box))
         parts.clear()
         linked = 0
 
     def leave(k: int) -> None:
         """Close the elements from place k of the stack on."""
-        nonlocal skipped, inside, links, box
+        nonlocal skipped, bad, mark, article, box, links
         links -= sum(x[0] == "a" for x in stack[k:])
         if any(x[0] not in INLINE for x in stack[k:]) and not skipped:
             flush()
-        skipped, inside, box = stack[k][1:]
+        skipped, bad, mark, article, box = stack[k][1]
         del stack[k:]
 
     while at < n:
@@ -160,21 +204,41 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             at = close.end() if close else n
             continue
-        stack.append((name, skipped, inside, box))
+        stack.append((name, (skipped, bad, mark, article, box)))
         links += name == "a"
-        if not skipped:
-            skipped = is_boilerplate(name, attributes)
-            if not inside and not skipped and is_article(name, attributes):
-                marked += 1
-                inside = marked
-        if name in CONTAINERS and not skipped:
-            around.append(box)
-            box = len(around) - 1
+        if skipped := skipped or never_text(name, attributes):
+            continue
+        marked, sure = is_article(name, attributes), bad_name(name, attributes)
+        if sure is not None:
+            page.bad_around.append(bad)
+            page.sure.append(sure)
+            page.holds_mark.append(False)
+            page.is_mark.append(marked)
+            if name == "header" and mark:
+                headers[len(page.sure) - 1] = headers.get(bad, bad)
+            bad = len(page.sure) - 1
+        if marked:
+            around = bad
+            while around:
+                page.holds_mark[around] = True
+                around = page.bad_around[around]
+            if not mark:
+                marks += 1
+                mark = marks
+        if name == "article":
+            page.article_around.append(article)
+            article = len(page.article_around) - 1
+        if name in CONTAINERS:
+            page.around.append(box)
+            box = len(page.around) - 1
     if not skipped:
         flush()
-    held = Counter(x[3] for x in lines)
-    held.update(around[1:])
-    return [(*x[:3], around[x[3]] if k in own and held[x[3]] == 1 else x[3]) for k, x in enumerate(lines)], around
+    held = Counter(x.box for x in page.lines)
+    held.update(page.around[1:])
+    for k, x in enumerate(page.lines):
+        if k in own and held[x.box] == 1:
+            x.box = page.around[x.box]
+    return page
 
 
 def between(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> np.ndarray:
@@ -225,26 +289,81 @@ def joined(lengths: np.ndarray, keep: np.ndarray, boxes: np.ndarray, around: lis
     return keep | ((lengths > 0) & (near | held[boxes]))
 
 
-def largest_run(lengths: np.ndarray, keep: np.ndarray) -> int:
-    """Most text in one run of kept lines."""
+def heaviest_run(lengths: np.ndarray, window: int, surge: int) -> int:
+    """Most text between a surge and its dive; 0 without a surge."""
+    keep = between(lengths, window, surge)
     runs = np.cumsum(np.diff(keep.astype(np.int8), prepend=0) == 1)
     return int(np.bincount(runs, np.where(keep, lengths, 0)).max(initial=0))
 
 
+def acquitted(page: Page, window: int, surge: int) -> np.ndarray:
+    """Which lines count: those in no element with a bad name, but for the names that the distribution outweighs."""
+    lengths = np.array([x.length for x in page.lines], np.int64)
+    bad = np.array([x.bad for x in page.lines])
+    inside = np.array([x.mark > 0 for x in page.lines])
+    good = np.zeros(len(page.sure), bool)
+    good[0] = True
+
+    def of(free: np.ndarray) -> np.ndarray:
+        whole = free.copy()  # elements come after those around them
+        for k in range(1, len(whole)):
+            whole[k] &= whole[page.bad_around[k]]
+        return whole[bad]
+
+    while True:
+        counts = of(good)
+        outside, nothing = heaviest_run(np.where(counts, lengths, 0), window, surge), not lengths[counts].any()
+        best, choice = 0, 0
+        for k in np.flatnonzero(~good).tolist():
+            sure, holds = page.sure[k], page.holds_mark[k]
+            if not good[page.bad_around[k]] or not (page.is_mark[k] and nothing if sure == SURE else holds or (sure == LOOSE and not outside)):
+                continue
+            below = np.zeros(len(good), bool)
+            below[k] = True
+            for j in range(k + 1, len(good)):
+                below[j] = below[page.bad_around[j]] and page.sure[j] != SURE
+            mine = np.where(below[bad], lengths, 0)
+            if outside:
+                fit = sure == LOOSE and PRIOR * int(mine[inside].sum()) > outside
+            else:
+                fit = sure != LOOSE or (nothing and holds) or heaviest_run(mine, window, surge) > 0
+            if fit and int(mine.sum()) > best:
+                best, choice = int(mine.sum()), k
+        if not choice:
+            return counts
+        good[choice] = True
+
+
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article's blocks, joined by an empty line; empty if there is none."""
-    lines, around = lines_of(html or "")
+    page = read(html or "")
+    if not page.lines:
+        return ""
+    counts = acquitted(page, window, surge) if len(page.sure) > 1 else np.ones(len(page.lines), bool)
+    lines = [x for x, c in zip(page.lines, counts, strict=True) if c]
     if not lines:
         return ""
-    lengths, marks = np.array([x[1] for x in lines], np.int64), np.array([x[2] for x in lines])
+    lengths, marks = np.array([x.length for x in lines], np.int64), np.array([x.mark for x in lines])
     free = np.where(marks == 0, lengths, 0)
-    keep = between(free, window, surge)
-    if marks.any() and largest_run(free, keep) <= np.bincount(marks, lengths)[1:].max():
-        keep = marks > 0
+    # Groups of marked lines: an article element, or what a mark holds outside article elements.
+    groups = np.array([0 if not x.mark else x.article or -x.mark for x in lines])
+    heads: dict[int, int] = {}
+    weight = {g: int(lengths[groups == g].sum()) for g in dict.fromkeys(groups[groups != 0].tolist())}
+    for k in range(len(lines) - 1, -1, -1):
+        heads[int(groups[k])] = k
+    outside = heaviest_run(free, window, surge) or (0 if weight and max(weight.values()) else int(free.max(initial=0)))
+    largest = max(weight, key=lambda g: (heaviest_run(np.where(groups == g, lengths, 0), window, surge), weight[g])) if weight else 0
+    if largest and (PRIOR * weight[largest] >= outside):
+        keep = np.zeros(len(lines), bool)
+        home = lines[heads[largest]].mark
+        for g, text in weight.items():
+            teaser = lengths[heads[g]] == 0
+            nested = g > 0 and page.article_around[g] > 0
+            if g == largest or (g == -home) or (2 * text >= weight[largest] and not teaser and not nested) or (g > 0 and g == page.article_around[max(largest, 0)]):
+                keep |= groups == g
     else:
-        keep |= between(lengths - free, window, surge)  # by itself, as a window over both would join a teaser to the main text
-        keep = joined(lengths, keep, np.array([x[3] for x in lines]), around, window)
-    return "\n\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
+        keep = joined(free, between(free, window, surge), np.array([x.box for x in lines]), page.around, window)
+    return "\n\n".join(x.text for x, k in zip(lines, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text", window: int = WINDOW, surge: int = SURGE) -> DataFrame:

@@ -99,3 +99,60 @@ CELLS = "".join(f"<tr><td>{k}<td>{k * k}" for k in range(9))
 )
 def test_short_lines_of_unmarked_pages(page, text):
     assert main_text(page) == "\n\n".join(text)
+
+
+SHORT = ["Rain.", "Then sun.", "Wind came.", "It fell.", "Night."]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # a title in the header of the article; the site's header and a header's other lines are left out
+        (f"<header><h1>Site</h1></header><article><header><h1>T</h1><p>by me</header><p>{LONG}</article>", ["T", LONG]),
+        # names that would delete the whole text
+        (f"<form id=aspnetForm><header><h1>Site</h1></header><nav><a href=x>menu</a></nav><div><p>{LONG}<p>{LONG}</div><footer>{LONG}</footer></form>", [LONG, LONG]),
+        (f"<div id=top>Site name</div>{'<div><a href=x>menu</a></div>' * 3}<div class='content-sidebar-wrap'><p>{LONG}<p>{LONG}</div><div class=sidebar><p>{LONG}</div>", [LONG, LONG]),
+        (f"<div class='content-sidebar-wrap'><div class=content><p>{LONG}<p>{LONG}</div><div class=sidebar>{LONG}</div></div>", [LONG, LONG]),
+        (f"<article class='post related-category'><p>{LONG}</article>", [LONG]),
+        (f"<article class='skip-lazy'><p>{LONG}</article><p>{LONG[:50]}", [LONG]),
+        (f"<h1>Site</h1><nav><ul>{'<li><a href=x>menu</a>' * 3}</ul><article><h1>T</h1><p>{LONG}<p>{LONG}</article>", ["T", LONG, LONG]),
+        (f"<div class=page-header-wrap><main><p>{LONG}<p>{LONG}</main></div><p>{LONG[:60]}", [LONG, LONG]),
+        # what stays out even if it is the longest, or the only, text
+        (f"<p>A note.</p><footer><p>{LONG}<p>{LONG}</footer>", ["A note."]),
+        (f"<article><p>A note.</article><section id=comments><article><p>{LONG}</article><article><p>{LONG}</article></section>", ["A note."]),
+        (f"<div class=cookie-notice>{LONG}</div>", []),
+        (f"<footer>{LONG}</footer>", []),
+        (f"<header><h1>Site</h1></header><nav>{LONG}</nav>", []),
+        # readers' comments and teasers in articles of their own
+        (f"<article><p>{LONG}<p>{LONG}<p>{LONG}<article><p>{LONG[:60]}</article><article><p>Me too.</article></article>", [LONG, LONG, LONG]),
+        (f"<main><article><h1>T</h1><p>{LONG}<p>{LONG}</article><article><h2><a href=x>Another text</a></h2><p>{LONG}</article></main>", ["T", LONG, LONG]),
+        (f"<main><h1>Title</h1><article><p>{LONG}<p>{LONG}</article></main>", ["Title", LONG, LONG]),
+        (f"<article><p>{LONG}<p>{LONG}</article><article><p>{LONG}</article>", [LONG, LONG, LONG]),
+        # short articles and short ends without a mark
+        (f"<div>{''.join(f'<p>{x}' for x in SHORT)}</div><footer>© all rights reserved</footer>", SHORT),
+        (f"<div><p>{LONG}{''.join(f'<p>{x}' for x in SHORT)}</div><div class=share>Share it</div>", [LONG, *SHORT]),
+    ],
+)
+def test_names_and_marks_are_evidence_only(page, text):
+    assert main_text(page) == "\n\n".join(text)
+
+
+def test_many_unclosed_elements_end_in_time():
+    assert main_text("<div class=sidebar>" * 300 + f"<p>{LONG}") == LONG
+    assert main_text("<nav><article>" * 200 + "x") == "x"
+
+
+def test_unmarked_pages_equal_brute_force():
+    """Pages of random blocks between menus and footers, without a mark: all blocks of the text's container and nothing else."""
+    import random
+
+    r = random.Random(8)
+    for _ in range(200):
+        blocks = [LONG] + [" ".join(r.choices(LONG.split(), k=r.choice((1, 3, 12, 40)))) for _ in range(r.randint(0, 12))]
+        r.shuffle(blocks)
+        kinds = [r.choice(("p", "li", "h2", "td", "blockquote")) for _ in blocks]
+        body = "".join(f"<{k}>{x}</{k}>" for k, x in zip(kinds, blocks, strict=True))
+        menu = "<ul>" + "".join(f"<li><a href=/{i}>{' '.join(r.choices(LONG.split(), k=3))}</a>" for i in range(r.randint(1, 20))) + "</ul>"
+        outer = r.choice(("<nav>{}</nav>", "<div class='main-menu'>{}</div>", "<div>{}</div>"))
+        page = f"<html><body>{outer.format(menu)}<div id=c7>{body}</div><footer><p>{LONG}</p></footer></body></html>"
+        assert main_text(page) == "\n\n".join(blocks), page
