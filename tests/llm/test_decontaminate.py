@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -65,6 +66,39 @@ def test_blocks_find_all_within_the_radius():
         assert (decontaminate._POPCOUNT[a ^ b] <= decontaminate.RADIUS // decontaminate.BLOCKS).any()
 
 
+def test_multi_index_finds_all_within_the_radius_and_no_others():
+    r = np.random.default_rng(3)
+    for items in (1, 40, 60_000):  # the last: more block values than changes of a block
+        prints = r.integers(0, 1 << 16, (items, 4)).astype(np.uint16)
+        bits = np.unpackbits(prints[r.integers(0, items, 12)].view(np.uint8), axis=1)
+        bits ^= r.random(bits.shape) < r.random((12, 1)) * 0.4
+        asked = np.packbits(bits, axis=1).view(np.uint16)
+        want = {(i, j) for i in range(12) for j in np.flatnonzero(decontaminate._POPCOUNT[asked[i] ^ prints].sum(1) <= decontaminate.RADIUS).tolist()}
+        row, member = decontaminate.MultiIndex(prints).within(asked)
+        assert set(zip(row.tolist(), member.tolist(), strict=True)) == want and len(row) == len(want)
+
+
+def test_time_does_not_follow_the_number_of_items():
+    text = TermHashes().of(" ".join(rng.choices(VOCABULARY, k=1200)))
+    own = (0, " ".join(rng.choices(VOCABULARY, k=30)))
+    few = decontaminate.Index([own, *((k, " ".join(rng.choices(VOCABULARY, k=30))) for k in range(1, 100))])
+    many = decontaminate.Index([own, *((k, " ".join(rng.choices(VOCABULARY, k=30))) for k in range(1, 5000))])
+    took = []
+    for index in (few, many):
+        start = time.process_time()
+        for _ in range(5):
+            assert index.scan(text) == []
+        took.append(time.process_time() - start)
+    assert took[1] < 10 * took[0] + 1
+
+
+def test_very_long_text():
+    hashes = TermHashes()
+    words = [*rng.choices(VOCABULARY, k=300_000), *ITEMS[7][1].split(), *rng.choices(VOCABULARY, k=5000)]
+    [found] = [m for m in decontaminate.Index([(k, t) for k, t in ITEMS if t]).scan(hashes.of(" ".join(words))) if m["item_id"] == 7]
+    assert found["similarity"] == 1.0 and found["start_word"] == 300_000
+
+
 def test_empty_tables_and_clashing_name(spark):
     df = spark.createDataFrame([(1, ITEMS[0][1], 5), (1, ITEMS[0][1], None)], "doc_id long, text string, matches int")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
