@@ -6,7 +6,8 @@ at least 0.8 of its shingles stand there, their Jaccard similarity with the wind
 A band is one MinHash value; of 64 bands at least one agrees with a probability over 1 - 0.81 ** 64 > 0.999998.  Windows with an agreeing band are
 verified: containment is the exact share of the template's distinct shingles that stand in the window.
 
-A text that shares no shingle with any template can't agree in any band and gets no windows.
+A text that shares no shingle with any template can't agree in any band and gets no windows.  Long texts are gone through in pieces that
+overlap by the largest window, so that memory doesn't grow with a text's bands.
 
 Templates are a fixed list in this module, or one that the caller gives; their number, not the data's, sets the memory.
 Texts are worked on where they lie, each as a whole: no shuffle.
@@ -27,6 +28,8 @@ from linkweave.llm._text import TermHashes, add_column, found_in, mix64, shingle
 from linkweave.session import table
 
 BANDS, THRESHOLD = 64, 0.8
+#: Shingles of a text whose bands are worked out at once (a multiple of every window's size).
+PIECE = 1 << 13
 KIND = "array<struct<license: string, template: string, containment: double, start_word: long, n_words: long>>"
 
 #: Licence notices (fixed values): licence, name of the template, its text.
@@ -85,35 +88,41 @@ class Index:
                 raise ValueError(f"template {name} has fewer than five words")
         self.known = np.unique(np.concatenate([np.empty(0, np.uint64), *(t[2] for t in self.templates)]))
 
-    def scan(self, words: np.ndarray, threshold: float = THRESHOLD) -> list[dict]:
+    def scan(self, words: np.ndarray, threshold: float = THRESHOLD, piece: int = PIECE) -> list[dict]:
         if len(words) < 5:
             return []
         text = shingles(words)
-        known = found_in(text, self.known) >= 0
-        if not known.any():
-            return []
-        found = []
+        widest = max((t[4] for t in self.templates), default=1)
+        piece = max(piece, widest)
+        best: dict[int, dict] = {}
+        for start in range(0, len(text), piece):
+            # windows that begin in this piece reach into the next one
+            part = text[start : start + piece + widest]
+            if (found_in(part, self.known) >= 0).any():
+                self._scan_piece(part, start, piece, threshold, best)
+        return [best[k] for k in sorted(best)]
+
+    def _scan_piece(self, text: np.ndarray, start: int, piece: int, threshold: float, best: dict[int, dict]) -> None:
         # Blocks of a power of two: the window that begins at a block is that block and the next.
         blocks, width = minima(text), 1
-        by_width = {}
-        for license_id, name, distinct, signature, w in self.templates:
-            by_width.setdefault(w, []).append((license_id, name, distinct, signature))
+        by_width: dict[int, list[int]] = {}
+        for k, template in enumerate(self.templates):
+            by_width.setdefault(template[4], []).append(k)
         while by_width:
-            for license_id, name, distinct, signature in by_width.pop(width, []):
+            for k in by_width.pop(width, []):
+                license_id, name, distinct, signature, _ = self.templates[k]
                 window = np.minimum(blocks, np.concatenate([blocks[1:], blocks[-1:]]))
-                best = None
                 for i in np.flatnonzero((window == signature).any(1)):
+                    if i * width >= piece:
+                        break
                     inside = found_in(text[i * width : (i + 2) * width], distinct)
                     share = len(np.unique(inside[inside >= 0])) / len(distinct)
-                    if share >= threshold and (best is None or share > best["containment"]):
+                    if share >= threshold and (k not in best or share > best[k]["containment"]):
                         at = np.flatnonzero(inside >= 0)
-                        best = {"license": license_id, "template": name, "containment": share, "start_word": int(i * width + at[0]), "n_words": int(at[-1] - at[0] + 5)}
-                if best:
-                    found.append(best)
+                        best[k] = {"license": license_id, "template": name, "containment": share, "start_word": int(start + i * width + at[0]), "n_words": int(at[-1] - at[0] + 5)}
             if len(blocks) % 2:
                 blocks = np.concatenate([blocks, blocks[-1:]])
             blocks, width = np.minimum(blocks[::2], blocks[1::2]), width * 2
-        return sorted(found, key=lambda x: x["template"])
 
 
 def annotate(docs: DataFrame, text: str = "text", out: str = "licenses", templates: tuple[tuple[str, str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,3 +1,5 @@
+import tracemalloc
+
 from pyspark.sql import functions as F
 
 from linkweave.llm import licenses
@@ -7,16 +9,22 @@ FILLER = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod
 
 
 def brute(text, threshold=licenses.THRESHOLD):
-    """Best containment of every template over all places where it may begin."""
-    hashes, found = TermHashes(), set()
+    """The best window for every template that any window holds: containment, first word, words."""
+    hashes, found = TermHashes(), {}
     words = hashes.of(text)
     if len(words) < 5:
         return found
     s = shingles(words).tolist()
     for _, name, template in licenses.TEMPLATES:
-        t = set(shingles(hashes.of(template)).tolist())
-        if any(len(t & set(s[i : i + len(t) + 2])) >= threshold * len(t) for i in range(len(s))):
-            found.add(name)
+        t = shingles(hashes.of(template)).tolist()
+        width = 1
+        while width < len(t):
+            width *= 2
+        for i in range(0, len(s), width):
+            inside = [k for k in range(i, min(i + 2 * width, len(s))) if s[k] in set(t)]
+            share = len({s[k] for k in inside}) / len(set(t))
+            if share >= threshold and share > found.get(name, (0,))[0]:
+                found[name] = (share, inside[0], inside[-1] - inside[0] + 5)
     return found
 
 
@@ -37,9 +45,7 @@ def test_equals_brute_force(spark):
     rows = texts()
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     for r in licenses.annotate(df).collect():
-        assert {x.template for x in r.licenses} >= brute(rows[r.doc_id]), rows[r.doc_id]
-        for x in r.licenses:
-            assert x.containment >= licenses.THRESHOLD and x.start_word >= 0
+        assert {x.template: (x.containment, x.start_word, x.n_words) for x in r.licenses} == brute(rows[r.doc_id]), rows[r.doc_id]
     whole = [r for r in licenses.annotate(df.filter(f"doc_id = {len(rows) - 1}")).collect()][0]
     assert [x.template for x in whole.licenses] == sorted(t[1] for t in licenses.TEMPLATES)
 
@@ -57,3 +63,22 @@ def test_query_finds_all_notices(spark):
     for template, phrase in (("mit-line", "Released under the MIT License."), ("gpl3-line", "licensed under the GNU General Public License, version 3."), ("cc-by-nc-line", "Licensed under CC BY-NC 4.0.")):
         want = {r.doc_id for r in docs.filter(F.col("text").contains(phrase)).collect()}
         assert want and {r.doc_id for r in licenses.query(spark, path).filter(F.col("template") == template).collect()} >= want
+
+
+def test_pieces_of_a_long_text_give_the_same():
+    index, hashes = licenses.Index(licenses.TEMPLATES), TermHashes()
+    text = " ".join([*FILLER * 300, "\n".join(t for _, _, t in licenses.TEMPLATES), *FILLER * 40, licenses.TEMPLATES[2][2]])
+    words = hashes.of(text)
+    want = index.scan(words)
+    assert len(want) == len(licenses.TEMPLATES)
+    for piece in (1, 128, 256, 1 << 20):
+        assert index.scan(words, piece=piece) == want
+
+
+def test_memory_for_a_very_long_text():
+    index, words = licenses.Index(licenses.TEMPLATES), TermHashes().of(" ".join([*FILLER * 60_000, licenses.TEMPLATES[2][2]]))
+    tracemalloc.start()
+    assert [x["template"] for x in index.scan(words)] == ["mit-grant"]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(words) > 1_000_000 and most < 100 << 20
