@@ -5,9 +5,10 @@ worker keeps a distinct-word table.  The tokenizer's model encodes a word when t
 of all words of a text are then joined back by position (gathers over an Arrow dictionary's indices).  Decoding joins ids with the id-to-piece table, whose
 size is the vocabulary's, and puts the pieces' bytes together.
 
-The table belongs to a worker, not to the cluster.  A table of the whole corpus would have to be joined
-with every word occurrence, which moves more bytes than the documents have; the worker's table
-gives the same ids, needs no shuffle, has a bounded size and is rebuilt when an executor is lost.
+That table belongs to a worker, not to the cluster.  A table of the whole corpus has to be joined with every word occurrence, which
+moves more bytes than the documents have (README: figures); the worker's table gives the same ids, needs no shuffle, has a
+bounded size and is rebuilt when an executor is lost.  ``encode_by_table`` and ``decode_by_table`` are the form with cluster-wide tables: each distinct
+word of the corpus is encoded once, occurrences are joined with the table and put back by position, and ids are joined with the piece table.
 
 Defined results: null text counts as empty (no ids, empty decoded text); repeated rows and ids are
 encoded one by one; an empty table gives an empty table; further columns are carried along, but a
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkweave.llm._text import by_bytes, by_length
-from linkweave.session import table
+from linkweave.session import materialize, table
 
-#: Words in a worker's table; beyond it, the half that was met most often stays.
-TABLE_WORDS = 300_000
+#: Words in a worker's table, and characters of them; beyond either, the half that was met most often stays.
+TABLE_WORDS, TABLE_CHARS = 150_000, 4 << 20
 
 #: Pre-tokenisation pattern of the byte-level vocabulary (fixed value), for Java's regex with Unicode classes.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -80,6 +81,7 @@ class WordTable:
         self.special = special_ids(path)
         self.most = most
         self.slots: dict[str, int] = {}
+        self.chars = 0
         self.ids = np.empty(1 << 16, np.uint32)
         self.offsets = np.zeros(1 << 14, np.int64)
         self.met = np.zeros(1 << 14, np.int64)
@@ -91,8 +93,11 @@ class WordTable:
         return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
 
     def _shrink(self) -> None:
-        stay = np.sort(np.argsort(-self.met[: len(self.slots)], kind="stable")[: self.most // 2])
         words = list(self.slots)
+        ordered = np.argsort(-self.met[: len(words)], kind="stable")[: self.most // 2]
+        sizes = np.cumsum([len(words[k]) for k in ordered.tolist()])
+        stay = np.sort(ordered[sizes <= TABLE_CHARS // 2])
+        self.chars = int(sizes[len(stay) - 1]) if len(stay) else 0
         lengths = self.offsets[stay + 1] - self.offsets[stay]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
@@ -103,7 +108,7 @@ class WordTable:
         self.slots = {words[k]: i for i, k in enumerate(stay.tolist())}
 
     def slots_of(self, words: list[str]) -> np.ndarray:
-        if len(self.slots) > self.most:
+        if len(self.slots) > self.most or self.chars > TABLE_CHARS:
             self._shrink()
         get = self.slots.get
         out = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
@@ -111,6 +116,7 @@ class WordTable:
         if len(missing):
             first = len(self.slots)
             new = [words[k] for k in missing.tolist()]
+            self.chars += sum(map(len, new))
             encoded = [self.encode_word(w) for w in new]
             lengths = np.fromiter(map(len, encoded), np.int64, len(new))
             begin, end = self.offsets[first], self.offsets[first] + lengths.sum()
@@ -203,10 +209,9 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids_le", tokenizer: st
 
 def ids_array(ids: Column) -> Column:
     """array<int> from the binary form of ids (for ids below 2**31)."""
-    hexed = F.hex(ids)
-    at = lambda k, i: F.substring(hexed, i * F.lit(8) + F.lit(1 + 2 * k), F.lit(2))
-    count = (F.octet_length(ids) / 4).cast("int")
-    return F.when(count == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.conv(F.concat(at(3, i), at(2, i), at(1, i), at(0, i)), 16, 10).cast("int")))
+    parts = F.regexp_extract_all(F.hex(ids), F.lit("(..)(..)(..)(..)"), F.lit(0))
+    byte = lambda x, k: F.substring(x, 2 * k + 1, 2)
+    return F.transform(parts, lambda x: F.conv(F.concat(byte(x, 3), byte(x, 2), byte(x, 1), byte(x, 0)), 16, 10).cast("int"))
 
 
 def piece_table(path: str) -> list[bytes]:
@@ -223,20 +228,59 @@ def piece_table(path: str) -> list[bytes]:
 
 
 def decode(df: DataFrame, ids: str = "ids_le", out: str = "decoded", tokenizer: str | None = None, keep_ids: bool = True) -> DataFrame:
-    """Adds ``out``: the text of the ids, special tokens included; bytes that aren't UTF-8 become U+FFFD."""
+    """Adds ``out``: the text of the ids, special tokens included; bytes that aren't UTF-8 become U+FFFD.
+
+    The join with the piece table is a gather, as the ids are its row numbers."""
     path = tokenizer or default_tokenizer()
     drop = set() if keep_ids else {ids}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = piece_table(path)
+        pieces = pa.array(piece_table(path), pa.large_binary())
         for whole in batches:
             for batch in by_bytes(whole, ids):
-                texts = [b"".join(map(pieces.__getitem__, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
-                yield _with_columns(batch, drop, {out: pa.array(texts, pa.string())})
+                rows = [np.frombuffer(x or b"", "<u4") for x in batch.column(ids).to_pylist()]
+                ends = np.cumsum([0, *map(len, rows)])
+                found = pieces.take(pa.array(np.concatenate(rows)))
+                joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), found), pa.scalar(b"", pa.large_binary()))
+                try:
+                    texts = joined.cast(pa.large_string()).cast(pa.string())
+                except pa.ArrowInvalid:
+                    texts = pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
+                yield _with_columns(batch, drop, {out: texts})
 
     return df.mapInArrow(run, _schema(df, drop, [T.StructField(out, T.StringType())]))
 
 
+def encode_by_table(df: DataFrame, text: str = "text", out: str = "ids_le", tokenizer: str | None = None) -> DataFrame:
+    """``encode`` with one distinct-word table for the corpus: the occurrences of its words are joined with it and put back by position."""
+    path = tokenizer or default_tokenizer()
+    kept = [c for c in df.columns if c != out]
+    rows = materialize(df.select(*kept).withColumns({"__words": split_words(F.col(text), list(special_ids(path))), "__row": F.monotonically_increasing_id()}), "bpe-words")
+    placed = rows.select("__row", F.posexplode("__words").alias("at", "word"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table_of = WordTable(path, 0)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array([table_of.encode_word(w) for w in batch.column("word").to_pylist()], pa.list_(pa.int64()))], names=["word", "ids"])
+
+    encoded = placed.select("word").distinct().mapInArrow(run, "word string, ids array<bigint>")
+    joined = placed.join(encoded, "word").groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("__placed"))
+    little = lambda i: F.unhex(F.regexp_replace(F.lpad(F.hex(i), 8, "0"), "(..)(..)(..)(..)", "$4$3$2$1"))
+    ids = F.transform(F.flatten(F.transform("__placed", lambda x: x["ids"])), little)
+    put = F.coalesce(F.aggregate(ids, F.lit("").cast("binary"), lambda a, x: F.concat(a, x)), F.lit("").cast("binary"))
+    return rows.join(joined, "__row", "left").select(*kept, put.alias(out))
+
+
+def decode_by_table(df: DataFrame, ids: str = "ids_le", out: str = "decoded", tokenizer: str | None = None) -> DataFrame:
+    """``decode`` of a table with unique ``doc_id`` by a join of the ids with the id-to-piece table."""
+    spark = df.sparkSession
+    pieces = spark.createDataFrame(enumerate(piece_table(tokenizer or default_tokenizer())), "id int, piece binary")
+    placed = df.select("doc_id", F.posexplode(ids_array(F.col(ids))).alias("at", "id"))
+    texts = placed.join(pieces, "id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("__placed"))
+    text = F.coalesce(F.aggregate("__placed", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["piece"])), F.lit("").cast("binary"))
+    return df.join(texts, "doc_id", "left").select(*(c for c in df.columns if c != out), text.cast("string").alias(out))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: digests of ids and of decoded text for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -27,6 +27,23 @@ def test_table_that_starts_anew_gives_the_same_ids(spark):
     assert small == {r.doc_id: r.ids_le for r in bpe.encode(df).collect()}
 
 
+def test_table_of_few_characters_gives_the_same_ids(spark, monkeypatch):
+    table = bpe.WordTable(bpe.default_tokenizer(), 100)
+    lib = Tokenizer.from_file(bpe.default_tokenizer())
+    monkeypatch.setattr(bpe, "TABLE_CHARS", 30)
+    for words in (["abc", "de" * 40], ["abc", "x"], ["y", "de" * 40, "abc"], [], ["z"]):
+        import pyarrow as pa
+
+        got = table.join(pa.array([words, words[:1]], pa.list_(pa.string())))
+        assert [x.tolist() for x in got] == [[i for w in ws for i in lib.encode(w, add_special_tokens=False).ids] for ws in (words, words[:1])]
+
+
+def test_cluster_wide_tables_give_the_same_ids_and_texts(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    want = {r.doc_id: (r.ids_le, r.decoded) for r in bpe.decode(bpe.encode(df)).collect()}
+    assert {r.doc_id: (r.ids_le, r.decoded) for r in bpe.decode_by_table(bpe.encode_by_table(df)).collect()} == want
+
+
 def test_end_id_clashing_names_and_empty_table(spark):
     df = spark.createDataFrame([(1, "x", b"old", None)], "doc_id long, text string, ids_le binary, lang string")
     got = bpe.encode(df, end_id=2).collect()[0]
