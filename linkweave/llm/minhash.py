@@ -11,15 +11,17 @@ numbers of ticks, so that sums don't depend on their order.
 Signatures of 216 places make 36 bands of 6: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**6)**36 > 0.99998.
 
 Equal texts are one node.  Nodes that share a band form a bucket; a bucket is never expanded to pairs.  Instead:
-1. Each bucket's hub (the node with the most company over all buckets) is compared with the bucket's other nodes.  Pairs are verified by
-   the exact overlap of their multisets, and verified links give components.  This settles groups of copies in as many pairs as they have members.
-2. Buckets that still hold several components are cut into blocks; inside a task, pairs of blocks are compared by an 8-bit
-   sketch of the signature, pairs of different components whose estimate comes within 4.5 deviations of the threshold are verified there, and
-   only verified links leave the task.
+1. Each bucket's hub (the node whose hash is least, mostly the same one for all buckets of a group) is paired with the bucket's other nodes.  Pairs
+   are verified by the exact overlap of their multisets; a hub's pairs are dealt to tasks by salts, and each task gets the hub's text once. Verified links
+   give components.  This settles groups of copies in as many pairs as they have members.
+2. In buckets that still hold several components, nodes of different components are compared by an 8-bit sketch of the signature, without
+   their texts: block by block, where nodes of the bucket's largest component meet only nodes outside it.  Pairs whose estimate comes within 4.5
+   deviations of the threshold are candidates.  First a task puts out a spanning forest of its candidates only; where all of
+   them prove to be links, the others are within components.  Else the candidates that are left between different components are all verified.
 Classes are the components of all verified links: no link between different texts is lost, but for the stated probabilities.
 
 Defined results: null text equals the empty text; texts without words are like their equals only; repeated rows are all returned, with one class; a class has the
-least doc_id of its rows as id (null if it has none else); an empty table gives an empty table.  Other columns are not read.
+least doc_id of its rows as id (null if it has none else); an empty table gives an empty table.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,13 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.llm._text import WordHashes, by_bytes, mix64, shingles, weighted_jaccard
-from linkweave.session import materialize, table
+from linkweave.session import discard, materialize, table
 
 BANDS, ROWS = 36, 6
 PLACES = BANDS * ROWS
 THRESHOLD = 0.8
-#: Nodes in a block of a bucket.
-BLOCK = 256
+#: Nodes in a block of a bucket; parts that a hub's pairs are dealt to.
+BLOCK, SALTS = 1024, 512
 #: Deviations below the threshold at which a sketch still counts.
 DEVIATIONS = 4.5
 _TICKS = float(1 << 40)
@@ -139,7 +141,7 @@ def sign(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for whole in batches:
-            for batch in by_bytes(whole, "text", 1 << 20):
+            for batch in by_bytes(whole, "text", 1 << 19):
                 bags = [np.unique(shingles(hashes.of(x)), return_counts=True) for x in batch.column("text").to_pylist()]
                 sizes = [len(h) for h, _ in bags]
                 signature = signatures(np.repeat(np.arange(len(bags)), sizes), np.concatenate([h for h, _ in bags]), np.concatenate([n for _, n in bags]), len(bags))
@@ -154,27 +156,30 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (a, b) of keys, those whose multisets overlap by ``threshold`` or more, with the similarity."""
-    left = texts.select(F.col("key").alias("a"), F.col("text").alias("a_text"))
-    right = texts.select(F.col("key").alias("b"), F.col("text").alias("b_text"))
+    """Of pairs (a, b) of keys, those whose multisets overlap by ``threshold`` or more, with the similarity.
+
+    The pairs of one ``a`` are dealt by salts; in each part its text comes first, as a row without ``b``, and the others follow."""
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
+    members = salted.join(texts.select(F.col("key").alias("b"), "text"), "b").select("a", "salt", "b", "text")
+    firsts = salted.select("a", "salt").distinct().join(texts.select(F.col("key").alias("a"), "text"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "text")
+    dealt = members.unionByName(firsts).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        last, bag = None, np.empty(0, np.uint64)
+        bag = np.empty(0, np.uint64)
         for whole in batches:
-            for batch in by_bytes(whole, "b_text"):
-                a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            for batch in by_bytes(whole, "text"):
                 rows = []
-                for i, (x, y, text) in enumerate(zip(a, b, batch.column("b_text").to_pylist(), strict=True)):
-                    if x != last:
-                        last, bag = x, shingles(hashes.of(batch.column("a_text")[i].as_py()))
-                    similarity = weighted_jaccard(bag, shingles(hashes.of(text)))
-                    if similarity >= threshold:
+                for x, y, text in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text")), strict=True):
+                    other = shingles(hashes.of(text))
+                    if y is None:
+                        bag = other
+                    elif (similarity := weighted_jaccard(bag, other)) >= threshold:
                         rows.append((x, y, similarity))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.float64()), strict=True)], names=["a", "b", "similarity"])
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "a_text", "b_text").mapInArrow(run, "a binary, b binary, similarity double")
+    return dealt.mapInArrow(run, "a binary, b binary, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -187,60 +192,81 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = edges.join(labels.select(F.col("key").alias("b"), "component"), "b").groupBy(F.col("a").alias("key")).agg(F.min("component").alias("next"), F.min(F.when(F.col("a") == F.col("b"), F.col("component"))).alias("was"))
         jump = labels.select(F.col("key").alias("next"), F.col("component").alias("further"))
-        after = materialize(near.join(jump, "next").select("key", F.col("further").alias("component"), (F.col("further") != F.col("was")).alias("changed")), "labels")
-        labels = after.drop("changed")
-        if after.filter("changed").isEmpty():
+        labels = materialize(near.join(jump, "next").select("key", F.col("further").alias("component"), (F.col("further") != F.col("was")).alias("changed")), "labels", instead_of=labels)
+        if labels.filter("changed").isEmpty():
+            discard(edges)
             return labels
 
 
-def _block_links(members: DataFrame, threshold: float) -> DataFrame:
-    """Verified links (a, b) between different components within a bucket.
-
-    ``members``: bucket, band, key, component, sketch, bands, text, n (members of the bucket).  A pair is looked at in the first band
-    that it shares, and only if its sketches come near the threshold; nodes that a task has linked aren't compared again."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK).cast("int"))
-    mine = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    # Each member goes to every pair of blocks that its own block is in.
-    dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "key", "component", "sketch", "bands", "text"
-    )
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links between nodes."""
+    of = lambda side: found.select(F.col("key").alias(side), F.col("component").alias(f"{side}_part"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b")).distinct()
+    joined = components(between).select("key", F.col("component").alias("whole"))
+    known = found.select("key", "component").unionByName(joined.select("key", F.col("key").alias("component"))).dropDuplicates(["key"])
+    return materialize(known.join(joined.withColumnRenamed("key", "component"), "component", "left").select("key", F.coalesce("whole", "component").alias("component")), "components")
+
+
+def candidates(shared: DataFrame, found: DataFrame, nodes: DataFrame, threshold: float, forest: bool) -> DataFrame:
+    """Pairs (a < b) of nodes of one bucket and different components whose sketches come near the threshold.
+
+    ``forest``: of the pairs that a task sees, only as many as connect the same components."""
+    placed = shared.select("bucket", "key").join(found.select("key", "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    placed = placed.withColumn("part", F.xxhash64("component"))
+    parts = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max("n").alias("inner"), F.max_by("part", "n").alias("largest")).filter("parts > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    mine = placed.join(mixed, "bucket").withColumns({"in": F.col("part") == F.col("largest"), "rows": blocks(F.col("inner")), "columns": blocks(F.col("n") - F.col("inner"))})
+    mine = mine.withColumn("own", F.pmod(F.xxhash64("key", F.lit(1)), F.when(F.col("in"), F.col("rows")).otherwise(F.col("columns"))).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda kind, i, j, first: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), first.alias("first"))
+    own = F.col("own")
+    # A node of the largest component meets all blocks outside it; the others meet those as well, and one another.
+    inside = F.transform(every(F.col("columns")), lambda j: cell(0, own, j, F.lit(True)))
+    across = F.transform(every(F.col("rows")), lambda i: cell(0, i, own, F.lit(False)))
+    among = F.transform(every(F.col("columns")), lambda j: cell(1, F.least(own, j), F.greatest(own, j), own <= j))
+    dealt = mine.withColumn("cell", F.explode(F.when(F.col("in"), inside).otherwise(F.concat(across, among)))).select("bucket", "cell.*", "key", "component")
+    dealt = dealt.join(nodes.select("key", "sketch"), "key")
     least = threshold - DEVIATIONS * (threshold * (1 - threshold) / PLACES) ** 0.5
     agree = int(np.floor((least + (1 - least) / 256) * PLACES))
 
     def compare(group: pa.Table) -> pa.Table:
-        own, i, j, band = (group.column(c).to_numpy() for c in ("own", "i", "j", "band"))
-        keys, parts, texts = group.column("key").to_pylist(), group.column("component").to_pylist(), group.column("text")
+        keys, parts = group.column("key").to_pylist(), group.column("component").to_pylist()
+        number = {p: k for k, p in enumerate(set(parts))}
+        of = np.array([number[p] for p in parts])
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, PLACES)
-        bands = group.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
-        hashes, bags = WordHashes(), {}
-        joined: dict[bytes, bytes] = {}
-
-        def part(k: int) -> bytes:
-            p = parts[k]
-            while p in joined:
-                p = joined[p]
-            return p
-
-        def bag(k: int) -> np.ndarray:
-            if k not in bags:
-                bags[k] = shingles(hashes.of(texts[k].as_py()))
-            return bags[k]
-
-        a, b = [], []
-        right = np.flatnonzero(own == j)
-        for x in np.flatnonzero(own == i):
-            alike = (sketch[right] == sketch[x]).sum(1)
-            near = right[alike >= agree]
-            near = near[np.argsort(-alike[alike >= agree], kind="stable")]
-            near = near[(bands[near] == bands[x]).argmax(1) == band[x]]
-            for y in near:
-                if (i[0] != j[0] or keys[x] < keys[y]) and part(x) != part(y) and weighted_jaccard(bag(x), bag(y)) >= threshold:
-                    a.append(keys[x])
-                    b.append(keys[y])
-                    joined[part(x)] = part(y)
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary")
+        first = group.column("first").to_numpy()
+        one = group.column("kind")[0].as_py() == 1 and group.column("i")[0] == group.column("j")[0]  # a block with itself
+        right = np.arange(len(keys)) if one else np.flatnonzero(~first)
+        x, y, alike = [], [], []
+        for k in np.flatnonzero(first).tolist():
+            others = right[right > k] if one else right
+            others = others[of[others] != of[k]]
+            same = (sketch[others] == sketch[k]).sum(1)
+            near = same >= agree
+            x.append(np.full(near.sum(), k))
+            y.append(others[near])
+            alike.append(same[near])
+        x, y, alike = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (x, y, alike))
+        if forest:
+            root = list(range(len(number)))
+
+            def top(k: int) -> int:
+                while root[k] != k:
+                    root[k] = k = root[root[k]]
+                return k
+
+            kept = []
+            for k in np.argsort(-alike, kind="stable").tolist():
+                p, q = top(of[x[k]]), top(of[y[k]])
+                if p != q:
+                    root[p] = q
+                    kept.append(k)
+            x, y = x[kept], y[kept]
+        pairs = [sorted((keys[i], keys[j])) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+
+    return dealt.groupBy("bucket", "kind", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
 
 
 def classify(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -248,39 +274,36 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(sign(docs), "signatures")
     nodes = signed.filter(F.size("bands") > 0).dropDuplicates(["key"])
-    placed = nodes.select("key", F.posexplode("bands").alias("band", "bucket")).repartition("bucket")
-    shared = materialize(placed.join(placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket"), "buckets")
-    degree = shared.groupBy("key").agg(F.sum("n").alias("degree"))
-    company = shared.join(degree, "key")
-    hubs = company.groupBy("bucket").agg(F.max(F.struct("degree", "key")).alias("hub")).select("bucket", F.col("hub.key").alias("a"))
-    first = shared.join(hubs, "bucket").filter(F.col("a") != F.col("key")).select("a", F.col("key").alias("b")).distinct()
+    placed = nodes.select("key", F.xxhash64("key").alias("order"), F.explode("bands").alias("bucket"))
+    sizes = materialize(placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("order").alias("least")).filter("n > 1").select("bucket", "least"), "buckets")
+    shared = materialize(placed.join(sizes, "bucket").select("bucket", "key", (F.col("order") == F.col("least")).alias("hub")), "shared", instead_of=sizes)
+    hubs = shared.filter("hub").select("bucket", F.col("key").alias("a"))
+    first = shared.filter("not hub").join(hubs, "bucket").select("a", F.col("key").alias("b")).distinct()
     keyed = docs.select(text_key(F.col("text")).alias("key"), "text")
-    texts = materialize(keyed.join(degree.select("key"), "key", "left_semi").dropDuplicates(["key"]), "texts")
-    found = materialize(components(verify(first, texts, threshold)), "components")
-    with_part = shared.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = with_part.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("bucket")
-    # Components that meet in a mixed bucket, with what is needed to compare their nodes
-    left = with_part.join(mixed, "bucket").join(nodes.select("key", "sketch", "bands"), "key").join(texts, "key")
-    links = materialize(_block_links(left, threshold).distinct(), "links")
+    texts = materialize(keyed.join(shared.select("key"), "key", "left_semi").dropDuplicates(["key"]), "texts")
+    found = components(verify(first, texts, threshold))
+    pairs = materialize(candidates(shared, found, nodes, threshold, forest=True), "pairs")
+    links = materialize(verify(pairs, texts, threshold), "links")
     if not links.isEmpty():
-        # The components found so far are the nodes now.
-        of = lambda side: found.select(F.col("key").alias(side), F.col("component").alias(f"{side}_part"))
-        between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b")).distinct()
-        merged = components(between).withColumnRenamed("component", "whole")
-        known = found.unionByName(merged.select("key", F.col("key").alias("component"))).dropDuplicates(["key"])
-        found = known.join(merged.withColumnRenamed("key", "component"), "component", "left").select("key", F.coalesce("whole", "component").alias("component"))
-    rows = signed.select("doc_id", "key").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    classes = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.min_by("key", "doc_id").alias("class_key"))
-    return rows.join(classes, "component").select("doc_id", "key", "class_id", F.coalesce("class_key", "component").alias("class_key"))
+        found = merged(found, links)
+    if links.count() < pairs.count():
+        links = materialize(verify(candidates(shared, found, nodes, threshold, forest=False).join(pairs, ["a", "b"], "left_anti"), texts, threshold), "links", instead_of=links)
+        if not links.isEmpty():
+            found = merged(found, links)
+    discard(shared, texts, pairs, links)
+    rows = signed.select("doc_id", "key").join(found.select("key", "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    classes = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(classes, "component").select("doc_id", "key", "component", "class_id")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class: the one with the least doc_id, all columns as they are."""
+    """One row of each class: one with the least doc_id, all columns as they are."""
+    name = lambda doc_id: F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("null"))
     of = classify(docs.select("doc_id", "text"), threshold)
-    best = of.filter((F.col("key") == F.col("class_key")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).select("key", F.col("class_id")).distinct()
-    keyed = docs.withColumn("__key", text_key(F.col("text")))
-    kept = keyed.join(best, (F.col("__key") == F.col("key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("class_id")), "left_semi")
-    return kept.dropDuplicates(["__key"]).drop("__key")
+    best = of.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("component").agg(F.min("key").alias("__near_key"), F.min("doc_id").alias("least")).select("__near_key", name("least").alias("__near_id"))
+    keyed = docs.withColumns({"__near_key": text_key(F.col("text")), "__near_id": name("doc_id")})
+    # The rows of a key and id are together after the join, so repeated ones go without another exchange.
+    return keyed.join(best, ["__near_key", "__near_id"], "left_semi").dropDuplicates(["__near_key", "__near_id"]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

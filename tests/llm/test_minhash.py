@@ -79,6 +79,23 @@ def test_signature_depends_on_the_text_alone():
     assert (alone[0] == many[0]).all() and (alone[0] == many[2]).all() and (minhash.signatures(np.zeros(0, int), element[:0], weight[:0], 2) == minhash._NEVER).all()
 
 
+def test_keep_one_with_clashing_columns(spark):
+    rows = [(2, "a b c d e f g h", "q", 1), (1, "a b c d e f g h", None, 2), (7, "other words in this text here", "z", 3)]
+    names = "key class_id component hub a b bands sketch bucket text_key order n".split()
+    df = spark.createDataFrame([(*r[:2], *[str(r[3])] * len(names)) for r in rows], ["doc_id", "text", *names])
+    kept = minhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 7]
+
+
+def test_blocks_of_mixed_buckets(spark, monkeypatch):
+    """Small blocks: many cells; texts that share a long passage fall into common buckets without being near copies."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    passage = rng.choices(WORDS, k=150)
+    rows = [" ".join(rng.choices(WORDS, k=60) + passage) for _ in range(40)] + [" ".join(edited(passage, 3)) for _ in range(15)] + [" ".join(edited(passage, k % 9)) for k in range(30)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.class_id for r in minhash.classify(df).collect()} == brute(rows)
+
+
 def test_keep_one_keeps_columns_null_ids_repeated_rows(spark):
     rows = [(5, "a b c d e f g h", "q"), (3, "a b c d e f g h", None), (3, "a b c d e f g h", None), (None, "no id", "z"), (None, "no id", "z"), (9, None, "e")]
     df = spark.createDataFrame(rows, "doc_id long, text string, bucket string")
