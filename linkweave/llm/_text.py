@@ -16,6 +16,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 #: Text bytes that are worked on at once, so that temporary arrays stay small however large a batch is.
 SLICE_BYTES = 2 << 20
 
+#: Words of which a task remembers the hashes (about 20 MB).
+WORDS_HELD = 100_000
+
 _C1 = np.uint64(0x9E3779B97F4A7C15)
 _C2 = np.uint64(0xBF58476D1CE4E5B9)
 _C3 = np.uint64(0x94D049BB133111EB)
@@ -57,10 +60,23 @@ def by_length(batch: pa.RecordBatch, column: str, limit: int = 400_000) -> Itera
         start = stop
 
 
+_BLANK, _BLANK_BYTE = re.compile(r"[ \t-\r]"), re.compile(rb"[ \t-\r]")
+
+
+def pieces(text, blank: re.Pattern, size: int = 1 << 20) -> Iterator:
+    """The text (str or bytes) in pieces of about ``size``, cut before white space only, so that the words of a very long text are never all objects at once."""
+    at = 0
+    while at < len(text):
+        cut = blank.search(text, at + size) if len(text) - at > size else None
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash, filled on demand; forgotten when it has grown to ``most`` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = WORDS_HELD):
         super().__init__()
         self.most = most
 
@@ -71,13 +87,13 @@ class WordHashes(dict):
 
     def of(self, text: str | None, lower: bool = False) -> np.ndarray:
         """Hashes of the words of a text: maximal runs without the characters 0x20 and 0x09-0x0D."""
-        if not text:
-            return np.empty(0, np.uint64)
-        raw = text.encode()
-        words = (raw.lower() if lower else raw).split()
-        if len(self) > self.most:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        parts = [np.empty(0, np.uint64)]
+        for piece in pieces((text or "").encode(), _BLANK_BYTE):
+            words = (piece.lower() if lower else piece).split()
+            if len(self) > self.most:
+                self.clear()
+            parts.append(np.fromiter(map(self.__getitem__, words), np.uint64, len(words)))
+        return np.concatenate(parts) if len(parts) != 2 else parts[1]
 
 
 def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
@@ -98,7 +114,7 @@ _TERM = re.compile(r"[^\W_]+")
 class TermHashes(dict):
     """Hashes of normalised words: runs of letters and digits in lower case."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = WORDS_HELD):
         super().__init__()
         self.most = most
 
@@ -108,12 +124,13 @@ class TermHashes(dict):
         return h
 
     def of(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint64)
-        terms = _TERM.findall(text.lower())
-        if len(self) > self.most:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, terms), np.uint64, len(terms))
+        parts = [np.empty(0, np.uint64)]
+        for piece in pieces((text or "").lower(), _BLANK):
+            terms = _TERM.findall(piece)
+            if len(self) > self.most:
+                self.clear()
+            parts.append(np.fromiter(map(self.__getitem__, terms), np.uint64, len(terms)))
+        return np.concatenate(parts) if len(parts) != 2 else parts[1]
 
 
 def found_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:

@@ -28,6 +28,8 @@ from linkweave.session import table
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
+#: Text bytes that are worked on at once; a code point takes some ten numbers meanwhile.
+SLICE = 1 << 19
 #: Added to every bucket's count.
 SMOOTHING = 0.5
 
@@ -84,7 +86,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         sums: dict[str, np.ndarray] = {}
         docs_of: dict[str, int] = {}
         for whole in batches:
-            for batch in by_bytes(whole, "text"):
+            for batch in by_bytes(whole, "text", SLICE):
                 langs = batch.column("lang").to_pylist()
                 names = sorted(set(langs))
                 number = np.array([names.index(x) for x in langs])
@@ -127,7 +129,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", label: str = "lan
         names = np.array([*model.languages, UNDETERMINED], object)
         bounded = np.clip(model.log_probability + np.float32(np.log(BUCKETS)), -1, 1) if fit else None
         for whole in batches:
-            for batch in by_bytes(whole, text):
+            for batch in by_bytes(whole, text, SLICE):
                 texts, n = batch.column(text).to_pylist(), batch.num_rows
                 known = np.fromiter((bool(x) and any(map(str.isalpha, x)) for x in texts), bool, n)
                 best, sure, fits, grams_of = np.full(n, len(model.languages)), np.zeros(n), np.zeros(n), np.zeros(n)

@@ -7,7 +7,7 @@ size is the number of features.  Ridge scores of the labelled rows are then coun
 pool-adjacent-violators method makes the share of label 1 monotone over the bins, and scores are read off between the blocks.
 
 Defined results: null text counts as empty; every row gets a score, also empty texts and repeated rows; rows
-with null label aren't learnt from; with labels of one kind only, or none, every score is the share of label 1 (0.5 without labels);
+with null label aren't learnt from, and neither are rows without an id; where an id occurs in several rows or labels, each row counts with each label of its id; with labels of one kind only, or none, every score is the share of label 1 (0.5 without labels);
 other columns are never read.
 """
 
@@ -15,15 +15,16 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from linkweave.llm._text import WordHashes, add_column, by_bytes, shingles
+from linkweave.llm._text import WordHashes, by_bytes, shingles
 from linkweave.session import materialize, table
 
 #: Random features, width of the kernel in standardised units, ridge penalty for each labelled row.
@@ -210,13 +211,18 @@ def predict(rows: DataFrame, model: Model, stats: str = "stats", score: str = "s
 
 
 def score_texts(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """Adds the score of each text in one pass, with all columns kept."""
+    """Adds (or replaces) the score of each text in one pass, with all columns kept; a slice of texts goes through the model at once."""
+    kept = [f for f in docs.schema.fields if f.name != out]
+    schema = T.StructType([*kept, T.StructField(out, T.DoubleType())])
 
-    def prepare() -> Callable[[str | None], float]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        return lambda value: float(model.score(np.array([statistics_of(value, hashes)]))[0])
+        for whole in batches:
+            for batch in by_bytes(whole, text):
+                scores = model.score(np.array([statistics_of(x, hashes) for x in batch.column(text).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(scores, pa.float64())], names=schema.fieldNames())
 
-    return add_column(docs, text, out, "double", prepare)
+    return docs.mapInArrow(run, schema)
 
 
 def held_out() -> F.Column:

@@ -9,8 +9,8 @@ payload of every other record is: u8 flags (1: the document has no id; 2: ids ta
 of two) | i64 document id | ids.  The mask rotates the checksum right by 15 bits and adds a constant, so
 that the checksum of data that holds checksums stays sound.
 
-Documents are dealt to files by ranges of their id and sorted within them, so the file numbers give the
-global ascending order (null ids first; rows with one id by their text).  Spark's own text writer puts
+Documents are dealt to files by ranges of their id and of the first characters of their text, and sorted by id and text, so the file numbers give the
+global ascending order (null ids first; rows with one id by their text: even one id's rows can be dealt to several files).  Spark's own text writer puts
 the raw bytes out (a record's last byte is the writer's line separator), hence its commit protocol holds and any
 store works that Spark can write to.  The offset index is a separate parquet table with a row for each record:
 file, number of the record, document id, offset, length and number of ids.  ``read_at`` reads
@@ -105,7 +105,7 @@ def write_records(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     """Encode ``docs`` and write record files to ``path/data`` and the offset index to ``path/index``."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = docs.repartitionByRange(file_count(docs, bytes_per_file), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.repartitionByRange(file_count(docs, bytes_per_file), "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     end = np.array([] if end_id is None else [end_id], np.uint32)
 
     def finish(batch: pa.RecordBatch, ids: list[np.ndarray]) -> dict[str, pa.Array]:
