@@ -24,15 +24,15 @@ def strip_model_suffixes(name: Column) -> Column:
 def hook_path(hook: Column) -> Column:
     """Path of a generated query hook: /kebab-case of the bare name."""
     bare = F.element_at(F.split(hook, r"\."), -1)
-    for pattern in ("^(use)+", "(Query)+$", "(Mutation)+$", "(ById)+$", "^(Lazy)+"):
+    for pattern in ("^(use)+", "(Query)+$", "(Mutation)+$", "(ById)+$", "(Lazy)+$"):
         bare = F.regexp_replace(bare, pattern, "")
     return F.concat(F.lit("/"), kebab(bare))
 
 
 def hook_verb(hook: Column) -> Column:
-    low = F.lower(hook)
-    has = lambda *words: low.rlike("|".join(words))
-    return F.when(~hook.contains("Mutation"), "GET").when(has("create", "add"), "POST").when(has("update", "edit", "patch"), "PUT").when(has("delete", "remove"), "DELETE").otherwise("GET")
+    """Verb that the bare name of a hook speaks of, whether it is a query or a mutation."""
+    low = F.lower(F.element_at(F.split(hook, r"\."), -1))
+    return F.when(low.rlike("create|add"), "POST").when(low.rlike("update|edit|patch"), "PUT").when(low.rlike("delete|remove"), "DELETE").otherwise("GET")
 
 
 def verb_of(text: Column) -> Column:
@@ -73,10 +73,6 @@ def handler_of_operation(operation_id: Column) -> Column:
     return F.substring_index(operation_id, ":", -1)
 
 
-def generic_inner(name: Column) -> Column:
-    return F.regexp_extract(name, r"\[(.*)\]", 1)
-
-
 def common_prefix(a: Column, b: Column) -> Column:
     """Number of leading path parts that two paths share."""
     same = F.zip_with(F.split(a, "/"), F.split(b, "/"), lambda x, y: F.coalesce(x == y, F.lit(False)))
@@ -88,4 +84,13 @@ def dot_escape(text: Column) -> Column:
 
 
 def truncate(text: Column, length: int) -> Column:
-    return F.when(F.octet_length(text) > length, F.concat(F.substring(text, 1, length), F.lit("..."))).otherwise(text)
+    """The text cut to ``length`` bytes of UTF-8, at a character's end, and three dots; as it is if it is no longer, or if no character fits."""
+    raw = F.encode(text, "UTF-8")
+    inside = lambda k: F.hex(F.substring(raw, length - k + 1, 1)).between("80", "BF")  # noqa: E731  the byte after the cut goes on with a character
+    back = F.when(~inside(0), 0).when(~inside(1), 1).when(~inside(2), 2).otherwise(3)
+    cut = F.decode(F.substring(raw, F.lit(1), F.lit(length) - back), "UTF-8")
+    return F.when((F.octet_length(text) > length) & (F.lit(length) - back > 0), F.concat(cut, F.lit("..."))).otherwise(text)
+
+
+def function_key(path: Column, name: Column) -> Column:
+    return F.concat(path, F.lit("::"), name)

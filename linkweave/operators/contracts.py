@@ -182,8 +182,9 @@ def type_map_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def type_fit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every type word of the catalogue against every other; the catalogue is a fixed list."""
-    a, b = literal(spark, "type_words").withColumnRenamed("word", "a"), literal(spark, "type_words").withColumnRenamed("word", "b")
-    both = a.join(F.broadcast(b), F.col("a") >= F.lit(""))
+    words = literal(spark, "type_words")
+    every = words.agg(F.collect_list("word").alias("all"))  # one row: the catalogue's words
+    both = words.select(F.col("word").alias("a"), F.lit(1).alias("one")).join(every.withColumn("one", F.lit(1)), "one").select("a", F.explode("all").alias("b"))
     return both.select("a", "b", types.zod_fits_pydantic(F.col("a"), F.col("b")).alias("zod"), types.orm_fits_pydantic(F.col("a"), F.col("b")).alias("orm"), types.pydantic_fits_openapi(F.col("a"), F.col("b")).alias("openapi"))
 
 

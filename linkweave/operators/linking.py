@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkweave.functions import names, types
+from linkweave.functions import frontend, names, types
 from linkweave.plans.fixtures import ctes, literal
 from linkweave.session import table
 
@@ -20,16 +20,27 @@ def first_by(df: DataFrame, key: str | list[str], order: list, drop: str = "__ra
 
 
 def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
-    """Callee of each call by the ladder: same file, same folder, longest common path, least id.  Names match whole or after ``::``.
+    """Callee of each call by the ladder: same file, then the only one, the same folder, the longest common path, the least id.
 
-    Functions are keyed by their last name part, so that this is an equi join; calls that match nothing are left out."""
-    keyed = functions.select(F.element_at(F.split("name", "::"), -1).alias("callee"), F.col("file").alias("there"), "node_id")
+    Names match whole or after ``::``; a dotted name that no function has can still be a class's or another node's name (kind <> Function), the first of them.
+    Functions are keyed by their last name part and by folder, so that this is an equi join.  Of a name's functions, those of one folder differ by file and id
+    only, so a call meets one of each folder and its own file's: a common name costs as many rows as it has folders.  Calls that match nothing are left out."""
     folder = lambda c: F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
-    found = calls.join(keyed, "callee")
-    same_file, same_folder = F.col("file") == F.col("there"), folder(F.col("file")) == folder(F.col("there"))
-    order = [F.desc("same_file"), F.desc("same_folder"), F.desc("shared"), "node_id"]
-    ranked = found.withColumns({"same_file": same_file, "same_folder": same_folder, "shared": names.common_prefix(F.col("file"), F.col("there"))})
-    return first_by(ranked, "call_id", order).select("call_id", "node_id")
+    keyed = functions.select(F.element_at(F.split("name", "::"), -1).alias("callee"), F.col("file").alias("there"), "node_id")
+    in_file = keyed.groupBy("callee", "there").agg(F.min("node_id").alias("node_id"))
+    same = calls.join(in_file.withColumnRenamed("there", "file"), ["callee", "file"]).select("call_id", "node_id")
+    others = calls.join(same, "call_id", "left_anti")
+    in_folder = keyed.withColumn("near", folder(F.col("there"))).groupBy("callee", "near").agg(F.min("node_id").alias("node_id"))
+    found = others.join(in_folder, "callee")
+    ranked = found.withColumns({"same": folder(F.col("file")) == F.col("near"), "shared": names.common_prefix(folder(F.col("file")), F.col("near"))})
+    return same.unionByName(first_by(ranked, "call_id", [F.desc("same"), F.desc("shared"), "node_id"]).select("call_id", "node_id"))
+
+
+def resolve_by_name(calls: DataFrame, functions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``resolve_calls``, and for calls without a function the first node of the name (a class, a method, a schema; never a route or module)."""
+    found = resolve_calls(calls, functions)
+    named = nodes.filter(~F.col("kind").isin("Route", "Module")).groupBy(F.col("name").alias("callee")).agg(F.min("node_id").alias("node_id"))
+    return found.unionByName(calls.join(found, "call_id", "left_anti").join(named, "callee").select("call_id", "node_id"))
 
 
 def usage_to_call(usages: DataFrame, calls: DataFrame) -> DataFrame:
@@ -59,20 +70,25 @@ def compare_fields(zod: DataFrame, pydantic: DataFrame) -> DataFrame:
 
 
 def field_scores(left: DataFrame, right: DataFrame, fits) -> DataFrame:
-    """(left_id, right_id, score): fields that agree by name and type, over the larger number of fields.  Only pairs with a field in common appear."""
+    """(left_id, right_id, score): fields that agree by name and type (and in being optional, where both sides say so), over the larger number of fields.
+
+    Only pairs with a field in common appear."""
     n_left, n_right = left.groupBy("left_id").agg(F.count("*").alias("n")), right.groupBy("right_id").agg(F.count("*").alias("m"))
-    agree = left.join(right, "field").filter(fits(F.col("right_type"), F.col("left_type"))).groupBy("left_id", "right_id").agg(F.count("*").alias("k"))
+    agree = fits(F.col("right_type"), F.col("left_type"))
+    if "left_optional" in left.columns and "right_optional" in right.columns:
+        agree &= F.col("left_optional") == F.col("right_optional")
+    agree = left.join(right, "field").filter(agree).groupBy("left_id", "right_id").agg(F.count("*").alias("k"))
     return agree.join(n_left, "left_id").join(n_right, "right_id").select("left_id", "right_id", F.round(F.col("k") / F.greatest("n", "m"), 6).alias("score"))
 
 
 def link_models(models: DataFrame) -> DataFrame:
-    """Best ORM model of each Pydantic model: 1.0 by name, 0.9 by name without suffixes, else the field score above 0.7."""
-    one = models.select("model_id", "name", "kind").distinct()
-    p, o = one.filter("kind = 'Pydantic'"), one.filter("kind = 'OrmModel'").select(F.col("model_id").alias("orm_id"), F.col("name").alias("orm_name"))
+    """Best ORM model of each Pydantic model that is made from attributes: 1.0 by name, 0.9 by name without suffixes, else the field score above 0.7."""
+    one = models.select("model_id", "name", "kind", "from_attributes").distinct()
+    p, o = one.filter("kind = 'Pydantic' and from_attributes"), one.filter("kind = 'OrmModel'").select(F.col("model_id").alias("orm_id"), F.col("name").alias("orm_name"))
     exact = p.join(o, F.col("name") == F.col("orm_name")).select("model_id", "orm_id", "orm_name", F.lit(1.0).alias("score"))
-    bare = p.withColumn("bare", names.strip_model_suffixes(F.col("name"))).join(o.withColumn("orm_bare", names.strip_model_suffixes(F.col("orm_name"))), F.col("bare") == F.col("orm_bare")).select("model_id", "orm_id", "orm_name", F.lit(0.9).alias("score"))
-    left = models.filter("kind = 'Pydantic'").select(F.col("model_id").alias("left_id"), "field", F.col("field_type").alias("left_type"))
-    right = models.filter("kind = 'OrmModel'").select(F.col("model_id").alias("right_id"), "field", F.col("field_type").alias("right_type"))
+    bare = p.withColumn("bare", names.strip_model_suffixes(F.col("name"))).join(o, F.col("bare") == F.col("orm_name")).select("model_id", "orm_id", "orm_name", F.lit(0.9).alias("score"))
+    left = models.filter("kind = 'Pydantic' and from_attributes").select(F.col("model_id").alias("left_id"), "field", F.col("field_type").alias("left_type"), F.col("optional").alias("left_optional"))
+    right = models.filter("kind = 'OrmModel'").select(F.col("model_id").alias("right_id"), "field", F.col("field_type").alias("right_type"), F.col("optional").alias("right_optional"))
     scored = field_scores(left, right, types.orm_fits_pydantic).filter(F.col("score") > FIELD_SCORE).select(F.col("left_id").alias("model_id"), F.col("right_id").alias("orm_id"), "score").join(o, "orm_id").select("model_id", "orm_id", "orm_name", "score")
     return first_by(exact.unionByName(bare).unionByName(scored), "model_id", [F.desc("score"), "orm_name"]).select("model_id", "orm_id", "score")
 
@@ -92,9 +108,12 @@ def link_components(models: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def best_response(endpoints: DataFrame) -> DataFrame:
-    """Response of each endpoint: 200, then 201, then other 2xx, then default, then the rest, by code."""
-    rank = F.when(F.col("code") == "200", 1).when(F.col("code") == "201", 2).when(F.col("code").startswith("2"), 3).when(F.col("code") == "default", 4).otherwise(5)
-    return first_by(endpoints.withColumn("rank", rank), ["path", "method"], ["rank", "code", "response"]).select("path", "method", "code", "response")
+    """Response of each endpoint: of the codes 2xx, 200 comes first, then 201, then the others in order; without a schema there neither it nor the code is told."""
+    good = F.col("code").startswith("2")
+    rank = F.when(F.col("code") == "200", 1).when(F.col("code") == "201", 2).when(good, 3).otherwise(4)
+    best = first_by(endpoints.withColumn("rank", rank), ["path", "method"], ["rank", "code", "response"])
+    told = good & F.col("response").isNotNull()
+    return best.select("path", "method", F.when(told, F.col("code")).alias("code"), F.when(told, F.col("response")).alias("response"))
 
 
 def routes_in_spec(routes: DataFrame, endpoints: DataFrame) -> DataFrame:
@@ -127,11 +146,14 @@ def expand_routers(calls: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Endpoints of router generators: prefix and path, schemas by the place of arguments."""
     args = F.split("args", ",")
     arg = lambda c: F.nullif(F.get(args, F.col(c)), F.lit(""))
-    return calls.join(F.broadcast(catalogue), "generator").select("call_id", "ord", "method", F.concat("prefix", "path").alias("path"), arg("request_arg").alias("request"), arg("response_arg").alias("response"))
+    return calls.join(catalogue, "generator").select("call_id", "ord", "method", F.concat("prefix", "path").alias("path"), arg("request_arg").alias("request"), arg("response_arg").alias("response"))
+
 
+def classify_calls(calls: DataFrame, sdk: DataFrame) -> DataFrame:
+    """The kind of API call, its verb, path and types: one ordered case expression, the first rule that fits wins.
 
-def classify_calls(calls: DataFrame) -> DataFrame:
-    """The kind of API call, its verb, path and types: one ordered case expression, the first rule that fits wins."""
+    ``sdk``: verb and path of the functions of generated clients, by their name."""
+    calls = calls.join(sdk.select(F.col("name").alias("callee"), F.col("method").alias("sdk_method"), F.col("path").alias("sdk_path")), "callee", "left")
     callee, parts = F.col("callee"), F.split("callee", r"\.")
     generics = F.when(F.col("generics") == "", F.array().cast("array<string>")).otherwise(F.split("generics", r"\|"))
     one, two = F.get(parts, 0), F.get(parts, 1)
@@ -142,11 +164,14 @@ def classify_calls(calls: DataFrame) -> DataFrame:
         ("fetch", callee == "fetch", names.options_verb(F.col("options")), F.col("arg")),
         ("axios", (one == "axios") & (n == 2) & verb2.isNotNull(), verb2, F.col("arg")),
         ("client", one.isin("api", "client", "http", "request") & verb2.isNotNull(), verb2, F.col("arg")),
+        ("base", (F.col("base") == "client") & names.verb_of(F.col("property")).isNotNull(), names.verb_of(F.col("property")), frontend.url_of_argument(F.col("arg"))),
         ("apollo", callee.isin("useQuery", "useMutation") & F.col("arg").rlike("gql|graphql"), F.lit("POST"), F.lit("/graphql")),
         ("tanstack", callee.isin("useQuery", "useMutation"), F.when(mutation, "POST").otherwise("GET"), F.col("arg")),
         ("swr", callee.isin("useSWR", "useSWRMutation"), F.when(mutation, "POST").otherwise("GET"), F.col("arg")),
         ("rtk", hook, names.hook_verb(callee), names.hook_path(callee)),
+        ("trpc", callee.rlike(r"\.use(Query|Mutation)$"), F.when(callee.endswith("Mutation"), "POST").otherwise("GET"), frontend.trpc_path(callee)),
         ("action", callee.startswith("actions."), F.lit("POST"), names.action_path(callee)),
+        ("sdk", F.col("sdk_method").isNotNull(), F.col("sdk_method"), F.col("sdk_path")),
     ]
     pick = lambda k: F.coalesce(*(F.when(rule[1], rule[k] if k else F.lit(rule[0])) for rule in rules))
     response = F.get(generics, 0)
@@ -207,7 +232,7 @@ _one = {
     "spec_link_ladder": lambda s, d: link_components(literal(s, "models"), literal(s, "components")),
     "external_dependencies": lambda s, d: external_modules(literal(s, "imports"), literal(s, "requirements"), literal(s, "installed")),
     "router_generators": lambda s, d: expand_routers(literal(s, "router_calls"), literal(s, "router_catalog")),
-    "api_call_classify": lambda s, d: classify_calls(literal(s, "calls")),
+    "api_call_classify": lambda s, d: classify_calls(literal(s, "calls"), literal(s, "sdk_calls")),
 }
 QUERIES = {
     "name_resolution_ladder": call_query,
@@ -229,17 +254,17 @@ _SUFFIX = "name"
 for _s in names.MODEL_SUFFIXES:
     _SUFFIX = f"regexp_replace({_SUFFIX}, '({_s})+$', '')"
 _HOOK = "string_split(name, '.')[-1]"
-for _p in ("^(use)+", "(Query)+$", "(Mutation)+$", "(ById)+$", "^(Lazy)+"):
+for _p in ("^(use)+", "(Query)+$", "(Mutation)+$", "(ById)+$", "(Lazy)+$"):
     _HOOK = f"regexp_replace({_HOOK}, '{_p}', '')"
 _KEBAB = "lower(regexp_replace(regexp_replace({}, '([A-Z])', '-\\1', 'g'), '^-', ''))"
 _VERBS = "('GET','POST','PUT','PATCH','DELETE','OPTIONS','HEAD')"
-_HOOK_VERB = "CASE WHEN NOT contains({0}, 'Mutation') THEN 'GET' WHEN regexp_matches(lower({0}), 'create|add') THEN 'POST' WHEN regexp_matches(lower({0}), 'update|edit|patch') THEN 'PUT' WHEN regexp_matches(lower({0}), 'delete|remove') THEN 'DELETE' ELSE 'GET' END"
+_HOOK_VERB = "CASE WHEN contains(lower({0}), 'create') OR contains(lower({0}), 'add') THEN 'POST' WHEN contains(lower({0}), 'update') OR contains(lower({0}), 'edit') OR contains(lower({0}), 'patch') THEN 'PUT' WHEN contains(lower({0}), 'delete') OR contains(lower({0}), 'remove') THEN 'DELETE' ELSE 'GET' END"
 _SHARED = "(SELECT count(*) FROM (SELECT unnest(range(1, 20)) AS i) WHERE i <= least(len(a), len(b)) AND list_slice(a, 1, i) = list_slice(b, 1, i))"
 _CLEAN = "nullif(regexp_replace({}, '^/+|/+$', '', 'g'), '')"
 
 ORACLE_SQL = {
     "name_resolution_ladder": ctes("python_calls", "functions")
-    + ", k AS (SELECT call_id, node_id, c.file AS x, f.file AS y, string_split(c.file, '/') AS a, string_split(f.file, '/') AS b FROM python_calls c JOIN functions f ON callee = string_split(name, '::')[-1]) SELECT call_id, node_id FROM (SELECT call_id, node_id, row_number() OVER (PARTITION BY call_id ORDER BY x = y DESC, regexp_extract(x, '^(.*)/[^/]*$', 1) = regexp_extract(y, '^(.*)/[^/]*$', 1) DESC, "
+    + ", k AS (SELECT call_id, node_id, c.file AS x, f.file AS y, string_split(regexp_extract(c.file, '^(.*)/[^/]*$', 1), '/') AS a, string_split(regexp_extract(f.file, '^(.*)/[^/]*$', 1), '/') AS b FROM python_calls c JOIN functions f ON callee = string_split(name, '::')[-1]) SELECT call_id, node_id FROM (SELECT call_id, node_id, row_number() OVER (PARTITION BY call_id ORDER BY x = y DESC, regexp_extract(x, '^(.*)/[^/]*$', 1) = regexp_extract(y, '^(.*)/[^/]*$', 1) DESC, "
     + _SHARED
     + " DESC, node_id) AS r FROM k) WHERE r = 1",
     "zod_usage_asof_call": ctes("usages", "api_calls") + " SELECT usage_id, call_id, call_line FROM (SELECT usage_id, call_id, c.line AS call_line, row_number() OVER (PARTITION BY usage_id ORDER BY c.line, call_id) AS r FROM usages u JOIN api_calls c ON u.file = c.file AND c.line >= u.line) WHERE r = 1",
@@ -248,26 +273,26 @@ ORACLE_SQL = {
     + ", j AS (SELECT coalesce(z.field, p.field) AS field, z.field_type AS zod_type, p.field_type AS pydantic_type, z.optional AS a, p.optional AS b FROM zod_fields z FULL OUTER JOIN pydantic_fields p ON z.field = p.field) SELECT field, zod_type, pydantic_type, 'Field missing in Pydantic' AS reason FROM j WHERE pydantic_type IS NULL UNION ALL SELECT field, zod_type, pydantic_type, 'Field missing in Zod' FROM j WHERE zod_type IS NULL"
     + " UNION ALL SELECT field, zod_type, pydantic_type, 'Type mismatch' FROM j WHERE NOT (zod_type = pydantic_type OR (zod_type, pydantic_type) IN (('string','str'),('number','int'),('number','float'),('boolean','bool')) OR (zod_type = 'array' AND starts_with(pydantic_type, 'list[')) OR (zod_type = 'object' AND starts_with(pydantic_type, 'dict['))) UNION ALL SELECT field, zod_type, pydantic_type, 'Optionality mismatch' FROM j WHERE a <> b",
     "name_functions": ctes("names")
-    + f" SELECT name, {_KEBAB.format('name')} AS kebab, {_SUFFIX} AS bare, '/' || {_KEBAB.format(_HOOK)} AS hook_path, {_HOOK_VERB.format('name')} AS hook_verb, CASE WHEN upper(split_part(name, '.', 2)) IN {_VERBS} THEN upper(split_part(name, '.', 2)) ELSE 'GET' END AS verb, string_split(name, '.')[-1] AS last_part, regexp_extract(name, '^(.*)::', 1) AS key_path, string_split(name, ':')[-1] AS handler, '/api/' || replace(regexp_replace(name, '^actions\\.', ''), '.', '/') AS action_path, CASE WHEN strlen(name) > 8 THEN name[1:8] || '...' ELSE name END AS short FROM names",
+    + f" SELECT name, {_KEBAB.format('name')} AS kebab, {_SUFFIX} AS bare, '/' || {_KEBAB.format(_HOOK)} AS hook_path, {_HOOK_VERB.format('string_split(name, chr(46))[-1]')} AS hook_verb, CASE WHEN upper(split_part(name, '.', 2)) IN {_VERBS} THEN upper(split_part(name, '.', 2)) ELSE 'GET' END AS verb, string_split(name, '.')[-1] AS last_part, regexp_extract(name, '^(.*)::', 1) AS key_path, string_split(name, ':')[-1] AS handler, '/api/' || replace(regexp_replace(name, '^actions\\.', ''), '.', '/') AS action_path, CASE WHEN strlen(name) > 8 THEN list_max(list_filter([name[1:i] for i in range(0, 9)], lambda x: strlen(x) <= 8)) || '...' ELSE name END AS short FROM names",
     "combine_paths": ctes("paths") + f", s AS (SELECT base, path, string_split(base, '/') AS a, string_split(path, '/') AS b FROM paths) SELECT base, path, '/' || concat_ws('/', {_CLEAN.format('base')}, {_CLEAN.format('path')}) AS joined, CAST({_SHARED} AS INT) AS shared FROM s",
     "page_paths": "SELECT page_id, regexp_extract(u, '^https?://([^/]+)', 1) AS host, regexp_replace(u, '^https?://[^/]+', '') AS path FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages)",
     "content_hashes": "SELECT sha256(text) AS sha, min(doc_id) AS first_doc, count(*) AS files FROM documents GROUP BY 1",
-    "spec_best_response": ctes("endpoints") + ", k AS (SELECT *, row_number() OVER (PARTITION BY path, method ORDER BY CASE WHEN code = '200' THEN 1 WHEN code = '201' THEN 2 WHEN code LIKE '2%' THEN 3 WHEN code = 'default' THEN 4 ELSE 5 END, code, response) AS r FROM endpoints) SELECT path, method, code, response FROM k WHERE r = 1",
-    "route_endpoint_match": ctes("routes", "endpoints") + ", k AS (SELECT *, row_number() OVER (PARTITION BY path, method ORDER BY CASE WHEN code = '200' THEN 1 WHEN code = '201' THEN 2 WHEN code LIKE '2%' THEN 3 WHEN code = 'default' THEN 4 ELSE 5 END, code, response) AS r FROM endpoints) SELECT node_id, routes.path, routes.method, response FROM routes JOIN k ON k.path = routes.path AND upper(k.method) = routes.method AND r = 1",
+    "spec_best_response": ctes("endpoints") + ", k AS (SELECT *, row_number() OVER (PARTITION BY path, method ORDER BY code LIKE '2%' DESC, code = '200' DESC, code = '201' DESC, code, response) AS r FROM endpoints) SELECT path, method, CASE WHEN code LIKE '2%' AND response IS NOT NULL THEN code END AS code, CASE WHEN code LIKE '2%' THEN response END AS response FROM k WHERE r = 1",
+    "route_endpoint_match": ctes("routes", "endpoints") + ", k AS (SELECT *, row_number() OVER (PARTITION BY path, method ORDER BY code LIKE '2%' DESC, code = '200' DESC, code = '201' DESC, code, response) AS r FROM endpoints) SELECT node_id, routes.path, routes.method, CASE WHEN code LIKE '2%' THEN response END AS response FROM routes JOIN k ON k.path = routes.path AND upper(k.method) = routes.method AND r = 1",
     "route_coverage": ctes("routes", "endpoints") + f", s AS (SELECT DISTINCT path, upper(method) AS method FROM endpoints WHERE upper(method) IN {_VERBS}), c AS (SELECT DISTINCT path, method FROM routes) SELECT path, method, 'spec' AS missing_in FROM c ANTI JOIN s USING (path, method) UNION ALL SELECT path, method, 'code' FROM s ANTI JOIN c USING (path, method)",
     "virtual_routes": ctes("routes", "endpoints") + " SELECT DISTINCT path, upper(method) AS method, string_split(operation_id, ':')[-1] AS handler FROM endpoints e WHERE operation_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM routes r WHERE r.path = e.path AND r.method = upper(e.method))",
     "pydantic_orm_score": ctes("models")
-    + f", m AS (SELECT DISTINCT model_id, name, kind, {_SUFFIX} AS bare FROM models), p AS (SELECT * FROM m WHERE kind = 'Pydantic'), o AS (SELECT * FROM m WHERE kind = 'OrmModel'), n AS (SELECT model_id, count(*) AS n FROM models GROUP BY 1),"
-    + f" k AS (SELECT a, b, count(*) AS k FROM (SELECT l.model_id AS a, r.model_id AS b, r.field_type AS x, l.field_type AS y FROM models l JOIN models r ON l.kind = 'Pydantic' AND r.kind = 'OrmModel' AND l.field = r.field) WHERE {_FITS['orm']} GROUP BY 1, 2),"
-    + " c AS (SELECT p.model_id, o.model_id AS orm_id, o.name, CAST(1.0 AS DOUBLE) AS score FROM p JOIN o ON p.name = o.name UNION ALL SELECT p.model_id, o.model_id, o.name, 0.9 FROM p JOIN o ON p.bare = o.bare UNION ALL SELECT a, b, o.name, round(CAST(k AS DOUBLE) / greatest(x.n, y.n), 6) FROM k JOIN n x ON x.model_id = a JOIN n y ON y.model_id = b JOIN o ON o.model_id = b WHERE CAST(k AS DOUBLE) / greatest(x.n, y.n) > 0.7) SELECT model_id, orm_id, score FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY score DESC, name) AS r FROM c) WHERE r = 1",
+    + f", m AS (SELECT DISTINCT model_id, name, kind, from_attributes, {_SUFFIX} AS bare FROM models), p AS (SELECT * FROM m WHERE kind = 'Pydantic' AND from_attributes), o AS (SELECT * FROM m WHERE kind = 'OrmModel'), n AS (SELECT model_id, count(*) AS n FROM models GROUP BY 1),"
+    + f" k AS (SELECT a, b, count(*) AS k FROM (SELECT l.model_id AS a, r.model_id AS b, r.field_type AS x, l.field_type AS y FROM models l JOIN models r ON l.kind = 'Pydantic' AND l.from_attributes AND r.kind = 'OrmModel' AND l.field = r.field AND l.optional = r.optional) WHERE {_FITS['orm']} GROUP BY 1, 2),"
+    + " c AS (SELECT p.model_id, o.model_id AS orm_id, o.name, CAST(1.0 AS DOUBLE) AS score FROM p JOIN o ON p.name = o.name UNION ALL SELECT p.model_id, o.model_id, o.name, 0.9 FROM p JOIN o ON p.bare = o.name UNION ALL SELECT a, b, o.name, round(CAST(k AS DOUBLE) / greatest(x.n, y.n), 6) FROM k JOIN n x ON x.model_id = a JOIN n y ON y.model_id = b JOIN o ON o.model_id = b WHERE CAST(k AS DOUBLE) / greatest(x.n, y.n) > 0.7) SELECT model_id, orm_id, score FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY score DESC, name) AS r FROM c) WHERE r = 1",
     "spec_link_ladder": ctes("models", "components")
     + f", p AS (SELECT DISTINCT model_id, name, {_SUFFIX} AS bare FROM models WHERE kind = 'Pydantic'), o AS (SELECT DISTINCT name AS component FROM components), n AS (SELECT model_id, count(*) AS n FROM models GROUP BY 1), q AS (SELECT name, count(*) AS n FROM components GROUP BY 1),"
     + f" k AS (SELECT a, b, count(*) AS k FROM (SELECT l.model_id AS a, r.name AS b, r.field_type AS x, l.field_type AS y FROM models l JOIN components r ON l.kind = 'Pydantic' AND l.field = r.field) WHERE {_FITS['spec']} GROUP BY 1, 2),"
     + " c AS (SELECT model_id, component, 1 AS rank, CAST(1.0 AS DOUBLE) AS score FROM p JOIN o ON name = component UNION ALL SELECT model_id, component, 2, 1.0 FROM p JOIN o ON lower(name) = lower(component) UNION ALL SELECT model_id, component, 3, 1.0 FROM p JOIN o ON lower(bare) = lower(component) UNION ALL SELECT a, b, 4, round(CAST(k AS DOUBLE) / greatest(n.n, q.n), 6) FROM k JOIN n ON n.model_id = a JOIN q ON q.name = b WHERE CAST(k AS DOUBLE) / greatest(n.n, q.n) >= 0.7) SELECT model_id, component, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY rank, score DESC, lower(component)) AS r FROM c) WHERE r = 1",
     "external_dependencies": ctes("imports", "requirements", "installed") + ", r AS (SELECT DISTINCT regexp_extract(line, '^([A-Za-z0-9_.\\-]+)', 1) AS root FROM requirements) SELECT import_id, i.module, CASE WHEN r.root IS NULL THEN 'local' WHEN n.module IS NOT NULL THEN 'installed' ELSE 'ExternalDependency' END AS status FROM imports i LEFT JOIN r ON r.root = split_part(i.module, '.', 1) LEFT JOIN installed n ON n.module = split_part(i.module, '.', 1)",
     "router_generators": ctes("router_calls", "router_catalog") + " SELECT call_id, ord, method, prefix || path AS path, nullif(string_split(args, ',')[request_arg + 1], '') AS request, nullif(string_split(args, ',')[response_arg + 1], '') AS response FROM router_calls JOIN router_catalog USING (generator)",
-    "api_call_classify": ctes("calls")
-    + f", p AS (SELECT *, string_split(callee, '.') AS s, CASE WHEN generics = '' THEN [] ELSE string_split(generics, '|') END AS g FROM calls), k AS (SELECT *, upper(s[2]) IN {_VERBS} AS v, CASE WHEN callee = 'fetch' THEN 'fetch' WHEN s[1] = 'axios' AND len(s) = 2 AND upper(s[2]) IN {_VERBS} THEN 'axios' WHEN s[1] IN ('api','client','http','request') AND upper(s[2]) IN {_VERBS} THEN 'client' WHEN callee IN ('useQuery','useMutation') AND regexp_matches(arg, 'gql|graphql') THEN 'apollo' WHEN callee IN ('useQuery','useMutation') THEN 'tanstack' WHEN callee IN ('useSWR','useSWRMutation') THEN 'swr' WHEN contains(callee, '.use') AND (contains(callee, 'Query') OR contains(callee, 'Mutation')) THEN 'rtk' WHEN starts_with(callee, 'actions.') THEN 'action' END AS rule FROM p)"
-    + f" SELECT file, ord, rule, CASE WHEN rule = 'fetch' THEN coalesce(nullif(upper(regexp_extract(options, 'method:\\s*[\"'']?([A-Za-z]+)', 1)), ''), 'GET') WHEN rule IN ('axios','client') THEN upper(s[2]) WHEN rule IN ('apollo','action') THEN 'POST' WHEN rule IN ('tanstack','swr') THEN CASE WHEN contains(callee, 'Mutation') THEN 'POST' ELSE 'GET' END ELSE {_HOOK_VERB.format('callee')} END AS method,"
-    + f" CASE WHEN rule = 'apollo' THEN '/graphql' WHEN rule = 'rtk' THEN '/' || {_KEBAB.format(_HOOK.replace('name', 'callee'))} WHEN rule = 'action' THEN '/api/' || replace(regexp_replace(callee, '^actions\\.', ''), '.', '/') ELSE arg END AS path, CASE WHEN rule IN ('apollo','tanstack','swr','rtk') THEN g[1] END AS response, CASE WHEN rule IN ('apollo','rtk') THEN g[2] WHEN rule = 'tanstack' AND callee = 'useMutation' THEN g[3] WHEN rule = 'swr' AND callee = 'useSWRMutation' AND len(g) = 4 THEN g[4] END AS request FROM k WHERE rule IS NOT NULL",
+    "api_call_classify": ctes("calls", "sdk_calls")
+    + f", p AS (SELECT *, string_split(callee, '.') AS s, CASE WHEN generics = '' THEN [] ELSE string_split(generics, '|') END AS g FROM calls), k AS (SELECT *, upper(s[2]) IN {_VERBS} AS v, CASE WHEN callee = 'fetch' THEN 'fetch' WHEN s[1] = 'axios' AND len(s) = 2 AND upper(s[2]) IN {_VERBS} THEN 'axios' WHEN s[1] IN ('api','client','http','request') AND upper(s[2]) IN {_VERBS} THEN 'client' WHEN base = 'client' AND upper(property) IN {_VERBS} THEN 'base' WHEN callee IN ('useQuery','useMutation') AND regexp_matches(arg, 'gql|graphql') THEN 'apollo' WHEN callee IN ('useQuery','useMutation') THEN 'tanstack' WHEN callee IN ('useSWR','useSWRMutation') THEN 'swr' WHEN contains(callee, '.use') AND (contains(callee, 'Query') OR contains(callee, 'Mutation')) THEN 'rtk' WHEN starts_with(callee, 'actions.') THEN 'action' WHEN d.method IS NOT NULL THEN 'sdk' END AS rule FROM p LEFT JOIN (SELECT name, method, path AS sdk_path FROM sdk_calls) d ON d.name = callee)"
+    + f" SELECT file, ord, rule, CASE WHEN rule = 'fetch' THEN coalesce(nullif(upper(regexp_extract(options, 'method:\\s*[\"'']?([A-Za-z]+)', 1)), ''), 'GET') WHEN rule IN ('axios','client') THEN upper(s[2]) WHEN rule IN ('apollo','action') THEN 'POST' WHEN rule IN ('tanstack','swr') THEN CASE WHEN contains(callee, 'Mutation') THEN 'POST' ELSE 'GET' END WHEN rule = 'base' THEN upper(property) WHEN rule = 'sdk' THEN k.method ELSE {_HOOK_VERB.format('string_split(callee, chr(46))[-1]')} END AS method,"
+    + f" CASE WHEN rule = 'apollo' THEN '/graphql' WHEN rule = 'rtk' THEN '/' || {_KEBAB.format(_HOOK.replace('name', 'callee'))} WHEN rule = 'action' THEN '/api/' || replace(regexp_replace(callee, '^actions\\.', ''), '.', '/') WHEN rule = 'sdk' THEN sdk_path WHEN rule = 'base' AND contains(arg, 'url:') THEN string_split(split_part(arg, 'url:', 2), '\"')[2] ELSE arg END AS path, CASE WHEN rule IN ('apollo','tanstack','swr','rtk') THEN g[1] END AS response, CASE WHEN rule IN ('apollo','rtk') THEN g[2] WHEN rule = 'tanstack' AND callee = 'useMutation' THEN g[3] WHEN rule = 'swr' AND callee = 'useSWRMutation' AND len(g) = 4 THEN g[4] END AS request FROM k WHERE rule IS NOT NULL",
 }

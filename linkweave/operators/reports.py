@@ -62,11 +62,7 @@ def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def dot_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dot_lines(graph.star_nodes(spark, sf_dir).filter("kind in ('Class', 'Method')"), graph.star_edges(spark, sf_dir).filter(F.col("src") % 8 == graph.KINDS.index("Method"))).select("part", "k", "line")
-
-
-def dot_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The drawing of the whole graph: every node and every edge; ``dot_lines`` has classes, methods and the methods' edges only."""
+    """The drawing of the whole graph: every node and every edge."""
     return dot_lines(graph.star_nodes(spark, sf_dir), graph.star_edges(spark, sf_dir)).select("part", "k", "line")
 
 
@@ -106,7 +102,7 @@ QUERIES = {
     "verdict_cube": verdict_counts,
     "endpoint_index": endpoint_index,
     "dot_lines": dot_query,
-    "dot_graph": dot_graph,
+    "dot_graph": dot_query,
 }
 ORACLE_SQL = {
     "schemas_distinct_by_type": f"{contracts._BASE} SELECT schema_type, count(DISTINCT name) AS schemas, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM (SELECT from_no AS schema_no FROM c UNION SELECT to_no FROM c) JOIN schemas USING (schema_no) GROUP BY 1",
@@ -115,5 +111,6 @@ ORACLE_SQL = {
     "path_descriptions": graph._walk_sql(graph._edge_sql() + ", " + graph._node_sql(), graph._ROUTES) + " SELECT start, string_agg('**' || name || '** (' || kind || ')', ' → ' ORDER BY pos) AS description FROM (SELECT start, unnest(path) AS node_id, generate_subscripts(path, 1) AS pos FROM p) JOIN n USING (node_id) GROUP BY 1",
     "verdict_cube": f"{contracts._SEVERITY} SELECT severity, o_orderstatus, count(*) AS contracts, CAST(sum(n_mismatches) AS BIGINT) AS mismatches FROM s JOIN orders ON o_orderkey = chain_id GROUP BY CUBE (severity, o_orderstatus)",
     "endpoint_index": "SELECT regexp_replace(url, '[?#].*$', '') AS address, max(page_id) AS page_id, count(*) AS pages FROM pages GROUP BY 1",
-    "dot_lines": f"WITH {graph._edge_sql()}, {graph._node_sql()} SELECT 0 AS part, node_id AS k, '  n' || node_id || ' [label=\"' || replace(replace(kind || ' ' || name, '\\', '\\\\'), '\"', '\\\"') || '\"];' AS line FROM n WHERE kind IN ('Class', 'Method') UNION ALL SELECT 1, edge_id, '  n' || src || ' -> n' || dst || CASE WHEN kind = 'DataFlow' THEN ' [style=dashed, color=purple]' ELSE '' END || ';' FROM e WHERE src % 8 = {graph.KINDS.index('Method')}",
+    "dot_lines": f"WITH {graph._edge_sql()}, {graph._node_sql()} SELECT 0 AS part, node_id AS k, '  n' || node_id || ' [label=\"' || replace(replace(kind || ' ' || name, '\\', '\\\\'), '\"', '\\\"') || '\"];' AS line FROM n UNION ALL SELECT 1, edge_id, '  n' || src || ' -> n' || dst || CASE WHEN kind = 'DataFlow' THEN ' [style=dashed, color=purple]' ELSE '' END || ';' FROM e",
 }
+ORACLE_SQL["dot_graph"] = ORACLE_SQL["dot_lines"]

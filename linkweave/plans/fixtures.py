@@ -50,16 +50,19 @@ TABLES: dict[str, tuple[str, str]] = {
     "names": (
         "name",
         """('GetUsers'), ('useCreateUserMutation'), ('useGetItemByIdQuery'), ('useLazyGetItemsQuery'), ('useDeleteItemMutation'), ('useUpdateOrderMutation'), ('ItemRead'), ('ItemReadRead'), ('ItemCreateSchema'), ('Model'), ('UserResponse'),
-           ('actions.users.create'), ('trpc.users.get.useQuery'), ('a.b::c'), ('x/y.ts::K::m'), ('app.get'), ('router.post'), ('api.delete.x'), ('plain'), ('items:list_items'), ('get'), ('')""",
+           ('actions.users.create'), ('trpc.users.get.useQuery'), ('a.b::c'), ('x/y.ts::K::m'), ('app.get'), ('router.post'), ('api.delete.x'), ('plain'), ('items:list_items'), ('get'), (''), ('useCreateUserQuery'), ('useItemsLazyQuery'), ('createApi.useGetItemQuery'), ('ééééééééé'), ('ab日本語')""",
     ),
     "paths": ("base, path", "('users', '/profile/'), ('', ''), ('/a/', 'b'), ('/', '/'), ('x', ''), ('', 'y/z'), ('/api/v1/', '/items/{id}')"),
     # Calls in source code: file, order, called name, first argument, options, type arguments joined by a bar
     "calls": (
-        "file, ord, callee, arg, options, generics",
-        """('a.ts', 1, 'fetch', '/items', '{method: "POST"}', ''), ('a.ts', 2, 'fetch', '/items', '', ''), ('a.ts', 3, 'axios.get', '/x', '', 'Item'), ('a.ts', 4, 'api.post', '/y', '', ''), ('a.ts', 5, 'http.delete', '/z/1', '', ''),
-           ('b.ts', 1, 'useQuery', 'gql`query`', '', 'Data|Vars'), ('b.ts', 2, 'useQuery', 'items', '', 'Item'), ('b.ts', 3, 'useMutation', 'items', '', 'Item|Error|NewItem'), ('b.ts', 4, 'useSWR', '/swr', '', 'Item'), ('b.ts', 5, 'useSWRMutation', '/swr', '', 'A|B|C|D'),
-           ('c.ts', 1, 'itemsApi.useCreateItemMutation', '', '', 'Item|NewItem'), ('c.ts', 2, 'trpc.users.get.useQuery', '', '', ''), ('c.ts', 3, 'actions.users.create', '', '', ''), ('c.ts', 4, 'console.log', 'x', '', ''), ('c.ts', 5, 'api.useGetUserByIdQuery', '', '', 'User')""",
+        "file, ord, callee, arg, options, generics, base, property",
+        """('a.ts', 1, 'fetch', '/items', '{method: "POST"}', '', '', ''), ('a.ts', 2, 'fetch', '/items', '', '', '', ''), ('a.ts', 3, 'axios.get', '/x', '', 'Item', '', ''), ('a.ts', 4, 'api.post', '/y', '', '', '', ''), ('a.ts', 5, 'http.delete', '/z/1', '', '', '', ''),
+           ('b.ts', 1, 'useQuery', 'gql`query`', '', 'Data|Vars', '', ''), ('b.ts', 2, 'useQuery', 'items', '', 'Item', '', ''), ('b.ts', 3, 'useMutation', 'items', '', 'Item|Error|NewItem', '', ''), ('b.ts', 4, 'useSWR', '/swr', '', 'Item', '', ''), ('b.ts', 5, 'useSWRMutation', '/swr', '', 'A|B|C|D', '', ''),
+           ('c.ts', 1, 'itemsApi.useCreateItemMutation', '', '', 'Item|NewItem', '', ''), ('c.ts', 2, 'trpc.users.get.useQuery', '', '', '', '', ''), ('c.ts', 3, 'actions.users.create', '', '', '', '', ''), ('c.ts', 4, 'console.log', 'x', '', '', '', ''), ('c.ts', 5, 'api.useGetUserByIdQuery', '', '', 'User', '', ''),
+           ('d.ts', 1, 'get', '{ url: "/by-base/", x: 1 }', '', '', 'client', 'get'), ('d.ts', 2, 'patch', '/plain', '', '', 'client', 'patch'), ('d.ts', 3, 'getItems', '', '', '', '', ''), ('d.ts', 4, 'addItem', '', '', '', '', ''), ('d.ts', 5, 'unknownOf', '', '', '', '', ''), ('d.ts', 6, 'createApi.useGetItemQuery', '', '', '', '', '')""",
     ),
+    # Functions of generated clients: verb and path
+    "sdk_calls": ("name, method, path", "('getItems', 'GET', '/items/'), ('addItem', 'POST', '/items/')"),
     # A spec's endpoints and the code's routes
     "endpoints": (
         "path, method, operation_id, response, code",
@@ -70,9 +73,10 @@ TABLES: dict[str, tuple[str, str]] = {
     # Components of a spec, models and front-end types to be linked by name
     "components": ("name, field, field_type", "('Item', 'id', 'integer'), ('Item', 'title', 'string'), ('User', 'id', 'integer'), ('User', 'mail', 'string'), ('order', 'total', 'number'), ('OrderLine', 'qty', 'integer')"),
     "models": (
-        "model_id, name, kind, field, field_type, optional",
-        """(1, 'ItemRead', 'Pydantic', 'id', 'int', false), (1, 'ItemRead', 'Pydantic', 'title', 'str', false), (2, 'user', 'Pydantic', 'id', 'int', false), (3, 'Customer', 'Pydantic', 'id', 'int', false), (3, 'Customer', 'Pydantic', 'mail', 'str', false),
-           (4, 'Order', 'Pydantic', 'total', 'float', false), (5, 'Unknown', 'Pydantic', 'x', 'str', true), (6, 'Item', 'OrmModel', 'id', 'Integer', false), (6, 'Item', 'OrmModel', 'title', 'Text', false), (7, 'Account', 'OrmModel', 'id', 'Integer', false), (7, 'Account', 'OrmModel', 'mail', 'String', false)""",
+        "model_id, name, kind, field, field_type, optional, from_attributes",
+        """(1, 'ItemRead', 'Pydantic', 'id', 'int', false, true), (1, 'ItemRead', 'Pydantic', 'title', 'str', false, true), (2, 'user', 'Pydantic', 'id', 'int', false, true), (3, 'Customer', 'Pydantic', 'id', 'int', false, true), (3, 'Customer', 'Pydantic', 'mail', 'str', false, true),
+           (4, 'Order', 'Pydantic', 'total', 'float', false, true), (5, 'Unknown', 'Pydantic', 'x', 'str', true, false), (6, 'Item', 'OrmModel', 'id', 'Integer', false, true), (6, 'Item', 'OrmModel', 'title', 'Text', false, true), (7, 'Account', 'OrmModel', 'id', 'Integer', false, true), (7, 'Account', 'OrmModel', 'mail', 'String', false, true),
+           (8, 'ItemCreate', 'Pydantic', 'id', 'int', false, false), (8, 'ItemCreate', 'Pydantic', 'title', 'str', false, false), (9, 'Profile', 'Pydantic', 'id', 'int', false, true), (9, 'Profile', 'Pydantic', 'mail', 'str', true, true)""",
     ),
     "zod_fields": ("field, field_type, optional", "('a', 'string', false), ('b', 'number', true), ('c', 'array', false), ('e', 'object', false), ('f', 'boolean', true)"),
     "pydantic_fields": ("field, field_type, optional", "('a', 'int', false), ('b', 'float', false), ('d', 'str', false), ('e', 'dict[str, int]', false), ('f', 'bool', true)"),
@@ -96,6 +100,35 @@ TABLES: dict[str, tuple[str, str]] = {
            ('verify', 1, 'POST', '/request-verify-token', null, null), ('verify', 2, 'POST', '/verify', null, 0), ('users', 1, 'GET', '/me', null, 0), ('users', 2, 'GET', '/{id}', null, 0), ('users', 3, 'PATCH', '/{id}', 1, 0), ('users', 4, 'DELETE', '/{id}', null, null)""",
     ),
     "router_calls": ("call_id, generator, prefix, args", "(1, 'register', '/auth', 'UserRead,UserCreate'), (2, 'users', '/users', 'UserRead,UserUpdate'), (3, 'verify', '', 'UserRead'), (4, 'nothing', '/x', '')"),
+    # A front-end project: files, imports, path mappings, source roots, re-exports, functions, bodies of a generated client
+    "ts_files": ("file", "('web/src/app.ts'), ('web/src/api/sdk.gen.ts'), ('web/src/api/index.ts'), ('web/src/api/client.gen.ts'), ('web/src/lib/x.tsx'), ('web/src/lib/index.gen.ts'), ('web/src/shared/types.ts'), ('web/src/lib/itemQueries.ts'), ('web/src/lib/userQueries.ts'), ('web/src/itemService.ts'), ('web/src/lib/itemService.ts'), ('web/src/lib/userService.tsx'), ('web/src/api/deep.ts'), ('web/src/lib/lostQueries.ts')"),
+    "ts_imports": ("import_id, file, path", "(1, 'web/src/app.ts', './api/sdk.gen'), (2, 'web/src/app.ts', './api'), (3, 'web/src/api/index.ts', '../app'), (4, 'web/src/app.ts', 'react'), (5, 'web/src/api/index.ts', './client'), (6, 'web/src/app.ts', '@/lib/x'), (7, 'web/src/lib/x.tsx', '@shared'), (8, 'web/src/app.ts', './missing'), (9, 'web/src/app.ts', '@/lib')"),
+    "ts_mappings": ("ord, pattern, target", "(0, '@/*', 'src/*'), (1, '@/lib/*', 'nowhere/*'), (2, '@shared', 'src/shared/types.ts')"),
+    "ts_roots": ("ord, root", "(0, 'web/src'), (1, 'web/src/lib')"),
+    "ts_exports": ("file, path", "('web/src/app.ts', './api'), ('web/src/app.ts', './lib/x'), ('web/src/api/index.ts', './api/sdk.gen'), ('web/src/api/index.ts', './api/deep'), ('web/src/lib/x.tsx', './app'), ('web/src/api/deep.ts', './api')"),
+    "ts_functions": (
+        "file, ord, name, request, response",
+        """('web/src/api/sdk.gen.ts', 1, 'getItems', null, 'Item'), ('web/src/api/sdk.gen.ts', 2, 'addItem', 'ItemNew', 'Item'), ('web/src/api/sdk.gen.ts', 3, 'getItems', null, null), ('web/src/itemService.ts', 1, 'other', 'X', 'Y'), ('web/src/itemService.ts', 2, 'api_handler', 'Item', 'Page'),
+           ('web/src/lib/userService.tsx', 1, 'untyped', null, null), ('web/src/lib/userService.tsx', 2, 'load', null, 'User'), ('web/src/app.ts', 1, 'main', null, null)""",
+    ),
+    "sdk_functions": ("file, name, line", "('web/src/api/sdk.gen.ts', 'getItems', 2), ('web/src/api/sdk.gen.ts', 'addItem', 5), ('web/src/api/sdk.gen.ts', 'dropItem', 8), ('web/src/api/sdk.gen.ts', 'last', 12)"),
+    "sdk_sources": (
+        "file, content",
+        """('web/src/api/sdk.gen.ts', 'import { client } from "./client"
+export const getItems = (options) => {
+  return (options?.client ?? client).get({ url: "/items/" })
+}
+export const addItem = (o) => (o.client ?? client)
+  .post(client.post({ body: o,
+    url: "/items/new" }))
+export function dropItem() {
+  client.delete(
+    { Url: "/items/{id}" })
+}
+export const last = () => client.get()')""",
+    ),
+    "sdk_endpoints": ("ord, path, method, operation_id, request, response", "(0, '/first/', 'post', 'addItem', null, null), (1, '/by-spec/', 'put', 'addItem', 'ItemNew', 'Item'), (2, '/items/', 'get', 'list', null, 'ItemList'), (3, '/t/', 'trace', 'dropItem', null, null)"),
+    "route_calls": ("call_id, file, line, method, path, request, response", "(1, 'web/src/app.ts', 3, 'GET', '/items/', null, 'Item'), (2, 'web/src/lib/itemQueries.ts', 4, 'PUT', '/by-spec/', 'Unused', 'Unused'), (3, 'web/src/app.ts', 9, 'POST', '/none', 'OnlyRequest', null)"),
 }
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkweave.operators import contracts, graph, linking, reports
+from linkweave.operators import contracts, frontend, graph, linking, reports
 from linkweave.session import shipped
 from linkweave.sources import python_source, spec, typescript_source
 
-MODULES = (contracts, graph, linking, reports, spec, python_source, typescript_source)
+MODULES = (contracts, graph, linking, frontend, reports, spec, python_source, typescript_source)
 
 QUERIES = {name: shipped(query) for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

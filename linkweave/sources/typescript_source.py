@@ -246,6 +246,11 @@ class Walk:
 
     def statement(self, i: int) -> int:
         s, w = self.s, self.s.words[i]
+        if w == "export" and s.word(i + 1) == "*" and s.inside[i] == -1:
+            k = next((k for k in range(i + 2, min(i + 6, len(s.words))) if s.words[k][0] in "\"'"), None)
+            if k is not None:
+                self.add("reexport", s.words[k][1:-1], "", "", i)
+                return k + 1
         if w == "import" and s.inside[i] == -1 and s.word(i + 1) not in ("(", "."):
             return self.imported(i)
         if w == "function":
@@ -538,10 +543,15 @@ def nest_routes(facts: DataFrame) -> DataFrame:
     return joined.select("path", "method", names.join_paths(F.coalesce("prefix", F.lit("")), F.col("own")).alias("route"), "handler", "line")
 
 
-def api_calls(facts: DataFrame) -> DataFrame:
-    """Calls of HTTP clients and data hooks, by the ordered rules of ``linking.classify_calls``."""
-    calls = facts.filter("fact = 'call'").select(F.col("path").alias("file"), "ord", F.col("name").alias("callee"), F.get("args", 0).alias("arg"), "generics", F.lit(None).cast("string").alias("options"))
-    return linking.classify_calls(calls)
+def api_calls(facts: DataFrame, sdk: DataFrame | None = None) -> DataFrame:
+    """Calls of HTTP clients and data hooks, by the ordered rules of ``linking.classify_calls``; ``sdk``: name, method, path of generated functions."""
+    dotted = F.split("name", r"\.")
+    calls = facts.filter("fact = 'call'").select(
+        F.col("path").alias("file"), "ord", "line", F.col("name").alias("callee"), F.get("args", 0).alias("arg"), "generics", F.lit(None).cast("string").alias("options"),
+        F.get(dotted, 0).alias("base"), F.when(F.size(dotted) > 1, F.element_at(dotted, -1)).alias("property"),
+    )
+    none = calls.limit(0).select(F.col("callee").alias("name"), F.col("callee").alias("method"), F.col("callee").alias("path"))
+    return linking.classify_calls(calls, none if sdk is None else sdk)
 
 
 def zod_fields(facts: DataFrame) -> DataFrame:
