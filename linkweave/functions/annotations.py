@@ -68,7 +68,7 @@ def innermost(text: Column) -> Column:
     def step(x: Column, _: Column) -> Column:
         base, inner = head(x), bracketed(x)
         value = F.trim(F.regexp_extract(inner, r"(?s)^[^,]*,(.*)$", 1))
-        member = F.get(F.filter(F.transform(F.split(inner, ","), F.trim), lambda m: ~m.isin("None", "")), 0)
+        member = F.get(F.filter(F.transform(F.split(inner, ","), lambda m: F.trim(m)), lambda m: ~m.isin("None", "")), 0)
         return (
             F.when(~is_generic(x) | (inner == ""), F.trim(x))
             .when(base.isin("dict", "Dict") & inner.contains(","), value)
@@ -97,7 +97,7 @@ def union_members(text: Column) -> Column:
 def optional_or_union(text: Column) -> Column:
     """(optional, base): Optional[..], Union[.., None] and .. | None."""
     inner, bars = bracketed(text), union_members(text)
-    named = F.transform(split_top(inner, ","), F.trim)
+    named = split_top(inner, ",")
     members = F.filter(named, lambda p: p != "None")
     out = lambda optional, base: F.struct(optional.alias("optional"), base.alias("base"))
     barred = (F.size(split_top(text, "|")) > 1) & (F.size(bars["members"]) > 0)

@@ -129,6 +129,13 @@ export const last = () => client.get()')""",
     ),
     "sdk_endpoints": ("ord, path, method, operation_id, request, response", "(0, '/first/', 'post', 'addItem', null, null), (1, '/by-spec/', 'put', 'addItem', 'ItemNew', 'Item'), (2, '/items/', 'get', 'list', null, 'ItemList'), (3, '/t/', 'trace', 'dropItem', null, null)"),
     "route_calls": ("call_id, file, line, method, path, request, response", "(1, 'web/src/app.ts', 3, 'GET', '/items/', null, 'Item'), (2, 'web/src/lib/itemQueries.ts', 4, 'PUT', '/by-spec/', 'Unused', 'Unused'), (3, 'web/src/app.ts', 9, 'POST', '/none', 'OnlyRequest', null)"),
+    # Annotations, decorators, calls, parameters and classes to try the functions on
+    "annotations": ("annotation", "('str'), ('Optional[str]'), ('Union[str, None]'), ('Union[int, str, None]'), ('Union[str]'), ('int | str | None'), ('list[int] | None'), ('dict[str, list[int]]'), ('List[dict[str, Any]]'), ('dict'), ('Any'), ('Page[Item]'), ('Annotated[List[int], fastapi.Query(max_length=3)]'), ('t.Annotated[Item, Body]'), ('float'), ('tuple[int, str]')"),
+    "column_annotations": ("annotation", "('Mapped[int]'), ('Mapped[Optional[str]]'), ('orm.Mapped[list[Item]]'), ('Column(Integer, primary_key=True)'), ('Column(String(20), nullable=True)'), ('Integer'), ('VarString'), ('BOOLEAN'), ('Float'), ('Blob'), ('Point')"),
+    "called_names": ("name", "('Item.model_validate'), ('schemas.Item.model_validate'), ('schemas.Item.parse_obj'), ('item.model_dump_json'), ('a.b.c.json'), ('Item.from_orm'), ('dict'), ('app.get'), ('router.anything'), ('x.route'), ('api.v1.post'), ('api.fetch'), ('rt.head'), ('art.get'), ('cached')"),
+    "handler_parameters": ("name, annotation, is_model, decorators", "('item', 'Item', true, 'a'), ('item', 'Annotated[Item, Query()]', true, ''), ('db', 'Item', true, 'staticmethods'), ('user_in', 'Item', true, 'x.staticmethod'), ('the_session', 'Item', true, ''), ('x', 'Annotated[dict, Body(embed=True)]', false, 'y,staticmethod'), ('n', 'int', false, ''), ('users', 'Item', true, '')"),
+    "class_bases": ("name, bases, annotations", "('A', 'Base', ''), ('B', 'x.declarative_base', ''), ('C', 'BaseModel', 'str'), ('D', 'BaseModel', 'str;Mapped[int]'), ('E', 'Baseline', 'Mapped[int]'), ('F', 'Other,db.Model', ''), ('G', '', '')"),
+    "frontend_texts": ("text", """('Promise<Page<Item>>'), ('string'), ('Item[]'), ('any'), ('null'), ('trpc.users.get.useQuery'), ('api.add.useMutation'), ('other.x.useQuery'), ('{ url: "/a", b: 1 }'), ('{ url: ''/s'' }')"""),
 }
 
 
