@@ -6,6 +6,8 @@ large as the catalogue's pairs, and contracts are then joined with its rows; not
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,13 +78,30 @@ def missing_schema(pairs: DataFrame, schemas: DataFrame) -> DataFrame:
 def run_rules(contracts: DataFrame, schemas: DataFrame, constraints: DataFrame) -> DataFrame:
     """Mismatches of every distinct pair of schemas, by all rules."""
     pairs, fields = pairs_of(contracts), parse_fields(schemas)
-    rules = [type_mismatch(pairs, fields), missing_field(pairs, fields), unnormalized(pairs, fields, constraints), missing_schema(pairs, schemas)]
+    rules = [type_mismatch(pairs, fields), missing_field(pairs, fields), unnormalized(pairs, fields, constraints), missing_schema(pairs, schemas), *(rule(pairs, schemas, fields) for rule in more_rules())]
     out = rules[0]
     for rule in rules[1:]:
         out = out.unionByName(rule)
     return out
 
 
+_more_rules: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {}
+
+
+def add_rule(name: str, rule: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> None:
+    """Register a rule: of pairs (from_no, to_no), schemas and fields it gives rows (from_no, to_no, mismatch_type, path, level, message)."""
+    _more_rules[name] = rule
+
+
+def remove_rule(name: str) -> None:
+    _more_rules.pop(name, None)
+
+
+def more_rules() -> tuple[Callable[[DataFrame, DataFrame, DataFrame], DataFrame], ...]:
+    """The registered rules, in the order of their names."""
+    return tuple(_more_rules[k] for k in sorted(_more_rules))
+
+
 def severity_of_pairs(contracts: DataFrame, mismatches: DataFrame) -> DataFrame:
     """A type mismatch is Critical, any other mismatch a Warning, none Info."""
     worst = mismatches.groupBy("from_no", "to_no").agg(F.bool_or(F.col("mismatch_type") == "TypeMismatch").alias("types"), F.count("*").alias("n"))

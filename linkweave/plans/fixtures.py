@@ -136,6 +136,13 @@ export const last = () => client.get()')""",
     "handler_parameters": ("name, annotation, is_model, decorators", "('item', 'Item', true, 'a'), ('item', 'Annotated[Item, Query()]', true, ''), ('db', 'Item', true, 'staticmethods'), ('user_in', 'Item', true, 'x.staticmethod'), ('the_session', 'Item', true, ''), ('x', 'Annotated[dict, Body(embed=True)]', false, 'y,staticmethod'), ('n', 'int', false, ''), ('users', 'Item', true, '')"),
     "class_bases": ("name, bases, annotations", "('A', 'Base', ''), ('B', 'x.declarative_base', ''), ('C', 'BaseModel', 'str'), ('D', 'BaseModel', 'str;Mapped[int]'), ('E', 'Baseline', 'Mapped[int]'), ('F', 'Other,db.Model', ''), ('G', '', '')"),
     "frontend_texts": ("text", """('Promise<Page<Item>>'), ('string'), ('Item[]'), ('any'), ('null'), ('trpc.users.get.useQuery'), ('api.add.useMutation'), ('other.x.useQuery'), ('{ url: "/a", b: 1 }'), ('{ url: ''/s'' }')"""),
+    # Zod schemas, models, their usages, calls, routes and endpoints; the first is the smallest whole chain
+    "zod_schemas": ("node_id, name, schema_type", "(1, 'ItemRequestZod', 'Zod'), (2, 'ItemRequest', 'Pydantic'), (3, 'Twice', 'Zod'), (4, 'Twice', 'Zod'), (5, 'Alone', 'Zod'), (6, 'Late', 'Zod'), (7, 'usermodel', 'Pydantic'), (8, 'User', 'Zod'), (9, 'UserSchema', 'Pydantic'), (10, 'Unused', 'Zod'), (11, 'Plain', 'Zod')"),
+    "zod_usages": ("usage_id, schema_name, file, line", "(1, 'ItemRequestZod', 'api.ts', 8), (2, 'Twice', 'api.ts', 11), (3, 'Alone', 'none.ts', 1), (4, 'Late', 'api.ts', 90), (5, 'User', 'user.ts', 2), (6, 'User', 'api.ts', 1), (7, 'Plain', 'user.ts', 9)"),
+    "zod_calls": ("call_id, file, line", "(1, 'api.ts', 10), (2, 'api.ts', 20), (3, 'user.ts', 5), (4, 'user.ts', 9), (5, 'api.ts', 30)"),
+    "zod_routes": ("node_id, path, method, file, line", "(101, '/items', 'GET', 'api.ts', 10), (102, '/items', 'GET', 'api.ts', 20), (103, '/users', 'POST', 'user.ts', 5), (104, '/nowhere', 'GET', 'user.ts', 9), (105, '/other', 'GET', 'user.ts', 9)"),
+    "zod_endpoints": ("path, method, request", "('/items', 'get', 'ItemRequest'), ('/users', 'post', 'User'), ('/other', 'get', 'ItemRequest')"),
+    "schema_fields": ("node_id, field, field_type, optional", "(1, 'id', 'string', false), (2, 'id', 'str', false), (3, 'id', 'string', false), (3, 'n', 'number', true), (2, 'n', 'str', false), (8, 'name', 'string', false), (8, 'age', 'number', true), (7, 'name', 'str', false), (7, 'mail', 'str', false)"),
 }
 
 
