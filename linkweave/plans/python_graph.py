@@ -106,8 +106,10 @@ class Graph:
     nodes: DataFrame
     #: src, dst, edge_id, kind, transformation
     edges: DataFrame
-    #: name, field, type_name, optional of models
+    #: name, field, type_name, optional, constraints of models
     fields: DataFrame
+    #: the kind of schema that the names of types and models stand for
+    schema_type: str = "Pydantic"
 
 
 def _known_models(models: DataFrame) -> DataFrame:
@@ -269,14 +271,14 @@ def python_routers(facts: DataFrame, entry: str, catalogue: DataFrame) -> DataFr
 # Chains and contracts ----------------------------------------------------------------------------------------------------------------------------
 
 
-def with_schemas(nodes: DataFrame, models: DataFrame, forward: bool = True) -> DataFrame:
+def with_schemas(nodes: DataFrame, schema_type: str = "Pydantic", forward: bool = True) -> DataFrame:
     """Each node with what a link shows of it: id, schema, schema_type, missing, file, line; modules have none.
 
     A route shows its request before its response (the other way round against the edges), else what its handler shows; a function its first parameter that
     names a model or has the type of an object or array, else its own name."""
     param = F.get(F.filter("params", lambda p: p["is_model"] | p["missing"] | p["base"].isin("Object", "Array")), 0)
     schema = F.when(param["missing"], "Object").when(param["is_model"], param["model"]).when(param.isNotNull(), param["base"]).otherwise(F.col("name"))
-    of = F.when(param["is_model"] & ~param["missing"], "Pydantic").otherwise("JsonSchema")
+    of = F.when(param["is_model"] & ~param["missing"], schema_type).otherwise("JsonSchema")
     own = nodes.select("node_id", "kind", "name", "file", "line", "class_id", "route", "handler_id", "request", "response", "response_missing", schema.alias("schema"), of.alias("of"), F.coalesce(param["missing"], F.lit(False)).alias("missing"))
     handler = own.filter("kind = 'Function'").select(F.col("node_id").alias("handler_id"), F.col("schema").alias("h_schema"), F.col("of").alias("h_of"), F.col("missing").alias("h_missing"))
     classes = own.filter("kind = 'Class'").select(F.col("node_id").alias("class_id"), F.col("file").alias("class_file"))
@@ -288,7 +290,7 @@ def with_schemas(nodes: DataFrame, models: DataFrame, forward: bool = True) -> D
     return j.filter("kind <> 'Module'").select(
         "node_id", "kind", "name", label.alias("id"),
         F.when(route, F.coalesce(told, "h_schema", F.lit("RouteRequest"))).when(F.col("kind") == "Class", F.col("name")).otherwise(F.col("schema")).alias("schema"),
-        F.when(route & gone, "JsonSchema").when(route & told.isNotNull(), "Pydantic").when(route, F.coalesce("h_of", F.lit("JsonSchema"))).when(F.col("kind") == "Class", "JsonSchema").otherwise(F.col("of")).alias("schema_type"),
+        F.when(route & gone, "JsonSchema").when(route & told.isNotNull(), F.lit(schema_type)).when(route, F.coalesce("h_of", F.lit("JsonSchema"))).when(F.col("kind") == "Class", "JsonSchema").otherwise(F.col("of")).alias("schema_type"),
         F.when(route & gone, F.lit(True)).when(route & told.isNull(), F.coalesce("h_missing", F.lit(False))).when(F.col("kind").isin("Function", "Method"), F.col("missing")).otherwise(F.lit(False)).alias("missing"),
         F.coalesce("class_file", "file").alias("file"), F.when(F.col("kind").isin("Class", "Method"), 0).otherwise(F.col("line")).alias("line"),
     )
@@ -304,7 +306,7 @@ def chains(g: Graph, forward: bool = True) -> DataFrame:
     walks = graph.greedy_walk(starts, edges.select("src", "dst", "edge_id"))
     if not forward:
         walks = walks.select("start", F.reverse("path").alias("path"))
-    shown = with_schemas(g.nodes, g.fields, forward)
+    shown = with_schemas(g.nodes, g.schema_type, forward)
     links = graph.links_of(g.nodes, walks).join(shown.drop("kind", "name"), "node_id", "left")
     broken = links.filter("id is null").select("start").distinct()
     links = links.join(broken, "start", "left_anti")
@@ -332,11 +334,11 @@ def check(g: Graph, found: DataFrame, more_rules: tuple = ()) -> DataFrame:
     keyed = found.withColumns({"from_no": key("from"), "to_no": key("to")})
     sides = keyed.select(F.col("from_no").alias("schema_no"), F.col("from_schema").alias("name"), F.col("from_type").alias("schema_type"), F.col("from_missing").alias("missing")).unionByName(keyed.select(F.col("to_no").alias("schema_no"), F.col("to_schema").alias("name"), F.col("to_type").alias("schema_type"), F.col("to_missing").alias("missing"))).distinct()
     text = g.fields.groupBy("name").agg(F.concat_ws(",", F.collect_list(F.concat_ws(":", "field", F.regexp_replace("type_name", "[,:]", ";"), F.when(F.col("optional"), "optional").otherwise("required")))).alias("fields"))
-    schemas = materialize(sides.join(text, "name", "left").withColumn("fields", F.when(F.col("schema_type") == "Pydantic", F.coalesce("fields", F.lit(""))).otherwise("")), "schemas")
+    schemas = materialize(sides.join(text, "name", "left").withColumn("fields", F.when(F.col("schema_type") == g.schema_type, F.coalesce("fields", F.lit(""))).otherwise("")), "schemas")
     bounds = g.fields.select("name", "field", F.explode(F.from_json("constraints", "array<array<string>>")).alias("c")).select("name", "field", F.get("c", 0).alias("kind"))
-    limits = schemas.filter("schema_type = 'Pydantic'").join(bounds, "name").select("schema_no", "field", "kind")
+    limits = schemas.filter(F.col("schema_type") == g.schema_type).join(bounds, "name").select("schema_no", "field", "kind")
     pairs = materialize(keyed.select("from_no", "to_no").distinct(), "pairs")
-    parsed = schemas.filter("schema_type = 'Pydantic'").select("schema_no")
+    parsed = schemas.filter((F.col("schema_type") == g.schema_type) & (F.col("fields") != "")).select("schema_no")
     both = pairs.join(parsed.withColumnRenamed("schema_no", "from_no"), "from_no").join(parsed.withColumnRenamed("schema_no", "to_no"), "to_no")
     fields = contracts.parse_fields(schemas)
     rows = contracts.type_mismatch(both, fields).unionByName(contracts.missing_field(both, fields)).unionByName(contracts.unnormalized(both, fields, limits)).unionByName(contracts.missing_schema(pairs, schemas))

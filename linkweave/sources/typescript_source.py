@@ -30,7 +30,7 @@ _SIGN = re.compile(r"=>|\?\.(?!\d)|\?\?=?|\.\.\.|&&|\|\||[-+*/%!=]=+|\+\+|--|.",
 
 _CLOSERS = {"(": ")", "[": "]", "{": "}"}
 _MODIFIERS = frozenset("export default declare abstract public private protected static readonly async get set override".split())
-_NOT_CALLED = frozenset("if for while switch catch return typeof function await new import with do else throw void delete in of yield case constructor".split())
+_NOT_CALLED = frozenset("async if for while switch catch return typeof function await new import with do else throw void delete in of yield case constructor".split())
 _TYPE_WORDS = frozenset("keyof typeof readonly extends infer is unique new".split())
 _ZOD_ROOTS = frozenset("object string number boolean array".split())
 _ZOD_CHECKS = frozenset("parse safeParse parseAsync safeParseAsync".split())
