@@ -15,9 +15,10 @@ Equal texts are one node.  Nodes that share a band form a bucket; a bucket is ne
    are verified by the exact overlap of their multisets; a hub's pairs are dealt to tasks by salts, and each task gets the hub's text once. Verified links
    give components.  This settles groups of copies in as many pairs as they have members.
 2. In buckets that still hold several components, nodes of different components are compared by an 8-bit sketch of the signature, without
-   their texts: block by block, where nodes of the bucket's largest component meet only nodes outside it.  Pairs whose estimate comes within 4.5
-   deviations of the threshold are candidates.  First a task puts out a spanning forest of its candidates only; where all of
-   them prove to be links, the others are within components.  Else the candidates that are left between different components are all verified.
+   their texts: block by block, where nodes of the bucket's largest component meet only nodes outside it, and a pair only in the first band that it
+   shares.  Pairs whose estimate comes within 4.5 deviations of the threshold are candidates.  Only nodes that have a candidate in a cell of two blocks come
+   there again, now with their texts; a task verifies its candidates, the likeliest first and none within what it has linked, and only verified links leave it.
+   Blocks are bounded by their texts' bytes.
 Classes are the components of all verified links: no link between different texts is lost, but for the stated probabilities.
 
 Defined results: null text equals the empty text; texts without words are like their equals only; repeated rows are all returned, with one class; a class has the
@@ -39,8 +40,8 @@ from linkweave.session import discard, materialize, table
 BANDS, ROWS = 36, 6
 PLACES = BANDS * ROWS
 THRESHOLD = 0.8
-#: Nodes in a block of a bucket; parts that a hub's pairs are dealt to.
-BLOCK, SALTS = 1024, 512
+#: Weight of a block of a bucket, a node weighing as many as it has times NODE_BYTES of text; parts that a hub's pairs are dealt to.
+BLOCK, NODE_BYTES, SALTS = 1024, 4096, 512
 #: Deviations below the threshold at which a sketch still counts.
 DEVIATIONS = 4.5
 _TICKS = float(1 << 40)
@@ -136,7 +137,7 @@ def text_key(text: F.Column) -> F.Column:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> doc_id, key, bands (empty for texts without words), sketch."""
+    """(doc_id, text) -> doc_id, key, n_bytes, bands (empty for texts without words), marks (32 bits of each band), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -147,12 +148,12 @@ def sign(docs: DataFrame) -> DataFrame:
                 signature = signatures(np.repeat(np.arange(len(bags)), sizes), np.concatenate([h for h, _ in bags]), np.concatenate([n for _, n in bags]), len(bags))
                 bands, sketch = bands_of(signature), (mix64(signature.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
                 rows = [b.tolist() if n else [] for b, n in zip(bands, sizes, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("key"), pa.array(rows, pa.list_(pa.int64())), pa.array([s.tobytes() for s in sketch], pa.binary())], names=["doc_id", "key", "bands", "sketch"]
-                )
+                marks = pa.array([b.tobytes() for b in bands.astype(np.uint32)], pa.binary())
+                columns = [batch.column("doc_id"), batch.column("key"), batch.column("n_bytes"), pa.array(rows, pa.list_(pa.int64())), marks, pa.array([s.tobytes() for s in sketch], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n_bytes", "bands", "marks", "sketch"])
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
-    return keyed.mapInArrow(run, "doc_id long, key binary, bands array<long>, sketch binary")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n_bytes"), "text")
+    return keyed.mapInArrow(run, "doc_id long, key binary, n_bytes int, bands array<long>, marks binary, sketch binary")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -207,13 +208,42 @@ def merged(found: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(known.join(joined.withColumnRenamed("key", "component"), "component", "left").select("key", F.coalesce("whole", "component").alias("component")), "components")
 
 
-def candidates(shared: DataFrame, found: DataFrame, nodes: DataFrame, threshold: float, forest: bool) -> DataFrame:
-    """Pairs (a < b) of nodes of one bucket and different components whose sketches come near the threshold.
-
-    ``forest``: of the pairs that a task sees, only as many as connect the same components."""
-    placed = shared.select("bucket", "key").join(found.select("key", "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+def _near(first: np.ndarray, second: np.ndarray, sketch: np.ndarray, marks: np.ndarray, band: int, part: np.ndarray, agree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (x, y, places that agree) of nodes of different parts whose sketches come near the threshold and whose first common band is this one.
+
+    If ``first`` is ``second``, each pair comes once."""
+    x, y, alike = [], [], []
+    for n, k in enumerate(first.tolist()):
+        others = second[n + 1 :] if second is first else second
+        others = others[part[others] != part[k]]
+        same = (sketch[others] == sketch[k]).sum(1)
+        near = same >= agree
+        others, same = others[near], same[near]
+        here = (marks[others] == marks[k]).argmax(1) == band
+        x.append(np.full(here.sum(), k))
+        y.append(others[here])
+        alike.append(same[here])
+    return tuple(np.concatenate(v) if v else np.empty(0, np.int64) for v in (x, y, alike))
+
+
+def _cell(group: pa.Table, agree: int) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and components of a cell's nodes and its near pairs."""
+    keys, parts = group.column("key").to_pylist(), group.column("component").to_pylist()
+    number = {p: k for k, p in enumerate(set(parts))}
+    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, PLACES)
+    marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint32).reshape(-1, BANDS)
+    first = group.column("first").to_numpy()
+    one = group.column("kind")[0].as_py() == 1 and group.column("i")[0] == group.column("j")[0]  # a block with itself
+    a = np.arange(len(keys)) if one else np.flatnonzero(first)
+    b = a if one else np.flatnonzero(~first)
+    return keys, parts, *_near(a, b, sketch, marks, group.column("band")[0].as_py(), np.array([number[p] for p in parts]), agree)
+
+
+def block_links(shared: DataFrame, found: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Verified links (a, b) between different components within buckets."""
+    placed = shared.select("bucket", "band", "key", "weight").join(found.select("key", "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     placed = placed.withColumn("part", F.xxhash64("component"))
-    parts = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
+    parts = placed.groupBy("bucket", "part").agg(F.sum("weight").alias("n"))
     mixed = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max("n").alias("inner"), F.max_by("part", "n").alias("largest")).filter("parts > 1")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     mine = placed.join(mixed, "bucket").withColumns({"in": F.col("part") == F.col("largest"), "rows": blocks(F.col("inner")), "columns": blocks(F.col("n") - F.col("inner"))})
@@ -225,48 +255,42 @@ def candidates(shared: DataFrame, found: DataFrame, nodes: DataFrame, threshold:
     inside = F.transform(every(F.col("columns")), lambda j: cell(0, own, j, F.lit(True)))
     across = F.transform(every(F.col("rows")), lambda i: cell(0, i, own, F.lit(False)))
     among = F.transform(every(F.col("columns")), lambda j: cell(1, F.least(own, j), F.greatest(own, j), own <= j))
-    dealt = mine.withColumn("cell", F.explode(F.when(F.col("in"), inside).otherwise(F.concat(across, among)))).select("bucket", "cell.*", "key", "component")
-    dealt = dealt.join(nodes.select("key", "sketch"), "key")
+    dealt = mine.withColumn("cell", F.explode(F.when(F.col("in"), inside).otherwise(F.concat(across, among)))).select("bucket", "band", "cell.*", "key", "component")
+    dealt = dealt.join(nodes.select("key", "sketch", "marks"), "key")
     least = threshold - DEVIATIONS * (threshold * (1 - threshold) / PLACES) ** 0.5
     agree = int(np.floor((least + (1 - least) / 256) * PLACES))
 
-    def compare(group: pa.Table) -> pa.Table:
-        keys, parts = group.column("key").to_pylist(), group.column("component").to_pylist()
-        number = {p: k for k, p in enumerate(set(parts))}
-        of = np.array([number[p] for p in parts])
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, PLACES)
-        first = group.column("first").to_numpy()
-        one = group.column("kind")[0].as_py() == 1 and group.column("i")[0] == group.column("j")[0]  # a block with itself
-        right = np.arange(len(keys)) if one else np.flatnonzero(~first)
-        x, y, alike = [], [], []
-        for k in np.flatnonzero(first).tolist():
-            others = right[right > k] if one else right
-            others = others[of[others] != of[k]]
-            same = (sketch[others] == sketch[k]).sum(1)
-            near = same >= agree
-            x.append(np.full(near.sum(), k))
-            y.append(others[near])
-            alike.append(same[near])
-        x, y, alike = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (x, y, alike))
-        if forest:
-            root = list(range(len(number)))
-
-            def top(k: int) -> int:
-                while root[k] != k:
-                    root[k] = k = root[root[k]]
-                return k
-
-            kept = []
-            for k in np.argsort(-alike, kind="stable").tolist():
-                p, q = top(of[x[k]]), top(of[y[k]])
-                if p != q:
-                    root[p] = q
-                    kept.append(k)
-            x, y = x[kept], y[kept]
-        pairs = [sorted((keys[i], keys[j])) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
-
-    return dealt.groupBy("bucket", "kind", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+    def candidates(group: pa.Table) -> pa.Table:
+        """The rows of the nodes that have a near pair here."""
+        *_, x, y, _ = _cell(group, agree)
+        return group.take(pa.array(np.unique(np.concatenate([x, y]))))
+
+    def verified(group: pa.Table) -> pa.Table:
+        keys, parts, x, y, alike = _cell(group, agree)
+        texts, hashes, bags, joined = group.column("text"), WordHashes(), {}, {}
+
+        def top(p: bytes) -> bytes:
+            while p in joined:
+                p = joined[p]
+            return p
+
+        def bag(k: int) -> np.ndarray:
+            if k not in bags:
+                bags[k] = shingles(hashes.of(texts[k].as_py()))
+            return bags[k]
+
+        a, b = [], []
+        for k in np.argsort(-alike, kind="stable").tolist():
+            p, q = top(parts[x[k]]), top(parts[y[k]])
+            if p != q and weighted_jaccard(bag(int(x[k])), bag(int(y[k]))) >= threshold:
+                joined[p] = q
+                a.append(keys[x[k]])
+                b.append(keys[y[k]])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    cells = ("bucket", "kind", "i", "j")
+    near = dealt.groupBy(*cells).applyInArrow(candidates, dealt.schema)
+    return near.join(texts, "key").groupBy(*cells).applyInArrow(verified, "a binary, b binary")
 
 
 def classify(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -274,23 +298,19 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(sign(docs), "signatures")
     nodes = signed.filter(F.size("bands") > 0).dropDuplicates(["key"])
-    placed = nodes.select("key", F.xxhash64("key").alias("order"), F.explode("bands").alias("bucket"))
+    weight = F.greatest(F.lit(1), F.col("n_bytes") / NODE_BYTES).cast("int")
+    placed = nodes.select("key", weight.alias("weight"), F.xxhash64("key").alias("order"), F.posexplode("bands").alias("band", "bucket"))
     sizes = materialize(placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("order").alias("least")).filter("n > 1").select("bucket", "least"), "buckets")
-    shared = materialize(placed.join(sizes, "bucket").select("bucket", "key", (F.col("order") == F.col("least")).alias("hub")), "shared", instead_of=sizes)
+    shared = materialize(placed.join(sizes, "bucket").select("bucket", "band", "key", "weight", (F.col("order") == F.col("least")).alias("hub")), "shared", instead_of=sizes)
     hubs = shared.filter("hub").select("bucket", F.col("key").alias("a"))
     first = shared.filter("not hub").join(hubs, "bucket").select("a", F.col("key").alias("b")).distinct()
     keyed = docs.select(text_key(F.col("text")).alias("key"), "text")
     texts = materialize(keyed.join(shared.select("key"), "key", "left_semi").dropDuplicates(["key"]), "texts")
     found = components(verify(first, texts, threshold))
-    pairs = materialize(candidates(shared, found, nodes, threshold, forest=True), "pairs")
-    links = materialize(verify(pairs, texts, threshold), "links")
+    links = materialize(block_links(shared, found, nodes, texts, threshold).distinct(), "links")
     if not links.isEmpty():
         found = merged(found, links)
-    if links.count() < pairs.count():
-        links = materialize(verify(candidates(shared, found, nodes, threshold, forest=False).join(pairs, ["a", "b"], "left_anti"), texts, threshold), "links", instead_of=links)
-        if not links.isEmpty():
-            found = merged(found, links)
-    discard(shared, texts, pairs, links)
+    discard(shared, texts, links)
     rows = signed.select("doc_id", "key").join(found.select("key", "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     classes = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     return rows.join(classes, "component").select("doc_id", "key", "component", "class_id")
