@@ -10,6 +10,8 @@ Model.  The most frequent words are classes of their own; all others fall into c
 a token is predicted from the classes of the two tokens before: the sum of a vector for each of them, times the vector of the class, plus its bias (log-bilinear).  Training is
 noise-contrastive against the unigram distribution of classes: in each round every task runs over its own part of the training texts in mini-batches from
 the shared parameters, and Spark averages what the tasks have learnt, weighted by their tokens.  The rounds go over disjoint parts and together over all training texts once.
+Parts are dealt by a hash of the document, in its order, and their number follows from the number of tokens, so what is learnt does not depend on files or partitions and
+no part is too small to learn from.
 Scoring is normalised: matrix products over all pairs of context classes give the normaliser of each context.
 Inside its class, a word has the probability (c + 1) / (n + v + 1), n and v being the class's training tokens and words; one share is left for words never seen, so all
 probabilities of a context sum to one.
@@ -40,6 +42,8 @@ CLASSES = OWN + ENDINGS
 #: The context before a text's first token.
 START = CLASSES
 ROUNDS, BATCH, NOISE, RATE = 2, 1024, 32, 0.15
+#: Training tokens in a part.
+PART_TOKENS = 2_000_000
 #: Words in a task's table of counts before it is put out.
 COUNTED = 250_000
 END = b""
@@ -253,8 +257,10 @@ def train(texts: DataFrame, v: Vocabulary, part: Column, rounds: int = ROUNDS) -
                 values = np.append(trainer.p.flat().astype(np.float64), 1.0) * seen
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), pa.array(values)], names=["cell", "value"])
 
-        mine = texts.filter(F.pmod(part, F.lit(rounds)) == k).select("text")
-        summed = mine.mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).orderBy("cell").toPandas()["value"].to_numpy()
+        mine = texts.filter(F.pmod(part, F.lit(rounds)) == k).select("text", F.xxhash64("doc_id", "text").alias("order"))
+        dealt = mine.repartition(max(1, v.tokens // rounds // PART_TOKENS), "order").sortWithinPartitions("order").select("text")
+        sums = dealt.mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value"))
+        summed = sums.orderBy("cell").toPandas()["value"].to_numpy()
         if len(summed):
             shared = Parameters.of_flat(summed[:-1] / summed[-1])
     head.unpersist()

@@ -63,3 +63,36 @@ def test_probabilities_of_a_context_sum_to_one(spark):
 
 def test_empty_table(spark, tmp_path):
     assert lm.query(spark, write(spark, tmp_path, [])).collect() == []
+
+
+def fitted(docs):
+    counts = lm.count_words(docs)
+    v = lm.vocabulary(counts)
+    part = lm.F.coalesce(lm.F.expr("crc32(cast(cast(doc_id as string) as binary)) div 7"), lm.F.lit(0))
+    return counts, v, lm.train(docs, v, part)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    learnt = [fitted(docs.repartition(n, "text"))[2].flat() for n in (1, 64)]
+    assert np.array_equal(*learnt)
+
+
+def test_score_equals_brute_force(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").repartition(3)
+    counts, v, p = fitted(docs)
+    held = {bytes(r.word): r.n for r in counts.collect()}
+    kinds = {w: k for k, w in enumerate(v.words[: lm.OWN])}
+    of = lambda w: kinds.get(w, lm.ending(w) if w else lm.OWN)
+    for r in lm.score(docs, counts, v, p).collect():
+        before = further = lm.START
+        total = 0.0
+        for w in tokens(TEXTS[r.doc_id]):
+            scores = ((p.near[before] + p.far[further]) @ p.out.T + p.bias).astype(np.float64)
+            c = of(w)
+            total += (scores[c] - np.log(np.exp(scores).sum())) / np.log(10)
+            if w not in kinds:
+                mine = [n for x, n in held.items() if x not in kinds and of(x) == c]
+                total += math.log10((held.get(w, 0) + 1) / (sum(mine) + len(mine) + 1))
+            before, further = c, before
+        assert math.isclose(r.score, total, rel_tol=1e-4, abs_tol=1e-4)
