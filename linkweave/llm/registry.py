@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkweave.llm import bpe, decontaminate, html, langid, licenses, lm, minhash, quality, records, rules
+from linkweave.llm import bpe, decontaminate, html, langid, licenses, lm, minhash, oracles, quality, records, rules
 from linkweave.session import shipped
 
 _QUERIES = {
@@ -21,4 +21,4 @@ _QUERIES = {
 #: Python workers of any cluster get the package before a query runs.
 QUERIES = {name: shipped(query) for name, query in _QUERIES.items()}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
