@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime
+import json
+import os
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.functions import names
@@ -66,6 +71,126 @@ def dot_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dot_lines(graph.star_nodes(spark, sf_dir), graph.star_edges(spark, sf_dir)).select("part", "k", "line")
 
 
+#: How kinds of schemas are called in reports (fixed values).
+TYPE_LABELS = {"Pydantic": "Pydantic Model", "Zod": "Zod Schema", "TypeScript": "TypeScript Type", "OpenAPI": "OpenAPI Schema", "JsonSchema": "JSON Schema", "OrmModel": "ORM Model"}
+
+
+def type_label(schema_type: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in TYPE_LABELS.items() for x in kv)), schema_type), schema_type)
+
+
+def type_display(base_type: Column, optional: Column, schema: Column) -> Column:
+    """string? (Name)"""
+    return F.concat(F.lower(base_type), F.when(optional, "?").otherwise(""), F.when(schema.isNotNull(), F.concat(F.lit(" ("), schema, F.lit(")"))).otherwise(""))
+
+
+def schema_block(name: Column, schema_type: Column, file: Column, line: Column, metadata: Column) -> Column:
+    """What the readable report says of a schema: name, type, place, and what its metadata (map of texts) hold."""
+    line_of = lambda label, value: F.concat(F.lit(f"- **{label}**: `"), value, F.lit("`\n"))
+    key = lambda k: F.try_element_at(metadata, F.lit(k))
+    place = F.concat_ws(":", file, line.cast("string"))
+    stem = F.element_at(F.split(F.element_at(F.split(file, "/"), -1), r"\."), -1)
+    sample = F.concat(
+        F.lit("- **Recommendation**: Create a Pydantic model to replace `dict[str, Any]` or `any` type.\n  Example:\n  ```python\n  from pydantic import BaseModel\n  \n  class "), stem, F.lit("Model(BaseModel):\n      # Add fields here\n      pass\n  ```\n")
+    )
+    missing = F.concat(F.lit("- **Status**: ⚠️ **WARNING** - "), F.coalesce(key("reason"), F.lit("Schema validation missing")), F.lit("\n"), F.when(name == "Object", sample).otherwise(""))
+    fields = F.filter(F.transform(F.split(key("fields"), ","), lambda x: F.trim(x)), lambda x: x != "")
+    others = F.array_sort(F.filter(F.map_keys(metadata), lambda k: ~k.isin("json_schema", "fields", "missing_schema")))
+    listed = F.concat(F.lit("- **Fields**:\n"), F.array_join(F.transform(fields, lambda x: F.concat(F.lit("  - `"), x, F.lit("`\n"))), ""))
+    more = F.concat(F.lit("- **Additional Metadata**:\n"), F.array_join(F.transform(others, lambda k: F.concat(F.lit("  - `"), k, F.lit("`: `"), names.truncate(F.element_at(metadata, k), 100), F.lit("`\n"))), ""))
+    known = F.concat(F.when(key("json_schema").isNotNull(), line_of("Schema Preview", names.truncate(key("json_schema"), 200))).otherwise(""), F.when(key("fields").isNotNull(), listed).otherwise(""), F.when(F.size(others) > 0, more).otherwise(""))
+    status = F.when(key("missing_schema").isNotNull(), missing).when(F.size(metadata) == 0, "- **Status**: Schema definition not found\n").otherwise(known)
+    plain = (name == "Object") & key("json_schema").isNull()
+    note = F.concat(F.lit("- **Note**: This is a generic Object type without detailed schema definition.\n"), F.when(line > 0, F.concat(F.lit("  Consider defining a Pydantic model at `"), place, F.lit("` to provide type safety.\n"))).otherwise(""))
+    generic = F.when((name == "Object") | (schema_type == "JsonSchema"), F.concat(F.when(key("base_type").isNotNull(), line_of("Base Type", key("base_type"))).otherwise(""), F.when(plain, note).otherwise(""))).otherwise("")
+    return F.concat(line_of("Name", name), F.lit("- **Type**: "), type_label(schema_type), F.lit("\n"), line_of("Location", place), status, generic)
+
+
+def junctions(links: DataFrame, found: DataFrame) -> DataFrame:
+    """Contracts with the links on both sides, numbered from 1 in each chain; a contract whose link isn't there is an error."""
+    end = lambda side, shift: links.select("chain_id", (F.col("pos") - shift).alias("pos"), F.coalesce(F.nullif("schema", F.lit("")), "id").alias(f"{side}_name"), F.col("file").alias(f"{side}_file"), F.col("line").alias(f"{side}_line"))
+    joined = found.join(end("from", 0), ["chain_id", "pos"], "left").join(end("to", 1), ["chain_id", "pos"], "left")
+    if not joined.filter("from_name is null or to_name is null").isEmpty():
+        raise ValueError("a contract names a link that isn't there")
+    return joined.withColumn("junction", F.col("pos") + 1)
+
+
+def api_endpoints(links: DataFrame) -> DataFrame:
+    """Number of chains that show a model or a schema whose name speaks of a route."""
+    hit = links.filter((F.col("schema_type") == "Pydantic") | F.lower("schema").contains("route"))
+    return hit.agg(F.count_distinct("chain_id").alias("endpoints"))
+
+
+def chain_summary(links: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: chains, critical and warning contracts, chains with critical ones, with warnings only, valid ones and their share in percent, endpoints."""
+    chains = links.select("chain_id").distinct()
+    rank = F.when(F.col("severity") == "Critical", 2).when(F.col("severity") == "Warning", 1).otherwise(0)
+    worst = chains.join(found.groupBy("chain_id").agg(F.max(rank).alias("worst")), "chain_id", "left").agg(
+        F.count("*").alias("chains"), F.count_if(F.col("worst") == 2).alias("critical_chains"), F.count_if(F.col("worst") == 1).alias("warning_chains"), F.count_if(F.coalesce("worst", F.lit(0)) == 0).alias("valid")
+    )
+    of = found.agg(F.count_if(F.col("severity") == "Critical").alias("critical"), F.count_if(F.col("severity") == "Warning").alias("warnings"))
+    one = lambda df: df.withColumn("one", F.lit(1))
+    both = one(worst).join(one(of), "one").join(one(api_endpoints(links)), "one").drop("one")
+    return both.withColumn("coverage", F.round(F.coalesce(F.try_divide(F.col("valid") * 100.0, "chains"), F.lit(0.0)), 1))
+
+
+def chain_lines(links: DataFrame, found: DataFrame, mismatches: DataFrame) -> DataFrame:
+    """(chain_id, name, text) of the readable report: a chain's path, then its junctions with what is wrong there."""
+    one = F.struct("pos", F.format_string("**%s** (%s)", F.coalesce(F.nullif("schema", F.lit("")), "id"), type_label(F.col("schema_type"))).alias("t"))
+    paths = links.groupBy("chain_id", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"]), " → ").alias("path"))
+    said = mismatches.groupBy("chain_id", "pos").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("  - "), "level", F.lit(": "), "message"))), "\n").alias("said"))
+    each = junctions(links, found).join(said, ["chain_id", "pos"], "left")
+    line = F.concat_ws("\n", F.format_string("- junction %d: %s (%s:%d) → %s (%s:%d): %s", "junction", "from_name", "from_file", "from_line", "to_name", "to_file", "to_line", "severity"), "said")
+    text = each.groupBy("chain_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("t")))), lambda x: x["t"]), "\n").alias("junctions"))
+    return paths.join(text, "chain_id", "left").select("chain_id", "name", F.concat_ws("\n", "path", "junctions").alias("text"))
+
+
+def write_report(path: str, kind: str, links: DataFrame, found: DataFrame, mismatches: DataFrame) -> None:
+    """The report of checked chains as one local file: json or markdown.  Chains come to the driver one after the other, ordered by their names."""
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    summary = chain_summary(links, found).first().asDict()
+    kinds = {r["schema_type"]: r["n"] for r in links.groupBy("schema_type").agg(F.count_distinct("schema", "file", "line").alias("n")).collect()}  # one row for each kind of schema
+    with open(path, "w", encoding="utf-8") as f:
+        if kind == "json":
+            shown = links.groupBy("chain_id", "name").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "link_type", "schema", "schema_type", "file", "line", "transformation"))).alias("links"))
+            wrong = mismatches.groupBy("chain_id", "pos").agg(F.array_sort(F.collect_list(F.struct("mismatch_type", "path", "level", "message"))).alias("mismatches"))
+            each = found.drop("mismatches").join(wrong, ["chain_id", "pos"], "left").groupBy("chain_id").agg(F.array_sort(F.collect_list(F.struct("pos", "severity", "mismatches"))).alias("contracts"))
+            now = datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="seconds")
+            f.write(json.dumps({"version": "1.0.0", "timestamp": now, "summary": summary | {"schemas": kinds}}, ensure_ascii=False)[:-1] + ', "chains": [')
+            rows = shown.join(each, "chain_id", "left").orderBy("name", "chain_id").select(F.to_json(F.struct("chain_id", "name", "links", "contracts")).alias("j"))
+            for k, r in enumerate(rows.toLocalIterator()):
+                f.write((",\n" if k else "\n") + r["j"])
+            f.write("\n]}\n")
+            return
+        f.write("# Data chain report\n\n")
+        for label, key in (("Chains", "chains"), ("With critical contracts", "critical_chains"), ("With warnings", "warning_chains"), ("Valid", "valid"), ("Endpoints", "endpoints")):
+            f.write(f"- {label}: {summary[key]}\n")
+        f.write(f"- Coverage: {summary['coverage']:.1f}%\n\n## Schemas\n\n")
+        f.writelines(f"- {TYPE_LABELS.get(k, k)}: {n}\n" for k, n in sorted(kinds.items()))
+        f.write("\n## Chains\n\n")
+        for k, r in enumerate(chain_lines(links, found, mismatches).orderBy("name", "chain_id").toLocalIterator(), 1):
+            f.write(f"### {k}. {r['name']}\n\n{r['text']}\n\n")
+
+
+def dot_file(output: str, name: str, several: bool) -> str:
+    """Where an adapter's drawing goes: the output itself if it is a .dot file (with the adapter's name if there are several), else a file below it."""
+    if not output.endswith(".dot"):
+        return os.path.join(output, f"{name}.dot")
+    if not several:
+        return output
+    safe = re.sub("[^A-Za-z0-9]", "_", name)
+    return os.path.join(os.path.dirname(output), f"{os.path.splitext(os.path.basename(output))[0]}-{safe}.dot")
+
+
+def write_dot(path: str, name: str, nodes: DataFrame, edges: DataFrame) -> None:
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f"digraph {re.sub('[^A-Za-z0-9_]', '_', name)} {{\n")
+        for r in dot_lines(nodes, edges).orderBy("part", "k", "line").select("line").toLocalIterator():
+            f.write(r["line"] + "\n")
+        f.write("}\n")
+
+
 def write_markdown(spark: SparkSession, sf_dir: str, path: str) -> None:
     """The readable report as one text file: statistics, schemas, then a line for each chain by id."""
     stats = contracts.coverage_query(spark, sf_dir).select(F.array(F.lit("# Report"), F.format_string("Chains: %d", "chains"), F.format_string("Critical: %d", "critical"), F.format_string("Warnings: %d", "warning"), F.format_string("Coverage: %.1f%%", "coverage")).alias("t")).select(F.posexplode("t").alias("k", "line")).withColumn("part", F.lit(0))
@@ -94,7 +219,14 @@ def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def block_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = literal(spark, "shown_schemas").withColumn("metadata", F.from_json("metadata", "map<string,string>"))
+    c = F.col
+    return s.select("schema_no", schema_block(c("name"), c("schema_type"), c("file"), c("line"), c("metadata")).alias("block"), type_display(c("schema_type"), c("line") > 3, F.nullif("name", F.lit("User"))).alias("shown"))
+
+
 QUERIES = {
+    "schema_blocks": block_query,
     "schemas_distinct_by_type": schemas_by_type,
     "schemas_first_use": distinct_schemas,
     "recommendation_buckets": recommendations,
@@ -104,7 +236,16 @@ QUERIES = {
     "dot_lines": dot_query,
     "dot_graph": dot_query,
 }
+_BLOCKS = {
+    1: "- **Name**: `User`\n- **Type**: Pydantic Model\n- **Location**: `app/a.py:7`\n- **Schema Preview**: `{}`\n- **Fields**:\n  - `id:int`\n  - `name:str`\n- **Additional Metadata**:\n  - `a`: `1`\n  - `b`: `2`\n",
+    2: "- **Name**: `Object`\n- **Type**: JSON Schema\n- **Location**: `app/main.py:9`\n- **Status**: ⚠️ **WARNING** - Schema validation missing\n- **Recommendation**: Create a Pydantic model to replace `dict[str, Any]` or `any` type.\n  Example:\n  ```python\n  from pydantic import BaseModel\n  \n  class pyModel(BaseModel):\n      # Add fields here\n      pass\n  ```\n- **Base Type**: `Object`\n- **Note**: This is a generic Object type without detailed schema definition.\n  Consider defining a Pydantic model at `app/main.py:9` to provide type safety.\n",
+    3: "- **Name**: `load`\n- **Type**: JSON Schema\n- **Location**: `b.ts:0`\n- **Status**: Schema definition not found\n",
+    4: "- **Name**: `Long`\n- **Type**: Zod Schema\n- **Location**: `z.ts:3`\n- **Additional Metadata**:\n  - `k`: `" + "é" * 50 + "...`\n",
+}
 ORACLE_SQL = {
+    "schema_blocks": "SELECT * FROM (VALUES "
+    + ", ".join(f"({k}, '{v}', '{d}')" for (k, v), d in zip(_BLOCKS.items(), ("pydantic?", "jsonschema? (Object)", "jsonschema (load)", "zod (Long)"), strict=True))
+    + ") AS t(schema_no, block, shown)",
     "schemas_distinct_by_type": f"{contracts._BASE} SELECT schema_type, count(DISTINCT name) AS schemas, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM (SELECT from_no AS schema_no FROM c UNION SELECT to_no FROM c) JOIN schemas USING (schema_no) GROUP BY 1",
     "schemas_first_use": "SELECT p_name, p_size, l_orderkey, l_linenumber FROM (SELECT p_name, p_size, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY p_name, p_size ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE r = 1",
     "recommendation_buckets": ctes("recommendations") + " SELECT message, arg_min(severity, ord) AS severity, CASE WHEN contains(lower(message), 'type mismatch') THEN 'types' WHEN contains(lower(message), 'missing required field') THEN 'fields' WHEN contains(lower(message), 'schema validation') THEN 'schemas' ELSE 'other' END AS bucket FROM recommendations GROUP BY message",

@@ -143,6 +143,9 @@ export const last = () => client.get()')""",
     "zod_routes": ("node_id, path, method, file, line", "(101, '/items', 'GET', 'api.ts', 10), (102, '/items', 'GET', 'api.ts', 20), (103, '/users', 'POST', 'user.ts', 5), (104, '/nowhere', 'GET', 'user.ts', 9), (105, '/other', 'GET', 'user.ts', 9)"),
     "zod_endpoints": ("path, method, request", "('/items', 'get', 'ItemRequest'), ('/users', 'post', 'User'), ('/other', 'get', 'ItemRequest')"),
     "schema_fields": ("node_id, field, field_type, optional", "(1, 'id', 'string', false), (2, 'id', 'str', false), (3, 'id', 'string', false), (3, 'n', 'number', true), (2, 'n', 'str', false), (8, 'name', 'string', false), (8, 'age', 'number', true), (7, 'name', 'str', false), (7, 'mail', 'str', false)"),
+    # Schemas for the readable report; metadata as JSON
+    "shown_schemas": ("schema_no, name, schema_type, file, line, metadata", """(1, 'User', 'Pydantic', 'app/a.py', 7, '{"json_schema": "{}", "fields": "id:int, name:str,", "b": "2", "a": "1"}'), (2, 'Object', 'JsonSchema', 'app/main.py', 9, '{"missing_schema": "true", "base_type": "Object"}'), (3, 'load', 'JsonSchema', 'b.ts', 0, '{}'),
+           (4, 'Long', 'Zod', 'z.ts', 3, '{"k": "éééééééééééééééééééééééééééééééééééééééééééééééééééé"}')"""),
 }
 
 

@@ -181,7 +181,7 @@ def build(files: DataFrame, entry: str, root: str = "", max_depth: int | None =
     late = orm_edges(facts, defined, fields)
     nodes = defined.withColumns({"method": none, "route": none, "handler_id": F.lit(None).cast("long"), "request": none, "response": none, "response_missing": F.lit(False)}).unionByName(routes, allowMissingColumns=True)
     edges = import_edges.unionByName(call_edges).unionByName(flow).unionByName(route_edges).unionByName(late)
-    virtual = python_routers(facts, entry, catalogue if catalogue is not None else literal(spark, "router_catalog"))
+    virtual = python_routers(facts, entry, catalogue if catalogue is not None else router_catalogue(spark))
     placed = virtual.select(node_id("Function", F.lit(entry), F.concat_ws(" ", "method", "route")).alias("handler_id"), node_id("Route", F.lit(entry), F.col("method"), F.col("route"), F.col("ord"), F.col("k")).alias("node_id"), "method", "route")
     holders = placed.select(F.col("handler_id").alias("node_id"), F.lit("Function").alias("kind"), F.concat_ws(" ", F.initcap("method"), "route").alias("name"), F.lit(entry).alias("file"), F.lit(0).alias("line")).distinct()
     nodes = nodes.unionByName(placed.select("node_id", F.lit("Route").alias("kind"), F.col("route").alias("name"), F.lit(entry).alias("file"), F.lit(0).alias("line"), "method", "route", "handler_id"), allowMissingColumns=True).unionByName(holders, allowMissingColumns=True)
@@ -251,21 +251,45 @@ def text_values(facts: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.join(joined, ["path", "ord"], "left")
 
 
+_CATALOGUE = "generator string, ord int, method string, path string, request_arg int, response_arg int, module string, source int"
+_generators: dict[str, list[tuple]] = {}
+
+
+def register_generator(generator: str, endpoints: list[tuple[str, str, int | None, int | None]], module: str = "") -> None:
+    """A router generator of one's own: its endpoints as (method, path, place of the request argument, place of the response argument)."""
+    _generators[generator] = [(generator, k, *e, module, 1) for k, e in enumerate(endpoints)]
+
+
+def router_catalogue(spark: SparkSession, declared: dict | None = None) -> DataFrame:
+    """The built-in router generators, registered ones and those that a configuration declares; the latter come before the others.
+
+    A declared endpoint without a place for a schema takes argument 0 for the response and 1 for the request, if the declaration lists that schema."""
+    rows = [r for mine in _generators.values() for r in mine]
+    for g in (declared or {}).get("generators", []):
+        schemas = g.get("schema_params", [])
+        place = lambda e, key, at, listed=schemas: e.get(f"{key}_param", at if key in listed else None)
+        rows += [(g["method"], k, e.get("method", "GET"), e["path"], place(e, "request_schema", 1), place(e, "response_schema", 0), g.get("module", ""), 0) for k, e in enumerate(g.get("endpoints", []))]
+    built_in = literal(spark, "router_catalog").withColumns({"module": F.lit(""), "source": F.lit(2)})
+    return built_in.unionByName(spark.createDataFrame(rows, _CATALOGUE)) if rows else built_in
+
+
 def python_routers(facts: DataFrame, entry: str, catalogue: DataFrame) -> DataFrame:
     """(ord, k, method, route, request, response) of the routers that the entry file includes or makes by themselves.
 
-    A router inside include_router has that call's prefix, one by itself the first prefix of the file.  ``catalogue``: generator, ord, method, path, request_arg,
-    response_arg; a generator is known by get_<generator>_router, or by its whole name.  Verbs that aren't known count as GET."""
+    A router inside include_router has that call's prefix, one by itself the first prefix of the file.  ``catalogue``: as ``router_catalogue`` makes it; a
+    generator is known by get_<generator>_router, or by its whole name, and by a part of what it is called on.  Verbs that aren't known count as GET."""
     here = facts.filter((F.col("path") == entry) & F.col("fact").isin("include_router", "plain_call"))
     valued = materialize(text_values(facts, here.select("path", "ord", "fact", "name", "detail", "extra")), "routers")
     first = valued.filter("fact = 'include_router' and extra <> ''").agg(F.min_by("value", "ord").alias("first"))
-    method = names.last_part(F.col("name"))
-    generator = F.coalesce(F.nullif(F.regexp_extract(method, "^get_(.*)_router$", 1), F.lit("")), method)
-    calls = valued.filter("name like '%.%'").withColumn("one", F.lit(1)).join(first.withColumn("one", F.lit(1)), "one").select("ord", generator.alias("generator"), F.coalesce(F.when(F.col("fact") == "include_router", F.col("value")).otherwise(F.col("first")), F.lit("")).alias("prefix"), F.col("detail").alias("args"))
+    method, base = names.last_part(F.col("name")), F.regexp_extract("name", r"^(.*)\.[^.]*$", 1)
+    keys = F.array_distinct(F.array(method, F.coalesce(F.nullif(F.regexp_extract(method, "^get_(.*)_router$", 1), F.lit("")), method)))
+    calls = valued.filter("name like '%.%'").withColumn("one", F.lit(1)).join(first.withColumn("one", F.lit(1)), "one").select("ord", base.alias("base"), F.explode(keys).alias("generator"), F.coalesce(F.when(F.col("fact") == "include_router", F.col("value")).otherwise(F.col("first")), F.lit("")).alias("prefix"), F.col("detail").alias("args"))
     verbs = catalogue.withColumn("method", F.coalesce(names.verb_of(F.col("method")), F.lit("GET"))).withColumnRenamed("ord", "k")
+    fits = calls.join(verbs, "generator").filter(F.contains("base", "module"))
+    best = fits.groupBy("ord").agg(F.min("source").alias("source"))
     args = F.split("args", ",")
     arg = lambda c: F.nullif(F.get(args, F.col(c)), F.lit(""))
-    return calls.join(verbs, "generator").select("ord", "k", "method", F.concat("prefix", "path").alias("route"), arg("request_arg").alias("request"), arg("response_arg").alias("response"))
+    return fits.join(best, ["ord", "source"]).select("ord", "k", "method", F.concat("prefix", "path").alias("route"), arg("request_arg").alias("request"), arg("response_arg").alias("response"))
 
 
 # Chains and contracts ----------------------------------------------------------------------------------------------------------------------------
@@ -509,7 +533,7 @@ def mapped_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def router_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return python_routers(python_source.extract(example(spark)), "shop/main.py", literal(spark, "router_catalog")).select("method", "route", "request", "response")
+    return python_routers(python_source.extract(example(spark)), "shop/main.py", router_catalogue(spark)).select("method", "route", "request", "response")
 
 
 QUERIES = {

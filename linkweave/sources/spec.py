@@ -222,8 +222,20 @@ def find_spec(folder: str) -> str | None:
 
 
 def read_sources(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """(path, content) of source files below a folder, by a pattern such as ``*.{ts,tsx}``."""
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    """(path, content) of source files below a folder, by a pattern such as ``*.{ts,tsx}``.
+
+    Spark's listing leaves out names that begin with an underscore, such as __init__.py; those few are found and opened by the driver, through Hadoop's file system."""
+    listed = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    jvm, at = spark.sparkContext._jvm, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    wanted, rows, found = jvm.org.apache.hadoop.fs.GlobFilter(pattern), [], system.listFiles(at, True)
+    while found.hasNext():
+        file = found.next().getPath()
+        if file.getName().startswith("_") and wanted.accept(file):
+            stream = system.open(file)
+            rows.append((file.toString(), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            stream.close()
+    return listed.unionByName(spark.createDataFrame(rows, "path string, content string")) if rows else listed
 
 
 def changed(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -242,6 +254,7 @@ class Config:
     max_recursion_depth: int | None = None
     strict_imports: bool = False
     rules: dict = field(default_factory=dict)
+    dynamic_routes: dict = field(default_factory=dict)
 
 
 class ConfigError(ValueError):

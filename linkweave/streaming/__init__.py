@@ -1 +1 @@
-"""streaming of the engine."""
+"""Sources that keep coming: facts of files that are new or changed."""
