@@ -59,11 +59,14 @@ def greedy_walk(starts: DataFrame, edges: DataFrame, most: int = 64) -> DataFram
     """(start, path): from each start to the first neighbour that isn't on the path, until there is none.
 
     All walks take a step together: one join of the walks' ends with the adjacency for each level, and walks that have
-    ended leave the loop.  ``most`` levels are a guard against endless data, far above any chain's length; walks reaching it raise an error."""
+    ended leave the loop.  ``most`` neighbours of a node are enough for walks of that length; where walks get longer, the adjacency is made anew with four times as many."""
     near = materialize(adjacency(edges, most + 1), "adjacency")
     going = materialize(starts.select(F.col("node_id").alias("start"), F.array("node_id").alias("path"), F.col("node_id").alias("at")), "walks")
-    done = None
-    for _ in range(most):
+    done, steps = None, 0
+    while True:
+        if steps == most:
+            most *= 4
+            near = materialize(adjacency(edges, most + 1), "adjacency", instead_of=near)
         step = going.join(near, going["at"] == near["src"], "left")
         following = F.get(F.filter("out", lambda x: ~F.array_contains("path", x)), 0)
         step = materialize(step.select("start", "path", following.alias("next")), "walks")
@@ -72,7 +75,7 @@ def greedy_walk(starts: DataFrame, edges: DataFrame, most: int = 64) -> DataFram
         going = step.filter("next is not null").select("start", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("at"))
         if going.isEmpty():
             return done
-    raise RuntimeError(f"walks longer than {most} nodes")
+        steps += 1
 
 
 def chain_type(nodes: DataFrame, paths: DataFrame) -> DataFrame:

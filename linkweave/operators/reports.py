@@ -40,9 +40,9 @@ def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def path_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each chain's path as text: bold names and kinds, joined by arrows, in the order of the path."""
-    links = graph.links_of(graph.star_nodes(spark, sf_dir), graph._walks(spark, sf_dir)).join(graph.star_nodes(spark, sf_dir), "node_id")
+    on = graph._walks(spark, sf_dir).select("start", F.posexplode("path").alias("pos", "node_id")).join(graph.star_nodes(spark, sf_dir).select("node_id", "name", "kind"), "node_id")
     one = F.struct("pos", F.format_string("**%s** (%s)", F.coalesce(F.nullif("name", F.lit("")), F.col("node_id").cast("string")), "kind").alias("t"))
-    return links.groupBy("start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"]), " → ").alias("description"))
+    return on.groupBy("start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"]), " → ").alias("description"))
 
 
 def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

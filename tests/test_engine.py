@@ -34,8 +34,9 @@ def test_walk_does_not_turn_back(spark):
     edges = spark.createDataFrame([(0, 1, 0), (1, 2, 1), (2, 0, 2), (1, 3, 3), (3, 3, 4), (3, 0, 5)], "src long, dst long, edge_id long")
     start = spark.createDataFrame([(0,)], "node_id long")
     assert graph.greedy_walk(start, edges).first().path == [0, 1, 3]
-    with pytest.raises(RuntimeError):
-        graph.greedy_walk(start, edges, most=2)
+    assert graph.greedy_walk(start, edges, most=1).first().path == [0, 1, 3]
+    long = spark.createDataFrame([(k, k + 1, k) for k in range(12)], "src long, dst long, edge_id long")
+    assert graph.greedy_walk(start, long, most=2).first().path == list(range(13))  # walks longer than the first adjacency was made for
 
 
 def test_saved_graph_round_trip_and_damage(spark, tmp_path):
