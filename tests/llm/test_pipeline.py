@@ -1,6 +1,8 @@
 import re
 
 import corpus_pipeline
+from test_minhash import bag, similarity
+
 from linkweave.session import materialize, table
 
 PATH = "/root/testdata/sf0.001"
@@ -47,3 +49,26 @@ def test_empty_documents_pass_through(spark, tmp_path):
 
 def test_stage_names_are_plain():
     assert all(re.fullmatch(r"\w+", name) for name, _ in corpus_pipeline.STAGES) and len(corpus_pipeline.STAGES) == 5
+
+
+def test_near_copies_repeated_rows_null_ids_and_clashing_columns(spark):
+    """Every stage but the last keeps all columns, whatever their names; of near copies and repeated rows the one with the least id stays."""
+    base = [r for r in table(spark, PATH, "documents").collect() if r.text and len(r.text.split()) > 150 and r.lang == "en"][:30]
+    words = base[0].text.split()
+    near = [" ".join([*words[:60], "changed", *words[61:]]), " ".join([*words[:-1], "end"])]
+    extra = ("label", "key", "class_id", "score", "matches", "bands", "component", "item_id", "stats", "words")
+    made = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in base]
+    made += [(100_001, near[0], "en", "s", 1), (100_002, near[1], "en", "s", 1), (100_002, near[1], "en", "s", 1), (None, base[1].text, "en", None, None), (100_003, "", "en", "s", 0), (100_004, None, None, None, None)]
+    docs = spark.createDataFrame([(*r, *[f"x{k}" for k in range(len(extra))]) for r in made], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        after = materialize(stage(spark, docs, PATH), name)
+        assert after.columns == docs.columns, name
+        if name == "near_duplicates":
+            kept = after.collect()
+            twins = [r for r in kept if r.text and similarity(bag(r.text), bag(base[0].text)) >= 0.8]
+            assert [r.doc_id for r in twins] == [base[0].doc_id]
+            assert sum(r.text == base[1].text for r in kept) == 1
+            for i, a in enumerate(kept):
+                assert not any((a.text or "") == (b.text or "") or similarity(bag(a.text), bag(b.text)) >= 0.8 for b in kept[:i])
+        docs = after
+    assert 0 < docs.count() <= len(base) + 1
