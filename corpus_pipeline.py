@@ -6,6 +6,9 @@
 Rejected are: texts without a letter, of no learnt language, or of none with a probability of one half (stage 1); texts
 whose quality score is under one half (stage 2); all rows but one of a group of near duplicates (stage 3); texts that hold a benchmark
 item (stage 4).  Null texts have no letter and go in stage 1.  An empty table passes through.
+
+Of near duplicates and of repeated rows the one with the least id stays (a null id counts as greatest); a row without an id is scored like others and has no
+label to learn from.  All stages but the last keep every column, whatever its name; the last one has the ids in place of the text.
 """
 
 from __future__ import annotations
