@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,7 +49,37 @@ def by_bytes(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> It
         start = stop
 
 
-def by_length(batch: pa.RecordBatch, column: str, limit: int = 400_000) -> Iterator[pa.RecordBatch]:
+_held: dict[object, object] = {}
+_last_trim = 0.0
+
+
+def held(key: object, make: Callable[[], object] = object) -> object:
+    """What a Python worker keeps from task to task under ``key``: one thing at a time.
+
+    Spark deals tasks of all stages to the same workers, so a table that one stage has built goes as soon as a task asks for another, and memory
+    that a task before has left is given back."""
+    global _last_trim
+    if key not in _held or time.monotonic() - _last_trim > 1:
+        if key not in _held:
+            _held.clear()
+            gc.collect()
+        pa.default_memory_pool().release_unused()
+        _trim()
+        _last_trim = time.monotonic()
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
+def _trim() -> None:
+    """Free heap pages go back to the system, where the C library can do that."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def by_length(batch: pa.RecordBatch, column: str, limit: int = 200_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``limit`` list elements of ``column`` each (one row at least)."""
     n = batch.num_rows
     if not n:

@@ -17,6 +17,7 @@ column that has the name of an output column is replaced.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 from collections.abc import Callable, Iterator
@@ -29,11 +30,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkweave.llm._text import by_bytes, by_length
+from linkweave.llm._text import by_bytes, by_length, held
 from linkweave.session import materialize, table
 
 #: Words in a worker's table, and characters of them; beyond either, the half that was met most often stays.
-TABLE_WORDS, TABLE_CHARS = 150_000, 4 << 20
+TABLE_WORDS, TABLE_CHARS = 100_000, 3 << 20
 
 #: Pre-tokenisation pattern of the byte-level vocabulary (fixed value), for Java's regex with Unicode classes.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -70,13 +71,10 @@ def split_words(text: Column, specials: list[str]) -> Column:
 class WordTable:
     """Distinct words: their ids, one after the other, and where each word's begin.
 
-    Lives as long as the Python worker.  When it is full, the half of the words that was met most often stays."""
+    A Python worker keeps it from task to task of a stage.  When it is full, the half of the words that was met most often stays."""
 
     def __init__(self, path: str, most: int):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path).model
+        self.path = path
         self.alphabet = str.maketrans({b: c for c, b in byte_alphabet().items()})
         self.special = special_ids(path)
         self.most = most
@@ -86,6 +84,18 @@ class WordTable:
         self.offsets = np.zeros(1 << 14, np.int64)
         self.met = np.zeros(1 << 14, np.int64)
 
+    @functools.cached_property
+    def model(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path).model
+
+    @functools.cached_property
+    def pieces(self) -> pa.Array:
+        """The id-to-piece table."""
+        return pa.array(piece_table(self.path), pa.large_binary())
+
     def encode_word(self, word: str) -> list[int]:
         """The merges of one pre-tokenised word by the tokenizer's own model."""
         if word in self.special:
@@ -148,14 +158,9 @@ class WordTable:
         return np.split(ids, token_ends[:-1]) if len(token_ends) else []
 
 
-_tables: dict[tuple[str, int], WordTable] = {}
-
-
-def word_table(path: str, most: int) -> WordTable:
+def word_table(path: str, most: int = TABLE_WORDS) -> WordTable:
     """The worker's table."""
-    if (path, most) not in _tables:
-        _tables[path, most] = WordTable(path, most)
-    return _tables[path, most]
+    return held(("bpe", path, most), lambda: WordTable(path, most))
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -235,7 +240,7 @@ def decode(df: DataFrame, ids: str = "ids_le", out: str = "decoded", tokenizer:
     drop = set() if keep_ids else {ids}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pa.array(piece_table(path), pa.large_binary())
+        pieces = word_table(path).pieces  # of the same table, as workers change between encoding and decoding
         for whole in batches:
             for batch in by_bytes(whole, ids):
                 rows = [np.frombuffer(x or b"", "<u4") for x in batch.column(ids).to_pylist()]

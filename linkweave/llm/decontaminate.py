@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm._text import TermHashes, add_column, found_in, mix64, shingles, weighted_jaccard
+from linkweave.llm._text import TermHashes, add_column, found_in, held, mix64, shingles, weighted_jaccard
 from linkweave.session import table
 
 BITS, BLOCKS, RADIUS, THRESHOLD = 64, 4, 20, 0.8
@@ -198,7 +198,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str
         block = docs.sparkSession.sparkContext.broadcast(rows)
 
         def prepare(block=block) -> Callable[[str | None], list[dict]]:
-            index, hashes = Index(block.value), TermHashes()
+            hashes, index = held("terms", TermHashes), Index(block.value)
             return lambda value: index.scan(hashes.of(value), threshold)
 
         docs = add_column(docs, text, name, KIND, prepare)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkweave.llm._text import by_bytes
+from linkweave.llm._text import by_bytes, held
 from linkweave.session import table
 
 #: Lines in a window, and characters that a window needs for a surge.
@@ -372,6 +372,7 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text", window: int
     schema = T.StructType([*kept, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("pages")
         for whole in batches:
             for batch in by_bytes(whole, html):
                 texts = [main_text(x, window, surge) for x in batch.column(html).to_pylist()]

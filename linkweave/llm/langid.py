@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkweave.llm._text import by_bytes
+from linkweave.llm._text import by_bytes, held
 from linkweave.session import table
 
 UNDETERMINED = "und"
@@ -83,6 +83,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("lang").isNotNull())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("languages")
         sums: dict[str, np.ndarray] = {}
         docs_of: dict[str, int] = {}
         for whole in batches:
@@ -97,10 +98,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
                     for k, x in enumerate(names):
                         sums[x] = sums[x] + counts[k] if x in sums else counts[k].astype(np.int64)
         for x, n in docs_of.items():
-            held = sums.get(x, np.zeros(BUCKETS, np.int64))
-            at = np.flatnonzero(held)
+            mine = sums.get(x, np.zeros(BUCKETS, np.int64))
+            at = np.flatnonzero(mine)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(held[at], n), pa.int64())], names=["lang", "bucket", "n"]
+                [pa.array([x] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(mine[at], n), pa.int64())], names=["lang", "bucket", "n"]
             )
 
     summed = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -126,6 +127,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", label: str = "lan
     schema = T.StructType([*kept, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType()), *([T.StructField(fit, T.DoubleType())] if fit else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("languages")
         names = np.array([*model.languages, UNDETERMINED], object)
         bounded = np.clip(model.log_probability + np.float32(np.log(BUCKETS)), -1, 1) if fit else None
         for whole in batches:

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm._text import TermHashes, add_column, found_in, mix64, shingles
+from linkweave.llm._text import TermHashes, add_column, found_in, held, mix64, shingles
 from linkweave.session import table
 
 BANDS, THRESHOLD = 64, 0.8
@@ -129,7 +129,7 @@ def annotate(docs: DataFrame, text: str = "text", out: str = "licenses", templat
     """Adds the licence notices of each text, with the place and containment of each."""
 
     def prepare() -> Callable[[str | None], list[dict]]:
-        index, hashes = Index(templates), TermHashes()
+        hashes, index = held("terms", TermHashes), Index(templates)
         return lambda value: index.scan(hashes.of(value), threshold)
 
     return add_column(docs, text, out, KIND, prepare)

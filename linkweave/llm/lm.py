@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm._text import by_bytes
+from linkweave.llm._text import by_bytes, held
 from linkweave.session import materialize, table
 
 #: Words whose counts every task holds, and their longest length in bytes.
@@ -65,6 +65,7 @@ def count_words(texts: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("lm")
         counts: Counter = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
@@ -247,6 +248,7 @@ def train(texts: DataFrame, v: Vocabulary, part: Column, rounds: int = ROUNDS) -
         start = shared.flat()
 
         def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = start, k: int = k) -> Iterator[pa.RecordBatch]:
+            held("lm")
             tokens, trainer, seen = Tokens(*head.value), Trainer(Parameters.of_flat(start), frequent, k), 0
             for whole in batches:
                 for batch in by_bytes(whole, "text"):
@@ -272,13 +274,14 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, parameters: Paramet
     spark = docs.sparkSession
     kept = [f for f in docs.schema.fields if f.name != "text"]
     names = [f.name for f in kept]
-    held = spark.sparkContext.broadcast((v.words, v.classes(), v.counts, parameters, parameters.log_normaliser()))
+    shared = spark.sparkContext.broadcast((v.words, v.classes(), v.counts, parameters, parameters.log_normaliser()))
     # Sums over a class's words and the share of words never seen, as a logarithm
     inside = np.log10(v.class_tokens + v.class_words + 1.0)
     inside[:OWN] = 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, classes_of, counts_of, p, normaliser = held.value
+        held("lm")
+        words_of, classes_of, counts_of, p, normaliser = shared.value
         tokens = Tokens(words_of, classes_of)
         log_count = np.append(np.log10(counts_of + 1.0), 0.0)
         for whole in batches:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm._text import WordHashes, by_bytes, mix64, shingles, weighted_jaccard
+from linkweave.llm._text import WordHashes, by_bytes, held, mix64, shingles, weighted_jaccard
 from linkweave.session import discard, materialize, table
 
 BANDS, ROWS = 36, 6
@@ -140,7 +140,7 @@ def sign(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, key, n_bytes, bands (empty for texts without words), marks (32 bits of each band), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = held("words", WordHashes)
         for whole in batches:
             for batch in by_bytes(whole, "text", 1 << 19):
                 bags = [np.unique(shingles(hashes.of(x)), return_counts=True) for x in batch.column("text").to_pylist()]
@@ -166,7 +166,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     dealt = members.unionByName(firsts).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = held("words", WordHashes)
         bag = np.empty(0, np.uint64)
         for whole in batches:
             for batch in by_bytes(whole, "text"):
@@ -267,7 +267,7 @@ def block_links(shared: DataFrame, found: DataFrame, nodes: DataFrame, texts: Da
 
     def verified(group: pa.Table) -> pa.Table:
         keys, parts, x, y, alike = _cell(group, agree)
-        texts, hashes, bags, joined = group.column("text"), WordHashes(), {}, {}
+        texts, hashes, bags, joined = group.column("text"), held("words", WordHashes), {}, {}
 
         def top(p: bytes) -> bytes:
             while p in joined:

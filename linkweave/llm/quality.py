@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkweave.llm._text import WordHashes, by_bytes, shingles
+from linkweave.llm._text import WordHashes, by_bytes, held, shingles
 from linkweave.session import materialize, table
 
 #: Random features, width of the kernel in standardised units, ridge penalty for each labelled row.
@@ -96,7 +96,7 @@ def statistics(docs: DataFrame, text: str = "text", out: str = "stats") -> DataF
     kept = [f for f in docs.schema.fields if f.name not in (text, out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = held("words", WordHashes)
         for whole in batches:
             for batch in by_bytes(whole, text):
                 rows = [statistics_of(x, hashes) for x in batch.column(text).to_pylist()]
@@ -162,6 +162,7 @@ def fit(labelled: DataFrame, stats: str = "stats", label: str = "label") -> Mode
     upper = np.triu_indices(size)
 
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("quality")
         gram, right = np.zeros((size, size)), np.zeros(size)
         for batch in batches:
             z = _fourier((_stack(batch.column("stats")) - mean) / scale)
@@ -216,7 +217,7 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", out: str = "s
     schema = T.StructType([*kept, T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = held("words", WordHashes)
         for whole in batches:
             for batch in by_bytes(whole, text):
                 scores = model.score(np.array([statistics_of(x, hashes) for x in batch.column(text).to_pylist()]))
