@@ -97,7 +97,9 @@ def python_adapter(spark: SparkSession, config: spec.Config, adapter: dict) -> G
     root = project.python_root(app)
     files = materialize(_relative(spec.read_sources(spark, root, "*.py"), root), "sources")
     entry = os.path.relpath(app, root)
-    return python_graph.build(files, entry, os.path.dirname(entry), config.max_recursion_depth, config.strict_imports, python_graph.router_catalogue(spark, config.dynamic_routes))
+    g = python_graph.build(files, entry, os.path.dirname(entry), config.max_recursion_depth, config.strict_imports, python_graph.router_catalogue(spark, config.dynamic_routes))
+    path = adapter.get("openapi_path") or config.openapi_path
+    return python_graph.enrich(g, endpoints_of(spark, path)) if path else g
 
 
 def frontend_adapter(spark: SparkSession, config: spec.Config, adapter: dict, controllers: bool) -> tuple[Graph, DataFrame]:

@@ -44,6 +44,16 @@ def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(edge(table(spark, sf_dir, "supplier"), "s_suppkey", "Method", "s_nationkey", "Class", F.col("s_suppkey"), "Call"))
 
 
+def find_nodes(nodes: DataFrame, predicate: Column) -> DataFrame:
+    """Nodes that a condition holds for, in the order of their ids."""
+    return nodes.filter(predicate).orderBy("node_id")
+
+
+def add_variables(variables: DataFrame, more: DataFrame) -> DataFrame:
+    """Variables (node_id, name) with further ones; one that is there already stays one."""
+    return variables.select("node_id", "name").unionByName(more.select("node_id", "name")).distinct()
+
+
 def adjacency(edges: DataFrame, most: int) -> DataFrame:
     """(src, out): the ``most`` newest different neighbours, newest first.
 
@@ -256,7 +266,20 @@ _CALLERS = f"SELECT node_id FROM n WHERE kind IN ('Function', 'Method')"
 _TYPED = _walk_sql(_edge_sql() + ", " + _node_sql(), _CALLERS) + ", t AS (SELECT start, CASE WHEN bool_or(kind = 'Route') THEN 'Full' WHEN bool_or(file LIKE '%.ts') AND NOT bool_or(file LIKE '%.py') THEN 'FrontendInternal' WHEN bool_or(file LIKE '%.py') AND NOT bool_or(file LIKE '%.ts') THEN 'BackendInternal' ELSE 'Full' END AS chain_type FROM (SELECT start, unnest(path) AS node_id FROM p) JOIN n USING (node_id) GROUP BY start)"
 _REACH = "r AS (SELECT node_id AS start, node_id FROM ({}) UNION SELECT start, dst FROM r JOIN e ON src = node_id)"
 
+def class_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of Python files that are classes or methods."""
+    return find_nodes(star_nodes(spark, sf_dir), F.col("kind").isin("Class", "Method") & F.col("file").endswith(".py")).select("node_id", "kind", "name")
+
+
+def added_variable_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue's variables with one for each customer's and supplier's node."""
+    more = star_nodes(spark, sf_dir).filter(F.col("kind").isin("Function", "Method"))
+    return add_variables(add_variables(literal(spark, "variables"), more), literal(spark, "variables"))
+
+
 QUERIES = {
+    "nodes_by_predicate": class_query,
+    "registered_variables": added_variable_query,
     "greedy_walk_forward": walk_query,
     "greedy_walk_reverse": reverse_walk_query,
     "greedy_walk_small": small_walk_query,
@@ -275,6 +298,8 @@ QUERIES = {
     "adjacent_turns": next_turn_query,
 }
 ORACLE_SQL = {
+    "nodes_by_predicate": f"WITH {_node_sql()} SELECT node_id, kind, name FROM n WHERE kind IN ('Class', 'Method') AND file LIKE '%.py'",
+    "registered_variables": f"WITH {_node_sql()} SELECT CAST(node_id AS BIGINT) AS node_id, name FROM {values('variables')} UNION SELECT node_id, name FROM n WHERE kind IN ('Function', 'Method')",
     "greedy_walk_forward": _walk_sql(_edge_sql(), _ROUTES) + f" SELECT start, {_PATH.format('path')} FROM p",
     "greedy_walk_reverse": _walk_sql(_TURNED, f"SELECT CAST(n_nationkey AS BIGINT) * 8 + {KINDS.index('Class')} AS node_id FROM nation") + f" SELECT start, {_PATH.format('list_reverse(path)')} FROM p",
     "greedy_walk_small": _walk_sql(_SMALL, "SELECT DISTINCT src AS node_id FROM e") + f" SELECT start, {_PATH.format('path')} FROM p",

@@ -207,6 +207,24 @@ def routes_of(facts: DataFrame, defined: DataFrame, functions: DataFrame, models
     return nodes, edges
 
 
+def enrich(g: Graph, endpoints: DataFrame) -> Graph:
+    """The graph with what a spec tells (path, method, operation_id, response): results of handlers whose route it has, and a route for each operation that no
+    route stands for, with the function of the operation's name, or one in its place, as handler and no edge to it."""
+    spec = endpoints.select("path", names.verb_of(F.col("method")).alias("method"), "operation_id", F.col("response").alias("told")).filter("method is not null")
+    spec = linking.first_by(spec, ["path", "method"], ["operation_id", "told"])
+    routes = g.nodes.filter("kind = 'Route'").select(F.col("route").alias("path"), "method", "handler_id")
+    told = routes.join(spec.filter("told is not null"), ["path", "method"]).groupBy(F.col("handler_id").alias("node_id")).agg(F.min("told").alias("told"))
+    result = F.when(F.col("told").isNotNull(), F.struct(F.col("told").alias("model"), F.lit(True).alias("is_model"), F.lit(False).alias("missing"))).otherwise(F.col("result"))
+    nodes = g.nodes.join(told, "node_id", "left").withColumn("result", result).drop("told")
+    gone = spec.filter("operation_id is not null").join(routes, ["path", "method"], "left_anti").withColumn("name", names.handler_of_operation(F.col("operation_id")))
+    functions = g.nodes.filter("kind = 'Function'").groupBy("name").agg(F.min("node_id").alias("found"))
+    virtual = gone.join(functions, "name", "left").withColumn("handler_id", F.coalesce("found", node_id("Function", F.lit("spec"), F.col("name"))))
+    holders = virtual.filter("found is null").select(F.col("handler_id").alias("node_id"), F.lit("Function").alias("kind"), "name", F.lit("").alias("file"), F.lit(0).alias("line")).distinct()
+    made = virtual.select(node_id("Route", F.lit("spec"), F.col("method"), F.col("path")).alias("node_id"), F.lit("Route").alias("kind"), F.col("path").alias("name"), F.lit("").alias("file"), F.lit(0).alias("line"), "method", F.col("path").alias("route"), "handler_id", F.lit(False).alias("response_missing"))
+    nodes = nodes.unionByName(holders, allowMissingColumns=True).unionByName(made, allowMissingColumns=True)
+    return Graph(materialize(nodes, "nodes"), g.edges, g.fields, g.schema_type)
+
+
 def orm_edges(facts: DataFrame, defined: DataFrame, fields: DataFrame) -> DataFrame:
     """Data flow in both directions between a model that is made from attributes and the mapped class that fits it best."""
     made = python_source.from_attributes(facts)
@@ -519,6 +537,14 @@ def report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(found, check(g, found)).join(links.select("chain_id", "name").distinct(), "chain_id").select("name", "pos", "severity", "mismatches")
 
 
+def enrich_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The example's routes with a spec that has one of them, one of a known handler and one of none."""
+    endpoints = spark.sql("SELECT * FROM (VALUES ('/orders', 'post', 'add', 'OrderOut'), ('/found', 'get', 'main:find', NULL), ('/new', 'put', 'put_new', 'New'), ('/t', 'trace', 't', NULL), ('/silent', 'get', NULL, 'X')) AS t(path, method, operation_id, response)")
+    g = enrich(_graph(spark), endpoints)
+    handlers = g.nodes.select(F.col("node_id").alias("handler_id"), F.col("name").alias("handler"), F.col("file").alias("handler_file"), "result.model")
+    return g.nodes.filter("kind = 'Route' and (file = '' or route = '/orders')").drop("result").join(handlers, "handler_id").select("method", "route", "handler", "handler_file", "model")
+
+
 def reach_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = example(spark)
     return reached(python_source.extract(files), files, "shop/main.py")[0]
@@ -546,6 +572,7 @@ QUERIES = {
     "python_chains": chain_query,
     "python_mismatches": check_query,
     "python_contract_report": report_query,
+    "python_spec_routes": enrich_query,
 }
 _MAIN, _MODELS, _TABLES = "shop/main.py", "shop/models/__init__.py", "shop/store/tables.py"
 _MADE = ("/register", "/auth{WHO}/forgot-password", "/auth{WHO}/reset-password", "/auth{WHO}/request-verify-token", "/auth{WHO}/verify")
@@ -593,6 +620,7 @@ ORACLE_SQL = {
         "source, target, kind, transformation",
     ),
     "python_chains": _values([("fwd", n, _chain(x)) for n, x in _SOURCES.items()] + [("rev", n, "Source " + x[0].replace("OrderIn", "OrderOut")) for n, x in _SOURCES.items()], "direction, name, path"),
+    "python_spec_routes": _values([("POST", "/orders", "add_order", _MAIN, "OrderOut"), ("GET", "/found", "find", _TABLES, None), ("PUT", "/new", "put_new", "", None)], "method, route, handler, handler_file, model"),
     "python_mismatches": _values([("GET /raw", 0, "MissingSchema", "", level, f"{side} schema 'Object' is missing validation schema (dict[str, Any] or any)") for side, level in (("Source", "Critical"), ("Target", "High"))], "name, pos, mismatch_type, path, level, message"),
     "python_contract_report": _values([(n, k, "Warning" if n == "GET /raw" else "Info", 2 if n == "GET /raw" else 0) for n, x in _SOURCES.items() for k in range(len(x) - 1)], "name, pos, severity, mismatches"),
 }
