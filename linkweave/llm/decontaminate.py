@@ -88,16 +88,18 @@ class MultiIndex:
         pairs = []
         for k, table in enumerate(self.tables):
             values, of_row = np.unique(asked[:, k], return_inverse=True)
-            rows = Postings(of_row, np.arange(len(asked)))
-            for v, value in enumerate(values):
-                # the neighbours of the value in the table: by its keys or by the changes, whichever are fewer
+            rows_of = Postings(of_row, np.arange(len(asked)))
+            for first in range(0, len(values), 256):  # so that the temporary tables stay small
+                some = values[first : first + 256]
+                # the neighbours of each value in the table: by its keys or by the changes of a block, whichever are fewer
                 if len(table.keys) <= len(_CHANGES):
-                    near = np.flatnonzero(_POPCOUNT[table.keys ^ value] <= BLOCK_BITS)
+                    value, key = np.nonzero(_POPCOUNT[some[:, None] ^ table.keys[None, :]] <= BLOCK_BITS)
                 else:
-                    near = (at := found_in(_CHANGES ^ value, table.keys))[at >= 0]
-                members = table.of(near)[0]
-                mine = rows.of(np.array([v]))[0]
-                pairs.append(np.repeat(mine, len(members)) * len(self.prints) + np.tile(members, len(mine)))
+                    at = found_in((some[:, None] ^ _CHANGES[None, :]).ravel(), table.keys)
+                    value, key = np.flatnonzero(at >= 0) // len(_CHANGES), at[at >= 0]
+                members, of_key = table.of(key)
+                rows, of_member = rows_of.of(first + value[of_key])
+                pairs.append(rows * len(self.prints) + members[of_member])
         row, member = np.divmod(np.unique(np.concatenate(pairs)), len(self.prints))
         close = _POPCOUNT[asked[row] ^ self.prints[member]].sum(1, dtype=np.int32) <= RADIUS
         return row[close], member[close]
