@@ -173,9 +173,10 @@ def write_report(path: str, kind: str, links: DataFrame, found: DataFrame, misma
 
 
 def dot_file(output: str, name: str, several: bool) -> str:
-    """Where an adapter's drawing goes: the output itself if it is a .dot file (with the adapter's name if there are several), else a file below it."""
+    """Where an adapter's drawing goes: the output itself if it is a .dot file (with the adapter's name if there are several), else a file below it (beside it,
+    if it is a report that is there already)."""
     if not output.endswith(".dot"):
-        return os.path.join(output, f"{name}.dot")
+        return os.path.join(os.path.dirname(output) if os.path.isfile(output) else output, f"{name}.dot")
     if not several:
         return output
     safe = re.sub("[^A-Za-z0-9]", "_", name)
