@@ -401,7 +401,7 @@ def find(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame
 def strongest(runs: Column) -> Column:
     """The run with the greatest ratio of length and period; ties go to the smallest start, then period. Null if there is none."""
     ahead = lambda a, b: b["length"] * a["period"] > a["length"] * b["period"]
-    return F.aggregate(runs, F.element_at(runs, 1), lambda a, b: F.when(ahead(a, b), b).otherwise(a))
+    return F.aggregate(runs, F.get(runs, 0), lambda a, b: F.when(ahead(a, b), b).otherwise(a))
 
 
 def with_periodic_tails(docs: DataFrame) -> DataFrame:
@@ -411,7 +411,7 @@ def with_periodic_tails(docs: DataFrame) -> DataFrame:
     g, n = F.floor(F.col("__h") / 10), F.size("__words")
     a = F.col("__a")
     p = 1 + F.floor((n - a) / (3 + F.col("__g") % 8))
-    tail = F.transform(F.slice("__words", a + 1, F.greatest(n - a, F.lit(0))), lambda w, i: F.element_at("__words", (a + i % F.col("__p") + 1).cast("int")))
+    tail = F.transform(F.slice("__words", a + 1, F.greatest(n - a, F.lit(0))), lambda w, i: F.get("__words", (a + i % F.col("__p")).cast("int")))
     made = F.array_join(F.concat(F.slice("__words", F.lit(1), a), tail), " ")
     return (
         docs.select("doc_id", "text", crc.alias("__h"))
