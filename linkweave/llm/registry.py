@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkweave.llm import bpe, decontaminate, html, langid, licenses, lm, minhash, oracles, quality, records, rules, runs
+from linkweave.llm import bpe, decontaminate, html, langid, licenses, lm, minhash, neighbours, oracles, quality, records, rules, runs
 from linkweave.session import shipped
 
 _QUERIES = {
@@ -16,6 +16,7 @@ _QUERIES = {
     "op8_langid": langid.query,
     "op9_licenses": licenses.query,
     "op10_rules": rules.query,
+    "op11_neighbours": neighbours.query,
     "op13_runs": runs.query,
 }
 
