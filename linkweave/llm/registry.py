@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkweave.llm import bpe, decontaminate, html, langid, licenses, lm, minhash, neighbours, oracles, quality, records, rules, runs
+from linkweave.llm import alignment, bpe, decontaminate, html, langid, licenses, lm, minhash, neighbours, oracles, quality, records, rules, runs
 from linkweave.session import shipped
 
 _QUERIES = {
@@ -17,6 +17,7 @@ _QUERIES = {
     "op9_licenses": licenses.query,
     "op10_rules": rules.query,
     "op11_neighbours": neighbours.query,
+    "op12_alignment": alignment.query,
     "op13_runs": runs.query,
 }
 

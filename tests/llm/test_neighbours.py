@@ -65,7 +65,7 @@ def test_empty_table_and_single_row(spark):
 
 def test_a_third_of_all_rows_in_one_vector(spark):
     rng = np.random.default_rng(5)
-    hot = rng.standard_normal(8)
+    hot = 4 * rng.standard_normal(8)
     rows = [(i, (hot if i % 3 == 0 else rng.standard_normal(8)).tolist()) for i in range(3000)]
     got, want = search(spark, rows), brute(rows)
     assert recall(got, want) >= 0.95
