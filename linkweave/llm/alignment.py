@@ -4,9 +4,10 @@
 where each ends; an equi-join on text and end finds where both tokenizers end a token; a running count of these cuts numbers the groups; a join on
 text and group, with overlapping byte ranges, gives the links.
 
-A corpus isn't aligned text by text.  Both tokenizers always end a token before a space or line feed that follows a visible character, and around a
-single line feed between visible ones (``SPLIT``; the pieces of the second vocabulary are checked for it, and if one of them crosses such a
-place, a whole text is one segment).  So texts are cut into segments there, and ``align`` runs once for each distinct segment of the corpus.  Texts
+A corpus isn't aligned text by text.  There are places where both tokenizers always end a token: before a space or line feed that follows a visible
+character, around a single line feed between visible ones, and between ASCII letters, digits and other signs where no piece of the second vocabulary
+holds the two characters side by side (``cut_table``, worked out from that vocabulary; if a piece crosses a space or a line feed, a whole text is
+one segment).  So texts are cut into segments there, and ``align`` runs once for each distinct segment of the corpus.  Texts
 are put together from their segments: they are dealt to groups of about ``GROUP_BYTES`` with a table of the distinct segments of each group, which
 are joined with the aligned ones; each group then meets its segments in one task.  In how many texts a pair of ids is linked is counted per
 group, summed over the corpus and joined back to the groups.
@@ -29,16 +30,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkweave.llm._text import by_bytes, held
 from linkweave.llm.bpe import default_tokenizer, piece_table
 from linkweave.session import discard, materialize, table
 
-#: Places where both tokenizers end a token (Java's regex): before a space or line feed after a visible character, after a line feed between two.
-SPLIT = r"(?U)(?=[ \n])(?<=\S)|(?<=\n)(?=\S)(?<=\S\n)"
-
 #: Text bytes of a group, whose texts and distinct segments a task holds at once.
 GROUP_BYTES = 16 << 20
 
@@ -92,6 +90,49 @@ def co_partitioned(spark: SparkSession) -> Iterator[None]:
 # ---------------------------------------------------------------- tokens of segments
 
 
+_SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def cut_table(pieces: list[str]) -> np.ndarray:
+    """Whether both tokenizers always end a token between two bytes, at 256 times the first plus the second."""
+    kind = np.full(256, 3)  # 0 letters, 1 digits, 2 white space, 3 other signs
+    for k, chars in enumerate(("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")):
+        kind[[ord(c) for c in chars]] = k
+    kind[_SPACES] = 2
+    ascii_ = np.arange(256) < 128
+    cut = (kind[:, None] != kind) & (kind[:, None] != 2) & (kind != 2) & ascii_[:, None] & ascii_
+    cut[ord("'")] = False  # 's and the like are tokens of the first tokenizer
+    for piece in pieces:
+        for x, y in itertools.pairwise(piece):
+            if x < "\x80" and y < "\x80":
+                cut[ord(x), ord(y)] = False
+    cut[:, [0x20, 0x0A]] = ~_SPACES[:, None]
+    return cut.ravel()
+
+
+def cut_places(text: np.ndarray, starts: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Where segments begin in the bytes of some texts, which begin with a space each at ``starts``."""
+    out = np.zeros(len(text) + 1, bool)
+    if len(text):
+        out[1:-1] = cut[(text[:-1].astype(np.uint16) << 8) | text[1:]]
+    # white space of two or three bytes: U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000
+    wide = np.flatnonzero((text == 0xC2) | ((text >= 0xE1) & (text <= 0xE3)))
+    wide = wide[wide + 1 < len(text)]
+    lead, second, third = text[wide], text[wide + 1], text[np.minimum(wide + 2, len(text) - 1)]
+    two = (lead == 0xC2) & ((second == 0x85) | (second == 0xA0))
+    three = ((lead == 0xE1) & (second == 0x9A) & (third == 0x80)) | ((lead == 0xE2) & (second == 0x80) & ((third <= 0x8A) | (third == 0xA8) | (third == 0xA9) | (third == 0xAF)))
+    three |= ((lead == 0xE2) & (second == 0x81) & (third == 0x9F)) | ((lead == 0xE3) & (second == 0x80) & (third == 0x80))
+    first, after = wide[two | three], np.where(two, wide + 2, wide + 3)[two | three]
+    out[after] = False
+    feeds = np.flatnonzero(text == 0x0A)
+    feeds = feeds[(feeds > 0) & (feeds + 1 < len(text))]
+    feeds = feeds[~_SPACES[text[feeds - 1]] & ~_SPACES[text[feeds + 1]] & ~np.isin(feeds, after) & ~np.isin(feeds + 1, first)]
+    out[feeds + 1] = True
+    out[starts] = True
+    out[-1] = False
+    return np.flatnonzero(out)
+
+
 class Tokenizers:
     """Both tokenizers, and the bytes of their ids."""
 
@@ -108,8 +149,10 @@ class Tokenizers:
         self.is_byte = [bool(re.fullmatch("<0x[0-9A-F]{2}>", p)) and self.second.is_byte(i) for i, p in enumerate(pieces)]
         self.pieces = (pa.array(piece_table(first), pa.large_binary()), pa.array([bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in zip(pieces, self.is_byte, strict=True)], pa.large_binary()))
         self.sizes = tuple(pc.binary_length(p).to_numpy() for p in self.pieces)
-        #: No piece crosses a place of ``SPLIT``.
-        self.cuts_hold = not any("\n" in p or re.search("[^▁]▁", p) for p, byte in zip(pieces, self.is_byte, strict=True) if not byte)
+        plain = [p for p, byte in zip(pieces, self.is_byte, strict=True) if not byte]
+        #: No piece crosses a line feed, or a space after something else.
+        self.cuts_hold = not any("\n" in p or re.search("[^▁]▁", p) for p in plain)
+        self.cut_table = cut_table(plain)
 
     def encode(self, segments: list[str], whole: bool) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of segments by both; ``whole``: each is a space and a text."""
@@ -210,48 +253,56 @@ def _unpacked(codes: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.empty(0, "<u4"), *rows]).astype(np.int64), np.cumsum([0, *map(len, rows)])
 
 
-def segments_of(text: Column, whole: bool) -> Column:
-    spaced = F.concat(F.lit(" "), text)
-    cut = F.array(spaced) if whole else F.split(spaced, SPLIT, -1)
-    return F.when(F.length(text) > 0, cut).otherwise(F.array().cast("array<string>"))
+def segments_of(texts: pa.StringArray, cut: np.ndarray | None) -> tuple[pa.StringArray, np.ndarray]:
+    """Segments of a space and each text, one after the other, and how many each text has; whole texts without ``cut``."""
+    full = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
+    spaced = pc.binary_join_element_wise(pa.scalar(" "), pc.if_else(full, texts, pa.scalar("")), pa.scalar("")).filter(full)
+    ends = np.frombuffer(spaced.buffers()[1], np.int32)[spaced.offset : spaced.offset + len(spaced) + 1] if len(spaced) else np.zeros(1, np.int32)
+    data = np.frombuffer(spaced.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(spaced) else np.empty(0, np.uint8)
+    starts = ends[:-1] - ends[0]
+    places = starts.astype(np.int64) if cut is None else cut_places(data, starts, cut)
+    counts = np.zeros(len(texts), np.int64)
+    counts[full.to_numpy(zero_copy_only=False)] = np.diff(np.searchsorted(places, np.append(starts, len(data))))
+    offsets = np.append(places, len(data)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(places), pa.py_buffer(offsets), pa.py_buffer(data)), counts
 
 
 _CODED = "g long, kind int, place int, doc_id long, segment string, codes binary"
 
 
-def coded(docs: DataFrame, whole: bool, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def coded(docs: DataFrame, cut: np.ndarray | None, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Groups of texts: a row for each text (kind 0) with the numbers of its segments, and one for each distinct segment of the group (kind 1)."""
 
-    def flush(g: int, ids: list[pa.Array], lists: list[pa.ListArray]) -> Iterator[pa.RecordBatch]:
-        doc_ids, rows = pa.concat_arrays(ids), pa.concat_arrays(lists)
-        words = rows.flatten().dictionary_encode()
+    def flush(g: int, ids: list[pa.Array], parts: list[pa.StringArray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        doc_ids, words = pa.concat_arrays(ids), pa.concat_arrays(parts).dictionary_encode()
         numbers = words.indices.to_numpy(zero_copy_only=False)
         common = np.argsort(-np.bincount(numbers, minlength=len(words.dictionary)), kind="stable")
-        rank = np.empty(len(common), np.int64)
+        rank = np.empty(len(common), np.uint32)
         rank[common] = np.arange(len(common))
-        ends = np.cumsum(pc.list_value_length(rows).fill_null(0).to_numpy(zero_copy_only=False))
-        codes = [_packed(x) for x in np.split(rank[numbers], ends[:-1])]
+        codes = [_packed(x) for x in np.split(rank[numbers], np.cumsum(np.concatenate(counts))[:-1])]
         blank = lambda kind, n: pa.nulls(n, kind)
         make = lambda n, kind, *columns: pa.RecordBatch.from_arrays([pa.array(np.full(n, g)), pa.array(np.full(n, kind, np.int32)), pa.array(np.arange(n, dtype=np.int32)), *columns], names=["g", "kind", "place", "doc_id", "segment", "codes"])
-        yield make(len(rows), 0, doc_ids, blank(pa.string(), len(rows)), pa.array(codes, pa.binary()))
+        yield make(len(codes), 0, doc_ids, blank(pa.string(), len(codes)), pa.array(codes, pa.binary()))
         dictionary = words.dictionary.take(pa.array(common))
-        yield make(len(common), 1, blank(pa.int64(), len(common)), dictionary, blank(pa.binary(), len(common)))
+        for at in range(0, len(common), 50_000):
+            yield make(len(common), 1, blank(pa.int64(), len(common)), dictionary, blank(pa.binary(), len(common))).slice(at, 50_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, ids, lists, size = TaskContext.get().partitionId() << 32, [], [], 0
+        g, ids, parts, counts, size = TaskContext.get().partitionId() << 32, [], [], [], 0
         for large in batches:
-            for at in range(0, large.num_rows, 64):
-                batch = large.slice(at, 64)
+            for batch in by_bytes(large, "text"):
+                words, each = segments_of(batch.column("text"), cut)
                 ids.append(batch.column("doc_id"))
-                lists.append(batch.column("segments"))
-                size += pc.sum(pc.binary_length(lists[-1].flatten())).as_py() or 0
+                parts.append(words)
+                counts.append(each)
+                size += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
                 if size >= group_bytes:
-                    yield from flush(g, ids, lists)
-                    g, ids, lists, size = g + 1, [], [], 0
+                    yield from flush(g, ids, parts, counts)
+                    g, ids, parts, counts, size = g + 1, [], [], [], 0
         if ids:
-            yield from flush(g, ids, lists)
+            yield from flush(g, ids, parts, counts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), segments_of(F.col("text"), whole).alias("segments")).mapInArrow(run, _CODED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _CODED)
 
 
 def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -259,6 +310,29 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[ends])
 
 
+def _texts_with(sizes: np.ndarray, codes: np.ndarray, each: np.ndarray, local: np.ndarray, n_pairs: int) -> np.ndarray:
+    """In how many texts each pair is linked; texts have ``sizes`` segments each, segment k has ``each[k]`` of the pairs in ``local``."""
+    counts, starts, ends = np.zeros(n_pairs, np.int64), np.cumsum(each) - each, np.cumsum(sizes)
+    at = text = 0
+    step = max(1, (4 << 20) // max(1, n_pairs))  # texts whose marks are held at once
+    while text < len(sizes):
+        stop = min(text + step, max(text + 1, int(np.searchsorted(ends, at + (1 << 18), side="right"))))
+        here = codes[at : ends[stop - 1]]
+        who = np.repeat(np.arange(stop - text), sizes[text:stop])
+        n = each[here]
+        total = np.cumsum(n)
+        pair = local[np.repeat(starts[here] - (total - n), n) + np.arange(total[-1] if len(total) else 0)]
+        key = np.repeat(who, n) * n_pairs + pair
+        if (stop - text) * n_pairs > 8 * len(key):
+            counts += np.bincount(np.unique(key) % n_pairs, minlength=n_pairs) if len(key) else 0
+        else:
+            marks = np.zeros((stop - text) * n_pairs, np.uint8)
+            marks[key] = 1
+            counts += marks.reshape(stop - text, n_pairs).sum(axis=0, dtype=np.int64)
+        at, text = int(ends[stop - 1]), stop
+    return counts
+
+
 _COUNTED = "g long, kind int, place int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes binary, pair long, texts long"
 
 
@@ -276,18 +350,11 @@ def _count(entries: pa.Table, rows: pa.Table) -> pa.Table:
     each = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     pairs, local = np.unique(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), return_inverse=True)
     starts = np.cumsum(each) - each
-    texts = entries.column("groups").combine_chunks().take(pa.array(codes))
-    digests = []
+    texts = entries.column("groups").combine_chunks().cast(pa.binary()).to_pylist()
+    digests, listed = [], codes.tolist()
     for a, b, use in zip(ends.tolist(), ends[1:].tolist(), good.tolist(), strict=False):
-        digests.append(hashlib.sha256(";".join(texts.slice(a, b - a).to_pylist()).encode()).hexdigest() if use else "")
-    text_of = np.repeat(np.arange(len(good)), np.diff(ends))
-    used = good[text_of]
-    once = np.unique(text_of[used] * max(1, len(each)) + codes[used])
-    who, code = np.divmod(once, max(1, len(each)))
-    total = np.cumsum(each[code])
-    at = np.repeat(starts[code] - (total - each[code]), each[code]) + np.arange(total[-1] if len(total) else 0)
-    seen = np.unique(np.repeat(who, each[code]) * max(1, len(pairs)) + local[at]) % max(1, len(pairs))
-    counts = np.bincount(seen, minlength=len(pairs))
+        digests.append(hashlib.sha256(b";".join(map(texts.__getitem__, listed[a:b]))).hexdigest() if use else "")
+    counts = _texts_with(np.where(good, np.diff(ends), 0), codes[np.repeat(good, np.diff(ends))], each, local, len(pairs))
 
     def part(kind: int, n: int, **columns: object) -> pa.Table:
         columns |= {"g": np.full(n, g), "kind": np.full(n, kind, np.int32), "place": np.arange(n, dtype=np.int32)}
@@ -326,8 +393,9 @@ def _again(df: DataFrame) -> DataFrame:
 def link_sums(docs: DataFrame, first: str | None = None, second: str | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """For each (doc_id, text): numbers of tokens, groups and links, sums over its links, digest of the groups."""
     first, second = first or default_tokenizer(), second or default_pieces()
-    whole = not Tokenizers(first, second).cuts_hold
-    groups = materialize(coded(docs, whole, group_bytes), "align-coded")
+    both = Tokenizers(first, second)
+    whole = not both.cuts_hold
+    groups = materialize(coded(docs, None if whole else both.cut_table, group_bytes), "align-coded")
     entries = groups.filter("kind = 1").select("g", "place", "segment")
     tokens = materialize(tokenized(entries.select("segment").distinct(), first, second, whole).withColumn("key", F.monotonically_increasing_id()), "align-tokens")
     known = aligned(tokens)
