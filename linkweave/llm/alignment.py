@@ -40,7 +40,6 @@ from linkweave.session import discard, materialize, table
 #: Text bytes of a group, whose texts and distinct segments a task holds at once.
 GROUP_BYTES = 16 << 20
 
-_CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 def default_pieces() -> str:
@@ -77,14 +76,28 @@ def align(df: DataFrame, key: str = "key", first: str = "a", second: str = "b")
 
 
 @contextmanager
-def co_partitioned(spark: SparkSession) -> Iterator[None]:
-    """Tables that are dealt by the text stay so in joins by text and end, or text and group."""
-    before = spark.conf.get(_CO_PARTITION, "true")
-    spark.conf.set(_CO_PARTITION, "false")
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for the jobs inside."""
+    names = {"co_partition": "spark.sql.requireAllClusterKeysForCoPartition", "clean_up": "spark.sql.classic.shuffleDependency.fileCleanup.enabled"}
+    before = {k: spark.conf.get(names[k], None) for k in values}
+    for k, value in values.items():
+        spark.conf.set(names[k], value)
     try:
         yield
     finally:
-        spark.conf.set(_CO_PARTITION, before)
+        for k, value in before.items():
+            spark.conf.unset(names[k]) if value is None else spark.conf.set(names[k], value)
+
+
+def co_partitioned(spark: SparkSession):
+    """Tables that are dealt by the text stay so in joins by text and end, or text and group."""
+    return settings(spark, co_partition="false")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``materialize``; shuffle files go as soon as the table is there, so that those of one stage don't lie beside those of the next."""
+    with settings(df.sparkSession, clean_up="true"):
+        return materialize(df, label)
 
 
 # ---------------------------------------------------------------- tokens of segments
@@ -209,7 +222,7 @@ def aligned(tokens: DataFrame) -> DataFrame:
         links = align(dealt).groupBy("key").agg(F.collect_list(F.struct("group", "a_pos", "b_pos", "a_id", "b_id")).alias("links"))
         fields = "key long, n_groups int, groups string, pairs array<bigint>"
         both = tokens.select("key", "segment", "ok", F.size("a").alias("n_a"), F.size("b").alias("n_b")).join(links.mapInArrow(_formatted, fields), "key", "left").drop("key")
-        return materialize(both, "align-segments")
+        return written(both, "align-segments")
 
 
 def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,18 +408,18 @@ def link_sums(docs: DataFrame, first: str | None = None, second: str | None = No
     first, second = first or default_tokenizer(), second or default_pieces()
     both = Tokenizers(first, second)
     whole = not both.cuts_hold
-    groups = materialize(coded(docs, None if whole else both.cut_table, group_bytes), "align-coded")
+    groups = written(coded(docs, None if whole else both.cut_table, group_bytes), "align-coded")
     entries = groups.filter("kind = 1").select("g", "place", "segment")
-    tokens = materialize(tokenized(entries.select("segment").distinct(), first, second, whole).withColumn("key", F.monotonically_increasing_id()), "align-tokens")
+    tokens = written(tokenized(entries.select("segment").distinct(), first, second, whole).withColumn("key", F.monotonically_increasing_id()), "align-tokens")
     known = aligned(tokens)
     discard(tokens)
     found = entries.join(known, "segment").select("g", "place", "ok", "n_a", "n_b", "n_groups", "groups", "pairs")
-    counted = materialize(found.groupBy("g").cogroup(_again(groups).filter("kind = 0").select("g", "place", "doc_id", "codes").groupBy("g")).applyInArrow(_count, _COUNTED), "align-counted")
+    counted = written(found.groupBy("g").cogroup(_again(groups).filter("kind = 0").select("g", "place", "doc_id", "codes").groupBy("g")).applyInArrow(_count, _COUNTED), "align-counted")
     discard(known, groups)
     rows = counted.filter("kind = 2").select("g", "place", "pair", "texts")
     totals = rows.groupBy("pair").agg(F.sum("texts").alias("texts")).withColumn("a", F.shiftright("pair", 32))
     most = totals.groupBy("a").agg(F.max("texts").alias("most"))
-    totals = materialize(totals.join(most, "a").select("pair", "texts", (F.col("texts") == F.col("most")).cast("int").alias("best")), "align-pairs")
+    totals = written(totals.join(most, "a").select("pair", "texts", (F.col("texts") == F.col("most")).cast("int").alias("best")), "align-pairs")
     values = rows.select("g", "place", "pair").join(totals, "pair").select("g", "place", "texts", "best")
     texts = _again(counted).filter("kind < 2").select("g", "kind", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes")
     return values.groupBy("g").cogroup(texts.groupBy("g")).applyInArrow(_finish, _RESULT)
