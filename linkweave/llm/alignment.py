@@ -213,43 +213,87 @@ def tokenized(segments: DataFrame, first: str, second: str, whole: bool) -> Data
     return segments.mapInArrow(run, f"segment string, ok boolean, a {kind}, b {kind}")
 
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """(segment, ok, n_a, n_b, n_groups, groups, pairs) of distinct segments with their tokens; ``pairs`` are 2^32 times the first id plus the second, of all links."""
+def aligned(tokens: DataFrame, width: int) -> DataFrame:
+    """(segment, ok, links) of distinct segments with their tokens; ``links`` as ``pack_links`` has them, with ids of ``width`` bytes."""
     spark = tokens.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pack_links(batch.column("links"), width)], names=["key", "links"])
+
     with co_partitioned(spark):
         dealt = tokens.select("key", "a", "b").filter(F.size("a") > 0).repartition(parts, "key")
         links = align(dealt).groupBy("key").agg(F.collect_list(F.struct("group", "a_pos", "b_pos", "a_id", "b_id")).alias("links"))
-        fields = "key long, n_groups int, groups string, pairs array<bigint>"
-        both = tokens.select("key", "segment", "ok", F.size("a").alias("n_a"), F.size("b").alias("n_b")).join(links.mapInArrow(_formatted, fields), "key", "left").drop("key")
-        return written(both, "align-segments")
-
-
-def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups as text: ids of the first tokenizer, those of the second, group after group."""
-    for batch in batches:
-        lists = batch.column("links")
-        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        row = np.repeat(np.arange(len(counts)), counts)
-        flat = lists.flatten()
-        group, a_pos, b_pos, a_id, b_id = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5))
-        order = np.lexsort((b_pos, a_pos, group, row))
-        row, group, a_pos, b_pos, a_id, b_id = (x[order] for x in (row, group, a_pos, b_pos, a_id, b_id))
-        same = (row[1:] == row[:-1]) & (group[1:] == group[:-1])
-        new_group = np.concatenate([[True], ~same])[: len(row)]
-        new_a = np.concatenate([[True], ~(same & (a_pos[1:] == a_pos[:-1]))])[: len(row)]
-        new_b = np.concatenate([[True], ~(same & (b_pos[1:] == b_pos[:-1]))])[: len(row)]
-        number = np.cumsum(new_group) - 1  # links of a group lie together, its links by a_pos have growing b_pos too
-        who = np.concatenate([2 * number[new_a], 2 * number[new_b] + 1])
-        ids = np.concatenate([a_id[new_a], b_id[new_b]])
+        return written(tokens.select("key", "segment", "ok").join(links.mapInArrow(packed, "key long, links binary"), "key", "left").drop("key"), "align-segments")
+
+
+#: Bits of a link: it begins a group, a token of the first tokenizer, one of the second; it is the last one.
+_GROUP, _FIRST, _SECOND, _LAST = 1, 2, 4, 8
+
+
+def pack_links(lists: pa.ListArray, width: int) -> pa.BinaryArray:
+    """Links (group, a_pos, b_pos, a_id, b_id) of each row in few bytes: a byte of bits for each link in order, ids of the first tokenizer's tokens, then of the second's."""
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(counts)), counts)
+    flat = lists.flatten()
+    group, a_pos, b_pos, a_id, b_id = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5))
+    order = np.lexsort((b_pos, a_pos, group, row))  # with growing a_pos, b_pos grows too
+    group, a_pos, b_pos, a_id, b_id = (x[order] for x in (group, a_pos, b_pos, a_id, b_id))
+    new = lambda x: np.concatenate([[True], (row[1:] != row[:-1]) | (x[1:] != x[:-1])])[: len(row)]
+    firsts, seconds = new(a_pos), new(b_pos)
+    bits = _GROUP * new(group) + _FIRST * firsts + _SECOND * seconds
+    begins = np.cumsum(counts) - counts
+    bits[(begins + counts - 1)[counts > 0]] |= _LAST
+    n_a, n_b = (np.bincount(row[x], minlength=len(counts)) for x in (firsts, seconds))
+    sizes = counts + width * (n_a + n_b)
+    ends = np.cumsum(sizes)
+    out = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
+    at = ends - sizes
+    out[np.repeat(at - begins, counts) + np.arange(len(row))] = bits
+    for ids, n, before in ((a_id[firsts], n_a, counts), (b_id[seconds], n_b, counts + width * n_a)):
+        where = np.repeat(at + before - width * (np.cumsum(n) - n), n) + width * np.arange(len(ids))
+        for k in range(width):
+            out[where + k] = (ids >> (8 * k)) & 255
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(out)])
+
+
+class Links:
+    """What ``pack_links`` has packed, for all rows one after the other; a null row has no links."""
+
+    def __init__(self, packed: pa.BinaryArray, width: int):
+        packed = pa.concat_arrays([packed])
+        offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64) if len(packed) else np.zeros(1, np.int64)
+        data = np.frombuffer(packed.buffers()[2], np.uint8) if packed.buffers()[2] is not None else np.empty(0, np.uint8)
+        at, full = offsets[:-1], np.diff(offsets) > 0
+        last = np.flatnonzero(data & _LAST)
+        self.counts = np.zeros(len(at), np.int64)
+        self.counts[full] = last[np.searchsorted(last, at[full])] - at[full] + 1
+        self.begins = np.cumsum(self.counts) - self.counts
+        bits = data[np.repeat(at - self.begins, self.counts) + np.arange(self.counts.sum())]
+        self.groups, self.firsts, self.seconds = ((bits & b) > 0 for b in (_GROUP, _FIRST, _SECOND))
+        bounds = np.append(self.begins, len(bits))
+        self.n_groups, self.n_a, self.n_b = (_sums(x, bounds) for x in (self.groups, self.firsts, self.seconds))
+        ids = []
+        for n, before in ((self.n_a, self.counts), (self.n_b, self.counts + width * self.n_a)):
+            where = np.repeat(at + before - width * (np.cumsum(n) - n), n) + width * np.arange(n.sum())
+            ids.append(sum(data[where + k].astype(np.int64) << (8 * k) for k in range(width)))
+        self.a, self.b = ids
+
+    def pairs(self) -> np.ndarray:
+        """Of each link, 2^32 times the first id plus the second."""
+        return (self.a[np.cumsum(self.firsts) - 1] << 32) | self.b[np.cumsum(self.seconds) - 1]
+
+    def texts(self) -> list[bytes]:
+        """Of each row, its groups: ids of the first tokenizer, those of the second, group after group."""
+        number = np.cumsum(self.groups) - 1
+        who = np.concatenate([2 * number[self.firsts], 2 * number[self.seconds] + 1])
         place = np.argsort(who, kind="stable")
-        who, ids = who[place], ids[place]
-        halves = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.searchsorted(who, np.arange(2 * new_group.sum() + 1)), pa.int32()), pa.array(ids).cast(pa.string())), ",")
+        ids = pa.array(np.concatenate([self.a, self.b])[place]).cast(pa.string())
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=2 * int(self.groups.sum())))])
+        halves = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), ids), ",")
         groups = pc.binary_join_element_wise(halves.take(pa.array(np.arange(0, len(halves), 2))), halves.take(pa.array(np.arange(1, len(halves), 2))), "|")
-        n_groups = np.bincount(row[new_group], minlength=len(counts))
-        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n_groups]), pa.int32()), groups), ";")
-        pairs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array((a_id << 32) | b_id))
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n_groups.astype(np.int32)), texts, pairs], names=["key", "n_groups", "groups", "pairs"])
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *self.n_groups]), pa.int32()), groups), ";").cast(pa.binary()).to_pylist()
 
 
 # ---------------------------------------------------------------- texts as lists of segments
@@ -349,21 +393,19 @@ def _texts_with(sizes: np.ndarray, codes: np.ndarray, each: np.ndarray, local: n
 _COUNTED = "g long, kind int, place int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes binary, pair long, texts long"
 
 
-def _count(entries: pa.Table, rows: pa.Table) -> pa.Table:
+def _count(entries: pa.Table, rows: pa.Table, width: int) -> pa.Table:
     """Of a group: its texts with their numbers (kind 0), which pairs each segment has (kind 1), and in how many texts each pair is linked (kind 2)."""
     names = [f.split()[0] for f in _COUNTED.split(", ")]
     kinds = dict(zip(names, [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.string(), pa.binary(), pa.int64(), pa.int64()], strict=True))
     g = rows.column("g")[0].as_py() if rows.num_rows else 0
     entries, rows = entries.sort_by("place").combine_chunks(), rows.sort_by("place").combine_chunks()
     codes, ends = _unpacked(rows.column("codes").to_pylist())
-    number = lambda c: entries.column(c).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     ok = entries.column("ok").combine_chunks().to_numpy(zero_copy_only=False).astype(bool) if entries.num_rows else np.empty(0, bool)
     good = (_sums(~ok[codes], ends) == 0) & (np.diff(ends) > 0)
-    lists = entries.column("pairs").combine_chunks()
-    each = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    pairs, local = np.unique(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), return_inverse=True)
-    starts = np.cumsum(each) - each
-    texts = entries.column("groups").combine_chunks().cast(pa.binary()).to_pylist()
+    links = Links(entries.column("links").combine_chunks() if entries.num_rows else pa.array([], pa.binary()), width)
+    each = links.counts
+    pairs, local = np.unique(links.pairs(), return_inverse=True)
+    texts = links.texts()
     digests, listed = [], codes.tolist()
     for a, b, use in zip(ends.tolist(), ends[1:].tolist(), good.tolist(), strict=False):
         digests.append(hashlib.sha256(b";".join(map(texts.__getitem__, listed[a:b]))).hexdigest() if use else "")
@@ -373,7 +415,7 @@ def _count(entries: pa.Table, rows: pa.Table) -> pa.Table:
         columns |= {"g": np.full(n, g), "kind": np.full(n, kind, np.int32), "place": np.arange(n, dtype=np.int32)}
         return pa.table({c: pa.array(columns[c], kinds[c]) if c in columns and not isinstance(columns[c], pa.ChunkedArray) else columns.get(c, pa.nulls(n, kinds[c])) for c in names})
 
-    sums = {c: np.where(good, _sums(number(c)[codes], ends), 0) for c in ("n_a", "n_b", "n_groups")} | {"n_links": np.where(good, _sums(each[codes], ends), 0)}
+    sums = {c: np.where(good, _sums(x[codes], ends), 0) for c, x in (("n_a", links.n_a), ("n_b", links.n_b), ("n_groups", links.n_groups), ("n_links", each))}
     kept = [x if use else None for x, use in zip(rows.column("codes").to_pylist(), good.tolist(), strict=True)]
     table_of = [np.concatenate([[len(each)], each, local]).astype("<u4").tobytes()]
     return pa.concat_tables([part(0, len(good), doc_id=rows.column("doc_id"), groups_sha256=digests, codes=kept, **sums), part(1, 1, codes=table_of), part(2, len(pairs), pair=pairs, texts=counts)])
@@ -411,10 +453,12 @@ def link_sums(docs: DataFrame, first: str | None = None, second: str | None = No
     groups = written(coded(docs, None if whole else both.cut_table, group_bytes), "align-coded")
     entries = groups.filter("kind = 1").select("g", "place", "segment")
     tokens = written(tokenized(entries.select("segment").distinct(), first, second, whole).withColumn("key", F.monotonically_increasing_id()), "align-tokens")
-    known = aligned(tokens)
+    width = 2 if max(map(len, both.sizes)) <= 1 << 16 else 4
+    known = aligned(tokens, width)
     discard(tokens)
-    found = entries.join(known, "segment").select("g", "place", "ok", "n_a", "n_b", "n_groups", "groups", "pairs")
-    counted = written(found.groupBy("g").cogroup(_again(groups).filter("kind = 0").select("g", "place", "doc_id", "codes").groupBy("g")).applyInArrow(_count, _COUNTED), "align-counted")
+    found = entries.join(known, "segment").select("g", "place", "ok", "links")
+    texts = _again(groups).filter("kind = 0").select("g", "place", "doc_id", "codes")
+    counted = written(found.groupBy("g").cogroup(texts.groupBy("g")).applyInArrow(lambda have, rows: _count(have, rows, width), _COUNTED), "align-counted")
     discard(known, groups)
     rows = counted.filter("kind = 2").select("g", "place", "pair", "texts")
     totals = rows.groupBy("pair").agg(F.sum("texts").alias("texts")).withColumn("a", F.shiftright("pair", 32))
