@@ -94,12 +94,6 @@ def co_partitioned(spark: SparkSession):
     return settings(spark, co_partition="false")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``materialize``; shuffle files go as soon as the table is there, so that those of one stage don't lie beside those of the next."""
-    with settings(df.sparkSession, clean_up="true"):
-        return materialize(df, label)
-
-
 # ---------------------------------------------------------------- tokens of segments
 
 
@@ -225,7 +219,7 @@ def aligned(tokens: DataFrame, width: int) -> DataFrame:
     with co_partitioned(spark):
         dealt = tokens.select("key", "a", "b").filter(F.size("a") > 0).repartition(parts, "key")
         links = align(dealt).groupBy("key").agg(F.collect_list(F.struct("group", "a_pos", "b_pos", "a_id", "b_id")).alias("links"))
-        return written(tokens.select("key", "segment", "ok").join(links.mapInArrow(packed, "key long, links binary"), "key", "left").drop("key"), "align-segments")
+        return materialize(tokens.select("key", "segment", "ok").join(links.mapInArrow(packed, "key long, links binary"), "key", "left").drop("key"), "align-segments")
 
 
 #: Bits of a link: it begins a group, a token of the first tokenizer, one of the second; it is the last one.
@@ -448,22 +442,28 @@ def _again(df: DataFrame) -> DataFrame:
 def link_sums(docs: DataFrame, first: str | None = None, second: str | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """For each (doc_id, text): numbers of tokens, groups and links, sums over its links, digest of the groups."""
     first, second = first or default_tokenizer(), second or default_pieces()
+    # Shuffle files go as soon as a stage's table is there, so that they don't lie beside those of the next stage.
+    with settings(docs.sparkSession, clean_up="true"):
+        return _link_sums(docs, first, second, group_bytes)
+
+
+def _link_sums(docs: DataFrame, first: str, second: str, group_bytes: int) -> DataFrame:
     both = Tokenizers(first, second)
     whole = not both.cuts_hold
-    groups = written(coded(docs, None if whole else both.cut_table, group_bytes), "align-coded")
+    groups = materialize(coded(docs, None if whole else both.cut_table, group_bytes), "align-coded")
     entries = groups.filter("kind = 1").select("g", "place", "segment")
-    tokens = written(tokenized(entries.select("segment").distinct(), first, second, whole).withColumn("key", F.monotonically_increasing_id()), "align-tokens")
+    tokens = materialize(tokenized(entries.select("segment").distinct(), first, second, whole).withColumn("key", F.monotonically_increasing_id()), "align-tokens")
     width = 2 if max(map(len, both.sizes)) <= 1 << 16 else 4
     known = aligned(tokens, width)
     discard(tokens)
     found = entries.join(known, "segment").select("g", "place", "ok", "links")
     texts = _again(groups).filter("kind = 0").select("g", "place", "doc_id", "codes")
-    counted = written(found.groupBy("g").cogroup(texts.groupBy("g")).applyInArrow(lambda have, rows: _count(have, rows, width), _COUNTED), "align-counted")
+    counted = materialize(found.groupBy("g").cogroup(texts.groupBy("g")).applyInArrow(lambda have, rows: _count(have, rows, width), _COUNTED), "align-counted")
     discard(known, groups)
     rows = counted.filter("kind = 2").select("g", "place", "pair", "texts")
     totals = rows.groupBy("pair").agg(F.sum("texts").alias("texts")).withColumn("a", F.shiftright("pair", 32))
     most = totals.groupBy("a").agg(F.max("texts").alias("most"))
-    totals = written(totals.join(most, "a").select("pair", "texts", (F.col("texts") == F.col("most")).cast("int").alias("best")), "align-pairs")
+    totals = materialize(totals.join(most, "a").select("pair", "texts", (F.col("texts") == F.col("most")).cast("int").alias("best")), "align-pairs")
     values = rows.select("g", "place", "pair").join(totals, "pair").select("g", "place", "texts", "best")
     texts = _again(counted).filter("kind < 2").select("g", "kind", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes")
     return values.groupBy("g").cogroup(texts.groupBy("g")).applyInArrow(_finish, _RESULT)
