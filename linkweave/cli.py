@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import logging
 import os
 import sys
@@ -23,35 +24,22 @@ from linkweave.sources import project, spec
 
 log = logging.getLogger("linkweave")
 
-TEMPLATE = """project_name = "MyApp"
+#: What ``init`` writes for each setting: its name, a value to begin with, and what it is for.
+SETTINGS = (
+    ("", (("project_name", "my-project", "heading of the report"), ("max_recursion_depth", 50, "how many imports deep a graph goes"), ("strict_imports", False, "stop at an import that can't be found"))),
+    ("[adapters]", (("type", "fastapi", "fastapi, typescript or nestjs; one table for each side of the project"), ("app_path", "server/main.py", "module of the application object"))),
+    ("[adapters]", (("type", "typescript", ""), ("src_paths", ["client/src"], "folders that are read whole"))),
+    ("output", (("format", "markdown", "markdown or json"), ("path", "data-chains.md", "a folder beside it takes the drawings"))),
+)
 
-# Where graphs begin and how deep imports are followed (both optional)
-# entry_point = "backend/api/main.py"
-# max_recursion_depth = 100
 
-# An API specification; one beside this file is found by itself
-# openapi_path = "openapi.json"
-
-[[adapters]]
-type = "fastapi"
-app_path = "backend/api/main.py"
-
-[[adapters]]
-type = "typescript"
-src_paths = ["frontend/src"]
-
-# [[adapters]]
-# type = "nestjs"
-# src_paths = ["backend/src"]
-
-[rules]
-type_mismatch = "critical"
-missing_field = "warning"
-
-[output]
-format = "markdown"
-path = "chain_report.md"
-"""
+def template() -> str:
+    """A configuration to begin with, from ``SETTINGS``."""
+    lines = []
+    for section, values in SETTINGS:
+        lines += [f"[{section}]"] if section else []
+        lines += [f"{name} = {json.dumps(value)}" + (f"  # {said}" if said else "") for name, value, said in values] + [""]
+    return "\n".join(lines)
 
 
 def set_up_logging(level: str | None = None, file: str | None = None, verbose: bool = False, console: bool = True) -> None:
@@ -75,7 +63,7 @@ def init(path: str) -> None:
     if os.path.exists(path):
         raise FileExistsError(f"there is a configuration already: {path}")
     with open(path, "w", encoding="utf-8") as f:
-        f.write(TEMPLATE)
+        f.write(template())
     log.info("wrote %s", path)
 
 
@@ -117,39 +105,58 @@ def frontend_adapter(spark: SparkSession, config: spec.Config, adapter: dict, co
     return typescript_graph.build(files, endpoints, mappings, "" if below == "." else below, controllers), files
 
 
-def zod_links(spark: SparkSession, g: Graph, files: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """Links of the chains from Zod schemas to API routes, in the form of ``python_graph.chains``."""
-    facts = typescript_graph.typescript_source.extract(files)
-    shown = typescript_graph.schemas(facts).select("node_id", "name", "schema_type", "file", "line")
+def zod_parts(spark: SparkSession, g: Graph, files: DataFrame, endpoints: DataFrame, models: DataFrame, model_fields: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of the chains from Zod schemas over API routes to models, in the form of ``python_graph.chains``, and the mismatches of their fields.
+
+    ``models``: node_id, name, file, line of the models of all back ends; ``model_fields``: node_id, field, field_type, optional."""
+    facts = materialize(typescript_graph.typescript_source.extract(files), "facts")
+    own = typescript_graph.schemas(facts).filter("schema_type = 'Zod'")
+    shown = materialize(own.unionByName(models.withColumn("schema_type", F.lit("Pydantic"))), "zod-schemas")
     usages = typescript_graph.typescript_source.zod_usages(facts).select(F.xxhash64("path", "line", "schema").alias("usage_id"), F.col("schema").alias("schema_name"), F.col("path").alias("file"), "line")
     routes = g.nodes.filter("kind = 'Route'").select("node_id", F.col("route").alias("path"), "method", "file", "line")
     calls = routes.select(F.col("node_id").alias("call_id"), "file", "line")
-    found = zod_chains.chains(shown, usages, calls, routes, endpoints)
-    first = found.join(shown.select(F.col("node_id").alias("zod_id"), F.col("name").alias("schema"), "file", "line"), "zod_id")
-    source = first.select("chain_id", "name", F.lit(0).alias("pos"), F.col("zod_id").alias("node_id"), F.concat(F.lit("schema-"), "schema").alias("id"), F.lit("Source").alias("link_type"), "schema", F.lit("Zod").alias("schema_type"), F.lit(False).alias("missing"), "file", "line", F.lit(None).cast("string").alias("transformation"))
-    route = python_graph.with_schemas(g.nodes, g.schema_type).select(F.col("node_id").alias("route_id"), "id", "schema", "schema_type", "missing", "file", "line")
-    rest = found.join(route, "route_id").select("chain_id", "name", F.lit(1).alias("pos"), F.col("route_id").alias("node_id"), "id", F.lit("Transformer").alias("link_type"), "schema", "schema_type", "missing", "file", "line", F.lit(None).cast("string").alias("transformation"))
-    return source.unionByName(rest)
+    found = materialize(zod_chains.chains(shown, usages, calls, routes, endpoints).withColumn("chain_id", F.concat_ws("-", "chain_id", "zod_id")), "zod-chains")
+    zod_fields = typescript_graph.typescript_source.zod_fields(facts).join(own.select(F.col("name").alias("schema"), "node_id"), "schema").select("node_id", "field", "field_type", "optional")
+    wrong = zod_chains.chain_mismatches(found, zod_fields.unionByName(model_fields))
+    route = python_graph.with_schemas(g.nodes, g.schema_type).select("node_id", "id", "schema", "schema_type", "missing", "file", "line")
+    return zod_chains.chain_links(found, shown, route), zod_chains.mismatch_rows(found, wrong)
+
+
+def models_of(graphs: list[Graph], spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Models of back ends as (node_id, name, file, line), and their fields as (node_id, field, field_type, optional)."""
+    nodes = spark.createDataFrame([], "node_id long, name string, file string, line int")
+    fields = spark.createDataFrame([], "node_id long, field string, field_type string, optional boolean")
+    for g in graphs:
+        own = g.nodes.filter("kind = 'Class'").join(g.fields.select("name").distinct(), "name").select("node_id", "name", "file", "line")
+        nodes = nodes.unionByName(own)
+        fields = fields.unionByName(g.fields.join(own, "name").select("node_id", "field", F.col("type_name").alias("field_type"), "optional"))
+    return nodes, fields
 
 
 def check(spark: SparkSession, config_path: str, kind: str | None = None) -> str:
-    """Build the graphs of all adapters, find their chains, check their contracts and write the report; its path."""
+    """Build the graphs of all adapters, find their chains, check their contracts and write the report; its path.
+
+    Chains from Zod schemas end at the models of the project's back ends, whatever the order of the adapters."""
     config = spec.load_config(config_path)
-    all_links = all_found = all_wrong = None
+    built = []
     for k, adapter in enumerate(config.adapters):
         log.info("adapter %d of %d: %s", k + 1, len(config.adapters), adapter["type"])
-        if adapter["type"] == "fastapi":
-            g = python_adapter(spark, config, adapter)
-            links = python_graph.chains(g).unionByName(python_graph.chains(g, forward=False))
-        else:
-            g, files = frontend_adapter(spark, config, adapter, adapter["type"] == "nestjs")
-            links = python_graph.chains(g).unionByName(python_graph.chains(g, forward=False))
+        built.append((python_adapter(spark, config, adapter), None) if adapter["type"] == "fastapi" else frontend_adapter(spark, config, adapter, adapter["type"] == "nestjs"))
+    models, model_fields = models_of([g for (g, files) in built if files is None], spark)
+    all_links = all_found = all_wrong = None
+    for k, (adapter, (g, files)) in enumerate(zip(config.adapters, built, strict=True)):
+        links = python_graph.chains(g).unionByName(python_graph.chains(g, forward=False))
+        fields_wrong = None
+        if adapter["type"] == "typescript":
             endpoints = endpoints_of(spark, adapter.get("openapi_path") or config.openapi_path)
-            if adapter["type"] == "typescript" and not endpoints.isEmpty():
-                links = links.unionByName(zod_links(spark, g, files, endpoints))
-        links = materialize(links.withColumn("chain_id", F.concat(F.lit(f"{k}-"), "chain_id")), "links")
+            if not endpoints.isEmpty():
+                more, fields_wrong = zod_parts(spark, g, files, endpoints, models, model_fields)
+                links = links.unionByName(more)
+        named = lambda df, k=k: df.withColumn("chain_id", F.concat(F.lit(f"{k}-"), "chain_id"))
+        links = materialize(named(links), "links")
         contracts = materialize(python_graph.link_contracts(links), "contracts")
-        wrong = materialize(python_graph.check(g, contracts), "mismatches")
+        wrong = python_graph.check(g, contracts)
+        wrong = materialize(wrong if fields_wrong is None else wrong.unionByName(named(fields_wrong)), "mismatches")
         found = python_graph.report(contracts, wrong)
         all_links = links if all_links is None else all_links.unionByName(links)
         all_found = found if all_found is None else all_found.unionByName(found)

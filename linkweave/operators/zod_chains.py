@@ -84,6 +84,25 @@ def chain_contracts(found: DataFrame, mismatches: DataFrame) -> DataFrame:
     return each.select("chain_id", "pos", F.when((F.col("pos") == F.col("links") - 2) & (F.col("n") > 0), "Warning").otherwise("Info").alias("severity"))
 
 
+def chain_links(found: DataFrame, schemas: DataFrame, routes: DataFrame) -> DataFrame:
+    """Links of the chains: the Zod schema as source, the route as transformer, the model, if there is one, as sink.
+
+    ``schemas``: node_id, name, schema_type, file, line; ``routes``: node_id, id, schema, schema_type, missing, file, line.  Each chain becomes a row for each
+    of its places, and places are joined with their nodes once."""
+    places = F.array(F.struct(F.lit(0).alias("pos"), F.col("zod_id").alias("node_id")), F.struct(F.lit(1).alias("pos"), F.col("route_id").alias("node_id")), F.struct(F.lit(2).alias("pos"), F.col("model_id").alias("node_id")))
+    each = found.select("chain_id", "name", F.inline(places)).filter("node_id is not null")
+    shown = schemas.select("node_id", F.concat(F.lit("schema-"), "name").alias("id"), F.col("name").alias("schema"), "schema_type", F.lit(False).alias("missing"), "file", "line")
+    kind = F.element_at(F.array(F.lit("Source"), F.lit("Transformer"), F.lit("Sink")), F.col("pos") + 1)
+    nodes = shown.unionByName(routes).dropDuplicates(["node_id"])
+    return each.join(nodes, "node_id").select("chain_id", "name", "pos", "node_id", "id", kind.alias("link_type"), "schema", "schema_type", "missing", "file", "line", F.lit(None).cast("string").alias("transformation"))
+
+
+def mismatch_rows(found: DataFrame, mismatches: DataFrame) -> DataFrame:
+    """(chain_id, pos, mismatch_type, path, level, message): differing fields at the last contract of their chain, which they raise to Warning."""
+    at = found.select("chain_id", (F.col("links") - 2).alias("pos"))
+    return mismatches.join(at, "chain_id").select("chain_id", "pos", F.lit("FieldMismatch").alias("mismatch_type"), F.col("field").alias("path"), F.lit("Medium").alias("level"), F.concat("reason", F.lit(": "), "field").alias("message"))
+
+
 def _chains(s: SparkSession) -> DataFrame:
     return chains(*(literal(s, n) for n in ("zod_schemas", "zod_usages", "zod_calls", "zod_routes", "zod_endpoints")))
 

@@ -35,7 +35,7 @@ def folder(tmp_path):
 def test_check_and_visualize(spark, folder):
     path = cli.check(spark, str(folder / "p.toml"))
     text = open(path, encoding="utf-8").read()
-    assert text.startswith("# Data chain report") and "POST /orders" in text and "missing validation schema" in text and "Zod OrderIn → API" in text
+    assert text.startswith("# Data chain report") and "POST /orders" in text and "missing validation schema" in text and "Zod OrderIn → Pydantic OrderIn" in text
     assert "**OrderIn** (Pydantic Model) → **OrderIn** (Pydantic Model) → **OrderIn** (Pydantic Model)" in text
     drawn = cli.visualize(spark, str(folder / "p.toml"))
     assert [os.path.basename(p) for p in drawn] == ["fastapi_0.dot", "typescript_1.dot"]
@@ -43,6 +43,20 @@ def test_check_and_visualize(spark, folder):
     assert dots[0].startswith("digraph fastapi_0 {") and "Route /orders" in dots[0] and "style=dashed" in dots[0] and "addOrder" in dots[1]
 
 
+def test_zod_chains_end_at_models_in_any_order_of_adapters(spark, folder):
+    text = (folder / "p.toml").read_text()
+    head, back, front, tail = text.partition("[[adapters]]\ntype = \"fastapi\"")[0], '[[adapters]]\ntype = "fastapi"\napp_path = "back/shop/main.py"\n', '[[adapters]]\ntype = "typescript"\nsrc_paths = ["web/src"]\n', '[output]\npath = "out/r.json"\n'
+    (folder / "q.toml").write_text(head + front + back + tail)
+    data = json.loads(open(cli.check(spark, str(folder / "q.toml"), "json"), encoding="utf-8").read())
+    [chain] = [c for c in data["chains"] if c["name"].startswith("Zod ")]
+    assert chain["name"] == "Zod OrderIn → Pydantic OrderIn"
+    assert [(x["pos"], x["link_type"], x["schema_type"]) for x in chain["links"]] == [(0, "Source", "Zod"), (1, "Transformer", "TypeScript"), (2, "Sink", "Pydantic")]
+    assert [x["file"].rsplit("/", 1)[-1] for x in chain["links"]] == ["app.ts", "app.ts", "__init__.py"]
+    last = chain["contracts"][-1]
+    assert (last["pos"], last["severity"]) == (1, "Warning")
+    assert {"FieldMismatch"} == {m["mismatch_type"] for m in last["mismatches"] if m["level"] == "Medium"} and any("Field missing in" in m["message"] for m in last["mismatches"])
+
+
 def test_report_as_json(spark, tmp_path):
     g = python_graph._graph(spark)
     links = python_graph.materialize(python_graph.chains(g), "links")
@@ -60,6 +74,10 @@ def test_init_and_logging(tmp_path, monkeypatch):
     assert cli.main(["--log-file", "x.log", "init", "new.toml"]) == 0 and cli.main(["--log-file", "x.log", "init", "new.toml"]) == 1
     with pytest.raises(spec.ConfigError):  # its paths aren't there
         spec.load_config("new.toml")
+    (tmp_path / "server").mkdir()
+    (tmp_path / "server/main.py").write_text("")
+    (tmp_path / "client/src").mkdir(parents=True)
+    assert [a["type"] for a in spec.load_config("new.toml").adapters] == ["fastapi", "typescript"]
     assert "there is a configuration already" in (tmp_path / "x.log").read_text()
     assert cli.main(["check", "-c", "none.toml"]) == 1
     cli.set_up_logging("warning", console=False)
