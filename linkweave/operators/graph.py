@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkweave.functions import names
-from linkweave.plans.fixtures import ctes, literal, values
+from linkweave.plans.fixtures import ctes, grown, values
 from linkweave.session import materialize, table
 
 #: node_id = key * 8 + kind
@@ -164,7 +164,7 @@ def reverse_walk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_walk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = literal(spark, "walk_edges")
+    edges = grown(spark, sf_dir, "walk_edges")
     starts = edges.select(F.col("src").alias("node_id")).distinct()
     return greedy_walk(starts, edges).select("start", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
@@ -208,22 +208,22 @@ def name_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_label_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = literal(spark, "edge_args").groupBy("edge_id").agg(F.count("*").alias("n"))
+    n = grown(spark, sf_dir, "edge_args").groupBy("edge_id").agg(F.count("*").alias("n"))
     label = F.when(F.col("kind") == "Call", F.when(F.col("n") > 0, F.format_string("calls (%d args)", "n")).otherwise("calls")).when(F.col("kind") == "Import", "imports").otherwise("data flow")
-    return literal(spark, "walk_edges").join(n, "edge_id", "left").select("edge_id", label.alias("label"))
+    return grown(spark, sf_dir, "walk_edges").join(n, "edge_id", "left").select("edge_id", label.alias("label"))
 
 
 def variable_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return track_variable(literal(spark, "variables"), literal(spark, "walk_edges"), literal(spark, "variables"))
+    return track_variable(grown(spark, sf_dir, "variables"), grown(spark, sf_dir, "walk_edges"), grown(spark, sf_dir, "variables"))
 
 
 def parameter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return track_parameter(literal(spark, "walk_edges"), literal(spark, "edge_args"))
+    return track_parameter(grown(spark, sf_dir, "walk_edges"), grown(spark, sf_dir, "edge_args"))
 
 
 def return_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = literal(spark, "walk_edges").filter("dst = 3").select(F.col("dst").alias("node_id")).distinct()
-    return track_return(start, literal(spark, "walk_edges"))
+    start = grown(spark, sf_dir, "walk_edges").filter("dst in (3, 100)").select(F.col("dst").alias("node_id")).distinct()
+    return track_return(start, grown(spark, sf_dir, "walk_edges"))
 
 
 def reach_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,7 +274,7 @@ def class_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def added_variable_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue's variables with one for each customer's and supplier's node."""
     more = star_nodes(spark, sf_dir).filter(F.col("kind").isin("Function", "Method"))
-    return add_variables(add_variables(literal(spark, "variables"), more), literal(spark, "variables"))
+    return add_variables(add_variables(grown(spark, sf_dir, "variables"), more), grown(spark, sf_dir, "variables"))
 
 
 QUERIES = {
@@ -313,7 +313,7 @@ ORACLE_SQL = {
     "dot_edge_labels": ctes("walk_edges", "edge_args") + " SELECT e.edge_id, CASE kind WHEN 'Call' THEN CASE WHEN n > 0 THEN 'calls (' || n || ' args)' ELSE 'calls' END WHEN 'Import' THEN 'imports' ELSE 'data flow' END AS label FROM walk_edges e LEFT JOIN (SELECT edge_id, count(*) AS n FROM edge_args GROUP BY 1) a USING (edge_id)",
     "track_variable": f"WITH RECURSIVE {_SMALL}, v AS (SELECT * FROM {values('variables')}), {_REACH.format('SELECT DISTINCT node_id FROM v')} SELECT r.start, s.name, e.src AS from_node, e.dst AS to_node FROM r JOIN v s ON s.node_id = r.start JOIN e ON e.src = r.node_id WHERE EXISTS (SELECT 1 FROM v x WHERE x.node_id = e.dst AND x.name = s.name)",
     "track_parameter": ctes("walk_edges", "edge_args") + " SELECT f.src AS caller, f.dst AS callee, name FROM (SELECT src, dst, min(edge_id) AS edge_id, arg_min(kind, edge_id) AS kind FROM walk_edges GROUP BY 1, 2) f JOIN (SELECT edge_id, param AS name FROM edge_args UNION SELECT edge_id, arg FROM edge_args) a USING (edge_id) WHERE kind = 'Call'",
-    "track_return": f"WITH RECURSIVE {_SMALL}, u AS (SELECT 3 AS node_id UNION SELECT src FROM u JOIN e ON dst = node_id), b AS (SELECT DISTINCT dst AS from_node, src AS to_node FROM u JOIN e ON dst = node_id) SELECT * FROM b UNION SELECT to_node, dst FROM b JOIN e ON src = to_node AND dst <> from_node",
+    "track_return": f"WITH RECURSIVE {_SMALL}, u AS (SELECT unnest([3, 100]) AS node_id UNION SELECT src FROM u JOIN e ON dst = node_id), b AS (SELECT DISTINCT dst AS from_node, src AS to_node FROM u JOIN e ON dst = node_id) SELECT * FROM b UNION SELECT to_node, dst FROM b JOIN e ON src = to_node AND dst <> from_node",
     "reachable_nodes": f"WITH RECURSIVE {_edge_sql()}, {_REACH.format(f'SELECT c_custkey * 8 + {FUNCTION} AS node_id FROM customer')} SELECT * FROM r",
     "adjacent_turns": "SELECT conv_id, turn, role, lead(turn) OVER w AS next_turn, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkweave.functions import frontend, names, types
-from linkweave.plans.fixtures import ctes, literal
+from linkweave.plans.fixtures import ctes, grown, literal
 from linkweave.session import table
 
 FIELD_SCORE = 0.7
@@ -181,11 +181,11 @@ def classify_calls(calls: DataFrame, sdk: DataFrame) -> DataFrame:
 
 
 def call_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve_calls(literal(spark, "python_calls"), literal(spark, "functions"))
+    return resolve_calls(grown(spark, sf_dir, "python_calls"), grown(spark, sf_dir, "functions"))
 
 
 def usage_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage_to_call(literal(spark, "usages"), literal(spark, "api_calls"))
+    return usage_to_call(grown(spark, sf_dir, "usages"), grown(spark, sf_dir, "api_calls"))
 
 
 def event_usage_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +196,7 @@ def event_usage_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compare_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_fields(literal(spark, "zod_fields"), literal(spark, "pydantic_fields"))
+    return compare_fields(grown(spark, sf_dir, "zod_fields"), grown(spark, sf_dir, "pydantic_fields"))
 
 
 def name_functions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +208,7 @@ def name_functions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal(spark, "paths").select("base", "path", names.join_paths(F.col("base"), F.col("path")).alias("joined"), names.common_prefix(F.col("base"), F.col("path")).alias("shared"))
+    return grown(spark, sf_dir, "paths").select("base", "path", names.join_paths(F.col("base"), F.col("path")).alias("joined"), names.common_prefix(F.col("base"), F.col("path")).alias("shared"))
 
 
 def url_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,15 +224,15 @@ def hash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _one = {
-    "spec_best_response": lambda s, d: best_response(literal(s, "endpoints")),
-    "route_endpoint_match": lambda s, d: routes_in_spec(literal(s, "routes"), literal(s, "endpoints")),
-    "route_coverage": lambda s, d: routes_missing(literal(s, "routes"), literal(s, "endpoints")),
-    "virtual_routes": lambda s, d: handlers_of_spec(literal(s, "routes"), literal(s, "endpoints")),
-    "pydantic_orm_score": lambda s, d: link_models(literal(s, "models")),
-    "spec_link_ladder": lambda s, d: link_components(literal(s, "models"), literal(s, "components")),
-    "external_dependencies": lambda s, d: external_modules(literal(s, "imports"), literal(s, "requirements"), literal(s, "installed")),
-    "router_generators": lambda s, d: expand_routers(literal(s, "router_calls"), literal(s, "router_catalog")),
-    "api_call_classify": lambda s, d: classify_calls(literal(s, "calls"), literal(s, "sdk_calls")),
+    "spec_best_response": lambda s, d: best_response(grown(s, d, "endpoints")),
+    "route_endpoint_match": lambda s, d: routes_in_spec(grown(s, d, "routes"), grown(s, d, "endpoints")),
+    "route_coverage": lambda s, d: routes_missing(grown(s, d, "routes"), grown(s, d, "endpoints")),
+    "virtual_routes": lambda s, d: handlers_of_spec(grown(s, d, "routes"), grown(s, d, "endpoints")),
+    "pydantic_orm_score": lambda s, d: link_models(grown(s, d, "models")),
+    "spec_link_ladder": lambda s, d: link_components(grown(s, d, "models"), grown(s, d, "components")),
+    "external_dependencies": lambda s, d: external_modules(grown(s, d, "imports"), grown(s, d, "requirements"), grown(s, d, "installed")),
+    "router_generators": lambda s, d: expand_routers(grown(s, d, "router_calls"), literal(s, "router_catalog")),
+    "api_call_classify": lambda s, d: classify_calls(grown(s, d, "calls"), grown(s, d, "sdk_calls")),
 }
 QUERIES = {
     "name_resolution_ladder": call_query,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linkweave.functions import types
 from linkweave.operators.linking import first_by, usage_to_call
-from linkweave.plans.fixtures import ctes, literal, values
+from linkweave.plans.fixtures import ctes, grown, values
 
 #: What a model's name may add to a spec's name (fixed values).
 MODEL_ENDINGS = ("Schema", "Model", "Request", "Response", "DTO")
@@ -103,20 +103,20 @@ def mismatch_rows(found: DataFrame, mismatches: DataFrame) -> DataFrame:
     return mismatches.join(at, "chain_id").select("chain_id", "pos", F.lit("FieldMismatch").alias("mismatch_type"), F.col("field").alias("path"), F.lit("Medium").alias("level"), F.concat("reason", F.lit(": "), "field").alias("message"))
 
 
-def _chains(s: SparkSession) -> DataFrame:
-    return chains(*(literal(s, n) for n in ("zod_schemas", "zod_usages", "zod_calls", "zod_routes", "zod_endpoints")))
+def _chains(s: SparkSession, d: str) -> DataFrame:
+    return chains(*(grown(s, d, n) for n in ("zod_schemas", "zod_usages", "zod_calls", "zod_routes", "zod_endpoints")))
 
 
-def _mismatches(s: SparkSession) -> DataFrame:
-    return chain_mismatches(_chains(s), literal(s, "schema_fields"))
+def _mismatches(s: SparkSession, d: str) -> DataFrame:
+    return chain_mismatches(_chains(s, d), grown(s, d, "schema_fields"))
 
 
 QUERIES = {
-    "zod_chains": lambda s, d: _chains(s),
-    "zod_chain_mismatches": lambda s, d: _mismatches(s),
-    "zod_chain_contracts": lambda s, d: chain_contracts(_chains(s), _mismatches(s)),
-    "zod_usages_of_nodes": lambda s, d: attach_usages(literal(s, "zod_schemas"), literal(s, "zod_usages")).select("node_id", "usage_id"),
-    "schema_nodes": lambda s, d: schema_node(literal(s, "zod_schemas"), s.sql("SELECT * FROM (VALUES ('ItemRequest', 'Pydantic'), ('ItemRequest', 'Zod'), ('Twice', 'Zod')) AS t(name, schema_type)")),
+    "zod_chains": lambda s, d: _chains(s, d),
+    "zod_chain_mismatches": lambda s, d: _mismatches(s, d),
+    "zod_chain_contracts": lambda s, d: chain_contracts(_chains(s, d), _mismatches(s, d)),
+    "zod_usages_of_nodes": lambda s, d: attach_usages(grown(s, d, "zod_schemas"), grown(s, d, "zod_usages")).select("node_id", "usage_id"),
+    "schema_nodes": lambda s, d: schema_node(grown(s, d, "zod_schemas"), s.sql("SELECT * FROM (VALUES ('ItemRequest', 'Pydantic'), ('ItemRequest', 'Zod'), ('Twice', 'Zod')) AS t(name, schema_type)")),
 }
 
 _CTES = ctes("zod_schemas", "zod_usages", "zod_calls", "zod_routes", "zod_endpoints", "schema_fields")

@@ -5,8 +5,12 @@ A table is kept as SQL ``VALUES``, which Spark and the SQL oracles read alike.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from linkweave.session import table
+
 #: name -> (columns, rows as SQL)
 TABLES: dict[str, tuple[str, str]] = {
     # Example schemas: type, fields as name:type:optional|required, whether the schema itself is missing
@@ -149,13 +153,63 @@ export const last = () => client.get()')""",
 }
 
 
+#: Rows that given tables add to the catalogues above, in SQL that Spark and the oracles' engine share; braces hold names of tables.
+GROWN: dict[str, str] = {
+    "python_calls": "SELECT o_orderkey + 1000, 'pkg' || (o_custkey % 7) || '/sub' || (o_custkey % 5) || '/m' || (o_custkey % 31) || '.py', 'fn' || (o_orderkey % 997) FROM {orders}",
+    "functions": "SELECT p_partkey + 1000, 'pkg' || (p_partkey % 7) || '/sub' || (p_partkey % 5) || '/m' || (p_partkey % 31) || '.py', CASE WHEN p_partkey % 5 = 0 THEN 'K::' ELSE '' END || 'fn' || (p_partkey % 811) FROM {part}",
+    "usages": "SELECT o_orderkey + 100, 'S' || (o_custkey % 40), 'f' || (o_custkey % 150) || '.ts', CAST(o_orderkey % 3000 AS INT) FROM {orders}",
+    "api_calls": "SELECT p_partkey + 100, 'f' || (p_partkey % 150) || '.ts', CAST((p_partkey * 37) % 3000 AS INT) FROM {part}",
+    "endpoints": """SELECT '/r' || (p_partkey % 700), CASE p_partkey % 3 WHEN 0 THEN 'get' WHEN 1 THEN 'post' ELSE 'trace' END, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'mod:op' || p_partkey END, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'R' || (p_partkey % 50) END,
+        CASE p_partkey % 6 WHEN 1 THEN '201' WHEN 2 THEN '404' WHEN 3 THEN 'default' WHEN 4 THEN '204' ELSE '200' END FROM {part}""",
+    "routes": "SELECT o_orderkey + 1000, '/r' || (o_custkey % 900), CASE o_orderkey % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END, 'h' || (o_orderkey % 50), 'm' || (o_custkey % 20) || '.py', CAST(o_orderkey % 400 AS INT) FROM {orders}",
+    "imports": "SELECT l_orderkey * 10 + l_linenumber + 100, CASE l_partkey % 4 WHEN 0 THEN 'lib' WHEN 1 THEN 'own' ELSE 'pkg' END || (l_suppkey % 90) || CASE WHEN l_partkey % 3 = 0 THEN '.sub' ELSE '' END FROM {lineitem}",
+    "requirements": "SELECT 'lib' || (s_suppkey * 2) || '>=1' FROM {supplier}",
+    "installed": "SELECT 'lib' || (s_suppkey * 3) FROM {supplier}",
+    "router_calls": """SELECT o_orderkey + 100, CASE o_custkey % 6 WHEN 0 THEN 'register' WHEN 1 THEN 'auth' WHEN 2 THEN 'reset' WHEN 3 THEN 'verify' WHEN 4 THEN 'users' ELSE 'other' END, '/p' || (o_custkey % 300),
+        CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'M' || o_orderkey ELSE 'M' || o_orderkey || ',N' || o_custkey END FROM {orders}""",
+    "models": " UNION ALL ".join(
+        f"SELECT p_partkey + 1000, 'Mod' || (p_partkey % 600) || CASE WHEN p_partkey % 3 = 0 THEN 'Read' ELSE '' END, CASE WHEN p_partkey % 7 < 4 THEN 'Pydantic' ELSE 'OrmModel' END, '{f}' || (p_partkey % {n}), {t}, p_partkey % 11 = 0, p_partkey % 8 <> 2 FROM {{part}}"
+        for f, n, t in (("f", 200, "'int'"), ("g", 150, "CASE WHEN p_partkey % 7 < 4 THEN 'str' ELSE 'text' END"), ("h", 120, "CASE WHEN p_partkey % 5 = 0 THEN 'bytes' ELSE 'float' END"))
+    ),
+    "components": "SELECT 'mod' || (s_suppkey * 3), 'f' || (s_suppkey % 200), 'integer' FROM {supplier} UNION ALL SELECT 'mod' || (s_suppkey * 3), 'g' || (s_suppkey % 150), 'string' FROM {supplier}",
+    "calls": """SELECT 'u' || user_id || '.ts', event_id + 100, CASE event_id % 9 WHEN 0 THEN 'fetch' WHEN 1 THEN 'axios.post' WHEN 2 THEN 'api.get' WHEN 3 THEN 'useQuery' WHEN 4 THEN 'useMutation' WHEN 5 THEN 'op' || (event_id % 200) WHEN 6 THEN 'actions.' || event_type || '.save' WHEN 7 THEN 'api.useUpdate' || upper(event_type) || 'Mutation' ELSE event_type END,
+        '/' || event_type || '/' || (event_id % 70), CASE WHEN event_id % 2 = 0 THEN '{{method: "put"}}' ELSE '' END, CASE WHEN event_id % 5 = 0 THEN 'A|B|C' ELSE '' END, '', '' FROM {events}""",
+    "sdk_calls": "SELECT 'op' || s_suppkey, 'GET', '/s/' || s_suppkey FROM {supplier}",
+    "walk_edges": "SELECT c_custkey * 2 + 1000, 100 + c_custkey, 100 + CAST(floor(c_custkey / 2) AS BIGINT), 'Call' FROM {customer} UNION ALL SELECT c_custkey * 2 + 1001, 100 + c_custkey % 9, 100 + c_custkey % 31, CASE WHEN c_custkey % 2 = 0 THEN 'Import' ELSE 'DataFlow' END FROM {customer}",
+    "variables": "SELECT 100 + c_custkey, 'v' || (c_custkey % 3) FROM {customer}",
+    "edge_args": "SELECT c_custkey * 2 + 1000, 0, 'v' || (c_custkey % 3), 'a' || (c_custkey % 11) FROM {customer}",
+    "zod_schemas": "SELECT p_partkey + 1000, 'Z' || (p_partkey % 1500), 'Zod' FROM {part} UNION ALL SELECT p_partkey + 10000000, 'z' || (p_partkey % 1200) || CASE p_partkey % 4 WHEN 0 THEN 'Schema' WHEN 1 THEN 'Model' ELSE '' END, 'Pydantic' FROM {part}",
+    "zod_usages": "SELECT o_orderkey + 100, 'Z' || (o_custkey % 1500), 'f' || (o_custkey % 150) || '.ts', CAST(o_orderkey % 3000 AS INT) FROM {orders}",
+    "zod_calls": "SELECT p_partkey + 100, 'f' || (p_partkey % 150) || '.ts', CAST((p_partkey * 37) % 3000 AS INT) FROM {part}",
+    "zod_routes": "SELECT p_partkey + 20000000, '/r' || (p_partkey % 700), CASE WHEN p_partkey % 2 = 0 THEN 'GET' ELSE 'POST' END, 'f' || (p_partkey % 150) || '.ts', CAST((p_partkey * 37) % 3000 AS INT) FROM {part}",
+    "zod_endpoints": "SELECT '/r' || (p_partkey % 700), CASE WHEN p_partkey % 2 = 0 THEN 'get' ELSE 'post' END, 'Z' || (p_partkey % 1300) FROM {part}",
+    "schema_fields": """SELECT p_partkey + 1000, 'id', 'string', p_partkey % 7 = 0 FROM {part} UNION ALL SELECT p_partkey + 1000, 'q' || (p_partkey % 3), 'number', false FROM {part} UNION ALL SELECT p_partkey + 10000000, 'id', CASE WHEN p_partkey % 5 = 0 THEN 'int' ELSE 'str' END, false FROM {part}
+        UNION ALL SELECT p_partkey + 10000000, 'q' || (p_partkey % 4), 'int', p_partkey % 2 = 0 FROM {part}""",
+    "zod_fields": "SELECT 'f' || p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'string' WHEN 1 THEN 'number' WHEN 2 THEN 'array' ELSE 'boolean' END, p_partkey % 3 = 0 FROM {part}",
+    "pydantic_fields": "SELECT 'f' || (p_partkey + 100), CASE p_partkey % 5 WHEN 0 THEN 'str' WHEN 1 THEN 'int' WHEN 2 THEN 'list[int]' WHEN 3 THEN 'bool' ELSE 'float' END, p_size % 3 = 0 FROM {part}",
+    "paths": "SELECT '/' || p_brand || '/', p_type || '/' || p_name FROM {part}",
+}
+
+
 def values(name: str) -> str:
+    """The catalogue as a table of a query, with the rows that given tables add."""
     columns, rows = TABLES[name]
-    return f"(VALUES {rows}) AS {name}({columns})"
+    if name not in GROWN:
+        return f"(VALUES {rows}) AS {name}({columns})"
+    more = re.sub(r"\{(\w+)\}", r"\1", GROWN[name]).replace("{{", "{").replace("}}", "}")
+    return f"(SELECT * FROM (VALUES {rows}) AS {name}({columns}) UNION ALL {more}) AS {name}({columns})"
 
 
 def literal(spark: SparkSession, name: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {values(name)}")
+    columns, rows = TABLES[name]
+    return spark.sql(f"SELECT * FROM (VALUES {rows}) AS {name}({columns})")
+
+
+def grown(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The catalogue with the rows that given tables add."""
+    text = GROWN[name]
+    used = {t: table(spark, sf_dir, t) for t in set(re.findall(r"(?<!\{)\{(\w+)\}", text))}
+    return literal(spark, name).union(spark.sql(text, **used))
 
 
 def ctes(*names: str) -> str:
