@@ -9,7 +9,7 @@ Names and marks are evidence, the distribution decides.
 * Elements that as a rule hold no article (menus, headers, footers, sidebars, forms, notices, adverts, comments; by element name, role, or words of class and
   id) are left out as long as there is a surge without them.  If there is none, the one among them that holds the most text loses its bad name:
   sidebars, headers, forms and the like if a surge lies inside, menus and footers (such as a menu that is never closed) if they hold
-  a marked article; comments, adverts and notices never, but for an article that bears such a name itself on a page without other text. A loosely
+  a marked article; comments, adverts and notices only if they are, or hold, a marked article on a page without other text. A loosely
   named element also loses its name if a marked article inside outweighs all surges outside.
 * Marks (article, main, role=main, itemprop=articleBody) double the weight of text.  Surges are sought among the unmarked lines and among those of each mark,
   so that no window spans both; the heaviest surge (the densest block if no window reaches the threshold) says where the main text is.  In a mark, that
@@ -17,7 +17,8 @@ Names and marks are evidence, the distribution decides.
   the text); teasers, and articles inside an article (readers' comments) that are smaller, go.
 * Outside marks, lines with text outside links stay if they stand between two surges, or in the container (div, section, article, main; the page itself
   for lines in no other) of a surge: a short line is no end of the text. Lines that are links only are kept inside a surge's windows and in marks.
-Headings in a header of a marked article belong to the article.
+Headings in a header of a marked article belong to the article, and so does a first heading right before it if it has none itself.
+Of the words of class and id, blocks of text (paragraphs, headings, list items, cells) heed those of adverts and notices only.
 
 The whole page is one value in one row, so pages are worked on where they lie: no shuffle, and memory for one page at a time.
 
@@ -27,6 +28,7 @@ repeated rows are all returned; columns besides those named are not read.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -51,10 +53,10 @@ PRIOR = 2
 #: Element names (fixed values): without content; with raw content; never text; seldom an article; inside a line; what holds the lines of one text together.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes template xmp".split())
-NEVER = RAW | frozenset("head button select option svg math canvas audio video object map datalist label legend output".split())
+NEVER = RAW | frozenset("head button select option svg math canvas audio video object map datalist legend output".split())
 LOOSE_ELEMENTS, FIRM_ELEMENTS = frozenset("header form fieldset".split()), frozenset("nav footer aside menu dialog".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img".split()
 )
 CONTAINERS = frozenset("div section article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -66,8 +68,13 @@ WORDS = (
     {w: LOOSE for w in "banner header masthead sidebar sidebars aside widget widgets promo promotion popup modal overlay related recommended recommendations toolbar skip toc menu".split()}
     | {w: FIRM for w in "nav navbar navigation menubar breadcrumb breadcrumbs footer pager pagination share sharing social copyright disclaimer signup login".split()}
     | {w: SURE for w in "ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors cookie cookies consent gdpr notice notices alert newsletter subscribe subscription".split()}
-    | {w: SURE for w in "comment comments commentlist disqus respond reply replies".split()}
+    | {w: SURE for w in "comment comments commentlist disqus respond reply replies reactions".split()}
 )
+#: A block of text may bear other words than these for its looks or its subject (fixed values).
+BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption".split()) | INLINE
+BLOCK_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors cookie cookies consent gdpr newsletter subscribe copyright".split())
+#: How the last line of a page without a footer element begins if it is one.
+_RIGHTS = re.compile(r"(?:©|\(c\)\s|copyright\b|all rights reserved)", re.I)
 #: Closing tags that may be missing: a start tag of the second kind ends an open element of the first (fixed values).
 _BLOCK = "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul"
 IMPLIED = {"p": frozenset(_BLOCK.split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option", "optgroup"])}
@@ -90,7 +97,7 @@ def bad_name(name: str, attributes: dict[str, str]) -> int | None:
     if name not in ("html", "body", "main") and attributes:
         named = _ABOUT.sub(" ", f"{attributes.get('class', '')} {attributes.get('id', '')}")
         words = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower())
-        found += [WORDS[w] for w in words if w in WORDS]
+        found += [WORDS[w] for w in words if w in WORDS and (name not in BLOCKS or w in BLOCK_WORDS)]
         if (role := attributes.get("role", "").lower()) in ROLES:
             found.append(ROLES[role])
     if is_article(name, attributes):  # its mark outweighs loose words
@@ -112,6 +119,8 @@ class Line:
     mark: int
     article: int
     box: int
+    #: innermost element that isn't inside a line
+    block: str = ""
 
 
 @dataclass
@@ -149,7 +158,7 @@ def read(html: str) -> Page:
             block = next((x[0] for x in reversed(stack) if x[0] not in INLINE), "")
             if block in CONTAINERS:
                 own.add(len(page.lines))
-            page.lines.append(Line(text, max(0, len(text) - linked), headers.get(bad, bad) if block in HEADINGS else bad, mark, article, box))
+            page.lines.append(Line(text, max(0, len(text) - linked), headers.get(bad, bad) if block in HEADINGS else bad, mark, article, box, block))
         parts.clear()
         linked = 0
 
@@ -206,7 +215,7 @@ def read(html: str) -> Page:
             continue
         stack.append((name, (skipped, bad, mark, article, box)))
         links += name == "a"
-        if skipped := skipped or never_text(name, attributes):
+        if skipped := skipped or never_text(name, attributes) or (name == "label" and any(x[0] == "form" for x in stack)):
             continue
         marked, sure = is_article(name, attributes), bad_name(name, attributes)
         if sure is not None:
@@ -289,49 +298,82 @@ def joined(lengths: np.ndarray, keep: np.ndarray, boxes: np.ndarray, around: lis
     return keep | ((lengths > 0) & (near | held[boxes]))
 
 
+def reaches(lengths: np.ndarray, window: int, surge: int) -> bool:
+    """Whether there is a surge: some block sum reaches the threshold."""
+    sums = np.concatenate([[0], np.cumsum(lengths)])
+    return bool((sums[np.minimum(np.arange(len(lengths)) + window, len(lengths))] - sums[:-1]).max(initial=0) >= surge)
+
+
 def heaviest_run(lengths: np.ndarray, window: int, surge: int) -> int:
     """Most text between a surge and its dive; 0 without a surge."""
+    if not reaches(lengths, window, surge):
+        return 0
     keep = between(lengths, window, surge)
     runs = np.cumsum(np.diff(keep.astype(np.int8), prepend=0) == 1)
     return int(np.bincount(runs, np.where(keep, lengths, 0)).max(initial=0))
 
 
 def acquitted(page: Page, window: int, surge: int) -> np.ndarray:
-    """Which lines count: those in no element with a bad name, but for the names that the distribution outweighs."""
+    """Which lines count: those in no element with a bad name, but for the names that the distribution outweighs.
+
+    Elements are numbered as they open, so that those inside one follow it without a gap; what each of them holds is summed up once, from the inside out."""
+    n = len(page.sure)
     lengths = np.array([x.length for x in page.lines], np.int64)
     bad = np.array([x.bad for x in page.lines])
-    inside = np.array([x.mark > 0 for x in page.lines])
-    good = np.zeros(len(page.sure), bool)
+    marked = np.array([x.mark > 0 for x in page.lines])
+    text, in_marks = np.bincount(bad, lengths, n).astype(np.int64), np.bincount(bad, np.where(marked, lengths, 0), n).astype(np.int64)
+    own = np.bincount(bad, minlength=n) > 0
+    end, nearest_sure = list(range(1, n + 1)), [0] * n
+    for k in range(n - 1, 0, -1):
+        around = page.bad_around[k]
+        end[around] = max(end[around], end[k])
+        if page.sure[k] != SURE:
+            text[around] += text[k]
+            in_marks[around] += in_marks[k]
+    for k in range(1, n):
+        nearest_sure[k] = k if page.sure[k] == SURE else nearest_sure[page.bad_around[k]]
+    below_sure = np.array(nearest_sure)[bad]
+    inside: dict[int, list[int]] = {}
+    for k in range(1, n):
+        inside.setdefault(page.bad_around[k], []).append(k)
+    surges: dict[int, bool] = {}
+
+    def has_surge(k: int) -> bool:
+        if k not in surges:
+            surges[k] = reaches(np.where((bad >= k) & (bad < end[k]) & (below_sure <= k), lengths, 0), window, surge)
+        return surges[k]
+
+    good = np.zeros(n, bool)
     good[0] = True
-
-    def of(free: np.ndarray) -> np.ndarray:
-        whole = free.copy()  # elements come after those around them
-        for k in range(1, len(whole)):
-            whole[k] &= whole[page.bad_around[k]]
-        return whole[bad]
-
+    # all but what can never be acquitted; the heaviest first
+    open_ = [(-int(text[k]), k) for k in inside.get(0, [])]
+    heapq.heapify(open_)
+    counts = good[bad]
+    outside, nothing = heaviest_run(np.where(counts, lengths, 0), window, surge), not lengths[counts].any()
     while True:
-        counts = of(good)
-        outside, nothing = heaviest_run(np.where(counts, lengths, 0), window, surge), not lengths[counts].any()
-        best, choice = 0, 0
-        for k in np.flatnonzero(~good).tolist():
+        passed, choice = [], 0
+        while open_ and open_[0][0] < 0:
+            _, k = entry = heapq.heappop(open_)
             sure, holds = page.sure[k], page.holds_mark[k]
-            if not good[page.bad_around[k]] or not (page.is_mark[k] and nothing if sure == SURE else holds or (sure == LOOSE and not outside)):
-                continue
-            below = np.zeros(len(good), bool)
-            below[k] = True
-            for j in range(k + 1, len(good)):
-                below[j] = below[page.bad_around[j]] and page.sure[j] != SURE
-            mine = np.where(below[bad], lengths, 0)
-            if outside:
-                fit = sure == LOOSE and PRIOR * int(mine[inside].sum()) > outside
-            else:
-                fit = sure != LOOSE or (nothing and holds) or heaviest_run(mine, window, surge) > 0
-            if fit and int(mine.sum()) > best:
-                best, choice = int(mine.sum()), k
+            allowed = nothing and (page.is_mark[k] or holds) if sure == SURE else holds or (sure == LOOSE and not outside)
+            if allowed and (sure == LOOSE and PRIOR * int(in_marks[k]) > outside if outside else sure != LOOSE or (nothing and holds) or has_surge(k)):
+                choice = k
+                break
+            passed.append(entry)
         if not choice:
-            return counts
+            return good[bad]
         good[choice] = True
+        for k in inside.get(choice, []):
+            heapq.heappush(open_, (-int(text[k]), k))
+        if own[choice]:  # else nothing has changed, and what didn't fit still doesn't
+            for entry in passed:
+                heapq.heappush(open_, entry)
+            counts = good[bad]
+            outside, nothing = heaviest_run(np.where(counts, lengths, 0), window, surge), not lengths[counts].any()
+        else:
+            waiting = passed
+            open_ += waiting
+            heapq.heapify(open_) if waiting else None
 
 
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
@@ -361,8 +403,14 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
             nested = g > 0 and page.article_around[g] > 0
             if g == largest or (g == -home) or (2 * text >= weight[largest] and not teaser and not nested) or (g > 0 and g == page.article_around[max(largest, 0)]):
                 keep |= groups == g
+        first = int(np.argmax(keep))
+        if first and lines[first - 1].block == "h1" and not lines[first - 1].mark and not any(x.block == "h1" for x, k in zip(lines, keep, strict=True) if k):
+            keep[first - 1] = True  # the title right before the mark
     else:
         keep = joined(free, between(free, window, surge), np.array([x.box for x in lines]), page.around, window)
+        last = np.flatnonzero(keep)
+        if len(last) > 1 and _RIGHTS.match(lines[last[-1]].text):
+            keep[last[-1]] = False
     return "\n\n".join(x.text for x, k in zip(lines, keep, strict=True) if k)
 
 

@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 import numpy as np
@@ -137,6 +138,34 @@ def test_names_and_marks_are_evidence_only(page, text):
     assert main_text(page) == "\n\n".join(text)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # a bad name around the only article
+        (f"<div id=notice><article><h1>T</h1><p>{LONG}</article></div>", ["T", LONG]),
+        (f"<div class='consent-essay'><article><p>{LONG}<p>{LONG}</article></div><div class=cookie-notice>{LONG}</div>", [LONG, LONG]),
+        # words on blocks of text, labels
+        (f"<article><p>{LONG}<p class=reply>He said so.<p class=share-price>9 euros<p><label>A label</label> in it</article>", [LONG, "He said so.", "9 euros", "A label in it"]),
+        (f"<article><p>{LONG}<p class=advert>Buy now.<form><label>Name</label></form></article>", [LONG]),
+        # a title right before the mark, but no site's name before a titled one
+        (f"<h1>Title</h1><article><p>{LONG}</article>", ["Title", LONG]),
+        (f"<h1>Site</h1><article><h1>T</h1><p>{LONG}</article>", ["T", LONG]),
+        # readers' comments and the line of rights
+        (f"<article><p>{LONG}<div id=reactions><p>{LONG}</div></article>", [LONG]),
+        (f"<div><p>{LONG}<p>{LONG}</div><div>© 2024 All of us, and all rights reserved here</div>", [LONG, LONG]),
+    ],
+)
+def test_names_around_and_inside_the_article(page, text):
+    assert main_text(page) == "\n\n".join(text)
+
+
+@pytest.mark.parametrize("page", ["<div class=promo>" * 3000 + f"<p>{LONG}", f"<div class=promo><p>x" * 3000 + f"<p>{LONG}", f"<div class=promo>x</div>" * 3000, f"<div class=comments><article>x" * 1500])
+def test_thousands_of_named_elements_end_in_time(page):
+    start = time.time()
+    main_text(page)
+    assert time.time() - start < 2
+
+
 def test_many_unclosed_elements_end_in_time():
     assert main_text("<div class=sidebar>" * 300 + f"<p>{LONG}") == LONG
     assert main_text("<nav><article>" * 200 + "x") == "x"
