@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import json
 import logging
 import os
@@ -16,7 +17,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.operators import reports, zod_chains
+from linkweave.operators import reports, schema_texts, zod_chains
 from linkweave.plans import python_graph, typescript_graph
 from linkweave.plans.python_graph import Graph
 from linkweave.session import build_session, materialize
@@ -80,6 +81,16 @@ def endpoints_of(spark: SparkSession, path: str | None) -> DataFrame:
     return found.withColumn("ord", F.xxhash64("path", "method")).select("ord", "path", "method", "operation_id", "request", "response")
 
 
+def with_components(g: Graph, components: DataFrame) -> Graph:
+    """The graph with the fields of a specification's components (name, schema as JSON text) whose names its own sources don't define, so that the rules can compare them."""
+    none = F.lit(None).cast("string")
+    parsed = schema_texts.parse(components.select(F.col("name").alias("schema_no"), F.lit("TypeScript").alias("schema_type"), F.col("schema").alias("json_schema"), none.alias("fields"), none.alias("required"), none.alias("type_text")))
+    limits = parsed.constraints.groupBy("schema_no", "field").agg(F.to_json(F.collect_list(F.array("kind"))).alias("constraints"))
+    rows = parsed.fields.join(limits, ["schema_no", "field"], "left").select(F.col("schema_no").alias("name"), "field", "type_name", "optional", F.coalesce("constraints", F.lit("[]")).alias("constraints"))
+    own = g.fields.select("name").distinct()
+    return dataclasses.replace(g, fields=materialize(g.fields.select(*rows.columns).unionByName(rows.join(own, "name", "left_anti")), "fields"))
+
+
 def python_adapter(spark: SparkSession, config: spec.Config, adapter: dict) -> Graph:
     app = adapter["app_path"]
     root = project.python_root(app)
@@ -155,7 +166,8 @@ def check(spark: SparkSession, config_path: str, kind: str | None = None) -> str
         named = lambda df, k=k: df.withColumn("chain_id", F.concat(F.lit(f"{k}-"), "chain_id"))
         links = materialize(named(links), "links")
         contracts = materialize(python_graph.link_contracts(links), "contracts")
-        wrong = python_graph.check(g, contracts)
+        described = adapter.get("openapi_path") or config.openapi_path
+        wrong = python_graph.check(with_components(g, spec.schemas(spec.read_specs(spark, [described]))) if described else g, contracts)
         wrong = materialize(wrong if fields_wrong is None else wrong.unionByName(named(fields_wrong)), "mismatches")
         found = python_graph.report(contracts, wrong)
         all_links = links if all_links is None else all_links.unionByName(links)

@@ -42,9 +42,11 @@ def type_mismatch(pairs: DataFrame, fields: DataFrame) -> DataFrame:
     return found.select("from_no", "to_no", F.lit("TypeMismatch").alias("mismatch_type"), F.col("field").alias("path"), F.lit("High").alias("level"), message.alias("message"))
 
 
-def missing_field(pairs: DataFrame, fields: DataFrame) -> DataFrame:
-    """Field that the target needs and the source lacks."""
+def missing_field(pairs: DataFrame, fields: DataFrame, required: DataFrame | None = None) -> DataFrame:
+    """Field that the target needs and the source lacks; ``required`` (schema_no, field) names more of them than ``fields``."""
     needed = fields.filter(~F.col("optional")).select(F.col("schema_no").alias("to_no"), "field")
+    if required is not None:
+        needed = needed.unionByName(required.select(F.col("schema_no").alias("to_no"), "field")).distinct()
     there = fields.select(F.col("schema_no").alias("from_no"), "field")
     found = pairs.join(needed, "to_no").join(there, ["from_no", "field"], "left_anti")
     message = F.format_string("Missing required field '%s' in source schema", "field")

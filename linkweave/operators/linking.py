@@ -90,7 +90,7 @@ def link_models(models: DataFrame) -> DataFrame:
     left = models.filter("kind = 'Pydantic' and from_attributes").select(F.col("model_id").alias("left_id"), "field", F.col("field_type").alias("left_type"), F.col("optional").alias("left_optional"))
     right = models.filter("kind = 'OrmModel'").select(F.col("model_id").alias("right_id"), "field", F.col("field_type").alias("right_type"), F.col("optional").alias("right_optional"))
     scored = field_scores(left, right, types.orm_fits_pydantic).filter(F.col("score") > FIELD_SCORE).select(F.col("left_id").alias("model_id"), F.col("right_id").alias("orm_id"), "score").join(o, "orm_id").select("model_id", "orm_id", "orm_name", "score")
-    return first_by(exact.unionByName(bare).unionByName(scored), "model_id", [F.desc("score"), "orm_name"]).select("model_id", "orm_id", "score")
+    return first_by(exact.unionByName(bare).unionByName(scored), "model_id", [F.desc("score"), "orm_name", "orm_id"]).select("model_id", "orm_id", "score")
 
 
 def link_components(models: DataFrame, components: DataFrame) -> DataFrame:
@@ -284,7 +284,7 @@ ORACLE_SQL = {
     "pydantic_orm_score": ctes("models")
     + f", m AS (SELECT DISTINCT model_id, name, kind, from_attributes, {_SUFFIX} AS bare FROM models), p AS (SELECT * FROM m WHERE kind = 'Pydantic' AND from_attributes), o AS (SELECT * FROM m WHERE kind = 'OrmModel'), n AS (SELECT model_id, count(*) AS n FROM models GROUP BY 1),"
     + f" k AS (SELECT a, b, count(*) AS k FROM (SELECT l.model_id AS a, r.model_id AS b, r.field_type AS x, l.field_type AS y FROM models l JOIN models r ON l.kind = 'Pydantic' AND l.from_attributes AND r.kind = 'OrmModel' AND l.field = r.field AND l.optional = r.optional) WHERE {_FITS['orm']} GROUP BY 1, 2),"
-    + " c AS (SELECT p.model_id, o.model_id AS orm_id, o.name, CAST(1.0 AS DOUBLE) AS score FROM p JOIN o ON p.name = o.name UNION ALL SELECT p.model_id, o.model_id, o.name, 0.9 FROM p JOIN o ON p.bare = o.name UNION ALL SELECT a, b, o.name, round(CAST(k AS DOUBLE) / greatest(x.n, y.n), 6) FROM k JOIN n x ON x.model_id = a JOIN n y ON y.model_id = b JOIN o ON o.model_id = b WHERE CAST(k AS DOUBLE) / greatest(x.n, y.n) > 0.7) SELECT model_id, orm_id, score FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY score DESC, name) AS r FROM c) WHERE r = 1",
+    + " c AS (SELECT p.model_id, o.model_id AS orm_id, o.name, CAST(1.0 AS DOUBLE) AS score FROM p JOIN o ON p.name = o.name UNION ALL SELECT p.model_id, o.model_id, o.name, 0.9 FROM p JOIN o ON p.bare = o.name UNION ALL SELECT a, b, o.name, round(CAST(k AS DOUBLE) / greatest(x.n, y.n), 6) FROM k JOIN n x ON x.model_id = a JOIN n y ON y.model_id = b JOIN o ON o.model_id = b WHERE CAST(k AS DOUBLE) / greatest(x.n, y.n) > 0.7) SELECT model_id, orm_id, score FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY score DESC, name, orm_id) AS r FROM c) WHERE r = 1",
     "spec_link_ladder": ctes("models", "components")
     + f", p AS (SELECT DISTINCT model_id, name, {_SUFFIX} AS bare FROM models WHERE kind = 'Pydantic'), o AS (SELECT DISTINCT name AS component FROM components), n AS (SELECT model_id, count(*) AS n FROM models GROUP BY 1), q AS (SELECT name, count(*) AS n FROM components GROUP BY 1),"
     + f" k AS (SELECT a, b, count(*) AS k FROM (SELECT l.model_id AS a, r.name AS b, r.field_type AS x, l.field_type AS y FROM models l JOIN components r ON l.kind = 'Pydantic' AND l.field = r.field) WHERE {_FITS['spec']} GROUP BY 1, 2),"

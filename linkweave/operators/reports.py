@@ -235,7 +235,6 @@ QUERIES = {
     "verdict_cube": verdict_counts,
     "endpoint_index": endpoint_index,
     "dot_lines": dot_query,
-    "dot_graph": dot_query,
 }
 _BLOCKS = {
     1: "- **Name**: `User`\n- **Type**: Pydantic Model\n- **Location**: `app/a.py:7`\n- **Schema Preview**: `{}`\n- **Fields**:\n  - `id:int`\n  - `name:str`\n- **Additional Metadata**:\n  - `a`: `1`\n  - `b`: `2`\n",
@@ -255,4 +254,3 @@ ORACLE_SQL = {
     "endpoint_index": "SELECT regexp_replace(url, '[?#].*$', '') AS address, max(page_id) AS page_id, count(*) AS pages FROM pages GROUP BY 1",
     "dot_lines": f"WITH {graph._edge_sql()}, {graph._node_sql()} SELECT 0 AS part, node_id AS k, '  n' || node_id || ' [label=\"' || replace(replace(kind || ' ' || name, '\\', '\\\\'), '\"', '\\\"') || '\"];' AS line FROM n UNION ALL SELECT 1, edge_id, '  n' || src || ' -> n' || dst || CASE WHEN kind = 'DataFlow' THEN ' [style=dashed, color=purple]' ELSE '' END || ';' FROM e",
 }
-ORACLE_SQL["dot_graph"] = ORACLE_SQL["dot_lines"]

@@ -147,6 +147,15 @@ export const last = () => client.get()')""",
     "zod_routes": ("node_id, path, method, file, line", "(101, '/items', 'GET', 'api.ts', 10), (102, '/items', 'GET', 'api.ts', 20), (103, '/users', 'POST', 'user.ts', 5), (104, '/nowhere', 'GET', 'user.ts', 9), (105, '/other', 'GET', 'user.ts', 9)"),
     "zod_endpoints": ("path, method, request", "('/items', 'get', 'ItemRequest'), ('/users', 'post', 'User'), ('/other', 'get', 'ItemRequest')"),
     "schema_fields": ("node_id, field, field_type, optional", "(1, 'id', 'string', false), (2, 'id', 'str', false), (3, 'id', 'string', false), (3, 'n', 'number', true), (2, 'n', 'str', false), (8, 'name', 'string', false), (8, 'age', 'number', true), (7, 'name', 'str', false), (7, 'mail', 'str', false)"),
+    # Schemas as the sources show them: JSON Schema text, a list of fields as JSON or text, required names, the type of an alias
+    "schema_texts": (
+        "schema_no, schema_type, json_schema, fields, required, type_text",
+        """(-1, 'Pydantic', null, '[{"name": "a", "type_name": "Optional[int]", "optional": false, "constraints": ["Email", {"MinLength": 3}]}, {"name": "b", "type_name": "str", "optional": true, "constraints": [{"Pattern": "^x"}]}]', 'a', null),
+           (-2, 'Pydantic', null, '[{"name": "a", "type_name": "str"}]', null, null), (-3, 'Pydantic', null, ' a : str , b:dict[str, int], :x, y:, c', 'a,b', null), (-4, 'Zod', null, '[{"name": "a", "type_name": "string", "optional": false, "nullable": false}]', null, null),
+           (-5, 'TypeScript', null, 'a:string, b:number:optional, c, d:', null, null), (-6, 'TypeScript', null, 'a:string', null, 'string'), (-7, 'OrmModel', '{"properties": {"z": {}}}', '[{"name": "a", "type_name": "VARCHAR", "nullable": false}, {"name": "n", "type_name": "Blob", "nullable": true}]', null, null),
+           (-8, 'OrmModel', null, 'a:str', null, null), (-9, 'JsonSchema', null, 'a:str', null, null), (-10, 'OpenAPI', '{"type": "object", "required": ["a", "gone", 3], "properties": {"a": {"type": "string", "pattern": "x"}, "o": {"type": ["string"]}, "p": {"type": "string", "pattern": 5}}}', null, null, null),
+           (-11, 'Pydantic', '{not json', 'a:str', null, null), (-12, 'Zod', '{"required": "a", "properties": [1, 2]}', 'a:str', 'a', null), (-13, 'Pydantic', null, null, null, null), (-14, 'Pydantic', '[1]', null, null, null)""",
+    ),
     # Schemas for the readable report; metadata as JSON
     "shown_schemas": ("schema_no, name, schema_type, file, line, metadata", """(1, 'User', 'Pydantic', 'app/a.py', 7, '{"json_schema": "{}", "fields": "id:int, name:str,", "b": "2", "a": "1"}'), (2, 'Object', 'JsonSchema', 'app/main.py', 9, '{"missing_schema": "true", "base_type": "Object"}'), (3, 'load', 'JsonSchema', 'b.ts', 0, '{}'),
            (4, 'Long', 'Zod', 'z.ts', 3, '{"k": "éééééééééééééééééééééééééééééééééééééééééééééééééééé"}')"""),
@@ -187,6 +196,13 @@ GROWN: dict[str, str] = {
         UNION ALL SELECT p_partkey + 10000000, 'q' || (p_partkey % 4), 'int', p_partkey % 2 = 0 FROM {part}""",
     "zod_fields": "SELECT 'f' || p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'string' WHEN 1 THEN 'number' WHEN 2 THEN 'array' ELSE 'boolean' END, p_partkey % 3 = 0 FROM {part}",
     "pydantic_fields": "SELECT 'f' || (p_partkey + 100), CASE p_partkey % 5 WHEN 0 THEN 'str' WHEN 1 THEN 'int' WHEN 2 THEN 'list[int]' WHEN 3 THEN 'bool' ELSE 'float' END, p_size % 3 = 0 FROM {part}",
+    "schema_texts": """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Pydantic' WHEN 1 THEN 'Zod' WHEN 2 THEN 'TypeScript' WHEN 3 THEN 'OrmModel' WHEN 4 THEN 'OpenAPI' ELSE 'JsonSchema' END,
+        CASE WHEN p_partkey % 6 >= 4 OR p_partkey % 5 = 0 THEN CASE WHEN p_partkey % 17 = 0 THEN '{{"properties": ' || p_name ELSE '{{"type": "object", "required": ["id"' || CASE WHEN p_size % 2 = 0 THEN ', "size"' ELSE '' END || '], "properties": {{"id": {{"type": "integer", "minimum": ' || p_size || '}}, "name": {{"type": "string", "pattern": "^' || p_brand || '"}}, "'
+            || CASE WHEN p_size % 3 = 0 THEN 'size' ELSE 'price' END || '": {{"type": "' || CASE WHEN p_size % 5 = 0 THEN 'string' ELSE 'number' END || '"}}}}}}' END END,
+        CASE p_partkey % 6 WHEN 0 THEN '[{{"name": "id", "type_name": "' || CASE WHEN p_size % 4 = 0 THEN 'str' ELSE 'int' END || '", "optional": false, "constraints": []}}, {{"name": "name", "type_name": "str", "optional": true, "constraints": [' || CASE WHEN p_size % 3 = 0 THEN '{{"Pattern": "^a"}}' WHEN p_size % 3 = 1 THEN '"Email"' ELSE '' END || ']}}]'
+            WHEN 1 THEN '[{{"name": "id", "type_name": "number", "optional": false, "nullable": false}}, {{"name": "name", "type_name": "string", "optional": true, "nullable": true}}]' WHEN 2 THEN 'id:number,name:string:optional,size:' || CASE WHEN p_size % 2 = 0 THEN 'string' ELSE 'number' END
+            WHEN 3 THEN '[{{"name": "id", "type_name": "Integer", "nullable": false}}, {{"name": "size", "type_name": "' || CASE WHEN p_size % 2 = 0 THEN 'Text' ELSE 'Numeric' END || '", "nullable": true}}]' ELSE 'id:int,name:str' END,
+        CASE WHEN p_partkey % 4 = 0 THEN 'id, name' ELSE NULL END, CASE WHEN p_partkey % 29 = 0 THEN 'string' ELSE NULL END FROM {part}""",
     "paths": "SELECT '/' || p_brand || '/', p_type || '/' || p_name FROM {part}",
 }
 

@@ -69,6 +69,19 @@ def test_report_as_json(spark, tmp_path):
     assert sorted(m["level"] for m in raw["contracts"][0]["mismatches"]) == ["Critical", "High"]
 
 
+def test_components_of_a_specification_are_compared(spark):
+    g = python_graph._graph(spark)
+    text = '{"required": ["gone"], "properties": {"title": {"type": "integer"}, "gone": {"type": "string", "pattern": "^x"}}}'
+    components = spark.createDataFrame([("Described", text), ("Other", '{"properties": {"title": {"type": "string"}, "gone": {"type": "string"}}}')], "name string, schema string")
+    more = cli.with_components(g, components)
+    assert more.fields.filter("name in ('Described', 'Other')").count() == 4 and more.fields.count() == g.fields.count() + 4
+    row = lambda k, a, b: (f"c{k}", 0, a, "Pydantic", False, b, "Pydantic", False, None)
+    found = spark.createDataFrame([row(0, "Described", "Other"), row(1, "Other", "Described")], "chain_id string, pos int, from_schema string, from_type string, from_missing boolean, to_schema string, to_type string, to_missing boolean, transformation string")
+    got = {(r.chain_id, r.mismatch_type, r.path) for r in python_graph.check(more, found).collect()}
+    assert got == {("c0", "TypeMismatch", "title"), ("c1", "TypeMismatch", "title"), ("c1", "UnnormalizedData", "gone")}
+    assert python_graph.check(g, found).collect() == []
+
+
 def test_init_and_logging(tmp_path, monkeypatch):
     monkeypatch.chdir(tmp_path)
     assert cli.main(["--log-file", "x.log", "init", "new.toml"]) == 0 and cli.main(["--log-file", "x.log", "init", "new.toml"]) == 1

@@ -25,6 +25,6 @@ def test_whole_graph_is_drawn(spark):
         want.append((1, place - 40, f"  n{order} -> n{r['l_partkey'] * 8 + 4} [style=dashed, color=purple];"))
     want += [(1, r["c_custkey"], f"  n{r['c_custkey'] * 8 + 2} -> n{r['c_nationkey'] * 8 + 1};") for r in rows("customer")]
     want += [(1, r["s_suppkey"], f"  n{r['s_suppkey'] * 8 + 3} -> n{r['s_nationkey'] * 8 + 1};") for r in rows("supplier")]
-    got = [tuple(r) for r in queries.QUERIES["dot_graph"](spark, PATH).collect()]
+    got = [tuple(r) for r in queries.QUERIES["dot_lines"](spark, PATH).collect()]
     assert sum("dashed" in line for _, _, line in got) == len(rows("lineitem")) > 0
     assert sorted(got) == sorted(want)
