@@ -410,9 +410,8 @@ def _count(entries: pa.Table, rows: pa.Table, width: int) -> pa.Table:
         return pa.table({c: pa.array(columns[c], kinds[c]) if c in columns and not isinstance(columns[c], pa.ChunkedArray) else columns.get(c, pa.nulls(n, kinds[c])) for c in names})
 
     sums = {c: np.where(good, _sums(x[codes], ends), 0) for c, x in (("n_a", links.n_a), ("n_b", links.n_b), ("n_groups", links.n_groups), ("n_links", each))}
-    kept = [x if use else None for x, use in zip(rows.column("codes").to_pylist(), good.tolist(), strict=True)]
     table_of = [np.concatenate([[len(each)], each, local]).astype("<u4").tobytes()]
-    return pa.concat_tables([part(0, len(good), doc_id=rows.column("doc_id"), groups_sha256=digests, codes=kept, **sums), part(1, 1, codes=table_of), part(2, len(pairs), pair=pairs, texts=counts)])
+    return pa.concat_tables([part(0, len(good), doc_id=rows.column("doc_id"), groups_sha256=digests, **sums), part(1, 1, codes=table_of), part(2, len(pairs), pair=pairs, texts=counts)])
 
 
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -421,16 +420,17 @@ _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best
 def _finish(values: pa.Table, rows: pa.Table) -> pa.Table:
     """The group's texts with the sums over their links."""
     values, rows = values.sort_by("place").combine_chunks(), rows.combine_chunks()
-    table_of = np.frombuffer(rows.filter(pc.equal(rows.column("kind"), 1)).column("codes")[0].as_py(), "<u4").astype(np.int64)
-    rows = rows.filter(pc.equal(rows.column("kind"), 0))
+    of = lambda kind: rows.filter(pc.equal(rows.column("kind"), kind)).sort_by("place").combine_chunks()
+    table_of, coded_rows, rows = np.frombuffer(of(1).column("codes")[0].as_py(), "<u4").astype(np.int64), of(3), of(0)
     size = table_of[0]
     each, local = table_of[1 : size + 1], table_of[size + 1 :]
     bounds = np.cumsum([0, *each])
-    codes, ends = _unpacked(rows.column("codes").to_pylist())
+    codes, ends = _unpacked(coded_rows.column("codes").to_pylist())
+    used = rows.column("n_a").combine_chunks().to_numpy(zero_copy_only=False) > 0
     out = {c: rows.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")}
     for name, column in (("n_best", "best"), ("count_sum", "texts")):
         of_pair = values.column(column).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
-        out[name] = pa.array(_sums(_sums(of_pair[local], bounds)[codes], ends))
+        out[name] = pa.array(np.where(used, _sums(_sums(of_pair[local], bounds)[codes], ends), 0))
     return pa.table(out | {"groups_sha256": rows.column("groups_sha256")})
 
 
@@ -459,13 +459,14 @@ def _link_sums(docs: DataFrame, first: str, second: str, group_bytes: int) -> Da
     found = entries.join(known, "segment").select("g", "place", "ok", "links")
     texts = _again(groups).filter("kind = 0").select("g", "place", "doc_id", "codes")
     counted = materialize(found.groupBy("g").cogroup(texts.groupBy("g")).applyInArrow(lambda have, rows: _count(have, rows, width), _COUNTED), "align-counted")
-    discard(known, groups)
+    discard(known)
     rows = counted.filter("kind = 2").select("g", "place", "pair", "texts")
     totals = rows.groupBy("pair").agg(F.sum("texts").alias("texts")).withColumn("a", F.shiftright("pair", 32))
     most = totals.groupBy("a").agg(F.max("texts").alias("most"))
     totals = materialize(totals.join(most, "a").select("pair", "texts", (F.col("texts") == F.col("most")).cast("int").alias("best")), "align-pairs")
     values = rows.select("g", "place", "pair").join(totals, "pair").select("g", "place", "texts", "best")
-    texts = _again(counted).filter("kind < 2").select("g", "kind", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes")
+    texts = _again(groups).filter("kind = 0").select("g", F.lit(3).alias("kind"), "place", "codes")
+    texts = _again(counted).filter("kind < 2").select("g", "kind", "place", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes").unionByName(texts, allowMissingColumns=True)
     return values.groupBy("g").cogroup(texts.groupBy("g")).applyInArrow(_finish, _RESULT)
 
 
