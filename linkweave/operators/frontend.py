@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkweave.functions import frontend, names
 from linkweave.operators.linking import first_by
-from linkweave.plans.fixtures import ctes, literal
+from linkweave.plans.fixtures import ctes, grown, literal, rows_added
 from linkweave.session import materialize, table
 
 #: Deepest chain of re-exports that is followed (fixed value).
@@ -154,8 +154,24 @@ def sdk_imports(calls: DataFrame, imported: DataFrame) -> DataFrame:
 
 
 def mapping_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = literal(spark, "ts_files").select("file")
-    return resolve_imports(literal(spark, "ts_imports"), files, literal(spark, "ts_mappings"), "web").select("import_id", "resolved")
+    files = grown(spark, sf_dir, "ts_files").select("file")
+    return resolve_imports(grown(spark, sf_dir, "ts_imports"), files, literal(spark, "ts_mappings"), "web").select("import_id", "resolved")
+
+
+def reexport_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the application and every page of queries gets from clients through re-exports."""
+    files = grown(spark, sf_dir, "ts_files")
+    starts = files.filter("file = 'web/src/app.ts' or file like '%/c%Queries.ts'").select("file")
+    return reexported(starts, grown(spark, sf_dir, "ts_exports"), files, grown(spark, sf_dir, "ts_functions"))
+
+
+def service_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = grown(spark, sf_dir, "ts_files")
+    return service_files(files, files, literal(spark, "ts_roots"))
+
+
+def service_type_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return service_types(service_query(spark, sf_dir), grown(spark, sf_dir, "ts_functions"))
 
 
 def file_kind_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,31 +186,39 @@ _FOLDERS, _STEMS, _ENDINGS = ("src", "src/sdk", "web/api-client", "src/Generated
 
 QUERIES = {
     "typescript_imports": mapping_query,
-    "typescript_callees": lambda s, d: resolve_or_invent(literal(s, "python_calls"), literal(s, "functions")),
-    "typescript_definitions": lambda s, d: first_definitions(literal(s, "ts_functions"), ["file", "name"]).select("file", "name", "ord"),
-    "typescript_function_by_name": lambda s, d: last_definition(literal(s, "ts_functions")).select("file", "name", "ord"),
-    "sdk_function_bodies": lambda s, d: sdk_bodies(literal(s, "sdk_functions"), literal(s, "sdk_sources")),
-    "sdk_functions": lambda s, d: sdk_calls(literal(s, "sdk_functions"), literal(s, "sdk_sources"), literal(s, "sdk_endpoints")),
-    "sdk_reexports": lambda s, d: reexported(literal(s, "ts_files").filter("file = 'web/src/app.ts'").select("file"), literal(s, "ts_exports"), literal(s, "ts_files"), literal(s, "ts_functions")),
-    "service_files": lambda s, d: service_files(literal(s, "ts_files"), literal(s, "ts_files"), literal(s, "ts_roots")),
-    "service_types": lambda s, d: service_types(service_files(literal(s, "ts_files"), literal(s, "ts_files"), literal(s, "ts_roots")), literal(s, "ts_functions")),
-    "api_call_routes": lambda s, d: api_routes(literal(s, "route_calls"), service_types(service_files(literal(s, "ts_files"), literal(s, "ts_files"), literal(s, "ts_roots")), literal(s, "ts_functions")), literal(s, "sdk_endpoints")),
+    "typescript_callees": lambda s, d: resolve_or_invent(grown(s, d, "python_calls"), grown(s, d, "functions")),
+    "typescript_definitions": lambda s, d: first_definitions(grown(s, d, "ts_functions"), ["file", "name"]).select("file", "name", "ord"),
+    "typescript_function_by_name": lambda s, d: last_definition(grown(s, d, "ts_functions")).select("file", "name", "ord"),
+    "sdk_function_bodies": lambda s, d: sdk_bodies(grown(s, d, "sdk_functions"), grown(s, d, "sdk_sources")),
+    "sdk_functions": lambda s, d: sdk_calls(grown(s, d, "sdk_functions"), grown(s, d, "sdk_sources"), grown(s, d, "sdk_endpoints")),
+    "sdk_reexports": reexport_query,
+    "service_files": service_query,
+    "service_types": service_type_query,
+    "api_call_routes": lambda s, d: api_routes(grown(s, d, "route_calls"), service_type_query(s, d), grown(s, d, "sdk_endpoints")),
     "frontend_file_kinds": file_kind_query,
 }
 
+#: services of pages, and the types of their functions
+_SERVICES = """, q AS (SELECT file, regexp_extract(file, '([^/]*)Queries\\.ts$', 1) AS stem FROM ts_files WHERE file LIKE '%Queries.ts'),
+ v AS (SELECT q.file, arg_min(f.file, k) AS service FROM q CROSS JOIN (VALUES (0, 'web/src/', '.ts'), (1, 'web/src/', '.tsx'), (2, 'web/src/lib/', '.ts'), (3, 'web/src/lib/', '.tsx')) AS r(k, folder, ending)
+ JOIN ts_files f ON f.file = folder || stem || 'Service' || ending GROUP BY q.file)"""
+_TYPES = """, t AS (SELECT file, x.request AS request, x.response AS response FROM (SELECT v.file, arg_min({'request': f.request, 'response': f.response}, CASE WHEN name = 'api_handler' THEN 0 ELSE 1000 END + ord) AS x
+ FROM v JOIN ts_functions f ON f.file = v.service WHERE f.request IS NOT NULL OR f.response IS NOT NULL GROUP BY v.file))"""
+_SPEC = "(SELECT operation_id, arg_max(upper(method), ord) AS method, arg_max(path, ord) AS path FROM sdk_endpoints WHERE operation_id IS NOT NULL AND method <> 'trace' GROUP BY 1)"
+_BODY = "CASE WHEN name LIKE 'call%' THEN CASE WHEN CAST(name[5:] AS BIGINT) % 2 = 0 THEN 'GET' ELSE 'POST' END WHEN name LIKE 'spread%' THEN 'DELETE' END AS method, CASE WHEN name LIKE 'call%' THEN '/s/' || name[5:] WHEN name LIKE 'spread%' THEN '/d/' || name[7:] END AS path"
 _PICK = lambda values, n: f"[{', '.join(repr(v) for v in values)}][CAST({n} % {len(values)} AS INT) + 1]"
 ORACLE_SQL = {
-    "typescript_imports": "SELECT * FROM (VALUES (1, 'web/src/api/sdk.gen.ts'), (2, 'web/src/api/index.ts'), (3, 'web/src/app.ts'), (4, NULL), (5, 'web/src/api/client.gen.ts'), (6, 'web/src/lib/x.tsx'), (7, 'web/src/shared/types.ts'), (8, NULL), (9, 'web/src/lib/index.gen.ts')) AS t(import_id, resolved)",
+    "typescript_imports": ctes("ts_imports", "ts_files") + " SELECT * FROM (VALUES (1, 'web/src/api/sdk.gen.ts'), (2, 'web/src/api/index.ts'), (3, 'web/src/app.ts'), (4, NULL), (5, 'web/src/api/client.gen.ts'), (6, 'web/src/lib/x.tsx'), (7, 'web/src/shared/types.ts'), (8, NULL), (9, 'web/src/lib/index.gen.ts')) AS t(import_id, resolved) UNION ALL SELECT import_id, coalesce(a.file, b.file) FROM (SELECT import_id, CASE WHEN path LIKE './%' THEN 'web/src/lib/' || path[3:] WHEN path LIKE '../%' THEN 'web/src/' || path[4:] WHEN path LIKE '@/%' THEN 'web/src/' || path[3:] END AS target FROM ts_imports WHERE import_id >= 100) i LEFT JOIN ts_files a ON a.file = target || '.ts' LEFT JOIN ts_files b ON b.file = target || '.tsx'",
     "typescript_callees": ctes("python_calls", "functions")
     + ", k AS (SELECT string_split(name, '::')[-1] AS callee, file, node_id FROM functions) SELECT c.call_id, coalesce(o.node_id, a.node_id) AS node_id, CASE WHEN coalesce(o.node_id, a.node_id) IS NULL THEN c.file || '::' || c.callee END AS virtual_name FROM python_calls c LEFT JOIN (SELECT callee, file, min(node_id) AS node_id FROM k GROUP BY 1, 2) o ON o.callee = c.callee AND o.file = c.file LEFT JOIN (SELECT callee, min(node_id) AS node_id FROM k GROUP BY 1) a ON a.callee = c.callee",
     "typescript_definitions": ctes("ts_functions") + " SELECT file, name, min(ord) AS ord FROM ts_functions GROUP BY 1, 2",
     "typescript_function_by_name": ctes("ts_functions") + " SELECT file, name, max(ord) AS ord FROM ts_functions GROUP BY 1, 2",
-    "sdk_function_bodies": "SELECT * FROM (VALUES ('web/src/api/sdk.gen.ts', 'getItems', 'GET', '/items/'), ('web/src/api/sdk.gen.ts', 'addItem', 'POST', '/items/new'), ('web/src/api/sdk.gen.ts', 'dropItem', 'DELETE', '/items/{id}')) AS t(file, name, method, path)",
-    "sdk_functions": "SELECT * FROM (VALUES ('getItems', 'GET', '/items/'), ('addItem', 'PUT', '/by-spec/'), ('dropItem', 'DELETE', '/items/{id}')) AS t(name, method, path)",
-    "sdk_reexports": "SELECT * FROM (VALUES ('web/src/app.ts', 'getItems', 'web/src/api/sdk.gen.ts'), ('web/src/app.ts', 'addItem', 'web/src/api/sdk.gen.ts')) AS t(file, name, source)",
-    "service_files": "SELECT * FROM (VALUES ('web/src/lib/itemQueries.ts', 'web/src/itemService.ts'), ('web/src/lib/userQueries.ts', 'web/src/lib/userService.tsx')) AS t(file, service)",
-    "service_types": "SELECT * FROM (VALUES ('web/src/lib/itemQueries.ts', 'Item', 'Page'), ('web/src/lib/userQueries.ts', NULL, 'User')) AS t(file, request, response)",
-    "api_call_routes": "SELECT * FROM (VALUES (1, '/items/', 'GET', 'web/src/app.ts', 3, 'web/src/app.ts::api_handler', NULL, 'Item', NULL, 'ItemList'), (2, '/by-spec/', 'PUT', 'web/src/lib/itemQueries.ts', 4, 'web/src/lib/itemQueries.ts::api_handler', 'Item', 'Page', 'ItemNew', 'Item'), (3, '/none', 'POST', 'web/src/app.ts', 9, 'web/src/app.ts::api_handler', NULL, NULL, NULL, NULL)) AS t(call_id, path, method, file, line, handler, parameter, returns, request_schema, response_schema)",
+    "sdk_function_bodies": f"SELECT * FROM (VALUES ('web/src/api/sdk.gen.ts', 'getItems', 'GET', '/items/'), ('web/src/api/sdk.gen.ts', 'addItem', 'POST', '/items/new'), ('web/src/api/sdk.gen.ts', 'dropItem', 'DELETE', '/items/{{id}}')) AS t(file, name, method, path) UNION ALL SELECT file, name, {_BODY} FROM {rows_added('sdk_functions')} WHERE name NOT LIKE 'lost%'",
+    "sdk_functions": ctes("sdk_endpoints") + f" SELECT * FROM (VALUES ('getItems', 'GET', '/items/'), ('addItem', 'PUT', '/by-spec/'), ('dropItem', 'DELETE', '/items/{{id}}')) AS t(name, method, path) UNION ALL SELECT * FROM (SELECT f.name, coalesce(s.method, f.method) AS method, coalesce(s.path, f.path) AS path FROM (SELECT name, {_BODY} FROM {rows_added('sdk_functions')}) f LEFT JOIN {_SPEC} s ON s.operation_id = f.name) WHERE method IS NOT NULL",
+    "sdk_reexports": "SELECT * FROM (VALUES ('web/src/app.ts', 'getItems', 'web/src/api/sdk.gen.ts'), ('web/src/app.ts', 'addItem', 'web/src/api/sdk.gen.ts')) AS t(file, name, source) UNION ALL SELECT 'web/src/lib/c' || n.c_custkey || 'Queries.ts', 'call' || m.c_custkey, 'web/src/api/c' || m.c_custkey || '.gen.ts' FROM customer n JOIN customer m ON m.c_custkey BETWEEN n.c_custkey AND CAST(ceil(n.c_custkey / 4.0) * 4 AS BIGINT)",
+    "service_files": ctes("ts_files") + _SERVICES + " SELECT * FROM v",
+    "service_types": ctes("ts_files", "ts_functions") + _SERVICES + _TYPES + " SELECT * FROM t",
+    "api_call_routes": ctes("ts_files", "ts_functions", "route_calls", "sdk_endpoints") + _SERVICES + _TYPES + " SELECT c.call_id, c.path, c.method, c.file, c.line, c.file || '::api_handler' AS handler, CASE WHEN CASE WHEN t.file IS NULL THEN c.response ELSE t.response END IS NOT NULL THEN CASE WHEN t.file IS NULL THEN c.request ELSE t.request END END AS parameter, CASE WHEN t.file IS NULL THEN c.response ELSE t.response END AS returns, e.x.request AS request_schema, e.x.response AS response_schema FROM route_calls c LEFT JOIN t ON t.file = c.file LEFT JOIN (SELECT path, upper(method) AS method, arg_max({'request': request, 'response': response}, ord) AS x FROM sdk_endpoints GROUP BY 1, 2) e ON e.path = c.path AND e.method = c.method",
     "frontend_file_kinds": f"WITH p AS (SELECT p_partkey, {_PICK(_FOLDERS, 'p_partkey')} AS f, {_PICK(_STEMS, f'(p_partkey // {len(_FOLDERS)})')} AS s, {_PICK(_ENDINGS, f'(p_partkey // {len(_FOLDERS) * len(_STEMS)})')} AS e FROM part)"
     " SELECT p_partkey, f || '/' || s || e AS path, f IN ('src/sdk', 'web/api-client', 'openapi-client') OR e IN ('.gen.ts', '.gen.tsx', '.sdk.ts') OR (s IN ('sdk', 'SDK')) OR (s IN ('user-client', 'user_client') AND e IN ('.ts', '.tsx')) AS sdk, e IN ('.gen.ts', '.gen.tsx') OR f IN ('src/sdk', 'src/Generated/x') AS generated FROM p",
 }

@@ -203,6 +203,32 @@ GROWN: dict[str, str] = {
             WHEN 1 THEN '[{{"name": "id", "type_name": "number", "optional": false, "nullable": false}}, {{"name": "name", "type_name": "string", "optional": true, "nullable": true}}]' WHEN 2 THEN 'id:number,name:string:optional,size:' || CASE WHEN p_size % 2 = 0 THEN 'string' ELSE 'number' END
             WHEN 3 THEN '[{{"name": "id", "type_name": "Integer", "nullable": false}}, {{"name": "size", "type_name": "' || CASE WHEN p_size % 2 = 0 THEN 'Text' ELSE 'Numeric' END || '", "nullable": true}}]' ELSE 'id:int,name:str' END,
         CASE WHEN p_partkey % 4 = 0 THEN 'id, name' ELSE NULL END, CASE WHEN p_partkey % 29 = 0 THEN 'string' ELSE NULL END FROM {part}""",
+    # A front-end project with a page of queries, a client and mostly a service for each customer
+    "ts_files": """SELECT 'web/src/lib/c' || c_custkey || 'Queries.ts' FROM {customer} UNION ALL SELECT 'web/src/api/c' || c_custkey || '.gen.ts' FROM {customer}
+        UNION ALL SELECT 'web/src/c' || c_custkey || 'Service.ts' FROM {customer} WHERE c_custkey % 3 = 0 UNION ALL SELECT 'web/src/lib/c' || c_custkey || 'Service.tsx' FROM {customer} WHERE c_custkey % 4 = 0
+        UNION ALL SELECT 'web/src/lib/c' || c_custkey || 'Service.ts' FROM {customer} WHERE c_custkey % 5 = 0""",
+    "ts_imports": """SELECT o_orderkey + 100, 'web/src/lib/c' || o_custkey || 'Queries.ts', CASE o_orderkey % 5 WHEN 0 THEN './c' || o_custkey || 'Service' WHEN 1 THEN '@/lib/c' || o_custkey || 'Service' WHEN 2 THEN 'react'
+        WHEN 3 THEN '../c' || o_custkey || 'Service' ELSE '@/api/c' || o_custkey || '.gen' END FROM {orders}""",
+    "ts_exports": """SELECT 'web/src/lib/c' || c_custkey || 'Queries.ts', '../api/c' || c_custkey || '.gen' FROM {customer}
+        UNION ALL SELECT 'web/src/lib/c' || c_custkey || 'Queries.ts', './c' || (c_custkey + 1) || 'Queries' FROM {customer} WHERE c_custkey % 4 <> 0""",
+    "ts_functions": """SELECT 'web/src/' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'lib/' END || 'c' || c_custkey || CASE WHEN c_custkey % 3 = 0 OR c_custkey % 5 = 0 THEN 'Service.ts' ELSE 'Service.tsx' END, CAST(10 + 2 * (c_custkey % 7) AS INT), 'load',
+        CASE WHEN c_custkey % 2 = 0 THEN 'In' || (c_custkey % 40) END, CASE WHEN c_custkey % 7 <> 0 THEN 'Out' || c_custkey END FROM {customer}
+        UNION ALL SELECT 'web/src/' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'lib/' END || 'c' || c_custkey || CASE WHEN c_custkey % 3 = 0 OR c_custkey % 5 = 0 THEN 'Service.ts' ELSE 'Service.tsx' END, 15,
+        CASE WHEN c_custkey % 4 = 1 THEN 'api_handler' ELSE 'load' END, NULL, 'H' || c_custkey FROM {customer} UNION ALL SELECT 'web/src/api/c' || c_custkey || '.gen.ts', 1, 'call' || c_custkey, NULL, NULL FROM {customer}""",
+    "sdk_functions": """SELECT 'web/src/api/c' || c_custkey || '.gen.ts', 'call' || c_custkey, 2 FROM {customer} UNION ALL SELECT 'web/src/api/c' || c_custkey || '.gen.ts', 'spread' || c_custkey, 3 FROM {customer}
+        UNION ALL SELECT 'web/src/api/c' || c_custkey || '.gen.ts', 'lost' || c_custkey, 6 FROM {customer}""",
+    "sdk_sources": """SELECT 'web/src/api/c' || c_custkey || '.gen.ts', '// client' || chr(10) || 'export const call = () => client.' || CASE WHEN c_custkey % 2 = 0 THEN 'get' ELSE 'post' END || '({{ url: "/s/' || c_custkey || '" }})' || chr(10)
+        || 'export const spread = (o) =>' || chr(10) || '  client.delete(' || chr(10) || '    {{ url: "/d/' || c_custkey || '" }})' || chr(10) || 'export const lost = () => 1' FROM {customer}""",
+    "sdk_endpoints": """SELECT p_partkey + 10, '/p/' || (p_partkey % 700), CASE p_partkey % 3 WHEN 0 THEN 'get' WHEN 1 THEN 'post' ELSE 'trace' END, CASE WHEN p_partkey % 4 <> 0 THEN 'call' || (p_partkey % 400) END,
+        CASE WHEN p_partkey % 5 = 0 THEN 'Rq' || p_partkey END, 'Rs' || p_partkey FROM {part}""",
+    "route_calls": """SELECT o_orderkey + 10, 'web/src/lib/c' || o_custkey || 'Queries.ts', CAST(o_orderkey % 90 AS INT), CASE WHEN o_orderkey % 2 = 0 THEN 'GET' ELSE 'POST' END, '/p/' || (o_orderkey % 900),
+        CASE WHEN o_orderkey % 3 = 0 THEN 'A' || o_custkey END, CASE WHEN o_orderkey % 7 <> 0 THEN 'B' || o_custkey END FROM {orders}""",
+    "annotations": "SELECT CASE p_partkey % 4 WHEN 0 THEN 'Optional[M' || p_partkey || ']' WHEN 1 THEN 'list[M' || p_partkey || '] | None' WHEN 2 THEN 'Page[M' || p_partkey || ']' ELSE 'Annotated[M' || p_partkey || ', Body]' END FROM {part}",
+    "column_annotations": "SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'Mapped[Optional[M' || p_partkey || ']]' WHEN 1 THEN 'orm.Mapped[list[M' || p_partkey || ']]' ELSE 'Column(String(' || (p_size + 100) || '), nullable=True)' END FROM {part}",
+    "called_names": "SELECT CASE p_partkey % 4 WHEN 0 THEN 'schemas.M' || p_partkey || '.model_validate' WHEN 1 THEN 'm' || p_partkey || '.model_dump_json' WHEN 2 THEN 'router.r' || p_partkey ELSE 'fn' || p_partkey END FROM {part}",
+    "handler_parameters": "SELECT 'p' || p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'Annotated[M, Query()]' ELSE 'M' || p_partkey END, p_partkey % 2 = 0, CASE p_partkey % 3 WHEN 0 THEN 'x,staticmethod' WHEN 1 THEN 'staticmethods' ELSE '' END FROM {part}",
+    "class_bases": "SELECT 'K' || p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Base' WHEN 1 THEN 'BaseModel' WHEN 2 THEN 'Mixin,db.Model' ELSE '' END, CASE WHEN p_partkey % 3 = 0 THEN 'str;int' ELSE '' END FROM {part}",
+    "frontend_texts": """SELECT CASE p_partkey % 4 WHEN 0 THEN 'Promise<Page<M' || p_partkey || '>>' WHEN 1 THEN 'M' || p_partkey || '[]' WHEN 2 THEN 'trpc.u' || p_partkey || '.get.useQuery' ELSE '{{ url: "/' || p_partkey || '", b: 1 }}' END FROM {part}""",
     "paths": "SELECT '/' || p_brand || '/', p_type || '/' || p_name FROM {part}",
 }
 
@@ -216,6 +242,13 @@ def values(name: str) -> str:
     return f"(SELECT * FROM (VALUES {rows}) AS {name}({columns}) UNION ALL {more}) AS {name}({columns})"
 
 
+def rows_added(name: str) -> str:
+    """What given tables add to the catalogue, as a table of an oracle."""
+    more = re.sub(r"\{(\w+)\}", r"\1", GROWN[name]).replace("{{", "{").replace("}}", "}")
+    columns, rows = TABLES[name]
+    return f"(SELECT * FROM (VALUES {rows}) AS {name}({columns}) WHERE false UNION ALL {more}) AS {name}({columns})"
+
+
 def literal(spark: SparkSession, name: str) -> DataFrame:
     columns, rows = TABLES[name]
     return spark.sql(f"SELECT * FROM (VALUES {rows}) AS {name}({columns})")
