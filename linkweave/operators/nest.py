@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from linkweave.functions import frontend
 from linkweave.operators.linking import first_by
+from linkweave.plans.fixtures import per_supplier, per_supplier_sql
+from linkweave.session import table
 from linkweave.sources import typescript_source
 
 TARGETS = ("class_decorator", "method_decorator", "param_decorator")
@@ -92,23 +94,28 @@ export class CatsController {
 }
 
 
-def _facts(spark: SparkSession) -> DataFrame:
-    return typescript_source.extract(spark.createDataFrame(list(EXAMPLE.items()), "path string, content string"))
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of the example, and of a team's controllers for each supplier."""
+    return typescript_source.extract(per_supplier(spark, sf_dir, EXAMPLE, "Cat", "Plain"))
+
+
+def _asked_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql("SELECT 'CatsController' AS class, 'one' AS method UNION ALL SELECT 'Cat' || s_suppkey || 'sController', 'one' FROM {supplier}", supplier=table(spark, sf_dir, "supplier"))
 
 
 QUERIES = {
-    "nest_decorators": lambda s, d: decorators_by_target(_facts(s)).select("target", "owner", "decorators"),
-    "nest_parameter_sources": lambda s, d: parameter_sources(_facts(s)).select("handler", "parameter", "source", "key"),
-    "nest_transfer_objects": lambda s, d: validated_properties(_facts(s)).select("class", "property", "validation", "optional"),
-    "nest_transfer_classes": lambda s, d: transfer_objects(_facts(s)).select("class", "line"),
-    "nest_method_nodes": lambda s, d: method_nodes(_facts(s), s.sql("SELECT 'CatsController' AS class, 'one' AS method")).select("class", "method", "path"),
-    "nest_handler_types": lambda s, d: handler_types(_facts(s)).select("handler", "body", "position", "request", "dto", "response"),
+    "nest_decorators": lambda s, d: decorators_by_target(_facts(s, d)).select("target", "owner", "decorators"),
+    "nest_parameter_sources": lambda s, d: parameter_sources(_facts(s, d)).select("handler", "parameter", "source", "key"),
+    "nest_transfer_objects": lambda s, d: validated_properties(_facts(s, d)).select("class", "property", "validation", "optional"),
+    "nest_transfer_classes": lambda s, d: transfer_objects(_facts(s, d)).select("class", "line"),
+    "nest_method_nodes": lambda s, d: method_nodes(_facts(s, d), _asked_methods(s, d)).select("class", "method", "path"),
+    "nest_handler_types": lambda s, d: handler_types(_facts(s, d)).select("handler", "body", "position", "request", "dto", "response"),
 }
 ORACLE_SQL = {
-    "nest_decorators": "SELECT * FROM (VALUES ('class_decorator', 'CatsController', 'Controller,UseGuards'), ('method_decorator', 'CatsController.create', 'Post,HttpCode'), ('method_decorator', 'CatsController.one', 'Get'), ('method_decorator', 'CatsController.raw', 'Post'), ('param_decorator', 'CatsController.create.q', 'Query'), ('param_decorator', 'CatsController.create.cat', 'Body'), ('param_decorator', 'CatsController.one.id', 'Param'), ('param_decorator', 'CatsController.one.h', 'Headers'), ('param_decorator', 'CatsController.one.other', 'Param'), ('param_decorator', 'CatsController.raw.any', 'Body')) AS t(target, owner, decorators)",
-    "nest_parameter_sources": "SELECT * FROM (VALUES ('CatsController.create', 'q', 'Query', NULL), ('CatsController.create', 'cat', 'Body', NULL), ('CatsController.one', 'id', 'Param', 'id'), ('CatsController.one', 'h', 'Headers', NULL), ('CatsController.one', 'other', 'Param', 'other'), ('CatsController.raw', 'any', 'Body', NULL)) AS t(handler, parameter, source, key)",
-    "nest_transfer_objects": "SELECT * FROM (VALUES ('CatDto', 'name', 'IsString,Length', false), ('CatDto', 'age', 'IsOptional,IsNumber', true)) AS t(class, property, validation, optional)",
-    "nest_transfer_classes": "SELECT 'CatDto' AS class, 3 AS line",
-    "nest_method_nodes": "SELECT 'CatsController' AS class, 'one' AS method, 'cats.controller.ts' AS path",
-    "nest_handler_types": "SELECT * FROM (VALUES ('CatsController.create', 'cat', 1, 'CatDto', true, 'Cat'), ('CatsController.one', NULL, NULL, NULL, false, 'Cat'), ('CatsController.raw', 'any', 0, 'Plain', false, NULL)) AS t(handler, body, position, request, dto, response)",
+    "nest_decorators": per_supplier_sql("SELECT * FROM (VALUES ('class_decorator', 'CatsController', 'Controller,UseGuards'), ('method_decorator', 'CatsController.create', 'Post,HttpCode'), ('method_decorator', 'CatsController.one', 'Get'), ('method_decorator', 'CatsController.raw', 'Post'), ('param_decorator', 'CatsController.create.q', 'Query'), ('param_decorator', 'CatsController.create.cat', 'Body'), ('param_decorator', 'CatsController.one.id', 'Param'), ('param_decorator', 'CatsController.one.h', 'Headers'), ('param_decorator', 'CatsController.one.other', 'Param'), ('param_decorator', 'CatsController.raw.any', 'Body')) AS t(target, owner, decorators)", ('Cat', 'Plain'), ('owner',), ()),
+    "nest_parameter_sources": per_supplier_sql("SELECT * FROM (VALUES ('CatsController.create', 'q', 'Query', NULL), ('CatsController.create', 'cat', 'Body', NULL), ('CatsController.one', 'id', 'Param', 'id'), ('CatsController.one', 'h', 'Headers', NULL), ('CatsController.one', 'other', 'Param', 'other'), ('CatsController.raw', 'any', 'Body', NULL)) AS t(handler, parameter, source, key)", ('Cat', 'Plain'), ('handler',), ()),
+    "nest_transfer_objects": per_supplier_sql("SELECT * FROM (VALUES ('CatDto', 'name', 'IsString,Length', false), ('CatDto', 'age', 'IsOptional,IsNumber', true)) AS t(class, property, validation, optional)", ('Cat', 'Plain'), ('class',), ()),
+    "nest_transfer_classes": per_supplier_sql("SELECT 'CatDto' AS class, 3 AS line", ('Cat', 'Plain'), ('class',), ()),
+    "nest_method_nodes": per_supplier_sql("SELECT 'CatsController' AS class, 'one' AS method, 'cats.controller.ts' AS path", ('Cat', 'Plain'), ('class',), ('path',)),
+    "nest_handler_types": per_supplier_sql("SELECT * FROM (VALUES ('CatsController.create', 'cat', 1, 'CatDto', true, 'Cat'), ('CatsController.one', NULL, NULL, NULL, false, 'Cat'), ('CatsController.raw', 'any', 0, 'Plain', false, NULL)) AS t(handler, body, position, request, dto, response)", ('Cat', 'Plain'), ('handler', 'request', 'response'), ()),
 }

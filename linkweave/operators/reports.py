@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from linkweave.functions import names
 from linkweave.operators import contracts, graph
 from linkweave.operators.linking import first_by
-from linkweave.plans.fixtures import ctes, literal
+from linkweave.plans.fixtures import ctes, grown, literal
 from linkweave.session import table
 
 
@@ -35,7 +35,7 @@ def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct messages with their first severity, in four groups."""
     low = F.lower("message")
     group = F.when(low.contains("type mismatch"), "types").when(low.contains("missing required field"), "fields").when(low.contains("schema validation"), "schemas").otherwise("other")
-    return first_by(literal(spark, "recommendations"), "message", ["ord"]).select("message", "severity", group.alias("bucket"))
+    return first_by(grown(spark, sf_dir, "recommendations"), "message", ["ord"]).select("message", "severity", group.alias("bucket"))
 
 
 def path_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from linkweave.session import table
 
@@ -223,6 +224,8 @@ GROWN: dict[str, str] = {
         CASE WHEN p_partkey % 5 = 0 THEN 'Rq' || p_partkey END, 'Rs' || p_partkey FROM {part}""",
     "route_calls": """SELECT o_orderkey + 10, 'web/src/lib/c' || o_custkey || 'Queries.ts', CAST(o_orderkey % 90 AS INT), CASE WHEN o_orderkey % 2 = 0 THEN 'GET' ELSE 'POST' END, '/p/' || (o_orderkey % 900),
         CASE WHEN o_orderkey % 3 = 0 THEN 'A' || o_custkey END, CASE WHEN o_orderkey % 7 <> 0 THEN 'B' || o_custkey END FROM {orders}""",
+    "recommendations": """SELECT l_orderkey * 10 + l_linenumber + 100, CASE WHEN l_linenumber = 1 THEN 'Critical' ELSE 'Warning' END, CASE l_partkey % 4 WHEN 0 THEN 'Type mismatch for field f' WHEN 1 THEN 'Missing required field f' WHEN 2 THEN 'Add schema validation to f'
+        ELSE 'Look at f' END || (l_partkey % 500) FROM {lineitem}""",
     "annotations": "SELECT CASE p_partkey % 4 WHEN 0 THEN 'Optional[M' || p_partkey || ']' WHEN 1 THEN 'list[M' || p_partkey || '] | None' WHEN 2 THEN 'Page[M' || p_partkey || ']' ELSE 'Annotated[M' || p_partkey || ', Body]' END FROM {part}",
     "column_annotations": "SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'Mapped[Optional[M' || p_partkey || ']]' WHEN 1 THEN 'orm.Mapped[list[M' || p_partkey || ']]' ELSE 'Column(String(' || (p_size + 100) || '), nullable=True)' END FROM {part}",
     "called_names": "SELECT CASE p_partkey % 4 WHEN 0 THEN 'schemas.M' || p_partkey || '.model_validate' WHEN 1 THEN 'm' || p_partkey || '.model_dump_json' WHEN 2 THEN 'router.r' || p_partkey ELSE 'fn' || p_partkey END FROM {part}",
@@ -264,3 +267,25 @@ def grown(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ctes(*names: str) -> str:
     """WITH clause that defines these tables in an oracle."""
     return "WITH " + ", ".join(f"{n} AS (SELECT * FROM {values(n)})" for n in names)
+
+
+def per_supplier(spark: SparkSession, sf_dir: str, texts: dict[str, str], *words: str) -> DataFrame:
+    """(path, content): the texts, and once more for each supplier below a folder of its own, with the supplier's number behind these words."""
+    rows = F.inline(F.array(*(F.struct(F.lit(p).alias("path"), F.lit(c).alias("content")) for p, c in texts.items())))
+    every = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("key"), rows)
+    content = F.col("content")
+    for word in words:
+        content = F.replace(content, F.lit(word), F.concat(F.lit(word), "key"))
+    return spark.createDataFrame(list(texts.items()), "path string, content string").unionByName(every.select(F.concat(F.lit("team"), "key", F.lit("/"), "path").alias("path"), content.alias("content")))
+
+
+def per_supplier_sql(sql: str, words: tuple[str, ...], texts: tuple[str, ...] = (), paths: tuple[str, ...] = ()) -> str:
+    """The oracle of a query over ``per_supplier``: the rows of ``sql``, and for each supplier with the number behind the words and the folder before the paths."""
+    changed = []
+    for column in texts:
+        text = column
+        for word in words:
+            text = f"replace({text}, '{word}', '{word}' || s_suppkey)"
+        changed.append(f"{text} AS {column}")
+    changed += [f"'team' || s_suppkey || '/' || {column} AS {column}" for column in paths]
+    return f"WITH x AS ({sql}) SELECT * FROM x UNION ALL SELECT x.* REPLACE ({', '.join(changed)}) FROM x CROSS JOIN supplier"

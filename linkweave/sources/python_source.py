@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkweave.functions import annotations, names
+from linkweave.plans.fixtures import per_supplier, per_supplier_sql
 from linkweave.session import materialize
 
 FACTS = "path string, ord int, fact string, name string, owner string, detail string, line int, extra string"
@@ -226,16 +227,17 @@ def from_attributes(facts: DataFrame) -> DataFrame:
     return facts.filter("fact = 'config' and name = 'from_attributes' and lower(detail) = 'true'").select(F.col("owner").alias("name")).distinct()
 
 
-def example(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(EXAMPLE.items()), "path string, content string")
+def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The example's sources, and those of a team for each supplier."""
+    return per_supplier(spark, sf_dir, EXAMPLE, "Item")
 
 
 QUERIES = {
-    "python_facts": lambda spark, sf_dir: extract(example(spark)),
-    "python_routes": lambda spark, sf_dir: routes(extract(example(spark))).drop("ord"),
-    "python_models": lambda spark, sf_dir: models(extract(example(spark))),
+    "python_facts": lambda spark, sf_dir: extract(examples(spark, sf_dir)),
+    "python_routes": lambda spark, sf_dir: routes(extract(examples(spark, sf_dir))).drop("ord"),
+    "python_models": lambda spark, sf_dir: models(extract(examples(spark, sf_dir))),
 }
 ORACLE_SQL = {
-    "python_routes": "SELECT * FROM (VALUES ('main.py', 'GET', '/items/{item_id}', 'get_item', 'ItemRead', 6), ('main.py', 'POST', '/items/', 'create_item', NULL, 10)) AS t(path, method, route, handler, response_model, line)",
-    "python_models": "SELECT * FROM (VALUES ('schemas.py', 'ItemBase'), ('schemas.py', 'ItemRead')) AS t(path, name)",
+    "python_routes": per_supplier_sql("SELECT * FROM (VALUES ('main.py', 'GET', '/items/{item_id}', 'get_item', 'ItemRead', 6), ('main.py', 'POST', '/items/', 'create_item', NULL, 10)) AS t(path, method, route, handler, response_model, line)", ('Item',), ('response_model',), ('path',)),
+    "python_models": per_supplier_sql("SELECT * FROM (VALUES ('schemas.py', 'ItemBase'), ('schemas.py', 'ItemRead')) AS t(path, name)", ('Item',), ('name',), ('path',)),
 }

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkweave.functions import names
+from linkweave.plans.fixtures import per_supplier, per_supplier_sql
 from linkweave.session import materialize
 
 try:
@@ -298,8 +299,9 @@ def load_config(path: str) -> Config:
     return config
 
 
-def _example(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.lit(EXAMPLE).alias("spec"))
+def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The example's specification, and one of a team for each supplier."""
+    return per_supplier(spark, sf_dir, {"openapi.json": EXAMPLE}, "Item", "/items").select(F.col("content").alias("spec"))
 
 
 #: A specification with references of all kinds.
@@ -322,8 +324,8 @@ def _asked(spark: SparkSession, query: str) -> DataFrame:
 
 
 QUERIES = {
-    "spec_endpoints": lambda spark, sf_dir: endpoints(_example(spark)),
-    "spec_components": lambda spark, sf_dir: components(_example(spark)),
+    "spec_endpoints": lambda spark, sf_dir: endpoints(_examples(spark, sf_dir)),
+    "spec_components": lambda spark, sf_dir: components(_examples(spark, sf_dir)),
     "spec_success_responses": lambda spark, sf_dir: endpoints(_references(spark)),
     "spec_plain_endpoints": lambda spark, sf_dir: plain_endpoints(_references(spark)),
     "spec_resolved_schemas": lambda spark, sf_dir: resolved_schemas(schemas(_references(spark))).select("name", F.coalesce(F.get_json_object("schema", "$.type"), F.lit("")).alias("kind")),
@@ -337,8 +339,8 @@ QUERIES = {
 _TYPES = "('IBase'), ('ITEM'), ('ownerProps'), ('Words'), ('RoundType'), ('Erro'), ('IAwayInterface')) AS t(name)"
 
 ORACLE_SQL = {
-    "spec_endpoints": "SELECT * FROM (VALUES ('/items/', 'GET', 'list_items', NULL, 'ItemRead', '200'), ('/items/', 'POST', 'create_item', 'ItemCreate', 'ItemRead', '201'), ('/items/{item_id}', 'GET', NULL, NULL, NULL, NULL)) AS t(path, method, operation_id, request, response, code)",
-    "spec_components": f"WITH s AS (SELECT CAST('{EXAMPLE}' AS JSON) AS j), k AS (SELECT name, json_extract(j, '$.components.schemas.' || name) AS c FROM (SELECT j, unnest(json_keys(j, '$.components.schemas')) AS name FROM s)), p AS (SELECT name, c, unnest(json_keys(c, '$.properties')) AS field FROM k) SELECT name, field, json_extract_string(c, '$.properties.' || field || '.type') AS type_name, coalesce(list_contains(CAST(json_extract(c, '$.required') AS VARCHAR[]), field), false) AS required FROM p",
+    "spec_endpoints": per_supplier_sql("SELECT * FROM (VALUES ('/items/', 'GET', 'list_items', NULL, 'ItemRead', '200'), ('/items/', 'POST', 'create_item', 'ItemCreate', 'ItemRead', '201'), ('/items/{item_id}', 'GET', NULL, NULL, NULL, NULL)) AS t(path, method, operation_id, request, response, code)", ('Item', '/items'), ('path', 'request', 'response'), ()),
+    "spec_components": per_supplier_sql(f"WITH s AS (SELECT CAST('{EXAMPLE}' AS JSON) AS j), k AS (SELECT name, json_extract(j, '$.components.schemas.' || name) AS c FROM (SELECT j, unnest(json_keys(j, '$.components.schemas')) AS name FROM s)), p AS (SELECT name, c, unnest(json_keys(c, '$.properties')) AS field FROM k) SELECT name, field, json_extract_string(c, '$.properties.' || field || '.type') AS type_name, coalesce(list_contains(CAST(json_extract(c, '$.required') AS VARCHAR[]), field), false) AS required FROM p", ('Item', '/items'), ('name',), ()),
     "spec_success_responses": "SELECT * FROM (VALUES ('/a', 'GET', 'get_a', NULL, 'Late', '202'), ('/a', 'PUT', 'put_a', 'Base', 'Item', '200'), ('/b', 'POST', 'post_b', 'Item', 'Inline', '200')) AS t(path, method, operation_id, request, response, code)",
     "spec_plain_endpoints": "SELECT * FROM (VALUES ('/a', 'GET', 'get_a', NULL, NULL), ('/a', 'PUT', 'put_a', '#/components/schemas/Base', '#/components/schemas/#/components/schemas/Item'), ('/a', 'TRACE', NULL, NULL, NULL), ('/b', 'POST', 'post_b', NULL, NULL)) AS t(path, method, operation_id, request, response)",
     "spec_resolved_schemas": "SELECT * FROM (VALUES ('Base', 'object'), ('Item', ''), ('Alias', 'object'), ('Link', 'object'), ('Owner', 'object'), ('Items', 'array'), ('Words', 'array'), ('Pick', ''), ('Error', 'string')) AS t(name, kind)",

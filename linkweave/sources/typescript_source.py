@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from linkweave.functions import names
 from linkweave.operators import linking
+from linkweave.plans.fixtures import per_supplier, per_supplier_sql
 
 FACTS = "path string, ord int, fact string, name string, owner string, detail string, args array<string>, generics string, line int"
 _KINDS = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32())
@@ -570,22 +571,23 @@ def zod_usages(facts: DataFrame) -> DataFrame:
     return facts.filter("fact = 'zod_usage' and owner = ''").select("path", F.col("name").alias("schema"), F.col("detail").alias("check"), "line")
 
 
-def example(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(EXAMPLE.items()), "path string, content string")
+def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The example's sources, and those of a team for each supplier."""
+    return per_supplier(spark, sf_dir, EXAMPLE, "User")
 
 
 QUERIES = {
-    "typescript_facts": lambda spark, sf_dir: extract(example(spark)),
-    "nest_routes": lambda spark, sf_dir: nest_routes(extract(example(spark))),
-    "typescript_api_calls": lambda spark, sf_dir: api_calls(extract(example(spark))).select("file", "rule", "method", "path"),
-    "zod_fields": lambda spark, sf_dir: zod_fields(extract(example(spark))),
-    "typescript_fields": lambda spark, sf_dir: type_fields(extract(example(spark))),
-    "zod_usages": lambda spark, sf_dir: zod_usages(extract(example(spark))),
+    "typescript_facts": lambda spark, sf_dir: extract(examples(spark, sf_dir)),
+    "nest_routes": lambda spark, sf_dir: nest_routes(extract(examples(spark, sf_dir))),
+    "typescript_api_calls": lambda spark, sf_dir: api_calls(extract(examples(spark, sf_dir))).select("file", "rule", "method", "path"),
+    "zod_fields": lambda spark, sf_dir: zod_fields(extract(examples(spark, sf_dir))),
+    "typescript_fields": lambda spark, sf_dir: type_fields(extract(examples(spark, sf_dir))),
+    "zod_usages": lambda spark, sf_dir: zod_usages(extract(examples(spark, sf_dir))),
 }
 ORACLE_SQL = {
-    "nest_routes": "SELECT * FROM (VALUES ('users.controller.ts', 'GET', '/users/:id', 'UsersController.findOne', 8), ('users.controller.ts', 'POST', '/users', 'UsersController.create', 13)) AS t(path, method, route, handler, line)",
-    "typescript_api_calls": "SELECT * FROM (VALUES ('api.ts', 'axios', 'GET', '''/items/1'''), ('api.ts', 'fetch', 'GET', '\"/health\"'), ('api.ts', 'client', 'POST', '''/items''')) AS t(file, rule, method, path)",
-    "zod_fields": "SELECT * FROM (VALUES ('api.ts', 'User', 'id', 'number', false, false), ('api.ts', 'User', 'mail', 'string', true, false), ('api.ts', 'User', 'note', 'string', false, true), ('api.ts', 'User', 'tags', 'array', false, false)) AS t(path, schema, field, field_type, optional, nullable)",
-    "typescript_fields": "SELECT * FROM (VALUES ('api.ts', 'Item', 'id', 'number', false), ('api.ts', 'Item', 'title', 'string', true), ('api.ts', 'Item', 'owners', 'Array<User>', false)) AS t(path, schema, field, field_type, optional)",
-    "zod_usages": "SELECT * FROM (VALUES ('api.ts', 'User', 'safeParse', 20)) AS t(path, schema, \"check\", line)",
+    "nest_routes": per_supplier_sql("SELECT * FROM (VALUES ('users.controller.ts', 'GET', '/users/:id', 'UsersController.findOne', 8), ('users.controller.ts', 'POST', '/users', 'UsersController.create', 13)) AS t(path, method, route, handler, line)", ('User',), ('handler',), ('path',)),
+    "typescript_api_calls": per_supplier_sql("SELECT * FROM (VALUES ('api.ts', 'axios', 'GET', '''/items/1'''), ('api.ts', 'fetch', 'GET', '\"/health\"'), ('api.ts', 'client', 'POST', '''/items''')) AS t(file, rule, method, path)", ('User',), (), ('file',)),
+    "zod_fields": per_supplier_sql("SELECT * FROM (VALUES ('api.ts', 'User', 'id', 'number', false, false), ('api.ts', 'User', 'mail', 'string', true, false), ('api.ts', 'User', 'note', 'string', false, true), ('api.ts', 'User', 'tags', 'array', false, false)) AS t(path, schema, field, field_type, optional, nullable)", ('User',), ('schema',), ('path',)),
+    "typescript_fields": per_supplier_sql("SELECT * FROM (VALUES ('api.ts', 'Item', 'id', 'number', false), ('api.ts', 'Item', 'title', 'string', true), ('api.ts', 'Item', 'owners', 'Array<User>', false)) AS t(path, schema, field, field_type, optional)", ('User',), ('schema', 'field_type'), ('path',)),
+    "zod_usages": per_supplier_sql("SELECT * FROM (VALUES ('api.ts', 'User', 'safeParse', 20)) AS t(path, schema, \"check\", line)", ('User',), ('schema',), ('path',)),
 }
