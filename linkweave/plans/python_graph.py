@@ -75,6 +75,19 @@ def unresolved(imports: DataFrame, resolved: DataFrame, strict: bool = False) ->
     return gone
 
 
+def _steps(wanted: DataFrame, found: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, resolved): the files of the imports, and of imported names that are submodules."""
+    beside = found.join(wanted, ["path", "ord", "module"]).withColumn("sub", F.explode(F.array(F.concat_ws("/", _folder(F.col("resolved")), F.concat("name", F.lit(".py"))), F.concat_ws("/", _folder(F.col("resolved")), "name", F.lit("__init__.py")))))
+    subs = beside.select("path", F.regexp_replace("sub", "^/", "").alias("resolved")).join(files.select(F.col("path").alias("resolved")).distinct(), "resolved", "left_semi")
+    return found.select("path", "resolved").unionByName(subs.select("path", "resolved")).distinct()
+
+
+def steps_between(facts: DataFrame, files: DataFrame, root: str = "") -> DataFrame:
+    """(path, resolved): which file of a project leads to which by its imports."""
+    wanted = imports_of(facts)
+    return _steps(wanted, resolve_modules(wanted.select("path", "ord", "module").distinct(), files, root), files)
+
+
 def reached(facts: DataFrame, files: DataFrame, entry: str, root: str = "", max_depth: int | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Files that an entry point reaches by imports (path, depth), and the imports between files (path, ord, module, resolved).
 
@@ -83,9 +96,7 @@ def reached(facts: DataFrame, files: DataFrame, entry: str, root: str = "", max_
     found = materialize(resolve_modules(wanted.select("path", "ord", "module").distinct(), files, root), "imports")
     if strict:
         unresolved(wanted, found, strict=True)
-    beside = found.join(wanted, ["path", "ord", "module"]).withColumn("sub", F.explode(F.array(F.concat_ws("/", _folder(F.col("resolved")), F.concat("name", F.lit(".py"))), F.concat_ws("/", _folder(F.col("resolved")), "name", F.lit("__init__.py")))))
-    subs = beside.select("path", F.regexp_replace("sub", "^/", "").alias("resolved")).join(files.select(F.col("path").alias("resolved")).distinct(), "resolved", "left_semi")
-    steps = materialize(found.select("path", "resolved").unionByName(subs.select("path", "resolved")).distinct(), "steps")
+    steps = materialize(_steps(wanted, found, files), "steps")
     frontier = materialize(files.filter(F.col("path") == entry).select("path", F.lit(0).alias("depth")).distinct(), "reached")
     seen, depth = frontier, 0
     while not frontier.isEmpty() and (max_depth is None or depth + 1 < max_depth):

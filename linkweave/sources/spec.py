@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from linkweave.functions import names
 from linkweave.plans.fixtures import per_supplier, per_supplier_sql
 from linkweave.session import materialize
+from linkweave.sources.folder import local_path, read_folder
 
 try:
     import yaml
@@ -225,7 +226,10 @@ def find_spec(folder: str) -> str | None:
 def read_sources(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """(path, content) of source files below a folder, by a pattern such as ``*.{ts,tsx}``.
 
-    Spark's listing leaves out names that begin with an underscore, such as __init__.py; those few are found and opened by the driver, through Hadoop's file system."""
+    In a file system that all share the tasks list and open them.  In other stores it is Spark's listing, which leaves out empty files and names that begin with
+    an underscore, such as __init__.py; those names are found and opened by the driver, through Hadoop's file system."""
+    if local_path(path) is not None:
+        return read_folder(spark, path, pattern)
     listed = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     jvm, at = spark.sparkContext._jvm, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
