@@ -131,11 +131,59 @@ def track_variable(starts: DataFrame, edges: DataFrame, variables: DataFrame) ->
     return out.join(there, ["dst", "name"]).select("start", "name", F.col("src").alias("from_node"), F.col("dst").alias("to_node"))
 
 
+def _calling_edges(edges: DataFrame) -> DataFrame:
+    """(src, dst, edge_id): the first edge between two nodes, where it is a call."""
+    first = edges.groupBy("src", "dst").agg(F.min_by(F.struct("edge_id", "kind"), "edge_id").alias("e"))
+    return first.select("src", "dst", "e.edge_id", "e.kind").filter("kind = 'Call'").drop("kind")
+
+
 def track_parameter(edges: DataFrame, args: DataFrame) -> DataFrame:
     """(caller, callee, name): calls that hand over a name on either side, by the first edge between the two."""
-    first = edges.groupBy("src", "dst").agg(F.min_by(F.struct("edge_id", "kind"), "edge_id").alias("e")).select("src", "dst", "e.edge_id", "e.kind").filter("kind = 'Call'")
     named = args.select("edge_id", F.explode(F.array("param", "arg")).alias("name")).distinct()
-    return first.join(named, "edge_id").select(F.col("src").alias("caller"), F.col("dst").alias("callee"), "name")
+    return _calling_edges(edges).join(named, "edge_id").select(F.col("src").alias("caller"), F.col("dst").alias("callee"), "name")
+
+
+def _spread(seed: DataFrame, links: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """Rows of ``seed`` (node_id and what stays with it) with all nodes that links (src, dst) lead to; ``within`` has the rows that may be met, by the columns it shares."""
+    keep = [c for c in seed.columns if c != "node_id"]
+    frontier = materialize(seed.distinct(), "spread")
+    pieces, seen = 1, frontier
+    while not frontier.isEmpty():
+        new = frontier.join(links, frontier["node_id"] == links["src"]).select(*keep, F.col("dst").alias("node_id")).distinct()
+        if within is not None:
+            new = new.join(within, [c for c in within.columns], "left_semi").select(*keep, "node_id")
+        frontier = materialize(new.join(seen, [*keep, "node_id"], "left_anti"), "spread")
+        seen, pieces = seen.unionByName(frontier), pieces + 1
+        if pieces > 16:  # a deep graph: one table in place of a union of many
+            seen, pieces = materialize(seen, "spread"), 1
+    return seen
+
+
+def handed_on(starts: DataFrame, edges: DataFrame, args: DataFrame) -> DataFrame:
+    """(start, name, from_node, to_node): from each start (node_id, name) on, over calls of any depth, the calls that hand the name over as an argument.
+
+    A row for each edge between the two nodes and each argument of that name, as edges of a pair aren't told apart.  Cycles are gone through once.  Only nodes
+    that lead to a call with the name are met: they are found first, against the edges, so a start moves no further than its name does.  Null names match nothing."""
+    links = edges.select("src", "dst").distinct()
+    asked = starts.select("node_id", "name").filter("node_id is not null and name is not null").distinct()
+    calls = _calling_edges(edges).join(args.select("edge_id", F.col("arg").alias("name")), "edge_id").join(asked.select("name").distinct(), "name", "left_semi")
+    hands = materialize(calls.select("src", "dst", "name"), "hands")
+    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    leading = materialize(_spread(hands.select("name", F.col("src").alias("node_id")), back), "leading")
+    met = _spread(asked.join(leading, ["node_id", "name"], "left_semi").select(F.col("node_id").alias("start"), "name", "node_id"), links, leading)
+    # as many rows as there are edges between the two
+    every = edges.groupBy("src", "dst").agg(F.count("*").cast("int").alias("n")).join(hands, ["src", "dst"])
+    out = met.join(every.withColumnRenamed("src", "node_id"), ["node_id", "name"])
+    return out.select("start", "name", F.col("node_id").alias("from_node"), F.col("dst").alias("to_node"), F.explode(F.array_repeat(F.lit(0), F.col("n"))).alias("one")).drop("one")
+
+
+def parameter_flow(edges: DataFrame, args: DataFrame) -> DataFrame:
+    """(func, name, direction, from_node, to_node): calls that hand a name to a function, and the calls below the function that hand it on."""
+    up = materialize(track_parameter(edges, args).filter("name is not null"), "callers")
+    below = handed_on(up.select(F.col("callee").alias("node_id"), "name"), edges, args)
+    return up.select(F.col("callee").alias("func"), "name", F.lit("in").alias("direction"), F.col("caller").alias("from_node"), F.col("callee").alias("to_node")).unionByName(
+        below.select(F.col("start").alias("func"), "name", F.lit("on").alias("direction"), "from_node", "to_node")
+    )
 
 
 def track_return(start: DataFrame, edges: DataFrame) -> DataFrame:
@@ -221,6 +269,10 @@ def parameter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track_parameter(grown(spark, sf_dir, "walk_edges"), grown(spark, sf_dir, "edge_args"))
 
 
+def parameter_flow_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parameter_flow(grown(spark, sf_dir, "walk_edges"), grown(spark, sf_dir, "edge_args"))
+
+
 def return_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = grown(spark, sf_dir, "walk_edges").filter("dst in (3, 100)").select(F.col("dst").alias("node_id")).distinct()
     return track_return(start, grown(spark, sf_dir, "walk_edges"))
@@ -293,6 +345,7 @@ QUERIES = {
     "dot_edge_labels": edge_label_query,
     "track_variable": variable_query,
     "track_parameter": parameter_query,
+    "parameter_flow": parameter_flow_query,
     "track_return": return_query,
     "reachable_nodes": reach_query,
     "adjacent_turns": next_turn_query,
@@ -313,6 +366,9 @@ ORACLE_SQL = {
     "dot_edge_labels": ctes("walk_edges", "edge_args") + " SELECT e.edge_id, CASE kind WHEN 'Call' THEN CASE WHEN n > 0 THEN 'calls (' || n || ' args)' ELSE 'calls' END WHEN 'Import' THEN 'imports' ELSE 'data flow' END AS label FROM walk_edges e LEFT JOIN (SELECT edge_id, count(*) AS n FROM edge_args GROUP BY 1) a USING (edge_id)",
     "track_variable": f"WITH RECURSIVE {_SMALL}, v AS (SELECT * FROM {values('variables')}), {_REACH.format('SELECT DISTINCT node_id FROM v')} SELECT r.start, s.name, e.src AS from_node, e.dst AS to_node FROM r JOIN v s ON s.node_id = r.start JOIN e ON e.src = r.node_id WHERE EXISTS (SELECT 1 FROM v x WHERE x.node_id = e.dst AND x.name = s.name)",
     "track_parameter": ctes("walk_edges", "edge_args") + " SELECT f.src AS caller, f.dst AS callee, name FROM (SELECT src, dst, min(edge_id) AS edge_id, arg_min(kind, edge_id) AS kind FROM walk_edges GROUP BY 1, 2) f JOIN (SELECT edge_id, param AS name FROM edge_args UNION SELECT edge_id, arg FROM edge_args) a USING (edge_id) WHERE kind = 'Call'",
+    "parameter_flow": f"WITH RECURSIVE {_SMALL}, g AS (SELECT * FROM {values('edge_args')}), f AS (SELECT src, dst, min(edge_id) AS edge_id, arg_min(kind, edge_id) AS kind, count(*) AS n FROM e GROUP BY 1, 2), c AS (SELECT * FROM f WHERE kind = 'Call'),"
+    " up AS (SELECT src, dst, name FROM c JOIN (SELECT edge_id, param AS name FROM g UNION SELECT edge_id, arg FROM g) a USING (edge_id)), r AS (SELECT dst AS func, name, dst AS node_id FROM up UNION SELECT func, name, dst FROM r JOIN f ON src = node_id)"
+    " SELECT dst AS func, name, 'in' AS direction, src AS from_node, dst AS to_node FROM up UNION ALL SELECT func, name, 'on', from_node, to_node FROM (SELECT r.func, r.name, c.src AS from_node, c.dst AS to_node, unnest(range(c.n)) FROM r JOIN c ON c.src = r.node_id JOIN g ON g.edge_id = c.edge_id AND g.arg = r.name)",
     "track_return": f"WITH RECURSIVE {_SMALL}, u AS (SELECT unnest([3, 100]) AS node_id UNION SELECT src FROM u JOIN e ON dst = node_id), b AS (SELECT DISTINCT dst AS from_node, src AS to_node FROM u JOIN e ON dst = node_id) SELECT * FROM b UNION SELECT to_node, dst FROM b JOIN e ON src = to_node AND dst <> from_node",
     "reachable_nodes": f"WITH RECURSIVE {_edge_sql()}, {_REACH.format(f'SELECT c_custkey * 8 + {FUNCTION} AS node_id FROM customer')} SELECT * FROM r",
     "adjacent_turns": "SELECT conv_id, turn, role, lead(turn) OVER w AS next_turn, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
