@@ -201,7 +201,7 @@ def compare_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def name_functions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("name")
-    return literal(spark, "names").select(
+    return grown(spark, sf_dir, "names").select(
         "name", names.kebab(n).alias("kebab"), names.strip_model_suffixes(n).alias("bare"), names.hook_path(n).alias("hook_path"), names.hook_verb(n).alias("hook_verb"), names.decorator_verb(n).alias("verb"), names.last_part(n).alias("last_part"),
         names.key_path(n).alias("key_path"), names.handler_of_operation(n).alias("handler"), names.action_path(n).alias("action_path"), names.truncate(n, 8).alias("short"),
     )

@@ -224,6 +224,8 @@ GROWN: dict[str, str] = {
         CASE WHEN p_partkey % 5 = 0 THEN 'Rq' || p_partkey END, 'Rs' || p_partkey FROM {part}""",
     "route_calls": """SELECT o_orderkey + 10, 'web/src/lib/c' || o_custkey || 'Queries.ts', CAST(o_orderkey % 90 AS INT), CASE WHEN o_orderkey % 2 = 0 THEN 'GET' ELSE 'POST' END, '/p/' || (o_orderkey % 900),
         CASE WHEN o_orderkey % 3 = 0 THEN 'A' || o_custkey END, CASE WHEN o_orderkey % 7 <> 0 THEN 'B' || o_custkey END FROM {orders}""",
+    "names": """SELECT CASE p_partkey % 6 WHEN 0 THEN 'useGetM' || p_partkey || 'Query' WHEN 1 THEN 'useUpdateUserM' || p_partkey || 'Mutation' WHEN 2 THEN 'M' || p_partkey || 'ReadResponse' WHEN 3 THEN 'router.' || CASE WHEN p_size % 2 = 0 THEN 'post' ELSE 'get' END || '.x' || p_partkey
+        WHEN 4 THEN 'app/m' || (p_partkey % 9) || '.py::fn' || p_partkey ELSE 'actions.user.m' || p_partkey END FROM {part}""",
     "recommendations": """SELECT l_orderkey * 10 + l_linenumber + 100, CASE WHEN l_linenumber = 1 THEN 'Critical' ELSE 'Warning' END, CASE l_partkey % 4 WHEN 0 THEN 'Type mismatch for field f' WHEN 1 THEN 'Missing required field f' WHEN 2 THEN 'Add schema validation to f'
         ELSE 'Look at f' END || (l_partkey % 500) FROM {lineitem}""",
     "annotations": "SELECT CASE p_partkey % 4 WHEN 0 THEN 'Optional[M' || p_partkey || ']' WHEN 1 THEN 'list[M' || p_partkey || '] | None' WHEN 2 THEN 'Page[M' || p_partkey || ']' ELSE 'Annotated[M' || p_partkey || ', Body]' END FROM {part}",
