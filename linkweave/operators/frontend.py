@@ -75,8 +75,8 @@ def sdk_bodies(functions: DataFrame, sources: DataFrame) -> DataFrame:
     url = F.when(low.contains("url:"), F.when(after.contains('"'), F.when(after.rlike(r"\"[^\"]*\""), double)).when(after.rlike("'[^']*'"), single))
     lines = lines.select("file", "line", verb.alias("verb"), url.alias("url"))
     before = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    behind = Window.partitionBy("file").orderBy("line").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    place = lambda c: F.first(F.when(F.col(c).isNotNull(), F.col("line")), ignorenulls=True).over(behind)
+    behind = Window.partitionBy("file").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = lambda c: F.last(F.when(F.col(c).isNotNull(), F.col("line")), ignorenulls=True).over(behind)
     lines = lines.select("file", "line", F.last("verb", ignorenulls=True).over(before).alias("method"), F.last("url", ignorenulls=True).over(before).alias("path"), place("verb").alias("v"), place("url").alias("u"))
     starts = functions.join(lines.select("file", "line", "v", "u"), ["file", "line"]).filter("v is not null and u is not null").select("file", "name", F.greatest("v", "u").alias("line"))
     return starts.join(lines.select("file", "line", "method", "path"), ["file", "line"]).select("file", "name", "method", "path")

@@ -46,10 +46,11 @@ def resolve_by_name(calls: DataFrame, functions: DataFrame, nodes: DataFrame) ->
 def usage_to_call(usages: DataFrame, calls: DataFrame) -> DataFrame:
     """As-of join: each usage with the nearest API call in its file at or after its line, the first of equals.
 
-    Calls and usages of a file are ordered together and the next call is carried back, so no pair of them is ever made."""
-    both = calls.select("file", "line", F.lit(1).alias("is_call"), F.col("call_id").alias("id")).unionByName(usages.select("file", "line", F.lit(0).alias("is_call"), F.col("usage_id").alias("id")))
-    after = Window.partitionBy("file").orderBy("line", "is_call", "id").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    hit = F.first(F.when(F.col("is_call") == 1, F.struct(F.col("id").alias("call_id"), F.col("line").alias("call_line"))), ignorenulls=True).over(after)
+    Calls and usages of a file are ordered together, last first, and the last call met is carried on, so no pair of them is ever made.  (A window that looks
+    ahead to the end of its file would go through the rest of the file again for each row.)"""
+    both = calls.select("file", "line", F.lit(1).alias("is_call"), F.col("call_id").alias("id")).unionByName(usages.select("file", "line", F.lit(0).alias("is_call"), F.col("usage_id").alias("id"))).filter("file is not null and line is not null")
+    met = Window.partitionBy("file").orderBy(F.desc("line"), F.desc("is_call"), F.desc("id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hit = F.last(F.when(F.col("is_call") == 1, F.struct(F.col("id").alias("call_id"), F.col("line").alias("call_line"))), ignorenulls=True).over(met)
     return both.withColumn("hit", hit).filter("is_call = 0 and hit is not null").select(F.col("id").alias("usage_id"), "hit.call_id", "hit.call_line")
 
 
