@@ -8,17 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.functions import types
-from linkweave.operators.linking import first_by, usage_to_call
+from linkweave.operators.linking import usage_to_call
 from linkweave.plans.fixtures import ctes, grown, values
+from linkweave.session import materialize
 
 #: What a model's name may add to a spec's name (fixed values).
 MODEL_ENDINGS = ("Schema", "Model", "Request", "Response", "DTO")
 
 
 def attach_usages(schemas: DataFrame, usages: DataFrame) -> DataFrame:
-    """(node_id, usage_id, ord): usages by the first Zod node of their schema's name."""
+    """(node_id, usage_id, ord, file, line): usages by the first Zod node of their schema's name."""
     nodes = schemas.filter("schema_type = 'Zod'").groupBy(F.col("name").alias("schema_name")).agg(F.min("node_id").alias("node_id"))
-    return usages.join(nodes, "schema_name").select("node_id", "usage_id", F.col("usage_id").alias("ord"))
+    return usages.join(nodes, "schema_name").select("node_id", "usage_id", F.col("usage_id").alias("ord"), "file", "line")
 
 
 def schema_node(schemas: DataFrame, asked: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def route_at(routes: DataFrame, places: DataFrame) -> DataFrame:
 
 def model_of_name(schemas: DataFrame, asked: DataFrame) -> DataFrame:
     """(name, model_id): the first Pydantic node whose name is the asked one, in any case, or the asked one with a usual ending."""
-    models = schemas.filter("schema_type = 'Pydantic'").select(F.lower("name").alias("key"), F.col("node_id").alias("model_id"))
+    models = schemas.filter("schema_type = 'Pydantic'").groupBy(F.lower("name").alias("key")).agg(F.min("node_id").alias("model_id"))
     keys = F.array(F.lower("name"), *(F.lower(F.concat("name", F.lit(x))) for x in MODEL_ENDINGS))
     return asked.select("name", F.explode(keys).alias("key")).join(models, "key").groupBy("name").agg(F.min("model_id").alias("model_id"))
 
@@ -45,11 +46,13 @@ def chains(schemas: DataFrame, usages: DataFrame, calls: DataFrame, routes: Data
 
     ``schemas``: node_id, name, schema_type; ``usages``: usage_id, schema_name, file, line; ``calls``: call_id, file, line; ``routes``: node_id, path, method,
     file, line; ``endpoints``: path, method, request.  Without an endpoint, a request or a model the chain ends at the route (model_id is null)."""
-    first = first_by(attach_usages(schemas, usages), "node_id", ["ord"])
-    called = usage_to_call(usages, calls).join(calls.select("call_id", F.col("file").alias("call_file")), "call_id")
-    placed = first.join(called, "usage_id").select(F.col("node_id").alias("zod_id"), F.col("call_file").alias("file"), F.col("call_line").alias("line"))
+    used = attach_usages(schemas, usages).groupBy("node_id").agg(F.min(F.struct("ord", "usage_id", "file", "line")).alias("u"))
+    first = materialize(used.select("node_id", "u.file", "u.line"), "first-usages")
+    # only first usages look for calls, each by its node: a schema that is used often costs no more rows
+    called = usage_to_call(first.withColumnRenamed("node_id", "usage_id"), calls).withColumnRenamed("usage_id", "node_id")
+    placed = first.join(called, "node_id").select(F.col("node_id").alias("zod_id"), "file", F.col("call_line").alias("line"))
     at = route_at(routes, placed).join(routes.select(F.col("node_id").alias("route_id"), "path", "method"), "route_id")
-    spec = first_by(endpoints.withColumn("method", F.upper("method")), ["path", "method"], ["request"]).select("path", "method", F.col("request").alias("asked"))
+    spec = endpoints.groupBy("path", F.upper("method").alias("method")).agg(F.min("request").alias("asked"))
     asked = at.join(spec, ["path", "method"], "left")
     models = model_of_name(schemas, asked.filter("asked is not null").select(F.col("asked").alias("name")).distinct()).withColumnRenamed("name", "asked")
     label = lambda side: schemas.select(F.col("node_id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"))
@@ -108,13 +111,18 @@ def _chains(s: SparkSession, d: str) -> DataFrame:
 
 
 def _mismatches(s: SparkSession, d: str) -> DataFrame:
-    return chain_mismatches(_chains(s, d), grown(s, d, "schema_fields"))
+    return chain_mismatches(materialize(_chains(s, d), "zod-chains"), grown(s, d, "schema_fields"))
+
+
+def _contracts(s: SparkSession, d: str) -> DataFrame:
+    found = materialize(_chains(s, d), "zod-chains")
+    return chain_contracts(found, chain_mismatches(found, grown(s, d, "schema_fields")))
 
 
 QUERIES = {
     "zod_chains": lambda s, d: _chains(s, d),
     "zod_chain_mismatches": lambda s, d: _mismatches(s, d),
-    "zod_chain_contracts": lambda s, d: chain_contracts(_chains(s, d), _mismatches(s, d)),
+    "zod_chain_contracts": _contracts,
     "zod_usages_of_nodes": lambda s, d: attach_usages(grown(s, d, "zod_schemas"), grown(s, d, "zod_usages")).select("node_id", "usage_id"),
     "schema_nodes": lambda s, d: schema_node(grown(s, d, "zod_schemas"), s.sql("SELECT * FROM (VALUES ('ItemRequest', 'Pydantic'), ('ItemRequest', 'Zod'), ('Twice', 'Zod')) AS t(name, schema_type)")),
 }

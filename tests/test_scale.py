@@ -1,6 +1,6 @@
 """Steps whose work must not grow with pairs of rows or go through one task."""
 
-from linkweave.operators import frontend, linking
+from linkweave.operators import frontend, linking, zod_chains
 
 
 def plan(df):
@@ -21,3 +21,12 @@ def test_places_of_client_bodies_look_back(spark):
     found = frontend.sdk_bodies(functions, sources)
     assert [tuple(r) for r in found.collect()] == [("c.ts", "get", "GET", "/a")]
     assert "unboundedfollowing" not in plan(found).lower().replace(" ", "")
+
+
+def test_usages_of_one_id_make_one_chain(spark):
+    schemas = spark.createDataFrame([(1, "A", "Zod")], "node_id long, name string, schema_type string")
+    usages = spark.createDataFrame([(5, "A", "x.ts", 1), (5, "A", "x.ts", 1)], "usage_id long, schema_name string, file string, line int")
+    calls = spark.createDataFrame([(1, "x.ts", 2)], "call_id long, file string, line int")
+    routes = spark.createDataFrame([(9, "/a", "GET", "x.ts", 2)], "node_id long, path string, method string, file string, line int")
+    endpoints = spark.createDataFrame([("/a", "get", None)], "path string, method string, request string")
+    assert [r.chain_id for r in zod_chains.chains(schemas, usages, calls, routes, endpoints).collect()] == ["zod-A-to-api"]
