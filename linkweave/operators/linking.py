@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkweave.functions import frontend, names, types
 from linkweave.plans.fixtures import ctes, grown, literal
-from linkweave.session import table
+from linkweave.session import materialize, table
 
 FIELD_SCORE = 0.7
 COMPONENT_SCORE = 0.7
@@ -70,42 +70,81 @@ def compare_fields(zod: DataFrame, pydantic: DataFrame) -> DataFrame:
     return both.select("field", "zod_type", "pydantic_type", F.explode(reasons).alias("reason"))
 
 
-def field_scores(left: DataFrame, right: DataFrame, fits) -> DataFrame:
+def _rarest(rows: DataFrame, side: str, seen: DataFrame, least: float) -> DataFrame:
+    """(id, field): of each model the rarest fields, so many that a model with a score of ``least`` or more has one of them, too.
+
+    ``seen``: field, many (rows that have it), repeats (the most rows of a field in one model)."""
+    order = F.row_number().over(Window.partitionBy(f"{side}_id").orderBy("many", "field"))
+    n = rows.groupBy(f"{side}_id").agg(F.count("*").alias("n"))
+    ranked = rows.select(f"{side}_id", "field").join(seen, "field").withColumn("order", order).join(n, f"{side}_id")
+    shared = F.greatest(F.lit(1), F.ceil(F.lit(least - 1e-5) * F.col("n") / F.col("repeats")))
+    return ranked.filter(F.col("order") <= F.col("n") - shared + 1).select(f"{side}_id", "field").distinct()
+
+
+def field_scores(left: DataFrame, right: DataFrame, fits, least: float) -> DataFrame:
     """(left_id, right_id, score): fields that agree by name and type (and in being optional, where both sides say so), over the larger number of fields.
 
-    Only pairs with a field in common appear."""
+    Only pairs with a score of ``least`` or more appear.  Pairs are made over the rarest fields alone and counted over all: of two models that agree in most
+    fields each has one among its rarest, so a field that everyone has makes no pairs."""
     n_left, n_right = left.groupBy("left_id").agg(F.count("*").alias("n")), right.groupBy("right_id").agg(F.count("*").alias("m"))
+    each = left.groupBy("field", F.col("left_id").alias("id")).agg(F.count("*").alias("k")).unionByName(right.groupBy("field", F.col("right_id").alias("id")).agg(F.count("*").alias("k")))
+    seen = each.groupBy("field").agg(F.sum("k").alias("many")).crossJoin(each.agg(F.max("k").alias("repeats")))
+    pairs = _rarest(left, "left", seen, least).join(_rarest(right, "right", seen, least), "field").select("left_id", "right_id").distinct()
     agree = fits(F.col("right_type"), F.col("left_type"))
     if "left_optional" in left.columns and "right_optional" in right.columns:
         agree &= F.col("left_optional") == F.col("right_optional")
-    agree = left.join(right, "field").filter(agree).groupBy("left_id", "right_id").agg(F.count("*").alias("k"))
-    return agree.join(n_left, "left_id").join(n_right, "right_id").select("left_id", "right_id", F.round(F.col("k") / F.greatest("n", "m"), 6).alias("score"))
+    agree = pairs.join(left, "left_id").join(right, ["right_id", "field"]).filter(agree).groupBy("left_id", "right_id").agg(F.count("*").alias("k"))
+    score = F.round(F.col("k") / F.greatest("n", "m"), 6)
+    return agree.join(n_left, "left_id").join(n_right, "right_id").select("left_id", "right_id", score.alias("score")).filter(F.col("score") >= least)
+
+
+def best_by_fields(left: DataFrame, right: DataFrame, fits, least: float) -> DataFrame:
+    """(left_id, best): of each left model the right one with the highest score of ``least`` or more, the first of equals in the order of ``place``.
+
+    ``left``: left_id, field, left_type and maybe left_optional; ``right``: the same of the right side, and ``place``, a struct.  ``best``: minus, place.  Models
+    with the same fields have the same scores, so classes of such models are compared and each model takes what its class has found."""
+    columns = lambda df, side: [F.col(c).alias(c) for c in ("field", f"{side}_type", f"{side}_optional") if c in df.columns]
+    fields = lambda df, side: F.array_sort(F.collect_list(F.struct(*columns(df, side)))).alias("fields")
+    models = materialize(left.groupBy("left_id").agg(fields(left, "left")), "models")
+    classes = materialize(models.groupBy("fields").agg(F.min("left_id").alias("left_id")), "classes")
+    others = right.groupBy("right_id").agg(F.min("place").alias("place"), fields(right, "right")).groupBy("fields").agg(F.min("right_id").alias("right_id"), F.min("place").alias("place"))
+    others = materialize(others, "classes")
+    scores = field_scores(classes.select("left_id", F.inline("fields")), others.select("right_id", F.inline("fields")), fits, least)
+    best = scores.join(others.select("right_id", "place"), "right_id").groupBy("left_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "place")).alias("best"))
+    return models.join(classes.join(best, "left_id").select("fields", "best"), "fields").select("left_id", "best")
 
 
 def link_models(models: DataFrame) -> DataFrame:
     """Best ORM model of each Pydantic model that is made from attributes: 1.0 by name, 0.9 by name without suffixes, else the field score above 0.7."""
-    one = models.select("model_id", "name", "kind", "from_attributes").distinct()
-    p, o = one.filter("kind = 'Pydantic' and from_attributes"), one.filter("kind = 'OrmModel'").select(F.col("model_id").alias("orm_id"), F.col("name").alias("orm_name"))
-    exact = p.join(o, F.col("name") == F.col("orm_name")).select("model_id", "orm_id", "orm_name", F.lit(1.0).alias("score"))
-    bare = p.withColumn("bare", names.strip_model_suffixes(F.col("name"))).join(o, F.col("bare") == F.col("orm_name")).select("model_id", "orm_id", "orm_name", F.lit(0.9).alias("score"))
+    p = models.filter("kind = 'Pydantic' and from_attributes").select("model_id", "name").distinct()
+    o = models.filter("kind = 'OrmModel'").groupBy(F.col("name").alias("orm_name")).agg(F.min("model_id").alias("orm_id"))  # the first of each name
+    found = lambda minus: F.struct(minus.alias("minus"), "orm_name", "orm_id").alias("best")
+    exact = p.join(o, F.col("name") == F.col("orm_name")).select("model_id", found(F.lit(-1.0)))
+    bare = p.withColumn("bare", names.strip_model_suffixes(F.col("name"))).join(o, F.col("bare") == F.col("orm_name")).select("model_id", found(F.lit(-0.9)))
     left = models.filter("kind = 'Pydantic' and from_attributes").select(F.col("model_id").alias("left_id"), "field", F.col("field_type").alias("left_type"), F.col("optional").alias("left_optional"))
-    right = models.filter("kind = 'OrmModel'").select(F.col("model_id").alias("right_id"), "field", F.col("field_type").alias("right_type"), F.col("optional").alias("right_optional"))
-    scored = field_scores(left, right, types.orm_fits_pydantic).filter(F.col("score") > FIELD_SCORE).select(F.col("left_id").alias("model_id"), F.col("right_id").alias("orm_id"), "score").join(o, "orm_id").select("model_id", "orm_id", "orm_name", "score")
-    return first_by(exact.unionByName(bare).unionByName(scored), "model_id", [F.desc("score"), "orm_name", "orm_id"]).select("model_id", "orm_id", "score")
+    place = F.struct(F.col("name").alias("orm_name"), F.col("model_id").alias("orm_id")).alias("place")
+    right = models.filter("kind = 'OrmModel'").select(F.col("model_id").alias("right_id"), "field", F.col("field_type").alias("right_type"), F.col("optional").alias("right_optional"), place)
+    scored = best_by_fields(left, right, types.orm_fits_pydantic, FIELD_SCORE).filter(-F.col("best.minus") > FIELD_SCORE)
+    scored = scored.select(F.col("left_id").alias("model_id"), F.struct("best.minus", "best.place.orm_name", "best.place.orm_id").alias("best"))
+    return exact.unionByName(bare).unionByName(scored).groupBy("model_id").agg(F.min("best").alias("best")).select("model_id", "best.orm_id", (-F.col("best.minus")).alias("score"))
 
 
 def link_components(models: DataFrame, components: DataFrame) -> DataFrame:
     """Spec component of each Pydantic model: by name, by name in any case, without suffixes, else by fields with a score of 0.7 or more."""
     p = models.filter("kind = 'Pydantic'")
-    one, c = p.select("model_id", "name").distinct(), components.select(F.col("name").alias("component")).distinct()
-    step = lambda rank, a, b: one.join(c, a == b).select("model_id", "component", F.lit(rank).alias("rank"), F.lit(1.0).alias("score"))
-    name, component = F.col("name"), F.col("component")
-    ladder = step(1, name, component).unionByName(step(2, F.lower(name), F.lower(component))).unionByName(step(3, F.lower(names.strip_model_suffixes(name)), F.lower(component)))
+    one = p.select("model_id", "name").distinct()
+    c = components.groupBy(F.col("name").alias("key")).agg(F.min("name").alias("component"))
+    low = components.groupBy(F.lower("name").alias("key")).agg(F.min("name").alias("component"))  # of names that differ in case the least
+    found = lambda rank, minus, component: F.struct(rank.alias("rank"), minus.alias("minus"), F.lower(component).alias("low"), component.alias("component")).alias("best")
+    step = lambda rank, a, there: one.withColumn("key", a).join(there, "key").select("model_id", found(F.lit(rank), F.lit(-1.0), F.col("component")))
+    name = F.col("name")
+    ladder = step(1, name, c).unionByName(step(2, F.lower(name), low)).unionByName(step(3, F.lower(names.strip_model_suffixes(name)), low))
     left = p.select(F.col("model_id").alias("left_id"), "field", F.col("field_type").alias("left_type"))
-    right = components.select(F.col("name").alias("right_id"), "field", F.col("field_type").alias("right_type"))
-    scored = field_scores(left, right, lambda r, x: types.pydantic_fits_openapi(x, r)).filter(F.col("score") >= COMPONENT_SCORE)
-    every = ladder.unionByName(scored.select(F.col("left_id").alias("model_id"), F.col("right_id").alias("component"), F.lit(4).alias("rank"), "score"))
-    return first_by(every, "model_id", ["rank", F.desc("score"), F.lower("component")]).select("model_id", "component", "rank", "score")
+    right = components.select(F.col("name").alias("right_id"), "field", F.col("field_type").alias("right_type"), F.struct(F.lower("name").alias("low"), F.col("name").alias("component")).alias("place"))
+    scored = best_by_fields(left, right, lambda r, x: types.pydantic_fits_openapi(x, r), COMPONENT_SCORE)
+    every = ladder.unionByName(scored.select(F.col("left_id").alias("model_id"), found(F.lit(4), F.col("best.minus"), F.col("best.place.component"))))
+    best = every.groupBy("model_id").agg(F.min("best").alias("best"))
+    return best.select("model_id", "best.component", "best.rank", (-F.col("best.minus")).alias("score"))
 
 
 def best_response(endpoints: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from linkweave.operators import frontend, linking, zod_chains
 
+MODELS = "model_id long, name string, kind string, field string, field_type string, optional boolean, from_attributes boolean"
+
 
 def plan(df):
     return df._jdf.queryExecution().toString()
@@ -30,3 +32,16 @@ def test_usages_of_one_id_make_one_chain(spark):
     routes = spark.createDataFrame([(9, "/a", "GET", "x.ts", 2)], "node_id long, path string, method string, file string, line int")
     endpoints = spark.createDataFrame([("/a", "get", None)], "path string, method string, request string")
     assert [r.chain_id for r in zod_chains.chains(schemas, usages, calls, routes, endpoints).collect()] == ["zod-A-to-api"]
+
+
+def test_models_with_the_same_fields_are_compared_once(spark):
+    """200 models a side and one set of fields: a pair of classes and no 40,000 pairs of models; repeated fields count as before."""
+    rows = [(k, f"P{k}" if k < 200 else f"O{k}", "Pydantic" if k < 200 else "OrmModel", f, "int", False, True) for k in range(400) for f in ("a", "b", "b", "c")]
+    models = spark.createDataFrame(rows, MODELS)
+    found = linking.link_models(models).collect()
+    assert len(found) == 200 and {(r.orm_id, r.score) for r in found} == {(200, 1.5)}  # a + 2 x 2 b + c over four
+    side = lambda name, n: spark.createDataFrame([(k, f, "int") for k in range(n) for f in ("all", f"{k}x", f"{k}y")], f"{name}_id long, field string, {name}_type string")
+    scores = linking.field_scores(side("left", 40), side("right", 40), lambda a, b: a == b, 0.7)
+    assert sorted(tuple(r) for r in scores.collect()) == [(k, k, 1.0) for k in range(40)]
+    pairs = linking._rarest(side("left", 40), "left", side("left", 40).groupBy("field").count().selectExpr("field", "count as many", "1 as repeats"), 0.7)
+    assert pairs.filter("field = 'all'").isEmpty()
