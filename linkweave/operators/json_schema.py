@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.functions import types
-from linkweave.session import materialize, table
+from linkweave.session import materialize, spread_out, table
 
 _NUMBERS = "struct<minimum: double, maximum: double, minLength: long, maxLength: long>"
 _OF_FIELD = ("Min", "Max", "MinLength", "MaxLength", "Pattern")
@@ -72,7 +72,8 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_size"),
         F.char_length("p_name"),
     )
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("schema_no"), F.when(F.col("p_partkey") % 10 == 3, "no schema").when(F.col("p_partkey") % 10 == 4, "{}").otherwise(text).alias("text"))
+    parts = spread_out(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name"))
+    return parts.select(F.col("p_partkey").alias("schema_no"), F.when(F.col("p_partkey") % 10 == 3, "no schema").when(F.col("p_partkey") % 10 == 4, "{}").otherwise(text).alias("text"))
 
 
 def _shown(column: str) -> Column:
