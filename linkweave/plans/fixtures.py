@@ -10,7 +10,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.session import table
+from linkweave.session import spread_out, table
 
 #: name -> (columns, rows as SQL)
 TABLES: dict[str, tuple[str, str]] = {
@@ -274,7 +274,7 @@ def ctes(*names: str) -> str:
 def per_supplier(spark: SparkSession, sf_dir: str, texts: dict[str, str], *words: str) -> DataFrame:
     """(path, content): the texts, and once more for each supplier below a folder of its own, with the supplier's number behind these words."""
     rows = F.inline(F.array(*(F.struct(F.lit(p).alias("path"), F.lit(c).alias("content")) for p, c in texts.items())))
-    every = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("key"), rows)
+    every = spread_out(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("key"))).select("key", rows)
     content = F.col("content")
     for word in words:
         content = F.replace(content, F.lit(word), F.concat(F.lit(word), "key"))

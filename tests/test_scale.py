@@ -1,6 +1,7 @@
 """Steps whose work must not grow with pairs of rows or go through one task."""
 
-from linkweave.operators import frontend, linking, zod_chains
+from linkweave.operators import frontend, json_schema, linking, zod_chains
+from linkweave.plans import fixtures
 
 MODELS = "model_id long, name string, kind string, field string, field_type string, optional boolean, from_attributes boolean"
 
@@ -45,3 +46,12 @@ def test_models_with_the_same_fields_are_compared_once(spark):
     assert sorted(tuple(r) for r in scores.collect()) == [(k, k, 1.0) for k in range(40)]
     pairs = linking._rarest(side("left", 40), "left", side("left", 40).groupBy("field").count().selectExpr("field", "count as many", "1 as repeats"), 0.7)
     assert pairs.filter("field = 'all'").isEmpty()
+
+
+def test_sources_of_suppliers_are_dealt_to_all_cores(spark):
+    table = fixtures.per_supplier(spark, "/root/testdata/sf0.01", {"a.ts": "let a = 1"}, "a")
+    assert table.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+
+
+def test_texts_of_schemas_are_dealt_to_all_cores(spark):
+    assert json_schema._texts(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
