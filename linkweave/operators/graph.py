@@ -77,7 +77,7 @@ def greedy_walk(starts: DataFrame, edges: DataFrame, most: int = 64) -> DataFram
         if steps == most:
             most *= 4
             near = materialize(adjacency(edges, most + 1), "adjacency", instead_of=near)
-        step = going.join(near, going["at"] == near["src"], "left")
+        step = going.join(near.hint("merge"), going["at"] == near["src"], "left")  # a broadcast would bring the graph to the driver at each level
         following = F.get(F.filter("out", lambda x: ~F.array_contains("path", x)), 0)
         step = materialize(step.select("start", "path", following.alias("next")), "walks")
         ended = step.filter("next is null").select("start", "path")

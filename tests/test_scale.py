@@ -1,6 +1,6 @@
 """Steps whose work must not grow with pairs of rows or go through one task."""
 
-from linkweave.operators import frontend, json_schema, linking, zod_chains
+from linkweave.operators import frontend, graph, json_schema, linking, zod_chains
 from linkweave.plans import fixtures
 
 MODELS = "model_id long, name string, kind string, field string, field_type string, optional boolean, from_attributes boolean"
@@ -55,3 +55,18 @@ def test_sources_of_suppliers_are_dealt_to_all_cores(spark):
 
 def test_texts_of_schemas_are_dealt_to_all_cores(spark):
     assert json_schema._texts(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+
+
+def plans_of(monkeypatch, module, label):
+    """Plans of the tables with this label that a module writes from now on."""
+    seen, write = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, name="table", **kw: (seen.append(df._jdf.queryExecution().executedPlan().toString()) if name == label else None, write(df, name, **kw))[1])
+    return seen
+
+
+def test_walks_bring_no_graph_to_the_driver(spark, monkeypatch):
+    seen = plans_of(monkeypatch, graph, "walks")
+    edges = spark.createDataFrame([(1, 1, 2), (2, 2, 3)], "edge_id long, src long, dst long")
+    found = graph.greedy_walk(spark.createDataFrame([(1,)], "node_id long"), edges)
+    assert [tuple(r) for r in found.collect()] == [(1, [1, 2, 3])]
+    assert len(seen) > 2 and not any("BroadcastExchange" in p for p in seen)
