@@ -26,12 +26,12 @@ def closures(entries: DataFrame, steps: DataFrame, max_depth: int | None = None)
     """(entry, path, depth): every file that an entry point (path) reaches over steps (path, resolved), the entry with depth 0; all entries move together.
 
     ``max_depth`` bounds the files on a way."""
-    links = steps.select("path", "resolved").distinct()
+    links = materialize(steps.select("path", "resolved").distinct(), "links").hint("merge")  # a broadcast would bring the steps to the driver at each level
     frontier = materialize(entries.select(F.col("path").alias("entry"), "path", F.lit(0).alias("depth")).distinct(), "closure")
     seen, depth = frontier, 0
     while not frontier.isEmpty() and (max_depth is None or depth + 1 < max_depth):
         depth += 1
-        new = frontier.join(links, "path").select("entry", F.col("resolved").alias("path")).distinct().join(seen, ["entry", "path"], "left_anti")
+        new = frontier.join(links, "path").select("entry", F.col("resolved").alias("path")).distinct().join(seen.hint("merge"), ["entry", "path"], "left_anti")
         frontier = materialize(new.select("entry", "path", F.lit(depth).alias("depth")), "closure")
         seen = seen.unionByName(frontier)
     return seen

@@ -1,6 +1,6 @@
 """Steps whose work must not grow with pairs of rows or go through one task."""
 
-from linkweave.operators import frontend, graph, json_schema, linking, zod_chains
+from linkweave.operators import frontend, graph, increment, json_schema, linking, zod_chains
 from linkweave.plans import fixtures
 
 MODELS = "model_id long, name string, kind string, field string, field_type string, optional boolean, from_attributes boolean"
@@ -70,3 +70,11 @@ def test_walks_bring_no_graph_to_the_driver(spark, monkeypatch):
     found = graph.greedy_walk(spark.createDataFrame([(1,)], "node_id long"), edges)
     assert [tuple(r) for r in found.collect()] == [(1, [1, 2, 3])]
     assert len(seen) > 2 and not any("BroadcastExchange" in p for p in seen)
+
+
+def test_closures_bring_no_steps_to_the_driver(spark, monkeypatch):
+    seen = plans_of(monkeypatch, increment, "closure")
+    steps = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "path string, resolved string")
+    found = increment.closures(spark.createDataFrame([("a",)], "path string"), steps)
+    assert sorted(tuple(r) for r in found.collect()) == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2)]
+    assert len(seen) > 2 and not any("BroadcastExchange" in p for p in seen)
