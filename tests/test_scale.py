@@ -78,3 +78,20 @@ def test_closures_bring_no_steps_to_the_driver(spark, monkeypatch):
     found = increment.closures(spark.createDataFrame([("a",)], "path string"), steps)
     assert sorted(tuple(r) for r in found.collect()) == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2)]
     assert len(seen) > 2 and not any("BroadcastExchange" in p for p in seen)
+
+
+def test_crowds_at_a_node_are_dealt_to_shares(spark):
+    """Twenty starts at one node and one at another: the same rows as a plain join, and more than one share of the crowd."""
+    frontier = spark.createDataFrame([(k, 1) for k in range(20)] + [(99, 2)], "start long, node_id long")
+    links = spark.createDataFrame([(1, 5), (1, 6), (2, 5)], "src long, dst long")
+    found = graph.hop(frontier, links, ["start"], crowd=4)
+    assert sorted(tuple(r) for r in found.collect()) == sorted([(k, d) for k in range(20) for d in (5, 6)] + [(99, 5)])
+    assert "share" in plan(found)
+
+
+def test_parallel_edges_are_counted_before_starts_meet_them(spark):
+    edges = spark.createDataFrame([(1, 2)] * 5, "src long, dst long")
+    names = spark.createDataFrame([(1, "v"), (2, "v")], "node_id long, name string")
+    found = graph.track_variable(names, edges, names)
+    assert [tuple(r) for r in found.collect()] == [(1, "v", 1, 2)] * 5
+    assert "array_repeat" in plan(found)
