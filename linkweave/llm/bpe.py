@@ -21,7 +21,7 @@ import functools
 import json
 import os
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -121,7 +121,7 @@ class WordTable:
         if len(self.slots) > self.most or self.chars > TABLE_CHARS:
             self._shrink()
         get = self.slots.get
-        out = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        out = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(out < 0)
         if len(missing):
             first = len(self.slots)
@@ -146,7 +146,7 @@ class WordTable:
         """Ids of each row's words, joined back by position."""
         encoded = words.flatten().dictionary_encode()
         indices = encoded.indices.to_numpy(zero_copy_only=False)
-        known = self.slots_of(encoded.dictionary.to_pylist())
+        known = self.slots_of(encoded.dictionary.to_numpy(zero_copy_only=False).tolist())  # to_pylist goes over an Arrow scalar for each word
         self.met[known] += np.bincount(indices, minlength=len(known))
         slots = known[indices]
         lengths = self.offsets[slots + 1] - self.offsets[slots]

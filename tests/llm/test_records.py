@@ -64,3 +64,13 @@ def test_wide_ids_and_damage():
             broken[k] ^= 1
             with pytest.raises((ValueError, struct.error)):
                 records.unframe(bytes(broken), 0)
+
+
+def test_words_met_before_are_not_encoded_again():
+    """150,000 distinct words, twice: the table that the operator asks for keeps them all."""
+    table, asked = bpe.WordTable(bpe.default_tokenizer(), records.TABLE_WORDS), []
+    table.encode_word = lambda word: asked.append(word) or [1]
+    for _ in range(2):
+        for first in range(0, 150_000, 15_000):
+            table.slots_of([f"w{k}" for k in range(first, first + 15_000)])
+    assert len(asked) == 150_000
