@@ -83,8 +83,13 @@ def apply_mapping(path: Column, pattern: Column, target: Column, base: Column) -
 
 def relative_target(importing: Column, path: Column) -> Column:
     """Path without an ending that a relative import points to: one folder up for each further dot at its start."""
+    return target_from(folder(importing), path)
+
+
+def target_from(importing_folder: Column, path: Column) -> Column:
+    """``relative_target`` by the folder of the importing file, on which alone it depends."""
     dots = F.char_length(F.regexp_extract(path, r"^(\.*)", 1))
-    here = F.split(folder(importing), "/")
+    here = F.split(importing_folder, "/")
     base = F.array_join(F.slice(here, F.lit(1), F.greatest(F.lit(0), F.size(here) - F.greatest(dots - 1, F.lit(0)))), "/")
     return F.concat_ws("/", F.nullif(base, F.lit("")), F.nullif(F.regexp_replace(path, r"^[./]+", ""), F.lit("")))
 
@@ -97,3 +102,15 @@ def candidates(target: Column) -> Column:
     generated = [F.concat(stem, F.lit(f".{x}")) for x in GENERATED]
     index = [F.concat(target, F.lit(f"/{x}")) for x in INDEX_FILES]
     return F.array(target, *with_extension, *generated, *index)
+
+
+def without_ending(path: Column) -> Column:
+    """The path without one of the endings that are tried."""
+    return F.regexp_replace(path, rf"(\.gen)?\.({'|'.join(EXTENSIONS)})$", "")
+
+
+def candidate_forms(target: Column) -> Column:
+    """``without_ending`` of all candidates, each form once: candidates that differ by their ending alone have the same form, so one of each such group is asked."""
+    of = candidates(target)
+    first = (0, 1, 1 + len(EXTENSIONS), 1 + len(EXTENSIONS) + len(GENERATED))  # the target itself, with an ending, generated, an index file
+    return F.array_distinct(F.array(*(without_ending(of[k]) for k in first)))

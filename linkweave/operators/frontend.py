@@ -38,9 +38,19 @@ def resolve_imports(imports: DataFrame, files: DataFrame, mappings: DataFrame |
     targets = relative
     if mappings is not None:
         targets = targets.unionByName(mapped_imports(imports.filter(~F.col("path").startswith(".")), mappings, root))
-    tried = targets.select("import_id", F.posexplode(frontend.candidates(F.col("target"))).alias("rank", "resolved"))
-    there = tried.join(files.select(F.col("file").alias("resolved")).distinct(), "resolved")
-    return imports.join(first_by(there, "import_id", ["rank"]).select("import_id", "resolved"), "import_id", "left").select("import_id", "file", "path", "resolved")
+    return imports.join(first_files(targets, files, ["import_id"]), "import_id", "left").select("import_id", "file", "path", "resolved")
+
+
+def first_files(targets: DataFrame, files: DataFrame, key: list[str]) -> DataFrame:
+    """(key, resolved): of the files that the key's ``target`` may be, the first in the order of endings that is there.
+
+    Targets meet files by their forms without an ending, so a target is sent out twice or three times and not once for each ending."""
+    there = files.select(frontend.without_ending(F.col("file")).alias("form"), F.col("file").alias("resolved"))
+    forms = targets.withColumn("forms", frontend.candidate_forms(F.col("target"))).select(*targets.columns, F.explode_outer("forms").alias("form"))  # outer, as Spark would filter by the size of the forms, which works them out again
+    met = forms.join(there, "form")
+    rank = F.array_position(frontend.candidates(F.col("target")), F.col("resolved"))
+    found = met.groupBy(*key).agg(F.min(F.when(rank > 0, F.struct(rank.alias("rank"), "resolved"))).alias("found"))
+    return found.filter("found is not null").select(*key, "found.resolved")
 
 
 def resolve_or_invent(calls: DataFrame, functions: DataFrame) -> DataFrame:
@@ -92,25 +102,44 @@ def sdk_calls(functions: DataFrame, sources: DataFrame, endpoints: DataFrame) ->
     return first_by(out.filter("method is not null"), "name", ["file"]).select("name", "method", "path")
 
 
+def reexport_steps(starts: DataFrame, exports: DataFrame, files: DataFrame, most: int) -> DataFrame:
+    """(folder, at, to, client): where the re-exports of a file lead to for starts of a folder, for all files within reach; ``client``: not gone through.
+
+    A path depends on the start by its folder only, so it is resolved once for each folder and not once for each start and level."""
+    frontier = materialize(starts.select(frontend.folder(F.col("file")).alias("folder"), F.col("file").alias("at")).distinct(), "reexport-places")
+    seen, steps = frontier, None
+    exports = exports.filter(F.col("path").startswith(".")).select(F.col("file").alias("at"), "path")
+    for level in range(most):
+        asked = frontier.join(exports if level else exports.hint("merge"), "at")  # later levels are mostly few files, that are sent to the exports and files
+        asked = materialize(asked.select("folder", "at", frontend.target_from(F.col("folder"), F.col("path")).alias("target")), "reexport-targets")
+        to = first_files(asked, files if level else files.hint("merge"), ["folder", "at", "target"]).select("folder", "at", F.col("resolved").alias("to"), frontend.is_sdk_file(F.col("resolved")).alias("client"))
+        to = materialize(to, "reexport-steps")
+        steps = to if steps is None else steps.unionByName(to)
+        frontier = materialize(to.filter("not client").select("folder", F.col("to").alias("at")).distinct().join(seen.hint("merge"), ["folder", "at"], "left_anti"), "reexport-places")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return steps
+
+
 def reexported(starts: DataFrame, exports: DataFrame, files: DataFrame, functions: DataFrame, most: int = MAX_REEXPORTS) -> DataFrame:
     """(file, name, source): functions of client files that reach ``file`` through ``export * from``, over at most ``most`` steps.
 
     ``starts``: file; ``exports``: file, path; ``functions``: file, name.  As the analysed tool does, every path on the way is taken from the folder of
-    the file that began; a file is gone through once for each."""
-    frontier = materialize(starts.select("file", F.col("file").alias("at")).distinct(), "reexports")
-    seen, found = frontier, None
+    the file that began; a file is gone through once for each.  Starts walk over steps that are resolved before; clients get their functions
+    at the end.  No side of the walk's joins is brought to the driver, however small the project."""
+    steps = reexport_steps(starts, exports, files, most)
+    frontier = materialize(starts.select("file", F.col("file").alias("at"), F.lit(False).alias("client")).distinct(), "reexports")
+    seen = frontier
     for _ in range(most):
-        paths = frontier.join(exports.select(F.col("file").alias("at"), "path"), "at").select("file", "path").distinct()
-        asked = paths.withColumn("import_id", F.concat_ws("|", "file", "path"))
-        to = resolve_imports(asked, files).filter("resolved is not null").select("file", F.col("resolved").alias("at")).distinct()
-        client = to.filter(frontend.is_sdk_file(F.col("at")))
-        new = client.join(functions.select(F.col("file").alias("at"), "name"), "at").select("file", "name", F.col("at").alias("source"))
-        found = new if found is None else found.unionByName(new)
-        frontier = materialize(to.filter(~frontend.is_sdk_file(F.col("at"))).join(seen, ["file", "at"], "left_anti"), "reexports")
+        walked = frontier.withColumn("folder", frontend.folder(F.col("file"))).drop("client").join(steps.hint("merge"), ["folder", "at"])
+        new = walked.select("file", F.col("to").alias("at"), "client").distinct().join(seen.hint("merge"), ["file", "at", "client"], "left_anti")
+        new = materialize(new, "reexports")
+        seen, frontier = seen.unionByName(new), new.filter("not client")
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return found.distinct()
+    own = functions.filter(frontend.is_sdk_file(F.col("file"))).select(F.col("file").alias("source"), "name").distinct()
+    return seen.filter("client").select("file", F.col("at").alias("source")).join(own.hint("merge"), "source").select("file", "name", "source")
 
 
 def service_files(queries: DataFrame, files: DataFrame, roots: DataFrame) -> DataFrame:

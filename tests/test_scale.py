@@ -1,5 +1,8 @@
 """Steps whose work must not grow with pairs of rows or go through one task."""
 
+from pyspark.sql import functions as F
+
+from linkweave.functions import frontend as paths
 from linkweave.operators import frontend, graph, increment, json_schema, linking, zod_chains
 from linkweave.plans import fixtures
 
@@ -95,3 +98,38 @@ def test_parallel_edges_are_counted_before_starts_meet_them(spark):
     found = graph.track_variable(names, edges, names)
     assert [tuple(r) for r in found.collect()] == [(1, "v", 1, 2)] * 5
     assert "array_repeat" in plan(found)
+
+
+def test_reexports_are_resolved_once_for_a_folder(spark, monkeypatch):
+    """Levels of the walk look up steps: no path is resolved again for a start that comes to it."""
+    seen = plans_of(monkeypatch, frontend, "reexports")
+    names = ["s/a.ts", "s/b.ts", "s/c.ts", "s/k.gen.ts"]
+    files = spark.createDataFrame([(n,) for n in names], "file string")
+    exports = spark.createDataFrame([("s/a.ts", "./b"), ("s/b.ts", "./c"), ("s/c.ts", "./k.gen"), ("s/c.ts", "./a")], "file string, path string")
+    functions = spark.createDataFrame([("s/k.gen.ts", "get"), ("s/a.ts", "own")], "file string, name string")
+    found = frontend.reexported(files, exports, files, functions)
+    assert sorted(tuple(r) for r in found.collect()) == [(f, "get", "s/k.gen.ts") for f in names[:3]]
+    assert len(seen) > 3 and not any("Generate" in p or "BroadcastExchange" in p for p in seen)
+
+
+def test_reexports_of_names_with_bars_are_kept_apart(spark):
+    files = spark.createDataFrame([(n,) for n in ("s|./x", "s", "k.gen.ts", "x|./k.gen.ts")], "file string")
+    exports = spark.createDataFrame([("s|./x", "./k.gen"), ("s", "./x|./k.gen")], "file string, path string")
+    functions = spark.createDataFrame([("k.gen.ts", "get"), ("x|./k.gen.ts", "put")], "file string, name string")
+    found = frontend.reexported(files.filter("file like 's%'"), exports, files, functions)
+    once = frontend.resolve_imports(exports.selectExpr("monotonically_increasing_id() as import_id", "file", "path"), files)
+    expected = {(r.file, r.resolved) for r in once.collect()}
+    assert {(r.file, r.source) for r in found.collect()} == {(f, r) for f, r in expected if r is not None and r.endswith(".gen.ts")}
+
+
+def test_imports_are_sent_out_a_few_times_and_find_the_first_file(spark):
+    """Odd targets and files: the same as trying each candidate in its order, and at most four rows for a target."""
+    targets = [(t,) for t in ("a", "a.ts", "a.b", "a.gen", "a.gen.ts", "d/a", "d/", "d/.x", "/a.b", ".x", "", "d.e/a", "d/index", "d/a.b.c", "d/lost")]
+    files = [(f,) for f in ("a.ts", "a.tsx", "a.gen.ts", "a.b", "a.b.ts", "d/a/index.gen.tsx", "d/a/index.js", "d/index.tsx", "d/.ts", "d/.x.jsx", ".x.gen.ts", "/a.b.ts", ".ts", "d.e/a.jsx", "d/a.b.c.ts", "d/a.b.ts", "a.ts")]
+    asked, there = spark.createDataFrame(targets, "target string"), spark.createDataFrame(files, "file string")
+    tried = {r.target: r.c for r in asked.select("target", paths.candidates(F.col("target")).alias("c")).collect()}
+    expected = {t: next((c for c in cs if (c,) in files), None) for t, cs in tried.items()}
+    found = {r.target: r.resolved for r in frontend.first_files(asked, there, ["target"]).collect()}
+    assert found == {t: f for t, f in expected.items() if f is not None} and len(found) > 10
+    forms = asked.select(F.size(paths.candidate_forms(F.col("target"))).alias("n"))
+    assert forms.agg(F.max("n")).first()[0] <= 4
