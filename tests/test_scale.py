@@ -100,6 +100,53 @@ def test_parallel_edges_are_counted_before_starts_meet_them(spark):
     assert "array_repeat" in plan(found)
 
 
+def test_starts_that_lead_to_one_another_are_followed_in_few_rounds(spark, monkeypatch):
+    """A chain of 60 nodes into a circle: ways get twice as long in each round, and pairs are the same as those of a walk."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(60, 55), (57, 3 + 55), (60, 60), (59, 900)], "src long, dst long")
+    starts = spark.createDataFrame([(k,) for k in range(61)] + [(None,)], "node_id long")
+    seen = plans_of(monkeypatch, graph, "pairs")
+    found = graph.reachable_together(starts, edges.distinct())
+    assert 3 < len(seen) < 9
+    assert sorted(tuple(r) for r in found.filter("start < 900").collect()) == sorted(tuple(r) for r in graph.reachable(starts.filter("node_id >= 0"), edges).collect())
+
+
+def test_starts_that_lead_elsewhere_are_walked_from(spark):
+    """A long way beside the starts, or more rows than a round may make: the caller walks from each start."""
+    links = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(0, k) for k in range(2, 40)], "src long, dst long").distinct()
+    starts = spark.createDataFrame([(k,) for k in range(40)], "node_id long")
+    assert graph.reachable_together(spark.createDataFrame([(1,)], "node_id long"), links) is None
+    assert graph.reachable_together(starts, links, most=1) is None
+    assert graph.reachable_together(starts, links).filter("start = 1").count() == 20
+
+
+def test_names_are_followed_without_a_walk_for_each_name(spark, monkeypatch):
+    """Functions that call one another: no frontier of starts and names, at any depth."""
+    seen = plans_of(monkeypatch, graph, "spread")
+    edges = [(k, k, k + 1, "Call") for k in range(12)] + [(20, 12, 0, "Call")]
+    args = [(k, "p", "p") for k in range(12)] + [(20, "p", "q")]
+    frames = spark.createDataFrame(edges, "edge_id long, src long, dst long, kind string"), spark.createDataFrame(args, "edge_id long, param string, arg string")
+    found = graph.parameter_flow(*frames)
+    assert found.filter("direction = 'on' and name = 'p'").count() == 13 * 12 and not seen
+
+
+def test_rows_of_many_parallel_edges_come_in_pieces(spark, monkeypatch):
+    """No row stands for more than a piece, and tasks are as many as the rows need."""
+    rows = spark.createDataFrame([("a", 10), ("b", 4), ("c", 1), ("d", 8), ("e", 9)], "k string, n int")
+    found = graph._repeated(rows, piece=4, task_rows=1)
+    assert {r.k: r["count"] for r in found.groupBy("k").count().collect()} == {"a": 10, "b": 4, "c": 1, "d": 8, "e": 9}
+    assert found.rdd.getNumPartitions() == 32
+    assert graph._repeated(rows.filter("n > 99")).count() == 0
+    counted = graph._repeated(rows, piece=4).rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert sum(counted) == 32 and max(counted) <= 12
+
+
+def test_crowds_may_be_counted_by_a_part_of_the_key(spark):
+    left = spark.createDataFrame([(k, 1, "v") for k in range(20)] + [(99, 2, "w")], "start long, src long, name string")
+    right = spark.createDataFrame([(1, "v", 5), (1, "v", 6), (1, "w", 7), (2, "w", 8)], "src long, name string, dst long")
+    found = graph.meet(left, right, ["src", "name"], ["start"], crowd=4, of=left.select("src"))
+    assert sorted((r.start, r.dst) for r in found.collect()) == sorted([(k, d) for k in range(20) for d in (5, 6)] + [(99, 8)])
+
+
 def test_reexports_are_resolved_once_for_a_folder(spark, monkeypatch):
     """Levels of the walk look up steps: no path is resolved again for a start that comes to it."""
     seen = plans_of(monkeypatch, frontend, "reexports")
