@@ -147,6 +147,24 @@ def test_crowds_may_be_counted_by_a_part_of_the_key(spark):
     assert sorted((r.start, r.dst) for r in found.collect()) == sorted([(k, d) for k in range(20) for d in (5, 6)] + [(99, 8)])
 
 
+def test_variables_are_tracked_without_a_walk_for_each_start(spark, monkeypatch):
+    """Nodes that lead to one another: no frontier; repeated starts, parallel edges, two names of a node and nulls count as in the SQL."""
+    seen = plans_of(monkeypatch, graph, "frontier")
+    edges = [(k, k + 1) for k in range(9)] * 2 + [(9, 4), (9, 4), (9, 4), (3, 3), (None, 2), (8, None)]
+    names = [(k, f"v{k % 2}") for k in range(10)] + [(4, "v1"), (7, "v1"), (7, "v1"), (5, None), (None, "v0")]
+    frame = spark.createDataFrame(names, "node_id long, name string")
+    found = graph.track_variable(frame, spark.createDataFrame(edges, "src long, dst long"), frame)
+    out = []
+    for start, name in names:
+        met, todo = set(), [start] if start is not None else []
+        while todo:
+            if (at := todo.pop()) not in met and at is not None:
+                met.add(at)
+                todo += [b for a, b in edges if a == at]
+        out += [(start, name, a, b) for a, b in edges if a in met and b is not None and name is not None and (b, name) in names]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(out) and not seen
+
+
 def test_reexports_are_resolved_once_for_a_folder(spark, monkeypatch):
     """Levels of the walk look up steps: no path is resolved again for a start that comes to it."""
     seen = plans_of(monkeypatch, frontend, "reexports")
